@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_duplicates, pii, quality
+from . import decontaminate, html_text, licenses, mixing, near_duplicates, pii, quality, site_quality, token_counts, toxicity
 from .common import table
 
 
@@ -14,10 +15,27 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts here, and the languages of a source its paths."""
+    return site_quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.rates(docs, docs, "lang")
@@ -31,8 +49,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_near_duplicates, op7_mixing, op8_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (
+        op1_decontamination, op2_license_scan, op3_html_extraction, op4_token_counts, op5_near_duplicates,
+        op6_site_quality, op7_mixing, op8_quality_rules, op9_pii, op10_toxicity,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
