@@ -146,7 +146,7 @@ def without_thoughts(c: Column) -> Column:
 
 def fixed(c: Column, digits: int = 2) -> Column:
     """A number with so many digits, blank for null."""
-    return F.when(c.isNull() | F.isnan(c), "").otherwise(F.regexp_replace(F.format_number(c.cast("double"), "0." + "0" * digits), ",", ""))
+    return F.when(c.isNull() | F.isnan(c), "").otherwise(F.regexp_replace(F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits)), ",", ""))
 
 
 def interval_cell(low: Column, high: Column, digits: int = 2) -> Column:
