@@ -27,6 +27,10 @@ def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
+#: Links in a task of a round: later rounds have few, and a shuffle writes a file for each task.
+LINKS = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b) between longs: rows (node, root), root the least node of each.
 
@@ -34,30 +38,25 @@ def components(edges: DataFrame) -> DataFrame:
     and loops and repeats are dropped, until no link is left; the steps are then composed backwards. Each round has
     equi-joins and partial aggregates only, so that a node with very many links is combined before it is shuffled.
     """
-    empty = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     steps = []
-    links = edges.where("a is not null and b is not null and a <> b")
-    while True:
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-        if step.isEmpty():
-            break
-        steps.append(step)
+    links = cut(edges.select("a", "b").where("a is not null and b is not null and a <> b"))
+    while n := links.count():
+        parts = max(8, -(-n // LINKS))
+        links = links.coalesce(parts)
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
+        steps.append(step := cut(step.coalesce(parts)))
         to_a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        links = cut(
-            links.join(to_a, "a").join(to_b, "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        if links.isEmpty():
-            break
+        moved = links.join(to_a, "a").join(to_b, "b").where("ra <> rb")
+        links = cut(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().coalesce(parts))
     if not steps:
-        return empty
-    # a root may itself have moved, in a later step; a step's root always is a node of the next unless it stays
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # a root may itself have moved in a later step; what no later step has stays
     out = steps[-1]
     for step in reversed(steps[:-1]):
         out = _compose(step, out)
-    return cut(out)
+    return cut(out.coalesce(max(8, -(-steps[0].count() // LINKS)))) if len(steps) > 1 else out
 
 
 def _compose(first: DataFrame, then: DataFrame) -> DataFrame:

@@ -26,10 +26,11 @@ from .common import components, cut, fresh
 from .kernels import chunks, mix, multisets, poisson_signatures, seeded, sequence_keys, shingles
 
 BANDS, ROWS = 32, 7
-CLUSTER = 500
+CLUSTER = 200
 PIVOTS = 8
 
 _KEYS = "struct<k1:bigint,k2:bigint,words:int,bands:array<bigint>>"
+_LINK = "a bigint, a2 bigint, b bigint, parts int"
 _SHINGLED = "struct<k1:bigint,k2:bigint,full:binary>"
 
 
@@ -134,7 +135,7 @@ def _group(table: pa.Table, query_column: bool) -> pa.Table:
     sets = [np.frombuffer(full[i].as_py(), dtype=np.uint64) for i in rows]
     root = linked(sets, np.flatnonzero(role[rows] > 0) if query_column else None)
     at = np.array(rows, dtype=np.int64)
-    return pa.table({"a": k1[at], "a2": k2[at], "b": k1[at[root]] if len(at) else k1[at]})
+    return pa.table({"a": k1[at], "a2": k2[at], "b": k1[at[root]] if len(at) else k1[at], "parts": np.asarray(table["parts"])[at].astype(np.int32)})
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -172,31 +173,37 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if large:
         full = cut(full)
     place = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    dealt = full.select("c", F.explode(place).alias("part"), F.col("pivot").cast("int").alias("role"), "k1", "k2", "full")
+    dealt = full.select("c", F.explode(place).alias("part"), "parts", F.col("pivot").cast("int").alias("role"), "k1", "k2", "full")
 
     def resolve(group: pa.Table) -> pa.Table:
         return _group(group, False)
 
-    link = cut(dealt.groupBy("c", "part").applyInArrow(resolve, "a bigint, a2 bigint, b bigint"))
+    link = cut(dealt.groupBy("c", "part").applyInArrow(resolve, _LINK))
+    keyed = [F.col("a").alias("k1"), F.col("a2").alias("k2")]
+    settled = link.where("parts = 1").select(*keyed, F.col("b").alias("root"))
     if not large:
-        return rows, link.select(F.col("a").alias("k1"), F.col("a2").alias("k2"), F.col("b").alias("root"))
-    names = link.select(F.col("a").alias("k1"), F.col("a2").alias("k2")).distinct()
-    edges = link.select("a", "b")
-    root = components(edges)
+        return rows, settled
+    open_ = link.where("parts > 1")
+    root = components(open_.select("a", "b"))
     # of the large clusters, what is outside the largest part, against all of the cluster
     of = full.where("parts > 1").join(root.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     count = of.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     count = count.where("n > most").select("c", "main", F.ceil((F.col("n") - F.col("most")) / CLUSTER).cast("int").alias("blocks"))
     of = of.join(count, "c")
-    asked = of.where("root <> main").select("c", F.pmod(F.xxhash64("k1", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "k1", "k2", "full")
-    against = of.select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(0).alias("role"), "k1", "k2", "full")
+    asked = of.where("root <> main").select("c", F.pmod(F.xxhash64("k1", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(1).alias("role"), "k1", "k2", "full")
+    against = of.select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "parts", F.lit(0).alias("role"), "k1", "k2", "full")
 
     def compare(group: pa.Table) -> pa.Table:
         return _group(group, True)
 
-    more = asked.unionByName(against).groupBy("c", "block", "part").applyInArrow(compare, "a bigint, a2 bigint, b bigint")
-    root = components(edges.unionByName(more.select("a", "b")))
-    return rows, names.join(root.select(F.col("node").alias("k1"), "root"), "k1")
+    more = asked.unionByName(against).groupBy("c", "block", "part").applyInArrow(compare, _LINK).where("a <> b").select("a", "b")
+    # new links join whole parts: only their roots meet again
+    to = [root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    joined = more.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    last = components(joined)
+    names = open_.select(*keyed).distinct().join(root.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    names = names.join(last.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return rows, settled.unionByName(names.select("k1", "k2", F.coalesce("to", "root").alias("root")))
 
 
 def _placed(rows: DataFrame, link: DataFrame) -> DataFrame:
