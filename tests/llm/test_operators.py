@@ -26,7 +26,8 @@ def by_id(df):
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(40, 0, -1)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
+    chain = rng.sample(range(1, 90), 20)  # ids are hashes, in no order along a chain
+    edges = list(zip(chain, chain[1:])) + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(300, 300), (None, 3)]
     root = {}
 
     def find(x):
