@@ -28,6 +28,8 @@ from .kernels import chunks, mix, multisets, poisson_signatures, seeded, sequenc
 BANDS, ROWS = 32, 7
 CLUSTER = 200
 PIVOTS = 8
+#: Up to so many clusters of over CLUSTER texts are broadcast (about 100 bytes each); beyond it they are joined.
+BROADCAST_CLUSTERS = 100_000
 
 _KEYS = "struct<k1:bigint,k2:bigint,words:int,bands:array<bigint>>"
 _LINK = "a bigint, a2 bigint, b bigint, parts int"
@@ -158,19 +160,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return rows, empty
     flip = [int(x) for x in mix(np.arange(1, PIVOTS + 1, dtype=np.uint64)).view(np.int64)]
     sizes = cluster.groupBy("root").agg(F.count("*").alias("n"), *[F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"p{i}") for i, x in enumerate(flip)])
-    parts = F.ceil(F.col("n") / CLUSTER).cast("int")
-    member = cluster.join(sizes, "root").select(
-        F.col("node").alias("k1"), F.col("root").alias("c"), parts.alias("parts"),
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CLUSTER)).cast("int").alias("part"),
-        (F.array_contains(F.array(*[f"p{i}" for i in range(PIVOTS)]), F.col("node")) & (parts > 1)).alias("pivot"),
+    # only the clusters of over CLUSTER texts are in this table, so that a small one needs no join
+    large = cut(sizes.where(F.col("n") > CLUSTER))
+    n_large = large.count()
+    with_large = F.broadcast(large) if n_large <= BROADCAST_CLUSTERS else large
+    parts = F.coalesce(F.ceil(F.col("n") / CLUSTER), F.lit(1)).cast("int")
+    member = cluster.join(with_large, "root", "left").select(
+        F.col("node").alias("k1"), F.col("root").alias("c"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"),
+        F.coalesce(F.array_contains(F.array(*[f"p{i}" for i in range(PIVOTS)]), F.col("node")), F.lit(False)).alias("pivot"),
     )
     # one row's text for each distinct text of a cluster; its key is worked out anew, as ids may repeat
     chosen = nodes.select("k1", "d").join(member, "k1")
     text = docs.select(d.alias("d"), F.col("text").alias("t")).join(chosen.withColumnRenamed("k1", "want"), "d")
     shingled = F.arrow_udf(_shingled, _SHINGLED).asNondeterministic()
     full = text.select("want", "c", "parts", "part", "pivot", shingled(F.col("t")).alias("s")).select("*", "s.*").where("k1 = want").drop("s", "want")
-    large = not sizes.where(F.col("n") > CLUSTER).isEmpty()
-    if large:
+    if n_large:
         full = cut(full)
     place = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     dealt = full.select("c", F.explode(place).alias("part"), "parts", F.col("pivot").cast("int").alias("role"), "k1", "k2", "full")
@@ -181,7 +185,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     link = cut(dealt.groupBy("c", "part").applyInArrow(resolve, _LINK))
     keyed = [F.col("a").alias("k1"), F.col("a2").alias("k2")]
     settled = link.where("parts = 1").select(*keyed, F.col("b").alias("root"))
-    if not large:
+    if not n_large:
         return rows, settled
     open_ = link.where("parts > 1")
     root = components(open_.select("a", "b"))
@@ -189,7 +193,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = full.where("parts > 1").join(root.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     count = of.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     count = count.where("n > most").select("c", "main", F.ceil((F.col("n") - F.col("most")) / CLUSTER).cast("int").alias("blocks"))
-    of = of.join(count, "c")
+    of = of.join(F.broadcast(count) if n_large <= BROADCAST_CLUSTERS else count, "c")
     asked = of.where("root <> main").select("c", F.pmod(F.xxhash64("k1", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(1).alias("role"), "k1", "k2", "full")
     against = of.select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "parts", F.lit(0).alias("role"), "k1", "k2", "full")
 
