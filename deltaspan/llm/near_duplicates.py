@@ -222,6 +222,13 @@ def assign(docs: DataFrame) -> DataFrame:
     rows, link = classes(docs)
     placed = _placed(rows, link)
     least = placed.groupBy("gx", "gy").agg(F.coalesce(F.min("doc_id"), F.min("d")).alias("class_id"), F.count("*").alias("class_size"))
+    large = cut(least.where(F.col("class_size") > CLUSTER))
+    if 0 < large.count() <= BROADCAST_CLUSTERS:
+        # rows of large classes get theirs from a broadcast; in the join that follows they are spread by a key of their own
+        placed = placed.join(F.broadcast(large.withColumnsRenamed({"class_id": "large_id", "class_size": "large_size"})), ["gx", "gy"], "left")
+        placed = placed.withColumn("gx", F.when(F.col("large_id").isNull(), F.col("gx")).otherwise(F.xxhash64("d", "h")))
+        joined = placed.join(least, ["gx", "gy"], "left")
+        return joined.select("doc_id", F.coalesce("large_id", "class_id").alias("class_id"), F.coalesce("large_size", "class_size").alias("class_size"))
     return placed.join(least, ["gx", "gy"]).select("doc_id", "class_id", "class_size")
 
 

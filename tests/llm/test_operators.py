@@ -440,3 +440,14 @@ def test_site_quality(spark, odd, none, labels):
     assert out.count() == odd.count() and out.where("score is null").count() == 0
     assert site_quality.scores(none, labels, F.col("source"), F.col("lang")).count() == 0
     assert site_quality.scores(odd, labels.limit(0), F.col("source"), F.col("lang")).count() == odd.count()
+
+
+def test_large_classes_by_broadcast_or_join(spark, monkeypatch):
+    """A class of over CLUSTER rows gets the same ids from the broadcast as from the join, and loses no row."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, text) for i in range(300)] + [(1000 + i, f"{text} tail{i}") for i in range(230)] + [(2000, None), (2001, "other words that stand alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_duplicates.assign(docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(near_duplicates, "BROADCAST_CLUSTERS", -1)
+    assert [tuple(r) for r in near_duplicates.assign(docs).orderBy("doc_id").collect()] == got
+    assert got == [(i, 0, 530) for i, _ in rows[:530]] + [(2000, 2000, 1), (2001, 2001, 1)]
