@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20260722
+#: Up to so many items are broadcast to their draws (some 50 bytes each); beyond it the draws are shuffled to them.
+BROADCAST_ITEMS = 500_000
 
 
 def order_bounds(rounds: int, level: float = 0.05) -> tuple[int, int]:
@@ -83,9 +85,13 @@ def hashed_place(turn: Column, number: Column, n: Column) -> Column:
 def draws(items: DataFrame, by: list[str], values: list[str], rounds: int) -> DataFrame:
     """Sums of the values over each round's draws, n draws of n items for each group, all groups by the same hash."""
     turn = items.select(*by, "n", "pos").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    # how often each place comes up in a round: combined before the shuffle
-    picked = turn.select(*by, "turn", hashed_place(F.col("turn"), F.col("pos"), F.col("n")).alias("pos")).groupBy(*by, "turn", "pos").agg(F.count("*").alias("times"))
-    got = picked.join(items.select(*by, "pos", "n", *values), [*by, "pos"])
+    picked = turn.select(*by, "turn", hashed_place(F.col("turn"), F.col("pos"), F.col("n")).alias("pos"))
+    own = items.select(*by, "pos", "n", *values)
+    if items.count() <= BROADCAST_ITEMS:
+        got = picked.join(F.broadcast(own), [*by, "pos"]).withColumn("times", F.lit(1))
+    else:
+        # how often each place comes up in a round: combined before the shuffle
+        got = picked.groupBy(*by, "turn", "pos").agg(F.count("*").alias("times")).join(own, [*by, "pos"])
     return got.groupBy(*by, "turn").agg(*[F.sum(F.col("times") * F.col(v)).alias(v) for v in values], F.max("n").alias("n"))
 
 

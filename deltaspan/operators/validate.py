@@ -213,14 +213,23 @@ def contract_violation(answer: Column, source: Column, meta: str = META, codes:
     )
 
 
+#: Forms in a block of a scan for leaks.
+LEAK_FORMS = 1000
+
+
 def leaked(examples: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
-    """How many rows hold each example form in any of the fields; examples are the few of a prompt."""
+    """How many rows hold each example form in any of the fields; the forms are broadcast in blocks of about LEAK_FORMS."""
     hit = None
     for f in fields:
         own = F.contains(F.coalesce(F.col(f), F.lit("")), F.col("form"))
         hit = own if hit is None else hit | own
-    marked = rows.join(F.broadcast(examples.limit(1000)), hit, "inner")
-    return examples.join(marked.groupBy("form").agg(F.count("*").alias("n")), "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
+    blocks = max(1, -(-examples.count() // LEAK_FORMS))
+    counts = None
+    for k in range(blocks):
+        own = examples.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k)
+        part = rows.join(F.broadcast(own), hit, "inner").groupBy("form").agg(F.count("*").alias("n"))
+        counts = part if counts is None else counts.unionByName(part)
+    return examples.join(counts, "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def served_mismatch(requested: Column, served: Column) -> Column:

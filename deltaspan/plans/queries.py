@@ -431,3 +431,94 @@ def dummy_translation(spark: SparkSession, d: str) -> DataFrame:
 def normalised_terms(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").withColumn("golds", F.slice(F.split("text", " "), 1, 3))
     return b.select("item_id", F.sha2(X.norm_text(F.col("text")), 256).alias("norm"), F.sha2(X.match_key(F.col("text")), 256).alias("match_key"), X.term_hit(F.col("text"), F.col("golds")).alias("hit"))
+
+
+# ---- more of the inventory: tallies, identities, set operations, scalar functions
+
+
+@query("SELECT quality, toxic, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share FROM labels GROUP BY ALL")
+def verdict_tallies(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    # a handful of rows by now, one for each verdict
+    total = own.agg(F.sum("n").alias("total"))
+    return own.crossJoin(F.broadcast(total)).select("quality", "toxic", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("share"))
+
+
+@query(f"WITH {GOLD_SQL}, {PAIR_SQL} SELECT uid, gi, category FROM g WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.uid = g.uid AND o.gi = g.gi)")
+def missed_spans(spark: SparkSession, d: str) -> DataFrame:
+    g = D.gold(spark, d)
+    return g.join(M.overlap_pairs(g, D.predicted(g)).select("uid", "gi"), ["uid", "gi"], "left_anti").select("uid", "gi", "category")
+
+
+@query("SELECT role, count(*) AS n, count(*) FILTER (text IS NULL OR trim(text) = '') AS n_empty, count(*) FILTER (contains(text, chr(10))) AS n_multiline FROM conversations GROUP BY role")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("n_empty"), F.count_if(F.contains("text", F.lit("\n"))).alias("n_multiline"))
+
+
+@query("SELECT form, (SELECT count(*) FROM documents WHERE contains(text, form)) AS n FROM (VALUES ('token'), ('License'), ('no such form')) f(form)")
+def example_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return V.leaked(values(spark, "form", ["token", "License", "no such form"]), table(spark, d, "documents").select("text"), ["text"])
+
+
+@query("WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders) SELECT side, o_orderkey, o_orderstatus FROM (SELECT 'a' AS side, * FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'b', * FROM (FROM b EXCEPT ALL FROM a))")
+def frozen_table_differences(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    b = a.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_unaligned, count(*) FILTER (event_id % 9 = 0 AND value IS NOT NULL) AS n_value FROM events")
+def clean_side_identity(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "events").select("event_id", "value")
+    b = a.withColumn("value", F.col("value") + F.when(F.col("event_id") % 9 == 0, 0.5).otherwise(1e-9))
+    return V.differing(a, b, ["event_id"], ["value"], 1e-6)
+
+
+@query("SELECT 'both' AS part, count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'without', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'distinct', count(DISTINCT o_custkey) FROM orders")
+def key_sets(spark: SparkSession, d: str) -> DataFrame:
+    a, b = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey")
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "without")).unionByName(n(b.distinct(), "distinct"))
+
+
+@query(f"WITH a AS (SELECT p_partkey, (SELECT {GRAMS} FROM (SELECT lower(p_name) AS t)) AS a, (SELECT {GRAMS} FROM (SELECT lower(p_type) AS t)) AS b FROM part WHERE length(p_name) >= 4 AND length(p_type) >= 4) SELECT p_partkey, len(a) AS n_grams, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS jaccard FROM a")
+def gram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "part").where("length(p_name) >= 4 and length(p_type) >= 4").select("p_partkey", X.char_grams(F.lower("p_name")).alias("a"), X.char_grams(F.lower("p_type")).alias("b"))
+    return own.select("p_partkey", F.size("a").cast("long").alias("n_grams"), F.round(F.coalesce(X.jaccard(F.col("a"), F.col("b")), F.lit(0.0)), 6).alias("jaccard"))
+
+
+@query("SELECT p_partkey, printf('%.2f', p_retailprice) AS price, '[' || printf('%.2f', p_retailprice - p_size) || ', ' || printf('%.2f', p_retailprice + p_size) || ']' AS interval FROM part")
+def number_cells(spark: SparkSession, d: str) -> DataFrame:
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", X.fixed(price).alias("price"), X.interval_cell(price - size, price + size).alias("interval"))
+
+
+@query("SELECT doc_id, sha256(replace(text, 'token', 'key')) AS spliced FROM documents WHERE contains(text, 'token')")
+def splice_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit("token")))
+    done = S.splice_all(F.col("text"), F.array(F.lit("token")), F.array(F.lit("key")))
+    return docs.select("doc_id", F.sha2(done["text"], 256).alias("spliced"))
+
+
+@query("SELECT item_id, trim(text) AS answer FROM benchmark")
+def leading_thoughts(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", X.without_thoughts(F.concat(F.lit("<think>one\ntwo</think>\n "), "text")).alias("answer"))
+
+
+@query(f"WITH {GOLD_SQL}, x AS (SELECT uid, ((uid * 31 + start) % 10) / 10.0 AS confidence FROM g) SELECT uid, count(*) AS n_all, count(*) FILTER (confidence >= 0.5) AS n_kept FROM x GROUP BY uid")
+def confidence_abstention(spark: SparkSession, d: str) -> DataFrame:
+    own = D.gold(spark, d).select("uid", F.struct("start", "end", ((F.col("uid") * 31 + F.col("start")) % 10 / 10).alias("confidence")).alias("s"))
+    own = own.groupBy("uid").agg(F.collect_list("s").alias("spans"))
+    return own.select("uid", F.size("spans").cast("long").alias("n_all"), F.size(S.keep_confident(F.col("spans"), 0.5)).cast("long").alias("n_kept"))
+
+
+NAMES_SQL = f"x AS (SELECT p_partkey AS k, len(g) AS n, unnest(g) AS w FROM (SELECT p_partkey, {GRAMS} AS g FROM (SELECT p_partkey, lower(p_name) AS t FROM part WHERE length(p_name) >= 4)))"
+
+
+@query(f"WITH {NAMES_SQL}, c AS (SELECT a.k AS l, b.k AS r, count(*) AS o, max(a.n) AS n, max(b.n) AS m FROM x a JOIN x b USING (w) WHERE a.k % 2 = 0 AND b.k % 2 = 1 GROUP BY ALL) SELECT l, min(r) AS r FROM c WHERE o >= 0.6 * (n + m - o) GROUP BY l")
+def first_near_partner(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "part").where("length(p_name) >= 4").select("p_partkey", X.char_grams(F.lower("p_name")).alias("grams"))
+    left, right = own.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "l"), own.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "r")
+    return O.first_partner(left, right, 0.6)
