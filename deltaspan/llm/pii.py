@@ -43,7 +43,8 @@ WORDS = {
     "email": r"mail|contact|write", "ip": r"\bip\b|address|host|server", "card": r"card|visa|credit|payment", "phone": r"phone|call|tel|mobile|fax",
     "iban": r"iban|account|bank|konto", "ssn": r"ssn|social|security|insurance", "secret": r"token|secret|passw|api.?key|credential|bearer",
 }
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: A part of an ip of at most 255, with any leading zeros; zeros alone are a part too.
+_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 
 
 def _digits(match: Column) -> Column:

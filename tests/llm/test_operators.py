@@ -232,6 +232,20 @@ def test_pii(spark, odd, none):
     assert pii.scan(odd).count() == odd.count() and pii.scan(none).count() == pii.redact(none).count() == 0
 
 
+def test_pii_zero_parts(spark):
+    rng = random.Random(16)
+    parts = ["0", "00", "000", "1", "01", "10", "100", "0255", "255", "256", "0256", "0" * 300, "0" * 300 + "9"]
+    texts = ["10.0.0.1", "0.0.0.0", "000.1.1.1", "192.168.0.1 127.0.0.1", "256.0.0.1", "0.0.0"] + [".".join(rng.choice(parts) for _ in range(rng.randrange(3, 10))) for _ in range(200)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = by_id(pii.scan(docs))
+    assert [got[i]["n_ip"] for i in range(6)] == [1, 1, 1, 2, 0, 0]
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(s[3] == k for s in want) for k in BASE], t[:100]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest(), t[:100]
+    assert by_id(pii.redact(docs))[3]["text"] == "[IP] [IP]"
+
+
 def test_pii_added(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "room 123-45-6789", 'token = "9765fab7324201a5ddfac0becd9064abbef40be8"', "9765fab7324201a5ddfac0becd9064abbef40be8"]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
