@@ -1,11 +1,10 @@
-"""Benchmark decontamination: MinHash containment search over windows by size class, then exact shingle containment.
+"""Benchmark decontamination: a prefix search over rare shingles of the items, then exact shingle containment.
 
 A document is contaminated by an item if it holds at least 0.8 of the item's distinct five-word shingles, anywhere in
-its whole text. MinHash compares sets of like size only, and a test item is tiny beside a long document; so items are
-parted by size into classes, and the document is covered by overlapping windows of twice each class's size, made from
-small blocks whose signatures are joined by minimum. An item meets a window in at least one of 64 registers unless
-chance fails: at containment 0.8 in one place the overlap is at least 0.15 and a miss has 2e-5 at most. Each meeting
-is verified by exact containment in the whole document, so that a passage in two halves counts as well.
+its whole text. Such a document misses at most n - ceil(0.8 n) of an item's n shingles, so that it holds one at least
+of any n - ceil(0.8 n) + 1 of them. Of each item so many are listed, those that the fewest items hold, and every
+shingle of a document is looked up in the list: no pair is missed, however short the item or scattered the passage.
+Each meeting is verified by exact containment in the whole document.
 
 Nulls: a null text or item has no shingles and matches nothing. An item of under five words has no five-word shingle
 and is never found. Repeated documents and repeated items each give rows of their own; null ids are carried. Empty
@@ -22,76 +21,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
-from .kernels import chunks, minimum_signatures, shingles
+from .kernels import chunks, shingles
 
-BLOCK = 16
-REGISTERS = 64
 CONTAINMENT = 0.8
 #: Items are sent to the tasks in blocks of this many shingles at most (an item stands alone if it has more): 16 MB.
 INDEX_SHINGLES = 1 << 21
 
 
-def size_class(n: int) -> int:
-    """Window classes double from BLOCK; an item may be stretched by a quarter where it was edited."""
-    u = BLOCK
-    while u < 1.25 * n:
-        u *= 2
-    return u
-
-
 class Index:
-    """Items in memory: sorted shingles, their classes, and for each class and register the sorted minima."""
+    """Items in memory: sorted shingles, and a list of rare ones, sorted, with the items that hold them."""
 
     def __init__(self, items: list[np.ndarray]) -> None:
         self.items = items
-        classes: dict[int, list[int]] = {}
-        for i, x in enumerate(items):
-            if len(x):
-                classes.setdefault(size_class(len(x)), []).append(i)
-        self.classes: dict[int, tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = {}
-        for u, own in sorted(classes.items()):
-            at = np.concatenate([[0], np.cumsum([len(items[i]) for i in own])])
-            sig = minimum_signatures(np.concatenate([items[i] for i in own]), at, REGISTERS)
-            known = np.zeros((REGISTERS, 1 << 16), dtype=bool)
-            known[np.arange(REGISTERS)[None, :].repeat(len(own), 0), sig & 0xFFFF] = True
-            order = [np.argsort(sig[:, k], kind="stable") for k in range(REGISTERS)]
-            self.classes[u] = (known, [sig[o, k] for k, o in enumerate(order)], [np.array(own)[o] for o in order])
+        size = np.array([len(x) for x in items], dtype=np.int64)
+        value, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *items]), np.repeat(np.arange(len(items)), size)
+        _, which, held = np.unique(value, return_inverse=True, return_counts=True)
+        order = np.lexsort((value, held[which], owner))
+        place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+        rare = order[place < np.repeat(size - np.ceil(CONTAINMENT * size).astype(np.int64) + 1, size)]
+        rare = rare[np.argsort(value[rare], kind="stable")]
+        self.rare, self.owner = value[rare], owner[rare]
+        self.mask = np.uint64((1 << int(np.clip(4 + len(rare).bit_length(), 16, 24))) - 1)
+        self.bitmap = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.bitmap[self.rare & self.mask] = True
 
     def candidates(self, full: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (row, item) whose window and item agree in a register, as one sorted array of pairs."""
-        count = np.diff(at)
-        blocks = -(-count // BLOCK)
-        row = np.repeat(np.arange(len(count)), blocks)
-        begin = np.repeat(at[:-1], blocks) + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        sig = minimum_signatures(full, np.append(begin, len(full)), REGISTERS) if len(row) else np.zeros((0, REGISTERS), dtype=np.uint32)
-        found, u = [np.zeros((0, 2), dtype=np.int64)], BLOCK
-        last = max(self.classes, default=0)
-        while u <= last and len(row):
-            if u in self.classes:
-                # a window is a block with the next one of its document; the last of several has been seen by then
-                joined = row[1:] == row[:-1]
-                lone = np.ones(len(row), dtype=bool)
-                lone[1:] &= ~joined
-                lone[:-1] &= ~joined
-                win = np.concatenate([np.minimum(sig[:-1][joined], sig[1:][joined]), sig[lone]])
-                win_row = np.concatenate([row[:-1][joined], row[lone]])
-                known, values, owners = self.classes[u]
-                for k in range(REGISTERS):
-                    hit = np.flatnonzero(known[k][win[:, k] & 0xFFFF])
-                    lo = np.searchsorted(values[k], win[hit, k], side="left")
-                    n = np.searchsorted(values[k], win[hit, k], side="right") - lo
-                    if n.any():
-                        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        found.append(np.unique(np.stack([np.repeat(win_row[hit], n), owners[k][which]], axis=1), axis=0))
-            # blocks of twice the size: pairs by their place in the document
-            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            first = place % 2 == 0
-            pair = np.append(~first[1:], False)[first]
-            merged = sig[first].copy()
-            second = np.flatnonzero(first)[pair] + 1
-            merged[pair] = np.minimum(merged[pair], sig[second])
-            sig, row, u = merged, row[first], 2 * u
-        return np.unique(np.concatenate(found), axis=0)
+        """Distinct (row, item) whose text holds a listed shingle of the item, as one sorted array of pairs."""
+        hit = np.flatnonzero(self.bitmap[full & self.mask])
+        lo = np.searchsorted(self.rare, full[hit], side="left")
+        row = np.searchsorted(at, hit, side="right") - 1
+        good = np.searchsorted(self.rare, full[hit], side="right") > lo
+        # a shingle that a text repeats counts once
+        once = np.unique(np.stack([row[good], lo[good]], axis=1), axis=0)
+        row, lo = once[:, 0], once[:, 1]
+        n = np.searchsorted(self.rare, self.rare[lo], side="right") - lo
+        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.stack([np.repeat(row, n), self.owner[which]], axis=1), axis=0)
 
     def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, item and shared shingles of each verified match."""

@@ -196,6 +196,23 @@ def test_decontamination(spark, odd, none, monkeypatch):
     assert decontaminate.found(none, bench).count() == 0 and decontaminate.found(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_short_and_scattered():
+    rng = random.Random(13)
+    items = [prose(rng, 5 + k % 4, 5000) for k in range(400)] + [prose(rng, n, 5000) for n in (30, 200, 600)]
+    texts = [prose(rng, rng.randrange(20, 400), 3000) + " " + it + " " + prose(rng, rng.randrange(20, 400), 3000) for it in items]
+    for it in items[400:]:
+        w = it.split()  # in pieces far apart: each cut loses four shingles
+        cuts = max(1, len(w) // 25 - 1)
+        ends = [len(w) * k // (cuts + 1) for k in range(cuts + 2)]
+        texts.append(" ".join(" ".join(w[a:b]) + " " + prose(rng, 3000, 3000) for a, b in zip(ends, ends[1:])))
+    index = decontaminate.Index([np.array(sorted(np.unique(decontaminate.shingles(pa.array([t]), short=False)[0])), dtype=np.uint64) for t in items])
+    row, item, shared = index.matches(pa.array(texts))
+    got = sorted((d, i, s, len(index.items[i])) for d, i, s in zip(row.tolist(), item.tolist(), shared.tolist(), strict=True))
+    want = contained(texts, items)
+    assert len(want) >= 405
+    assert got == want
+
+
 # ---- 9, personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
