@@ -3,8 +3,9 @@
 Text and templates are lower-cased runs of letters, digits and underscores; a bigram is two neighbours, and bigrams
 count as often as they occur. The Dice coefficient of a window of the text and a template is twice the size of their
 common multiset by the sum of their sizes. Every window of the whole text counts, so that a notice inside a longer
-document is found; for each document and licence the best window with 0.8 or more is reported, unless it meets the better window of another
-licence, such as another version of it. A window of a bigrams
+document is found. Overlaps are settled over all windows with 0.8 or more, the best first: one that meets a better
+window of another licence, such as another version of it, is dropped, unless that one was dropped itself. Of what is
+left the best window of each document and licence is reported. A window of a bigrams
 can reach t against a template of b only if b t / (2 - t) <= a <= b (2 - t) / t: that bounds the windows, and drops
 templates for which the text has too few bigrams, or too few in common.
 
@@ -14,6 +15,7 @@ earliest and then the shortest window. Very long texts are read in full. Other c
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 
 import numpy as np
@@ -75,13 +77,13 @@ class Scanner:
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[self.known & np.uint64((1 << 20) - 1)] = True
 
-    def best(self, template: int, gram: np.ndarray, place: np.ndarray) -> tuple[float, int, int] | None:
-        """Dice, start and bigrams of the best window; windows begin and end at the template's own bigrams."""
+    def found(self, template: int, gram: np.ndarray, place: np.ndarray) -> list[tuple[float, int, int]]:
+        """Dice, start and bigrams of the windows that reach it; windows begin and end at the template's own bigrams."""
         _, want = self.names[template]
         b, t = sum(want.values()), self.dice
         longest, need = int(b * (2 - t) / t + 1e-9), b * t / (2 - t) - 1e-9
         near = np.searchsorted(place, place + longest)
-        found: tuple[float, int, int] | None = None
+        found: list[tuple[float, int, int]] = []
         for i in np.flatnonzero(near - np.arange(len(place)) >= need).tolist():
             seen: Counter[int] = Counter()
             common = 0
@@ -92,10 +94,28 @@ class Scanner:
                 seen[x] += 1
                 size = int(place[j] - place[i]) + 1
                 score = 2 * common / (size + b)
-                if score >= t - 1e-12 and (found is None or score > found[0]):
-                    found = (score, int(place[i]), size)
+                if score >= t - 1e-12:
+                    found.append((score, int(place[i]), size))
         return found
 
+    @staticmethod
+    def settle(found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        """The best window of each licence that meets no better one of another, by name."""
+        order = sorted(found, key=lambda x: (-x[1], x[2], x[3], x[0]))
+        best: dict[str, tuple[str, float, int, int]] = {}
+        if len({x[0] for x in order}) < 2:
+            return order[:1]
+        # windows that stay, by start; other windows of the same notice would stand in the way of its neighbours
+        stay: list[tuple[int, int, float, str]] = []
+        longest = max(x[3] for x in order)
+        for x in order:
+            name, score, start, size = x
+            near = stay[bisect.bisect_left(stay, (start - longest,)) : bisect.bisect_left(stay, (start + size + 1,))]
+            if not any(begin + n >= start and (other == name or more > score) for begin, n, more, other in near):
+                bisect.insort(stay, (start, size, score, name))
+                best.setdefault(name, x)
+        return sorted(best.values())
+
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
         out: list[list[tuple[str, float, int, int]]] = []
         for a, b in chunks(texts):
@@ -116,15 +136,8 @@ class Scanner:
                 count = np.bincount(row[own], minlength=b - a)
                 for r in np.flatnonzero((count >= least) & (size >= least)).tolist():
                     i = np.arange(ends[r], ends[r + 1])[own[ends[r] : ends[r + 1]]]
-                    if found := self.best(k, gram[hit[i]], place[hit[i]] - w.at[r]):
-                        part[r].append((name, *found))
-            for own_found in part:
-                best: dict[str, tuple[str, float, int, int]] = {}
-                for x in own_found:
-                    if x[0] not in best or (-x[1], x[2], x[3]) < (-best[x[0]][1], best[x[0]][2], best[x[0]][3]):
-                        best[x[0]] = x
-                clear = [x for x in best.values() if not any(y[1] > x[1] and y[2] <= x[2] + x[3] and x[2] <= y[2] + y[3] for y in best.values())]
-                out.append(sorted(clear, key=lambda x: x[0]))
+                    part[r] += [(name, *x) for x in self.found(k, gram[hit[i]], place[hit[i]] - w.at[r])]
+            out += [self.settle(x) for x in part]
         return out
 
 

@@ -410,6 +410,23 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(odd).count() == 0
 
 
+def test_licenses_of_one_family():
+    two = "This work is licensed under the GNU General Public License, version 2."
+    three = "This work is released under the GNU General Public License, version 3."
+    filler = " ".join(f"word{k}" for k in range(60))
+    lesser = [licenses.TEMPLATES[x][0] for x in ("LGPL-3.0", "AGPL-3.0")] + [licenses.TEMPLATES["GPL-3.0"][1]]
+    bsd = [licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["BSD-3-Clause"][1]]
+    altered = [" ".join(w if k % 40 != 20 else "altered" for k, w in enumerate(x.split())) for x in lesser]
+    texts = [f"{two} {filler} {three}", f"{two} {three}", f"{three} {two}", f"{two} {filler} {two} {filler} {two}", f" {filler} ".join(lesser), f" {filler} ".join(altered), f"{bsd[0]} {filler} {bsd[1]}"]
+    got = [{n: (round(d, 3), s) for n, d, s, _ in x} for x in licenses.Scanner(licenses.TEMPLATES).scan(pa.array(texts))]
+    assert got[0] == {"GPL-2.0": (1.0, 0), "GPL-3.0": (0.818, 72)}
+    assert got[1] == {"GPL-2.0": (1.0, 0), "GPL-3.0": (0.818, 12)}
+    assert got[2] == {"GPL-2.0": (1.0, 12), "GPL-3.0": (0.818, 0)}
+    assert got[3] == {"GPL-2.0": (1.0, 0)}  # every notice counts, reported or not
+    assert set(got[4]) == set(got[5]) == {"LGPL-3.0", "AGPL-3.0", "GPL-3.0"}
+    assert got[6]["BSD-2-Clause"] == (1.0, 0) and got[6]["BSD-3-Clause"] == (1.0, len(re.findall(r"\w+", bsd[0])) + 60)
+
+
 # ---- 4, token counts
 
 
