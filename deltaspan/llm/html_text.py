@@ -7,8 +7,8 @@ an equivalence class; it is valid if it has at least three tokens, holds in most
 stand in the same order in the page at hand (those out of order are left out there). The class that every page has once
 is the root; classes that some pages lack nest in its gaps. Blocks whose text is a token of a valid class are template;
 the slots between are data. Of these the main text is what lies in article or main elements, or, where a page has
-neither, in the container with the most text outside links, without the parts that are never content: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers, known by element, role or class.
+neither, all of them, without the parts that are never content: menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and comments of readers, known by element, role or class.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by newlines, and
 nothing is cut. A null or empty page has the empty text; a null url has no host and so no template; repeated pages
@@ -76,37 +76,29 @@ def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
 
 
 class Block:
-    __slots__ = ("text", "link", "never", "main", "box", "path")
+    __slots__ = ("text", "never", "main", "path")
 
-    def __init__(self, text: str, link: int, never: bool, main: bool, box: tuple[int, ...], path: str) -> None:
-        self.text, self.link, self.never, self.main, self.box, self.path = text, link, never, main, box, path
+    def __init__(self, text: str, never: bool, main: bool, path: str) -> None:
+        self.text, self.never, self.main, self.path = text, never, main, path
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
     """The blocks of text of a page, and the signs of its containers, both in order."""
     out: list[Block] = []
     signs: list[str] = []
-    # an open container: tag, never content, in article or main, its number, its path
-    stack: list[tuple[str, bool, bool, int, str]] = [("", False, False, 0, "")]
+    # an open container: tag, never content, in article or main, its path
+    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
     held: list[str] = []
-    links = numbers = 0
-    in_link = False
 
     def close_block() -> None:
-        nonlocal links
         text = " ".join("".join(held).split())
         if text:
-            _, never, main, _, path = stack[-1]
-            out.append(Block(text, links, never, main, tuple(x[3] for x in stack), path))
+            _, never, main, path = stack[-1]
+            out.append(Block(text, never, main, path))
         held.clear()
-        links = 0
 
     def add(text: str) -> None:
-        nonlocal links
-        text = html.unescape(text)
-        held.append(text)
-        if in_link:
-            links += len(text)
+        held.append(html.unescape(text))
 
     at, n = 0, len(page)
     for_raw = None
@@ -133,12 +125,9 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             continue
         if tag == "br":
             held.append(" ")
-        elif tag == "a":
-            in_link = not shut
         if tag not in _BLOCKS:
             continue
         close_block()
-        in_link = in_link and tag not in _CONTAINERS
         if tag not in _CONTAINERS or tag in _VOID:
             continue
         if shut:
@@ -151,11 +140,10 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 stack.pop()
                 if tag == "tr" and stack[-1][0] == "tr":
                     stack.pop()
-            _, never, main, _, path = stack[-1]
+            _, never, main, path = stack[-1]
             own, sign = _never(tag, attrs, main)
-            numbers += 1
             path = f"{path}/{tag}{sign}" if len(path) < 500 else path
-            stack.append((tag, never or own, main or tag in ("article", "main"), numbers, path))
+            stack.append((tag, never or own, main or tag in ("article", "main"), path))
             if len(stack) > 400:  # broken markup that never closes
                 del stack[200:300]
             signs.append(path)
@@ -215,13 +203,7 @@ def extract(page: str | None, template: list[int]) -> str:
         # a template that is most of the text is the text of another copy of this page
         copied = 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in main)
         return "\n".join(b.text for b in (main if copied else kept))
-    mass: dict[int, int] = {}
-    for b in slots:
-        mass[b.box[-1]] = mass.get(b.box[-1], 0) + len(b.text) - b.link
-    if not mass:
-        return ""
-    best = max(mass, key=lambda k: (mass[k], -k))
-    return "\n".join(b.text for b in slots if best in b.box and 2 * b.link <= len(b.text))
+    return "\n".join(b.text for b in slots)
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -373,6 +373,19 @@ def test_pages_broken():
     assert words == "One two three" and html.unescape("&amp;") == "&"
 
 
+def test_html_without_article():
+    menu = '<nav><a href="/">home</a></nav><div class="sidebar">about us</div>'
+    cases = {
+        "<div id=content><section><p>one two three</p></section><section><p>four five six seven</p></section></div>": "one two three\nfour five six seven",
+        "<h1>title</h1><div class=a><p>first part</p></div><div class=b><p>the second part is longer</p></div>": "title\nfirst part\nthe second part is longer",
+        "<div><p>short</p><ul><li>a long list item</li><li>another long list item</li></ul><p>end</p></div>": "short\na long list item\nanother long list item\nend",
+        "<div><p>text around it</p><p><a href=x>a paragraph that is mostly link</a> so</p></div>": "text around it\na paragraph that is mostly link so",
+        "<div><table><tr><td>cell one</td><td>cell two</td></tr></table><p>x</p></div>": "cell one\ncell two\nx",
+    }
+    for body, want in cases.items():
+        assert html_text.extract(f"<html><head><title>t</title></head><body>{menu}{body}<footer>foot</footer></body></html>", []) == want
+
+
 # ---- 2, licences
 
 
