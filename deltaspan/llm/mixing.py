@@ -8,7 +8,7 @@ no state is kept for documents, and each round is one sum over the table. g is t
 domains' Gram matrix over the documents whose rate isn't zero, which makes a handful of rounds enough.
 
 Nulls: a null text has no tokens and the prior as posterior, and gets a rate like any other. Rows without a domain
-aren't learnt from. Repeated rows get equal rates. An empty table gives an empty result. Other columns pass through
+aren't learnt from; a target for a domain that no labelled row has is an error. Repeated rows get equal rates. An empty table gives an empty result. Other columns pass through
 ``mix`` and are ignored by ``rates``.
 """
 
@@ -23,19 +23,23 @@ from .common import cut, fresh
 from .kernels import chunks, words
 
 BUCKETS = 1 << 16
-#: The classifier learns from about this many labelled rows, chosen by the hash of their ids.
+#: The classifier learns from about this many labelled rows, chosen by the hash of their ids, and besides of each domain
+#: from about DOMAIN_ROWS, or all it has: MAX_DOMAINS x DOMAIN_ROWS more at most. The domains are those of all rows.
 SAMPLE_ROWS = 20_000
+DOMAIN_ROWS = 300
 MAX_DOMAINS = 64
 #: A posterior weighs its words as if it had this many at most: words aren't independent.
 EVIDENCE = 30.0
 ROUNDS = 20
 
 
-def _hash_sample(df: DataFrame, rows: int) -> DataFrame:
-    total = df.count()
-    if total <= rows:
+def _hash_sample(df: DataFrame, size: dict[str, int]) -> DataFrame:
+    """About SAMPLE_ROWS of the rows, and DOMAIN_ROWS at least of each domain that has them, given the domains' sizes."""
+    total = sum(size.values())
+    if total <= SAMPLE_ROWS:
         return df
-    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * rows / total))
+    least = [F.when(F.col("domain") == d, int(1_000_003 * min(1.0, max(SAMPLE_ROWS / total, DOMAIN_ROWS / n)))) for d, n in size.items()]
+    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(*least))
 
 
 class Model:
@@ -67,13 +71,14 @@ class Model:
 
 def fit(labelled: DataFrame, domain: str = "domain") -> Model | None:
     """A model from rows of doc_id, text and a domain; None if no row has a domain."""
-    sample = _hash_sample(labelled.where(F.col(domain).isNotNull()), SAMPLE_ROWS).select(F.col(domain).cast("string").alias("domain"), "text")
-    size = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
+    known = labelled.where(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), "text")
+    size = {r["domain"]: r["count"] for r in known.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
     if len(size) > MAX_DOMAINS:
         raise ValueError(f"over {MAX_DOMAINS} domains")
     domains = sorted(size)
     if not domains:
         return None
+    sample = _hash_sample(known, size).select("domain", "text")
 
     def count(batches):  # noqa: ANN001, ANN202
         total = np.zeros((len(domains), BUCKETS), dtype=np.int64)
@@ -127,6 +132,8 @@ def natural_targets(share: np.ndarray) -> np.ndarray:
 def solve(seen: DataFrame, domains: list[str], targets: dict[str, float] | None = None, rounds: int = ROUNDS) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """Steps for rows of (tokens, p), with the expected tokens that they reach and the targets in tokens."""
     k = len(domains)
+    if lost := sorted(d for d, share in (targets or {}).items() if share > 0 and d not in domains):
+        raise ValueError(f"targets for domains without labelled rows: {', '.join(lost)}")
     steps: list[list[float]] = []
     goal = reached = np.zeros(k)
     for turn in range(rounds + 1):

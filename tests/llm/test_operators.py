@@ -309,6 +309,25 @@ def test_mixing(spark, odd, none):
     assert mixing.rates(none, none, "lang").count() == mixing.mix(none, none, "lang").count() == 0
 
 
+def test_mixing_rare_domains(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(mixing, "DOMAIN_ROWS", 20, raising=False)
+    rng = random.Random(18)
+    kinds = ["a"] * 2000 + ["b"] * 2000 + ["c"] * 2 + ["d"]
+    rows = [(i, " ".join(f"{k}{rng.randrange(50)}" for _ in range(20)), k) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, domain string")
+    model = mixing.fit(docs, "domain")
+    assert model.domains == ["a", "b", "c", "d"]
+    assert np.allclose(model.prior, np.array([2001, 2001, 3, 2]) / 4007)
+    got = {r["doc_id"]: r["domain"] for r in mixing.rates(docs, docs, "domain").collect()}
+    assert sum(got[i] != k for i, k in enumerate(kinds)) == 0
+    size = {"a": 2000, "b": 2000, "c": 2, "d": 1}
+    seen = {r["domain"]: r["count"] for r in mixing._hash_sample(docs, size).groupBy("domain").count().collect()}
+    assert seen["c"] == 2 and seen["d"] == 1 and seen["a"] + seen["b"] < 200
+    with pytest.raises(ValueError, match="without labelled rows: e"):
+        mixing.rates(docs, docs, "domain", {"a": 0.5, "e": 0.5})
+
+
 # ---- 10, toxicity
 
 
