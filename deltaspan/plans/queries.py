@@ -21,7 +21,9 @@ from .adapters import GOLD_SQL, PRIORITIES, SCORES_SQL, SYSTEMS, table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Draws where SQL is held against a query; the *_full queries take the whole number.
 ROUNDS = 100
+FULL_ROUNDS = 2000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -188,39 +190,75 @@ DRAW_SQL = f"r AS (SELECT unnest(range(0, {ROUNDS})) AS turn)"
 HASH_SQL = "CAST(('0x' || substr(md5(turn || '|' || pos), 1, 8)) AS BIGINT) % n"
 
 
-@query(f"WITH {SCORES_SQL}, {ITEM_SQL}, v AS (SELECT system, delta, row_number() OVER (PARTITION BY system ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY system) AS n FROM i), {DRAW_SQL}, j AS (SELECT system, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT j.system, turn, sum(delta) / max(n) AS m FROM j JOIN v USING (system, pos) GROUP BY ALL), k AS (SELECT system, m, row_number() OVER (PARTITION BY system ORDER BY m) - 1 AS k FROM m) SELECT system, n, mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi FROM (SELECT system, count(*) AS n, round(avg(delta), 4) AS mean FROM i GROUP BY system) JOIN (SELECT system, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1]}) AS ci_hi FROM k GROUP BY system) USING (system)")
-def boot_ci_portable(spark: SparkSession, d: str) -> DataFrame:
+def _boot_ci_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     own = P.item_means(D.scores(spark, d))
-    out = R.mean_interval_portable(own, "system", "delta", ["item"], ROUNDS)
+    out = R.mean_interval_portable(own, "system", "delta", ["item"], rounds)
     return out.select("system", "n", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
 
 
+@query(f"WITH {SCORES_SQL}, {ITEM_SQL}, v AS (SELECT system, delta, row_number() OVER (PARTITION BY system ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY system) AS n FROM i), {DRAW_SQL}, j AS (SELECT system, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT j.system, turn, sum(delta) / max(n) AS m FROM j JOIN v USING (system, pos) GROUP BY ALL), k AS (SELECT system, m, row_number() OVER (PARTITION BY system ORDER BY m) - 1 AS k FROM m) SELECT system, n, mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi FROM (SELECT system, count(*) AS n, round(avg(delta), 4) AS mean FROM i GROUP BY system) JOIN (SELECT system, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1]}) AS ci_hi FROM k GROUP BY system) USING (system)")
+def boot_ci_portable(spark: SparkSession, d: str) -> DataFrame:
+    return _boot_ci_portable(spark, d, ROUNDS)
+
+
+@query()
+def boot_ci_full(spark: SparkSession, d: str) -> DataFrame:
+    return _boot_ci_portable(spark, d, FULL_ROUNDS)
+
+
+def _paired_boot_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
+    out = R.paired_portable(P.align(P.item_means(D.scores(spark, d)), pair_list(spark)), ["item"], rounds)
+    return out.select("hi", "lo", "n", *[F.round(c, 4).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "gate")
+
+
 @query(f"WITH {SCORES_SQL}, {ITEM_SQL}, {PAIRS_SQL}, q AS (SELECT hi, lo, a.item, a.delta - b.delta AS d FROM pl JOIN i a ON a.system = hi JOIN i b ON b.system = lo AND a.item = b.item), v AS (SELECT hi, lo, d, row_number() OVER (PARTITION BY hi, lo ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY hi, lo) AS n FROM q), {DRAW_SQL}, j AS (SELECT hi, lo, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT hi, lo, turn, round(sum(d) / max(n), 6) AS m FROM j JOIN v USING (hi, lo, pos) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY hi, lo ORDER BY m) - 1 AS k FROM m), o AS (SELECT hi, lo, count(*) AS n, avg(d) AS diff FROM q GROUP BY ALL), b AS (SELECT hi, lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1]}) AS ci_hi, avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END) AS below, avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END) AS above FROM k GROUP BY ALL) SELECT hi, lo, n, round(diff, 4) AS diff, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi, round(least(1.0, 2 * CASE WHEN diff >= 0 THEN below ELSE above END), 4) AS p, CASE WHEN ci_lo > 0 THEN 'PASS' ELSE 'fail' END AS gate FROM o JOIN b USING (hi, lo)")
 def paired_boot_portable(spark: SparkSession, d: str) -> DataFrame:
-    out = R.paired_portable(P.align(P.item_means(D.scores(spark, d)), pair_list(spark)), ["item"], ROUNDS)
-    return out.select("hi", "lo", "n", *[F.round(c, 4).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "gate")
+    return _paired_boot_portable(spark, d, ROUNDS)
+
+
+@query()
+def paired_boot_full(spark: SparkSession, d: str) -> DataFrame:
+    return _paired_boot_portable(spark, d, FULL_ROUNDS)
+
+
+def _ratio_boot_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
+    own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return R.ratio_portable(own, "lang", "toxic", "quality", ["doc_id"], rounds).select("lang", F.round("mean", 4).alias("mean"), "ci_lo", "ci_hi")
 
 
 @query(f"WITH x AS (SELECT doc_id, lang, toxic AS a, quality AS b FROM labels JOIN documents USING (doc_id)), v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM x), {DRAW_SQL}, j AS (SELECT lang, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT lang, turn, round(coalesce(sum(a) / nullif(sum(b), 0), 0), 6) AS m FROM j JOIN v USING (lang, pos) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m) - 1 AS k FROM m) SELECT lang, round(avg(m), 4) AS mean, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1] - 1}) AS ci_hi FROM k GROUP BY lang")
 def ratio_boot_portable(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return R.ratio_portable(own, "lang", "toxic", "quality", ["doc_id"], ROUNDS).select("lang", F.round("mean", 4).alias("mean"), "ci_lo", "ci_hi")
+    return _ratio_boot_portable(spark, d, ROUNDS)
+
+
+@query()
+def ratio_boot_full(spark: SparkSession, d: str) -> DataFrame:
+    return _ratio_boot_portable(spark, d, FULL_ROUNDS)
 
 
 STRATA_SQL = "e AS (SELECT event_id, value AS a, value * (1 + (event_id % 5 - 2) / 100.0) AS b, CASE WHEN user_id % 4 = 0 THEN 'miss' WHEN user_id % 4 = 1 THEN 'fp_only' WHEN user_id % 4 = 2 THEN 'partial' ELSE 'exact' END AS stratum, event_type FROM events WHERE value IS NOT NULL), x AS (SELECT unnest(['all', stratum, 'type:' || event_type]) AS scope, event_id, a - b AS d FROM e)"
 
 
-@query(f"WITH {STRATA_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY scope) AS n FROM x), {DRAW_SQL}, j AS (SELECT scope, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT scope, turn, round(sum(d) / max(n), 6) AS m FROM j JOIN v USING (scope, pos) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY m) - 1 AS k FROM m) SELECT scope, n, round(mean, 4) AS mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi FROM (SELECT scope, count(*) AS n, avg(d) AS mean FROM x GROUP BY scope) JOIN (SELECT scope, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1]}) AS ci_hi FROM k GROUP BY scope) USING (scope)")
-def tier_strata_contrast(spark: SparkSession, d: str) -> DataFrame:
+def _tier_strata_contrast(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     e = table(spark, d, "events").where("value is not null")
     u = F.col("user_id") % 4
     stratum = F.when(u == 0, "miss").when(u == 1, "fp_only").when(u == 2, "partial").otherwise("exact")
     other = F.col("value") * (1 + (F.col("event_id") % 5 - 2) / 100.0)
     x = e.select("event_id", (F.col("value") - other).alias("d"), F.explode(F.array(F.lit("all"), stratum, F.concat(F.lit("type:"), "event_type"))).alias("scope"))
-    out = R.mean_interval_portable(x, "scope", "d", ["event_id"], ROUNDS)
+    out = R.mean_interval_portable(x, "scope", "d", ["event_id"], rounds)
     return out.select("scope", "n", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
 
 
+@query(f"WITH {STRATA_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY scope) AS n FROM x), {DRAW_SQL}, j AS (SELECT scope, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT scope, turn, round(sum(d) / max(n), 6) AS m FROM j JOIN v USING (scope, pos) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY m) - 1 AS k FROM m) SELECT scope, n, round(mean, 4) AS mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi FROM (SELECT scope, count(*) AS n, avg(d) AS mean FROM x GROUP BY scope) JOIN (SELECT scope, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1]}) AS ci_hi FROM k GROUP BY scope) USING (scope)")
+def tier_strata_contrast(spark: SparkSession, d: str) -> DataFrame:
+    return _tier_strata_contrast(spark, d, ROUNDS)
+
+
+@query()
+def tier_strata_full(spark: SparkSession, d: str) -> DataFrame:
+    return _tier_strata_contrast(spark, d, FULL_ROUNDS)
+
+
 @query("SELECT doc_id, lang FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return R.sample_by_hash(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100)
@@ -229,7 +267,7 @@ def hash_sample(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def regression_frozen(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.substring("p_brand", 1, 7).alias("system"), F.col("p_retailprice").alias("delta"), F.element_at(F.array(*[F.lit(c) for c in S.CATEGORIES]), (F.col("p_size") % 4 + 1).cast("int")).alias("category"), F.length("p_name").alias("length"), X.edit_distance(F.col("p_name"), F.col("p_type")).alias("edit_distance"), F.col("p_partkey").alias("pos"))
-    out = R.regression(part, "system", list(S.CATEGORIES), "pos", 100)
+    out = R.regression(part, "system", list(S.CATEGORIES), "pos", 1000)
     return out.select("system", "name", *[F.round(c, 6).alias(c) for c in ("estimate", "lo", "hi")], "excludes_zero")
 
 
