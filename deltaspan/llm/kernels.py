@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+BLOCK = 1 << 18
 SHINGLE = 5
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -78,6 +79,35 @@ def per_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between starts and ends."""
+    n = len(data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _POWER(n), out=total[1:])
+    # the hash of a run doesn't depend on its place: divide by the power of its start
+    return mix((total[end] - total[start]) * _BACK(n)[start] + (end - start).astype(np.uint64))
+
+
+class _Powers:
+    """The first powers of a number, made once for a block and anew for longer runs."""
+
+    def __init__(self, of: np.uint64) -> None:
+        self.of, self.made = of, np.zeros(0, dtype=np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if n <= len(self.made):
+            return self.made[:n]
+        out = np.full(max(n, 1), self.of, dtype=np.uint64)
+        out[0] = 1
+        np.cumprod(out, out=out)
+        if n <= 2 * BLOCK:
+            self.made = out
+        return out
+
+
+_POWER, _BACK = _Powers(_P), _Powers(_P_INV)
+
+
 class Runs:
     """Runs of marked bytes, cut at the ends of texts: their hashes, places, and ``at``, the offset of each text's."""
 
@@ -90,17 +120,14 @@ class Runs:
         self.start = np.flatnonzero(mask & (~before | edge[:n]))
         self.end = np.flatnonzero(mask & (~after | edge[1:])) + 1
         self.at = np.searchsorted(self.start, off)
-        power = np.ones(n + 1, dtype=np.uint64)
-        power[1:] = _P
-        np.cumprod(power, out=power)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-        # the hash of a run doesn't depend on its place: divide by the power of its start
-        back = np.ones(n + 1, dtype=np.uint64)
-        back[1:] = _P_INV
-        np.cumprod(back, out=back)
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * back[self.start] + size)
+        self.hash = np.zeros(len(self.start), dtype=np.uint64)
+        # in blocks, so that a long text needs little memory; a run of over BLOCK bytes is a block of its own
+        i = 0
+        while i < len(self.start):
+            base = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, base + BLOCK, side="right")))
+            self.hash[i:j] = _sums(data[base : self.end[j - 1]], self.start[i:j] - base, self.end[i:j] - base)
+            i = j
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
