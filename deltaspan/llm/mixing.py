@@ -2,14 +2,21 @@
 
 A naive Bayes model over hashed words is fitted to a labelled table and gives each document a probability of each
 domain. Rates r >= 0 minimise the squared distance between the expected tokens of the domains, the sums of
-rate x tokens x posterior, and their targets, from r = 1 by projected gradient steps r <- max(0, r - p . g). A step
-is the same small vector g for all documents, so that a rate is a function of the posterior and the list of steps:
-no state is kept for documents, and each round is one sum over the table. g is the residual times the inverse of the
-domains' Gram matrix over the documents whose rate isn't zero, which makes a handful of rounds enough.
-
-Nulls: a null text has no tokens and the prior as posterior, and gets a rate like any other. Rows without a domain
-aren't learnt from; a target for a domain that no labelled row has is an error. Repeated rows get equal rates. An empty table gives an empty result. Other columns pass through
-``mix`` and are ignored by ``rates``.
+rate x tokens x posterior, and their targets. Documents whose posteriors agree to 1/GRID share a rate: they are summed
+up as a cell, its tokens and its expected tokens by domain, both exact, so that the residual is that of all documents.
+
+Projected gradient over the cells, in the metric of their tokens: r <- max(0, y - p . g), where g is the residual over
+the largest eigenvalue of the Gram matrix (the step that always descends), y is r carried on by Nesterov's momentum, and
+the momentum starts anew when it points uphill. A step is the same small vector for all cells. Up to LOCAL_CELLS cells
+are iterated in one place; beyond it each round is one sum over the distributed cells, which replay the list of steps.
+It ends when the targets are met or, as with targets out of reach, when the duality gap shows that no rates at all have a
+residual much less (GAP); ``settled`` tells whether one of these was so before MAX_ROUNDS.
+
+Nulls: a null text has no tokens and the prior as posterior, and gets the rate of its cell, 1 if none there has tokens. Rows without a domain
+aren't learnt from; a target above zero for a domain that no labelled row has is an error, and so are over MAX_DOMAINS
+domains. Repeated rows get equal rates; of equal posteriors the domain that is first by name is the likeliest. An empty
+table gives an empty result. Other columns, whatever their names, pass through ``mix`` (which replaces mix_rate and
+mix_copies) and are ignored by ``rates``.
 """
 
 from __future__ import annotations
@@ -19,18 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, spread_join
 from .kernels import chunks, words
 
 BUCKETS = 1 << 16
-#: The classifier learns from about this many labelled rows, chosen by the hash of their ids, and besides of each domain
+#: The classifier learns from about this many labelled rows, chosen by the hash of their ids and texts, and besides of each domain
 #: from about DOMAIN_ROWS, or all it has: MAX_DOMAINS x DOMAIN_ROWS more at most. The domains are those of all rows.
 SAMPLE_ROWS = 20_000
 DOMAIN_ROWS = 300
 MAX_DOMAINS = 64
 #: A posterior weighs its words as if it had this many at most: words aren't independent.
 EVIDENCE = 30.0
-ROUNDS = 20
+GRID = 64
+#: Up to so many cells, 4 domains have 47,905 at most, are iterated on the driver and broadcast: 8 (k + 2) bytes each.
+LOCAL_CELLS = 100_000
+MAX_ROUNDS = 10_000
+#: Shares of all tokens: targets are met, or the residual is as near to the least one that is possible.
+MET, GAP = 1e-7, 2e-3
 
 
 def _hash_sample(df: DataFrame, size: dict[str, int]) -> DataFrame:
@@ -39,7 +51,7 @@ def _hash_sample(df: DataFrame, size: dict[str, int]) -> DataFrame:
     if total <= SAMPLE_ROWS:
         return df
     least = [F.when(F.col("domain") == d, int(1_000_003 * min(1.0, max(SAMPLE_ROWS / total, DOMAIN_ROWS / n)))) for d, n in size.items()]
-    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(*least))
+    return df.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.coalesce(*least))
 
 
 class Model:
@@ -110,64 +122,176 @@ def posterior(model: Model, text: Column) -> Column:
     return F.arrow_udf(run, "struct<tokens:bigint,p:array<double>>").asNondeterministic()(text)
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate of a document with posterior p after the given steps."""
-    if not steps:
-        return F.lit(1.0)
-    each = F.array(*[F.array(*[F.lit(x) for x in g]) for g in steps])
-
-    def step(r: Column, g: Column) -> Column:
-        dot = F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), r - dot)
-
-    return F.aggregate(each, F.lit(1.0), step)
-
-
 def natural_targets(share: np.ndarray) -> np.ndarray:
     """The default: shares tempered by their square roots, which lifts small domains."""
     root = np.sqrt(share)
     return root / root.sum()
 
 
-def solve(seen: DataFrame, domains: list[str], targets: dict[str, float] | None = None, rounds: int = ROUNDS) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """Steps for rows of (tokens, p), with the expected tokens that they reach and the targets in tokens."""
-    k = len(domains)
+def cell_of(p: Column) -> Column:
+    """The number of a posterior's cell."""
+    return F.xxhash64(F.transform(p, lambda x: F.floor(x * GRID + 0.5)))
+
+
+def cells(seen: DataFrame, k: int) -> DataFrame:
+    """cell, tokens and expected tokens by domain (t, s) of rows with (tokens, p), and how many they are."""
+    s = F.array(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)])
+    return seen.groupBy(cell_of(F.col("p")).alias("cell")).agg(F.sum(F.col("tokens").cast("double")).alias("t"), s.alias("s"), F.count("*").alias("n"))
+
+
+class Here:
+    """Cells in memory with their rates r and the points y that the next step starts from."""
+
+    def __init__(self, t: np.ndarray, s: np.ndarray) -> None:
+        self.s = s
+        self.t = t
+        self.p = s / np.maximum(t, 1e-300)[:, None]
+        self.r = self.y = np.ones(len(t))
+
+    def gram(self) -> np.ndarray:
+        return self.p.T @ self.s
+
+    def step(self, g: np.ndarray) -> tuple[np.ndarray, float]:
+        """The expected tokens after a step, and the least slope of a cell."""
+        slope = self.p @ g
+        self.new = np.maximum(0.0, self.y - slope)
+        return self.new @ self.s, float(slope.min(initial=0.0))
+
+    def carry(self, beta: float) -> None:
+        self.y = self.new + beta * (self.new - self.r)
+        self.r = self.new
+
+
+def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(batch["t"], dtype=np.float64), np.asarray(batch["s"].flatten(), dtype=np.float64).reshape(-1, k)
+
+
+class There:
+    """The same over a distributed table of cells: each round sums over it, and replays the steps so far."""
+
+    def __init__(self, of: DataFrame, k: int) -> None:
+        self.of, self.k, self.steps = of, k, []
+
+    def _sum(self, each, width: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """Sums and minima of ``width`` numbers of each batch."""
+        k = self.k
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                yield pa.record_batch({"i": np.arange(width, dtype=np.int32), "x": each(*_arrays(batch, k))})
+
+        got = self.of.select("t", "s").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"), F.min("x").alias("least")).orderBy("i").toArrow()
+        return got["x"].to_numpy(), got["least"].to_numpy()
+
+    def reached(self) -> np.ndarray:
+        return self._sum(lambda t, s: s.sum(axis=0), self.k)[0]
+
+    def gram(self) -> np.ndarray:
+        return self._sum(lambda t, s: Here(t, s).gram().reshape(-1), self.k**2)[0].reshape(self.k, self.k)
+
+    def step(self, g: np.ndarray) -> tuple[np.ndarray, float]:
+        self.g, steps = g, list(self.steps)
+
+        def each(t: np.ndarray, s: np.ndarray) -> np.ndarray:
+            reached, least = replay(t, s, steps).step(g)
+            return np.append(reached, least)
+
+        got, least = self._sum(each, self.k + 1)
+        return got[:-1], float(least[-1])
+
+    def carry(self, beta: float) -> None:
+        self.steps.append((self.g, beta))
+
+
+def replay(t: np.ndarray, s: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> Here:
+    here = Here(t, s)
+    for g, beta in steps:
+        here.step(g)
+        here.carry(beta)
+    return here
+
+
+def descend(state: Here | There, reached: np.ndarray, goal: np.ndarray, rounds: int) -> tuple[np.ndarray, bool]:
+    """Accelerated projected gradient with restarts, from rates of 1; the expected tokens then, and whether it settled."""
+    top = float(np.linalg.eigvalsh(state.gram()).max(initial=0.0))
+    if not top:
+        return reached, True
+    ahead, turn, total, bound = reached, 1.0, np.abs(goal).sum(), 0.0
+    for _ in range(rounds):
+        if np.abs(reached - goal).max() <= MET * total or np.linalg.norm(reached - goal) - bound <= GAP * total and bound > 0:
+            return reached, True
+        miss = ahead - goal
+        new, least = state.step(miss / top)
+        # a dual point: slopes of all cells are raised to zero at least, as posteriors sum to one
+        dual = miss + max(0.0, -least * top)
+        bound = max(bound, float(-goal @ dual / (np.linalg.norm(dual) or 1.0)))
+        uphill = miss @ (new - reached) > 0
+        after = 1.0 if uphill else (1 + (1 + 4 * turn**2) ** 0.5) / 2
+        beta = 0.0 if uphill else (turn - 1) / after
+        state.carry(beta)
+        ahead, reached, turn = new + beta * (new - reached), new, after
+    return reached, bool(np.abs(reached - goal).max() <= MET * total)
+
+
+class Solution:
+    """cells with their rates, the expected tokens that they reach, the targets in tokens, and whether it settled."""
+
+    def __init__(self, rate: DataFrame, small: bool, reached: np.ndarray, goal: np.ndarray, settled: bool) -> None:
+        self.rate, self.small, self.reached, self.goal, self.settled = rate, small, reached, goal, settled
+
+    def join(self, rows: DataFrame, cell: str, rate: str, total: int) -> DataFrame:
+        """The rows with the rate of their cell, whose column goes."""
+        named = self.rate.select(F.col("cell").alias(cell), F.col("r").alias(rate), F.col("n").alias(f"{cell}_n"))
+        if self.small:
+            return rows.join(F.broadcast(named.drop(f"{cell}_n")), cell).drop(cell)
+        return spread_join(rows, named, [cell], f"{cell}_n", total).drop(cell)
+
+
+def solve(seen: DataFrame, domains: list[str], targets: dict[str, float] | None = None, rounds: int = MAX_ROUNDS) -> Solution:
+    """Rates for the cells of rows of (tokens, p)."""
+    k, spark = len(domains), seen.sparkSession
     if lost := sorted(d for d, share in (targets or {}).items() if share > 0 and d not in domains):
         raise ValueError(f"targets for domains without labelled rows: {', '.join(lost)}")
-    steps: list[list[float]] = []
-    goal = reached = np.zeros(k)
-    for turn in range(rounds + 1):
-        r = F.col("r")
-        weighted = seen.select("tokens", "p", rate(F.col("p"), steps).alias("r"))
-        sums = [F.sum(F.col("tokens") * r * F.col("p")[i]) for i in range(k)]
-        gram = [F.sum(F.when(r > 0, F.col("tokens") * F.col("p")[i] * F.col("p")[j])) for i in range(k) for j in range(i, k)]
-        row = [float(x or 0) for x in weighted.agg(*sums, *gram).first()]
-        reached = np.array(row[:k])
-        if turn == 0:
-            total = reached.sum()
-            if not total:
-                break
-            share = natural_targets(reached / total) if targets is None else np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
-            goal = total * share / share.sum()
-        if turn == rounds or np.abs(reached - goal).max() <= 1e-6 * goal.sum():
-            break
-        m = np.zeros((k, k))
-        m[np.triu_indices(k)] = row[k:]
-        m = m + np.triu(m, 1).T
-        steps.append([float(x) for x in np.linalg.pinv(m, rcond=1e-9) @ (reached - goal)])
-    return steps, reached, goal
+    of = cut(cells(seen, k))
+    small = of.count() <= LOCAL_CELLS
+    if small:
+        own = of.toArrow().sort_by("cell").combine_chunks()
+        t, s = (_arrays(own.to_batches()[0], k)) if own.num_rows else (np.zeros(0), np.zeros((0, k)))
+        state: Here | There = Here(t, s)
+        reached = s.sum(axis=0)
+    else:
+        state = There(of, k)
+        reached = state.reached()
+    total = reached.sum()
+    share = natural_targets(reached / total) if targets is None and total else np.array([max(0.0, (targets or {}).get(d, 0.0)) for d in domains])
+    goal = total * share / (share.sum() or 1.0)
+    settled = True
+    if total and share.sum():
+        reached, settled = descend(state, reached, goal, rounds)
+    if small:
+        rate = spark.createDataFrame(pa.table({"cell": own["cell"], "r": pa.array(state.r), "n": own["n"]})) if own.num_rows else of.select("cell", F.lit(1.0).alias("r"), "n")
+    else:
+        steps = list(state.steps)
+
+        def rated(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                yield pa.record_batch({"cell": batch["cell"], "r": pa.array(replay(*_arrays(batch, k), steps).r), "n": batch["n"]})
+
+        rate = cut(of.mapInArrow(rated, "cell bigint, r double, n bigint"))
+    return Solution(rate, small, reached, goal, settled)
 
 
 def rates(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, the likeliest domain, its probability and the rate, for every row."""
+    """doc_id, tokens, the likeliest domain, its probability, the rate, and whether the rates settled, for every row."""
     model = fit(labelled, domain)
     if model is None:
-        return docs.select("doc_id", F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("probability"), F.lit(1.0).alias("rate"))
+        return docs.select("doc_id", F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("probability"), F.lit(1.0).alias("rate"), F.lit(True).alias("settled"))
     seen = cut(docs.select("doc_id", posterior(model, F.col("text")).alias("s")).select("doc_id", "s.*"))
-    steps, _, _ = solve(seen, model.domains, targets)
+    got = solve(seen, model.domains, targets)
     best = F.array_max("p")
     name = F.element_at(F.array(*[F.lit(d) for d in model.domains]), F.array_position("p", best).cast("int"))
-    return seen.select("doc_id", "tokens", name.alias("domain"), F.round(best, 6).alias("probability"), F.round(rate(F.col("p"), steps), 6).alias("rate"))
+    out = seen.select("doc_id", "tokens", name.alias("domain"), F.round(best, 6).alias("probability"), cell_of(F.col("p")).alias("cell"))
+    return got.join(out, "cell", "rate", 0 if got.small else seen.count()).withColumns({"rate": F.round("rate", 6), "settled": F.lit(got.settled)})
 
 
 def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float] | None = None) -> DataFrame:
@@ -176,12 +300,13 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, fl
     Every row stays: one with no copies has mix_copies 0. A column of these names is replaced.
     """
     model = fit(labelled, domain)
-    s = fresh("s")
+    cell = fresh("cell")
     docs = docs.drop("mix_rate", "mix_copies")
     if model is None:
         return docs.withColumn("mix_rate", F.lit(1.0)).withColumn("mix_copies", F.lit(1).cast("bigint"))
-    seen = cut(docs.select(posterior(model, F.col("text")).alias("s")).select("s.*"))
-    steps, _, _ = solve(seen, model.domains, targets)
-    out = docs.withColumn(s, posterior(model, docs["text"])).withColumn("mix_rate", rate(F.col(s)["p"], steps))
+    seen = docs.select(posterior(model, F.col("text")).alias("s")).select("s.*")
+    got = solve(seen, model.domains, targets)
+    marked = docs.withColumn(cell, cell_of(posterior(model, docs["text"])["p"]))
+    out = got.join(marked, cell, "mix_rate", 0 if got.small else docs.count())
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + u)).drop(s)
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns], "mix_rate", F.floor(F.col("mix_rate") + u).alias("mix_copies"))
