@@ -57,6 +57,8 @@ def fresh(name: str) -> str:
 
 #: Links in a task of a round. Later rounds have few; each file that a task writes is a cost of its own.
 LINKS, LEAST_TASKS = 100_000, 4
+#: Joins of the last step that are planned at once.
+COMPOSED = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -64,8 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Contraction: each node takes the least of its neighbours and itself, links are drawn anew between what was taken, and
     loops and repeats are dropped, until no link is left; the steps are then composed backwards. Links to a least node,
-    as bands give them, are done in a few rounds; from the fifth on every second round has an order of its own (the
-    numbers under an exclusive or with a random mask), so that a chain of sorted numbers halves too. Each round has equi-joins and partial aggregates only, so that a node
+    as bands give them, are done in three rounds at most; later ones have orders of their own (the numbers under an
+    exclusive or with a random mask), so that a chain of sorted numbers loses a share of its nodes each time. Each round has equi-joins and partial aggregates only, so that a node
     with very many links is combined before it is shuffled.
     """
     steps: list[DataFrame] = []
@@ -76,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not steps:
             width = parts
         turn = len(steps)
-        mask = F.lit(int(np.random.default_rng(turn).integers(-(1 << 63), 1 << 63)) if turn >= 4 and turn % 2 == 0 else 0)
+        mask = F.lit(int(np.random.default_rng(turn).integers(-(1 << 63), 1 << 63)) if turn >= 3 else 0)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = F.min(F.col("b").bitwiseXOR(mask))
         step = both.groupBy(F.col("a").alias("node")).agg(low.alias("low")).select("node", F.least("low", F.col("node").bitwiseXOR(mask)).bitwiseXOR(mask).alias("root"))
@@ -89,9 +91,11 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.sparkSession.createDataFrame([], "node bigint, root bigint")
     # a root may itself have moved in a later step; what no later step has stays
     out = steps[-1]
-    for step in reversed(steps[:-1]):
+    for k, step in enumerate(reversed(steps[:-1]), 1):
         out = _compose(step, out)
-    return cut(out.coalesce(width)) if len(steps) > 1 else out
+        if k % COMPOSED == 0 or k == len(steps) - 1:  # planning a chain of joins takes time that doubles with its length
+            out = cut(out.coalesce(width))
+    return out
 
 
 def _compose(first: DataFrame, then: DataFrame) -> DataFrame:
