@@ -7,8 +7,9 @@ adds iban (mod 97), ssn (three, two and four digits, if a word such as "ssn" is
 after a word such as "token" or "password").
 
 Places are code points, ends exclusive. Matches are found with split and regexp_extract_all, which stop at the same
-places, so that places are sums of lengths. Possessive quantifiers and anchors at the starts of runs keep the time
-linear in the text. Nulls: a null text is empty and has no spans. Repeated rows are treated alike; an empty table
+places, so that places are sums of lengths. Possessive quantifiers, anchors at the starts of runs, running sums in
+blocks and contexts from the gaps keep the time linear in the text and in its matches. Base spans and valid ibans are
+reported whatever their scores, which ``scan`` returns; ssn and secret need a score of MIN_SCORE. Nulls: a null text is empty and has no spans. Repeated rows are treated alike; an empty table
 gives an empty result; other columns pass through ``redact`` and are ignored by ``scan``.
 """
 
@@ -17,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind, running
 from .common import fresh
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 CONTEXT = 40
 MIN_SCORE = 0.5
+BLOCK = 1024
 
 #: A run starts where no character of its class precedes, or where the last match ended.
 PATTERNS = {
@@ -43,6 +46,8 @@ WORDS = {
     "email": r"mail|contact|write", "ip": r"\bip\b|address|host|server", "card": r"card|visa|credit|payment", "phone": r"phone|call|tel|mobile|fax",
     "iban": r"iban|account|bank|konto", "ssn": r"ssn|social|security|insurance", "secret": r"token|secret|passw|api.?key|credential|bearer",
 }
+#: Words that speak against a kind.
+AGAINST = {"ip": r"version|release|section", "card": r"order|isbn|serial", "phone": r"order|serial|invoice", "ssn": r"order|serial|invoice"}
 #: A part of an ip of at most 255, with any leading zeros; zeros alone are a part too.
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 
@@ -86,33 +91,32 @@ _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>
 
 def _spans(kind: str, text: Column) -> Column:
     """Valid spans of a kind, in order."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("array<struct<start:bigint,match:string>>").alias("out"))
+    found = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"), F.split(text, PATTERNS[kind], -1).alias("gap"))
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["gap"])
-        one = F.array(F.struct(start.alias("start"), pair["match"].alias("match")))
-        return F.struct((start + F.length(pair["match"])).alias("at"), F.when(s["out"].isNull(), one).otherwise(F.concat(s["out"], one)).alias("out"))
-
-    placed = F.aggregate(F.arrays_zip(gaps.alias("gap"), F.slice(matches, 1, F.size(matches)).alias("match")), state, lambda s, p: F.when(p["match"].isNull(), s).otherwise(step(s, p)), lambda s: s["out"])
-    placed = F.filter(F.coalesce(placed, F.array().cast("array<struct<start:bigint,match:string>>")), lambda x: _valid(kind, x["match"]))
+    def placed(f: Column) -> Column:
+        # a match starts after all earlier matches and the gaps up to its own
+        before = running(F.transform(f["match"], lambda m, i: (F.length(m) + F.length(F.get(f["gap"], i))).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        each = F.arrays_zip(f["match"].alias("match"), before.alias("before"), F.slice(f["gap"], 1, F.size(f["match"])).alias("gap"), F.concat(F.array(F.lit("")), f["match"]).alias("last"), F.concat(F.array(F.lit("")), f["gap"]).alias("ahead"))
+        return F.transform(F.filter(each, lambda x: x["match"].isNotNull() & _valid(kind, x["match"])), scored)
 
     def scored(x: Column) -> Column:
-        before = F.substr(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(CONTEXT)).cast("int"))
-        near = F.lower(before).rlike(WORDS[kind])
-        score = F.lit(PRIOR[kind]) + F.when(near, LIFT[kind]).otherwise(0.0)
-        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
-
-    placed = F.transform(placed, scored)
+        # the text before a match, back over one earlier match at most
+        context = F.lower(F.right(F.concat(F.right(x["ahead"], F.lit(CONTEXT)), x["last"], x["gap"]), F.lit(CONTEXT)))
+        score = F.lit(PRIOR[kind]) + F.when(context.rlike(WORDS[kind]), LIFT[kind]).otherwise(0.0)
+        if kind in AGAINST:
+            score = score - F.when(context.rlike(AGAINST[kind]), LIFT[kind]).otherwise(0.0)
+        start = x["before"] + F.length(x["gap"])
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+
+    out = bind(found, placed)
     if kind not in BASE:
-        placed = F.filter(placed, lambda x: x["score"] >= MIN_SCORE)
+        out = F.filter(out, lambda x: x["score"] >= MIN_SCORE)
     has = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
     if kind in ("ip", "card", "phone", "iban", "ssn"):
         has = has & text.rlike("[0-9]")
     if kind == "secret":
         has = has & F.lower(text).rlike(WORDS["secret"])
-    return F.when(has & text.rlike(PATTERNS[kind]), placed).otherwise(F.array()).cast(_SPAN)
+    return F.when(has & text.rlike(PATTERNS[kind]), out).otherwise(F.array()).cast(_SPAN)
 
 
 def spans(text: Column) -> Column:
@@ -125,7 +129,7 @@ def _list(found: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each base kind, the digest of the base spans, and all spans with the least score of them."""
+    """doc_id, a count for each base kind, the digest of the base spans, all spans, and their scores in the same order."""
     s = docs.select("doc_id", spans(F.col("text")).alias("s"))
     base = F.filter("s", lambda x: x["rank"] < len(BASE))
 
@@ -133,7 +137,30 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     count = [count_of(k) for k in BASE]
-    return s.select("doc_id", *count, F.sha2(_list(base), 256).alias("base_sha256"), _list(F.col("s")).alias("spans"))
+    scores = F.array_join(F.transform("s", lambda x: F.format_number(x["score"], 2)), ",")
+    return s.select("doc_id", *count, F.sha2(_list(base), 256).alias("base_sha256"), _list(F.col("s")).alias("spans"), scores.alias("scores"))
+
+
+def _without(text: Column, found: Column) -> Column:
+    """The text with spans, in order, replaced by their kinds. It is cut into blocks once, and pieces are taken from these."""
+
+    def piece(block: Column, a: Column, b: Column | None) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        n = F.size(block) if b is None else F.floor((b - 1) / BLOCK).cast("int") + 1
+        whole = F.array_join(F.slice(block, first + 1, F.greatest(n - first, F.lit(0))), "")
+        at = (a - first.cast("bigint") * BLOCK + 1).cast("int")
+        return F.substr(whole, at) if b is None else F.substr(whole, at, (b - a).cast("int"))
+
+    def joined(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            at = F.get(x["at"], i)
+            # a span that begins before the end of an earlier one is a part of what that replaced
+            return F.when(s["start"] >= at, F.concat(piece(x["block"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(x["found"], one), ""), piece(x["block"], F.array_max(x["found"]["end"]), None))
+
+    last = running(F.transform(found, lambda s: s["end"]), F.lit(0).cast("bigint"), lambda a, e: F.greatest(a, e))
+    return bind(F.struct(found.alias("found"), last.alias("at"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("block")), joined)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -142,18 +169,8 @@ def redact(docs: DataFrame) -> DataFrame:
     Of spans that overlap, the union goes, under the name of the first.
     """
     s = fresh("s")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substr(text, (a["at"] + 1).cast("int"), F.greatest(x["start"] - a["at"], F.lit(0)).cast("int"))
-        out = F.when(x["start"] >= a["at"], F.concat(a["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(a["out"])
-        return F.struct(out.alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
-
-    clean = F.aggregate(F.col(s), start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
     out = docs.withColumn(s, spans(F.col("text")))
-    new = F.when(F.size(s) > 0, clean).otherwise(F.col("text"))
-    out = out.withColumn("text", new)
+    out = out.withColumn("text", F.when(F.size(s) > 0, _without(F.col("text"), F.col(s))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(s) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{x}`") for x in docs.columns])
