@@ -3,8 +3,17 @@
 A word is a maximal run of anything but the six ASCII blanks. Every count is exact over the whole text; a null text
 has no words. Texts that fail the base rule (fewer than ten words, or more than a fifth of the words in repeated
 five-word windows) are rejected outright, the others are kept if the posterior of good quality is at least 0.5.
-Repeated rows get equal verdicts; an empty table gives an empty result. Extra columns are passed through by
-``keep_good`` and ignored by ``verdicts``.
+
+Each rule casts a strong or a weak vote against a text, vouches for it, or abstains, which counts as not seen. Texts are
+good or bad in one of several ways: a kind of bad text is what a group of rules that look at the same thing sees, and
+in all else it votes like a good text; one more kind has rates of its own for every rule, so that votes that go together
+are learnt as one. EM finds the shares of the kinds and all rates. What tells kinds from good texts without labels is a
+prior, as strong for good texts as the texts themselves: a strong vote meets one good text in 500, a weak one three in a
+hundred, and a rule blames texts of its kind more often than not. Of single votes a strong one mostly decides and a weak
+one doesn't; several weak ones may.
+
+Repeated rows get equal verdicts; an empty table gives an empty result. Only doc_id and text are read; extra columns,
+whatever their names, are passed through by ``keep_good`` and ignored by ``verdicts``.
 """
 
 from __future__ import annotations
@@ -39,76 +48,103 @@ def base_failed(c: Column) -> Column:
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
+ABSTAINS, STRONG, WEAK, VOUCHES = range(4)
+#: Rules that look at the same thing, a kind of bad text each.
+KINDS = (("symbols",), ("word_length",), ("digits",), ("sentences",), ("line_copies", "repeats"), ("capitals",), ("length", "line_length"))
+#: Chances of a strong, a weak and a vouching vote of a rule for good texts, for the kind that it looks for, and for mixed ones.
+GOOD, OWN, MIXED = (0.002, 0.03, 0.968), (0.45, 0.35, 0.2), (0.1, 0.4, 0.5)
+GOOD_SHARE = 0.9
+#: How many texts the prior of good texts, and of each kind, counts for, as a share of all texts there of that prior.
+GOOD_WEIGHT, KIND_WEIGHT = 1.0, 0.1
+
+
 def rules(c: Column) -> list[tuple[str, Column]]:
-    """Name and vote of each rule: 1 for good, 0 for bad, null to abstain."""
+    """Name and vote of each rule."""
     n = F.greatest(c["n_words"], F.lit(1)).cast("double")
     lines = F.greatest(c["n_lines"], F.lit(1)).cast("double")
     letters = F.greatest(c["n_letters"], F.lit(1)).cast("double")
 
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, 0).when(good, 1)
+    def vote(strong: Column, weak: Column, good: Column) -> Column:
+        return F.when(strong, STRONG).when(weak, WEAK).when(good, VOUCHES).otherwise(ABSTAINS)
 
     long, symbols, mean = c["n_words"], c["n_symbols"] / n, c["word_chars"] / n
-    copies, upper = c["n_dup_lines"] / lines, c["n_upper"] / letters
-    stops, digits = c["n_stops"] / n, c["n_digits"] / F.greatest(c["word_chars"], F.lit(1))
-    never = F.lit(False)
+    copies, upper, repeats = c["n_dup_lines"] / lines, c["n_upper"] / letters, c["n_repeat_words"] / n
+    ends, digits, width = c["n_stops"] / n, c["n_digits"] / F.greatest(c["word_chars"], F.lit(1)), n / lines
+    prose = long >= 50
     return [
-        ("symbols", vote(never, symbols > 0.25)),
-        ("capitals", vote(never, upper > 0.5)),
-        ("sentences", vote(never, ((stops < 0.005) & (long >= 50)) | ((stops > 0.7) & (long >= 10)))),
-        ("length", vote(never, long < 10)),
-        ("word_length", vote(never, (mean < 2) | (mean > 20))),
-        ("line_copies", vote(never, copies > 0.5)),
-        ("digits", vote(never, digits > 0.3)),
-        # the one rule that can vouch for a text; one that is odd, yet not blamed, gets no vote
-        ("prose", vote((symbols < 0.1) & (upper < 0.4) & (stops.between(0.005, 0.7) | (long < 50)), never)),
+        ("symbols", vote(symbols > 0.25, symbols > 0.05, symbols <= 0.02)),
+        ("word_length", vote((mean < 2.5) | (mean > 12), (mean < 3.5) | (mean > 7), mean.between(3.8, 6.5))),
+        ("digits", vote(digits > 0.3, digits > 0.1, digits <= 0.02)),
+        ("sentences", vote(prose & ((ends < 0.002) | (ends > 0.6)), prose & ((ends < 0.01) | (ends > 0.35)), prose & ends.between(0.03, 0.2))),
+        ("line_copies", vote(copies > 0.5, copies > 0.3, (c["n_lines"] >= 3) & (copies <= 0.05))),
+        ("repeats", vote(repeats > 0.5, repeats > 0.15, (long >= 20) & (repeats <= 0.03))),
+        ("capitals", vote(upper > 0.5, upper > 0.2, upper <= 0.1)),
+        ("length", vote(long < 10, long < 14, long >= 30)),
+        ("line_length", vote(width < 2, width < 3, width >= 8)),
     ]
 
 
 def pattern(c: Column) -> Column:
-    """The votes of all rules as one number in base 3: 0 abstains, 1 is bad, 2 is good."""
+    """The votes of all rules as one number in base 4."""
     code = F.lit(0)
     for _, v in reversed(rules(c)):
-        code = code * 3 + F.coalesce(v + 1, F.lit(0))
+        code = code * 4 + v
     return code.cast("int")
 
 
-def fit(patterns: np.ndarray, count: np.ndarray, n_rules: int, rounds: int = 200) -> tuple[np.ndarray, dict]:
-    """EM for two classes of texts and independent rules, each with chances of its own to blame, vouch and abstain.
+def start(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prior shares of good texts and kinds, prior chances of the three votes by kind and rule, and which are a kind's own."""
+    kinds = [k for k in KINDS if any(x in names for x in k)]
+    share = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / (len(kinds) + 1)] * (len(kinds) + 1))
+    chance = np.empty((len(share), len(names), 3))
+    chance[:] = GOOD
+    own = np.zeros((len(share), len(names)), dtype=bool)
+    own[[0, -1]] = True
+    for k, members in enumerate(kinds, 1):
+        for x in members:
+            if x in names:
+                chance[k, names.index(x)], own[k, names.index(x)] = OWN, True
+    chance[-1] = MIXED
+    return share, chance, own
+
+
+def fit(votes: np.ndarray, count: np.ndarray, names: list[str], rounds: int = 1000) -> tuple[np.ndarray, dict]:
+    """EM over patterns of votes with their counts: the posterior of good for each, and the model.
 
-    Returns the posterior of good for each pattern, and the model. Without labels, what tells good from bad is that a
-    rule seldom blames a good text, once in twenty at most, while bad texts are bad in different ways, so that a rule
-    may well miss most of them: the search starts there. Each class is smoothed by fifty documents like its start.
+    As the weights of the priors grow with the texts, more texts of the same sorts change nothing.
     """
-    votes = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
-    outcome = np.stack([votes == k for k in range(3)], axis=2).astype(np.float64)  # abstains, blames, vouches
-    # all rules but the last blame or abstain, the last vouches or abstains
-    start = np.array([[[0.98, 0.02, 1e-9]], [[0.75, 0.25, 1e-9]]]).repeat(n_rules, axis=1)
-    start[:, -1] = [[0.10, 1e-9, 0.90], [0.85, 1e-9, 0.15]]
-    chance, prior = start.copy(), 0.85
-    post = np.full(len(patterns), prior)
+    prior, first, own = start(names)
+    seen = np.stack([votes == v for v in (STRONG, WEAK, VOUCHES)], axis=2).astype(np.float64)
+    total = count.sum()
+    weight = prior * total * np.array([GOOD_WEIGHT] + [KIND_WEIGHT] * (len(prior) - 1))
+    share, chance, post = prior.copy(), first.copy(), np.zeros((len(votes), len(prior)))
     for _ in range(rounds):
-        good, bad = (np.einsum("prk,rk->p", outcome, np.log(chance[i])) for i in (0, 1))
-        new = 1 / (1 + np.exp(np.clip(bad - good + np.log((1 - prior) / prior), -700, 700)))
+        logs = np.einsum("prv,krv->pk", seen, np.log(chance)) + np.log(share)
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
-        for i, w in enumerate((post * count, (1 - post) * count)):
-            chance[i] = (np.einsum("p,prk->rk", w, outcome) + 50 * start[i]) / (w.sum() + 50)
-        over = np.maximum(chance[0, :, 1] - 0.05, 0)
-        chance[0, :, 1] -= over
-        chance[0, :, 0] += over
-        prior = float(np.clip((post @ count + 42.5) / (count.sum() + 50), 0.05, 0.99))
+        held = post * count[:, None]
+        sums = np.einsum("pk,prv->krv", held, seen)
+        # a kind's votes in what isn't its own teach what good texts do
+        sums[0] += np.where(own[:, :, None], 0, sums).sum(axis=0)
+        sums += weight[:, None, None] * first
+        chance = sums / sums.sum(axis=2, keepdims=True)
+        chance = np.where(own[:, :, None], chance, chance[0])
+        share = held.sum(axis=0) + KIND_WEIGHT * total * prior
+        share /= share.sum()
         if done:
             break
-    return post, {"prior": prior, "chance": chance}
+    return post[:, 0], {"share": share, "chance": chance}
 
 
 def posteriors(votes: DataFrame, column: str) -> DataFrame:
-    """(pattern, posterior) of all patterns present: 3 to the number of rules at most, 6,561, whatever the input."""
+    """(pattern, posterior) of all patterns present: 4 to the number of rules at most, 262,144, whatever the input."""
+    names = [x for x, _ in rules(F.lit(None))]
     seen = votes.groupBy(F.col(column).alias("pattern")).count().collect()
     seen = sorted((r["pattern"], r["count"]) for r in seen)
     codes, n = np.array([x for x, _ in seen], dtype=np.int64), np.array([x for _, x in seen], dtype=np.float64)
-    post, _ = fit(codes, n, len(rules(F.lit(None)))) if seen else (np.zeros(0), {})
+    post, _ = fit((codes[:, None] // 4 ** np.arange(len(names))) % 4, n, names) if seen else (np.zeros(0), {})
     rows = [(int(c), float(p)) for c, p in zip(codes, post, strict=True)]
     return votes.sparkSession.createDataFrame(rows, "pattern int, posterior double")
 
