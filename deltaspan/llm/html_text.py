@@ -1,22 +1,31 @@
 """Main text of web pages: templates by equivalence classes of tokens across a host's pages, then the remaining slots.
 
-Tokens of a page are its containers and its blocks of text, each with the path of containers above it. The occurrence
-vector of a token over a host's pages is summed up as a fingerprint, counts times random numbers of the pages, so that
-it is an ordinary partial aggregate and a host may have any number of pages. Tokens of a host with the same vector are
-an equivalence class; it is valid if it has at least three tokens, holds in most of the host's pages, and its tokens
-stand in the same order in the page at hand (those out of order are left out there). The class that every page has once
-is the root; classes that some pages lack nest in its gaps. Blocks whose text is a token of a valid class are template;
-the slots between are data. Of these the main text is what lies in article or main elements, or, where a page has
-neither, all of them, without the parts that are never content: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments of readers, known by element, role or class.
+Tokens of a page are its containers and its blocks of text, of any length, each with the path of containers above it.
+The occurrence vector of a token over a host's pages is kept as a fingerprint, the exclusive or of hashes of page and
+count, so that it is an ordinary partial aggregate and a host may have any number of pages. Pages whose three longest
+blocks are the same are copies of one page and count once. Tokens of a host with the same vector, on MIN_PAGES pages and MIN_SUPPORT
+of the host's at least, are an equivalence class; it is valid if its words and containers are MIN_CLASS or more.
+
+The template of a host is its class of the widest support, the root, and the other valid classes nested in the root's
+gaps. In a page the root's tokens must stand in order (those out of order are left out there), and so must another
+class's, all in one gap of the root. Blocks of text that are tokens of the template are dropped: those of classes on
+MIN_SHARE of the host's pages wherever they stand, those of rarer classes if they always have the same place from the
+start or the end of their container and don't stand in an article or main element, where paragraphs may well recur. What
+remains are slots; a page that has none then is another copy of what the template was made from, and keeps its blocks. The main text is the slots in article or main elements or, where a page has neither, all of them,
+without the parts that are never content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments of readers, known by element, role, class or being hidden. A form that holds an article, main or h1 element
+wraps a page and is a container like any other.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by newlines, and
 nothing is cut. A null or empty page has the empty text; a null url has no host and so no template; repeated pages
-give equal rows; an empty table gives an empty result. Broken markup is read as far as it goes.
+give equal rows; an empty table gives an empty result. Only page_id, url and html are read; other columns, whatever
+their names, are ignored. Broken markup is read as far as it goes: an unclosed script or style ends the page, other
+unclosed elements hold what follows.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -27,151 +36,202 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
-#: Templates of up to this many tokens over all hosts are broadcast (8 bytes each and places); beyond it they are joined.
+#: Templates of up to this many tokens over all hosts are broadcast (about 20 bytes each); beyond it they are joined, SALTS times.
 BROADCAST_TOKENS = 1_000_000
+SALTS = 32
 MIN_PAGES = 5
+MIN_SUPPORT = 0.01
 MIN_SHARE = 0.8
-MIN_CLASS = 3
-TOKEN_CHARS = 300
+MIN_CLASS = 5
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?", re.I)
-_RAW = frozenset("script style noscript textarea title iframe template svg math select object canvas".split())
+_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?", re.I)
+#: What holds no text of the page, with the pattern of its end.
+_RAW = {x: re.compile(rf"</{x}\b[^>]*+>?", re.I) for x in "script style noscript textarea title iframe template select".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = frozenset(
-    "html head body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr td th figure blockquote details summary fieldset menu dialog button label center".split()
+    "html head body main article section div nav header footer aside form ul ol li dl table tbody thead tfoot tr td th figure blockquote details summary fieldset menu dialog button label center".split()
 )
-_BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption address caption hr option legend".split())
-_NEVER = frozenset("head nav footer aside form menu dialog button fieldset".split()) | _RAW
+_BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 dt dd pre figcaption address caption hr option legend".split())
+_NEVER = frozenset("head nav footer aside form menu dialog button fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Names of parts that are never content, whatever they stand with.
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar "
-    "widget widgets related recommended comment comments respond reply replies disqus share sharing social notice notices cookie cookies consent gdpr alert popup modal overlay "
-    "newsletter subscribe subscription signup login search searchbox pagination pager toolbar copyright banner skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar comments respond disqus "
+    "cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login search searchbox pagination pager toolbar skip".split()
 )
+#: Names that are so alone, or with each other and words for parts of a page: related-posts is, related-work isn't.
+_LOOSE = frozenset("related recommended share sharing social notice notices alert widget widgets promo promotion comment reply replies overlay copyright banner".split())
+_PARTS = frozenset("list box bar button buttons link links section area form block container wrapper wrap inner item items post posts article articles message thread icon icons title heading count site page top bottom left right".split())
+
+
+def _hidden(attrs: str) -> bool:
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            return True
+    return False
 
 
 def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
     """Whether an element is never content, and its class and id as part of its token."""
-    if not attrs:
-        return tag in _NEVER or (tag == "header" and not in_article), ""
     never, sign = tag in _NEVER or (tag == "header" and not in_article), ""
+    if not attrs or tag in ("html", "body"):
+        return never, ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
             sign += "." + value
-            parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)}
-            never |= bool(parts & _NAMES) or ("header" in parts and not in_article) and tag not in ("body", "html")
+            for word in value.split():
+                parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", word) if x}
+                never |= bool(parts & _NAMES) or ("header" in parts and not in_article)
+                never |= name == "class" and bool(parts & _LOOSE) and parts <= _LOOSE | _PARTS
         elif name == "role":
             never |= value.lower() in _ROLES
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            never = True
-        elif name == "style":
-            never |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-    return never and tag not in ("html", "body"), sign
+    return never or _hidden(attrs), sign
+
+
+def _hash(*parts: object) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
+
+
+class Box:
+    """A container: path is a hash of its and its ancestors' signs; size counts what stands directly in it."""
+
+    __slots__ = ("tag", "parent", "own", "main", "path", "size")
+
+    def __init__(self, tag: str, parent: Box | None, own: bool, main: bool, path: int) -> None:
+        self.tag, self.parent, self.own, self.main, self.path, self.size = tag, parent, own, main, path, 0
+
 
+class Event:
+    """A container that opens, or a block of text, with its place in its box."""
 
-class Block:
-    __slots__ = ("text", "never", "main", "path")
+    __slots__ = ("text", "box", "own", "token", "place", "never")
 
-    def __init__(self, text: str, never: bool, main: bool, path: str) -> None:
-        self.text, self.never, self.main, self.path = text, never, main, path
+    def __init__(self, text: str | None, box: Box, own: bool, token: int) -> None:
+        self.text, self.box, self.own, self.token, self.place, self.never = text, box, own, token, box.size, False
+        box.size += 1
 
 
-def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks of text of a page, and the signs of its containers, both in order."""
-    out: list[Block] = []
-    signs: list[str] = []
-    # an open container: tag, never content, in article or main, its path
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
+def events(page: str) -> list[Event]:
+    """The containers and blocks of text of a page, in order."""
+    out: list[Event] = []
+    root = Box("", None, False, False, 0)
+    top, own, hidden, depth = root, False, "", 0
+    open_: dict[str, int] = {}
+    boxes: list[Box] = []
     held: list[str] = []
+    endless: set[str] = set()
 
     def close_block() -> None:
-        text = " ".join("".join(held).split())
-        if text:
-            _, never, main, path = stack[-1]
-            out.append(Block(text, never, main, path))
+        nonlocal own, hidden
+        if text := " ".join("".join(held).split()):
+            out.append(Event(text, top, own, _hash(top.path, text)))
         held.clear()
+        own, hidden = False, ""
 
-    def add(text: str) -> None:
-        held.append(html.unescape(text))
+    def pop() -> None:
+        nonlocal top
+        open_[top.tag] -= 1
+        top = top.parent
 
     at, n = 0, len(page)
-    for_raw = None
     while at < n:
-        m = _TAG.search(page, at) if for_raw is None else None
-        if for_raw is not None:
-            end = re.compile(rf"</{re.escape(for_raw)}\b[^>]*>", re.I).search(page, at)
-            for_raw = None
-            at = end.end() if end else n
-            continue
+        m = _TAG.search(page, at)
+        stop = m.start() if m else n
+        if stop > at and not hidden:
+            held.append(html.unescape(page[at:stop]))
         if m is None:
-            add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         shut, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in _RAW:
-            if not shut and not attrs.endswith("/"):
-                for_raw = tag
+            if not shut and not attrs.endswith("/") and tag not in endless:
+                if end := _RAW[tag].search(page, at):
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    break
+                else:
+                    endless.add(tag)
             continue
         if tag == "br":
             held.append(" ")
         if tag not in _BLOCKS:
+            # an inline element that isn't shown
+            if hidden:
+                depth += (tag == hidden) * (-1 if shut else 1)
+                hidden = hidden if depth else ""
+            elif attrs and not shut and tag not in _VOID and _hidden(attrs):
+                hidden, depth = tag, 1
             continue
         close_block()
-        if tag not in _CONTAINERS or tag in _VOID:
-            continue
-        if shut:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if tag not in _CONTAINERS:
+            own = not shut and bool(attrs) and _never(tag, attrs, top.main)[0]
+        elif shut:
+            if open_.get(tag):
+                while top.tag != tag:
+                    pop()
+                pop()
         else:
-            if tag in ("td", "th", "tr") and stack[-1][0] in ("td", "th"):
-                stack.pop()
-                if tag == "tr" and stack[-1][0] == "tr":
-                    stack.pop()
-            _, never, main, path = stack[-1]
-            own, sign = _never(tag, attrs, main)
-            path = f"{path}/{tag}{sign}" if len(path) < 500 else path
-            stack.append((tag, never or own, main or tag in ("article", "main"), path))
-            if len(stack) > 400:  # broken markup that never closes
-                del stack[200:300]
-            signs.append(path)
+            if tag == "li" and top.tag == "li":
+                pop()
+            if tag in ("td", "th", "tr") and top.tag in ("td", "th"):
+                pop()
+            if tag == "tr" and top.tag == "tr":
+                pop()
+            if tag in ("article", "main", "h1"):
+                _unwrap(top)
+            never, sign = _never(tag, attrs, top.main)
+            box = Box(tag, top, never, top.main or tag in ("article", "main"), _hash(top.path, tag, sign))
+            out.append(Event(None, top, False, box.path))
+            boxes.append(box)
+            open_[tag] = open_.get(tag, 0) + 1
+            top = box
+        if tag == "h1" and not shut:
+            _unwrap(top)
     close_block()
-    return out, signs
+    # outer boxes come first, so that a box takes over what its parent is
+    for box in boxes:
+        box.own = box.own or box.parent.own
+    for e in out:
+        e.never = e.own or e.box.own
+    return out
 
 
-def _token(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) >> 1
+def _unwrap(box: Box | None) -> None:
+    while box is not None:
+        if box.tag == "form":
+            box.own = False
+        box = box.parent
 
 
-def tokens(page: str) -> list[tuple[int, int, int]]:
-    """(token, count, place of the first) of a page's containers and shorter blocks."""
-    got, signs = blocks(page)
-    seen: dict[int, list[int]] = {}
-    for k, (path, text) in enumerate([*((s, "") for s in signs), *((b.path, b.text) for b in got if len(b.text) <= TOKEN_CHARS)]):
-        seen.setdefault(_token(path, text), [0, k])[0] += 1
-    return [(t, c, k) for t, (c, k) in seen.items()]
+def identity(found: list[Event]) -> int:
+    """A hash of the three longest blocks that may be content: copies of a page share it."""
+    return _hash(*sorted((e.text for e in found if e.text is not None and not e.never), key=lambda t: (-len(t), t))[:3])
 
 
-def _ordered(place: list[tuple[int, int]]) -> set[int]:
-    """Of tokens with their place in the template, in page order, a longest subsequence that keeps the order."""
-    import bisect
+def tokens(found: list[Event]) -> list[tuple[int, int, int, int, int, int]]:
+    """(token, count, order of the first, its place from the start and from the end of its box, words) of a page's tokens; words is 0 for a container."""
+    seen: dict[int, list[int]] = {}
+    for k, e in enumerate(found):
+        seen.setdefault(e.token, [0, k, e.place, e.box.size - 1 - e.place, len(e.text.split()) if e.text is not None else 0])[0] += 1
+    return [(t, *x) for t, x in seen.items()]
 
+
+def in_order(places: list[int]) -> list[int]:
+    """The indexes of a longest rising subsequence."""
     tails: list[int] = []
     at: list[int] = []
     back: list[int] = []
-    for i, (_, p) in enumerate(place):
+    for i, p in enumerate(places):
         k = bisect.bisect_left(tails, p)
         if k == len(tails):
             tails.append(p)
@@ -179,56 +239,84 @@ def _ordered(place: list[tuple[int, int]]) -> set[int]:
         else:
             tails[k], at[k] = p, i
         back.append(at[k - 1] if k else -1)
-    keep, i = set(), at[-1] if at else -1
+    out, i = [], at[-1] if at else -1
     while i >= 0:
-        keep.add(place[i][0])
+        out.append(i)
         i = back[i]
-    return keep
-
-
-def extract(page: str | None, template: list[int]) -> str:
-    """The main text, given the host's template: its text tokens in order."""
+    return out[::-1]
+
+
+def template_blocks(found: list[Event], template: list[dict]) -> set[int]:
+    """The numbers of the events that are blocks of the template's text in this page."""
+    at: dict[int, list[int]] = {}
+    for k, e in enumerate(found):
+        at.setdefault(e.token, []).append(k)
+    out: set[int] = set()
+    gaps: list[int] = []
+    for n, group in enumerate(template):  # the root first
+        here = [t for t in group["tokens"] if t["token"] in at]
+        first = [at[t["token"]][0] for t in here]
+        kept = in_order(first)
+        if n == 0:
+            gaps = [first[i] for i in kept]
+        elif len({bisect.bisect_left(gaps, first[i]) for i in kept}) > 1:
+            continue  # not nested in one gap
+        for i in kept:
+            if here[i]["text"]:
+                out.update(k for k in at[here[i]["token"]] if group["wide"] or (here[i]["still"] and not found[k].box.main))
+    return out
+
+
+def extract(page: str | None, template: list[dict]) -> str:
+    """The main text, given the host's template."""
     if not page:
         return ""
-    got, _ = blocks(page)
-    fixed: set[int] = set()
-    if template:
-        order = {t: k for k, t in enumerate(template)}
-        named = [(i, order[t]) for i, b in enumerate(got) if len(b.text) <= TOKEN_CHARS and (t := _token(b.path, b.text)) in order]
-        fixed = _ordered(named)
-    slots = [b for i, b in enumerate(got) if not b.never and i not in fixed]
-    if any(b.main for b in got):
-        main = [b for b in got if b.main and not b.never]
-        kept = [b for b in slots if b.main]
-        # a template that is most of the text is the text of another copy of this page
-        copied = 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in main)
-        return "\n".join(b.text for b in (main if copied else kept))
-    return "\n".join(b.text for b in slots)
+    found = events(page)
+    fixed = template_blocks(found, template) if template else set()
+    texts = [(k, e) for k, e in enumerate(found) if e.text is not None and not e.never]
+    if any(e.box.main for _, e in texts):
+        texts = [(k, e) for k, e in texts if e.box.main]
+    return "\n".join([e.text for k, e in texts if k not in fixed] or [e.text for _, e in texts])
+
+
+_STAT = "host bigint, token bigint, page bigint, n bigint, place bigint, ahead bigint, behind bigint, words bigint"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): for each host with enough pages, the text and container tokens of its valid classes in order."""
+    """(host, classes): the valid classes of each host, the root first, each with its tokens in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _STAT.split(", ")]
         for batch in batches:
-            host, rows = batch["host"].to_pylist(), []
-            for h, r, page in zip(host, batch["r"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                rows.append((h, -1, 1, 0, r))
-                rows += [(h, t, c, k, r) for t, c, k in tokens(page or "")]
-            a = np.array(rows, dtype=np.int64).reshape(-1, 5)
-            yield pa.record_batch({"host": a[:, 0], "token": a[:, 1], "pages": np.ones(len(a), dtype=np.int64), "place": a[:, 3], "vector": (a[:, 2] * a[:, 4]) % (1 << 40)})
-
-    each = pages.where("host is not null").select("host", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 40)).alias("r"), "html")
-    stat = each.mapInArrow(run, "host bigint, token bigint, pages bigint, place bigint, vector bigint")
-    stat = stat.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.avg("place").alias("place"), F.pmod(F.sum("vector"), F.lit(1 << 40)).alias("vector"))
+            rows: list[tuple[int, ...]] = []
+            for h, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                found = events(page or "")
+                own = identity(found)
+                rows.append((h, -1, own, 1, 0, 0, 0, 0))
+                rows += [(h, t, own, *x) for t, *x in tokens(found)]
+            a = np.array(rows, dtype=np.int64).reshape(-1, len(names))
+            yield pa.record_batch({x: a[:, i] for i, x in enumerate(names)})
+
+    # copies of a page first become one
+    each = pages.where("host is not null").select("host", "html").mapInArrow(run, _STAT).groupBy("host", "token", "page")
+    each = each.agg(*[F.min(x).alias(x) for x in ("n", "place", "ahead", "behind", "words")])
+    stat = each.groupBy("host", "token").agg(
+        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("place").alias("place"), F.max("words").alias("words"),
+        ((F.min("ahead") == F.max("ahead")) | (F.min("behind") == F.max("behind"))).alias("still"),
+    )
     stat = cut(stat.where(F.col("pages") >= MIN_PAGES))
-    total = stat.where("token = -1").select("host", F.col("pages").alias("n"))
-    common = stat.where("token <> -1").join(total, "host").where(F.col("pages") >= MIN_SHARE * F.col("n"))
-    size = common.groupBy("host", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_CLASS)
-    valid = common.join(size, ["host", "vector"])
-    # at most a page's own tokens over MIN_SHARE for each host, so that its list is short
-    listed = F.array_sort(F.collect_list(F.struct("place", "token")))
-    return valid.groupBy("host").agg(F.transform(listed, lambda x: x["token"]).alias("tokens"))
+    total = stat.groupBy("host").agg(F.max(F.when(F.col("token") == -1, F.col("pages"))).alias("of"), F.count("*").alias("rows"))
+    own = spread_join(stat.where("token <> -1"), total, ["host"], "rows", stat.count()).where(F.col("pages") >= MIN_SUPPORT * F.col("of"))
+    # tokens of a host on MIN_SUPPORT of its pages are 1 / MIN_SUPPORT times a page's at most, so that its lists are short
+    listed = F.array_sort(F.collect_list(F.struct("place", "token", (F.col("words") > 0).alias("text"), "still")))
+    group = own.groupBy("host", "vector").agg(F.first("pages").alias("pages"), F.first("of").alias("of"), F.sum(F.greatest("words", F.lit(1))).alias("size"), listed.alias("tokens"))
+    group = group.where(F.col("size") >= MIN_CLASS)
+    one = F.struct((-F.col("pages")).alias("order"), (-F.size("tokens")).alias("by"), "vector", (F.col("pages") >= MIN_SHARE * F.col("of")).alias("wide"), "tokens")
+    classes = F.array_sort(F.collect_list(one))
+    # beside the root, only classes with text change anything
+    classes = F.filter(classes, lambda c, i: (i == 0) | F.exists(c["tokens"], lambda t: t["text"]))
+    lean = F.transform(classes, lambda c: F.struct(c["wide"].alias("wide"), F.transform(c["tokens"], lambda t: F.struct(t["token"].alias("token"), t["text"].alias("text"), t["still"].alias("still"))).alias("tokens")))
+    return group.groupBy("host").agg(lean.alias("classes"))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -240,12 +328,18 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
     pages = with_host(pages)
     found = cut(templates(pages))
-    size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    joined = pages.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left")
+    size = found.agg(F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c["tokens"])))).first()[0] or 0
+    if size <= BROADCAST_TOKENS:
+        joined = pages.join(F.broadcast(found), "host", "left")
+    else:
+        # a host's pages are spread over SALTS tasks, those without a host over all
+        spread = F.when(F.col("host").isNull(), F.xxhash64("html")).otherwise(F.col("host"))
+        salted = pages.withColumn("host", spread).withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
 
     def run(page: pa.Array, template: pa.Array) -> pa.Array:
         return pa.array([extract(p, t or []) for p, t in zip(page.to_pylist(), template.to_pylist(), strict=True)], type=pa.string())
 
     text = F.arrow_udf(run, "string").asNondeterministic()
-    out = joined.select("page_id", "url", text("html", "tokens").alias("text"))
+    out = joined.select("page_id", "url", text("html", "classes").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -492,12 +492,65 @@ def test_pages(spark):
 
 
 def test_pages_broken():
-    for bad in ("<", "<p", "a<b", "<!--", "<div " + "x" * 1000, "<p \"'>", "<script>", "&#xD800;", "<div>" * 3000 + "x", "</div>" * 50 + "y", "<a href='" * 500):
+    for bad in ("<", "<p", "a<b", "<!--", "<textarea>" + "a" * 5 + "<p>after", "<div " + "x" * 1000, "<p \"'>", "<script>", "&#xD800;", "<div>" * 3000 + "x", "</div>" * 50 + "y", "<a href='" * 500):
         assert isinstance(html_text.extract(bad, []), str)
     words = html_text.extract("<body><div class=menu>m</div><div><p>One&nbsp;two  three</p></div><form>f</form></body>", [])
     assert words == "One two three" and html.unescape("&amp;") == "&"
 
 
+def test_pages_contract():
+    """Parts that go by block, and parts that stay although their names are near those of others."""
+    cases = {
+        "<article><p class='advert'>buy</p><p>kept</p></article>": "kept",
+        "<article><p hidden>gone</p><p>kept <span style='display:none'>gone <span>too</span></span>whole</p></article>": "kept whole",
+        "<article><p>a</p><ul><li class='comment'><p>reader</p></li><li>item</li></ul></article>": "a\nitem",
+        "<article><div class='related-work'><p>earlier work</p></div><section id='share'><p>market share</p></section></article>": "earlier work\nmarket share",
+        "<article><p>see <math><mi>x</mi></math> and <svg><text>axis</text></svg></p></article>": "see x and axis",
+        "<div><p>before</p><textarea><p>after</p></div>": "before\nafter",
+        "<form><div><h1>title</h1><p>whole page in a form</p></div></form>": "title\nwhole page in a form",
+        "<article><p>a</p><form><p>your name</p></form><div class='related-posts'>more</div></article>": "a",
+        "<article><p>" + "long " * 200_000 + "</p></article>": ("long " * 200_000).strip(),
+        "<article>" + "<div>" * 2000 + "<p>deep</p></article>": "deep",
+    }
+    for body, want in cases.items():
+        assert html_text.extract(f"<html><body><nav><a>x</a></nav>{body}</body></html>", []) == want, body[:80]
+
+
+def test_page_classes(spark, monkeypatch):
+    """Vectors and classes by brute force, two layouts on a host, a long disclaimer, and pages without article or main."""
+    rng = random.Random(31)
+    legal = " ".join(f"clause{k}" for k in range(120))
+    body = lambda i: "".join(f"<p>{' '.join(f'w{rng.randrange(5000)}' for _ in range(12))}.</p>" for _ in range(2 + i % 4))
+    truth, rows = {}, []
+    for i in range(40):
+        text = body(i)
+        lay = f"<div><ul><li>Home page of us</li><li>All about the site</li></ul></div><div class=c>{text}</div><div><p>{legal}</p></div>"
+        if i % 2:  # a layout of its own, and a note at a place of its own
+            lay = f"<section><p>Welcome to the second layout here</p>{text}</section><table><tr><td>Cells of the lower frame stand</td></tr></table><div><p>{legal}</p></div>"
+        truth[i] = re.sub(r"</p><p>", "\n", text)[3:-4]
+        rows.append((i, f"http://a.example.org/{i}", f"<html><body>{lay}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
+    assert got == truth
+    monkeypatch.setattr(html_text, "BROADCAST_TOKENS", -1)  # the salted join
+    assert {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()} == truth
+    # classes: tokens of equal counts in the same pages
+    of = collections.defaultdict(dict)
+    for i, _, page in rows:
+        for t, n, *_ in html_text.tokens(html_text.events(page)):
+            of[t][i] = n
+    groups = collections.defaultdict(set)
+    for t, vector in of.items():
+        if len(vector) >= html_text.MIN_PAGES:
+            groups[tuple(sorted(vector.items()))].add(t)
+    words = {e.token: max(1, len((e.text or "").split())) for _, _, page in rows for e in html_text.events(page)}
+    want = {frozenset(g) for v, g in groups.items() if sum(words[t] for t in g) >= html_text.MIN_CLASS}
+    found = html_text.templates(html_text.with_host(pages)).first()["classes"]
+    mine = {frozenset(t["token"] for t in c["tokens"]) for c in found}
+    texts = {e.token for _, _, page in rows for e in html_text.events(page) if e.text is not None}
+    assert mine == {g for g in want if g & texts or g == max(want, key=lambda g: (len(of[next(iter(g))]), len(g)))}
+
+
 def test_html_without_article():
     menu = '<nav><a href="/">home</a></nav><div class="sidebar">about us</div>'
     cases = {
