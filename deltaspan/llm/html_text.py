@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, spread_join
 
-#: Templates of up to this many tokens over all hosts are broadcast (about 20 bytes each); beyond it they are joined, SALTS times.
+#: Templates of up to this many tokens over all hosts are broadcast (16 bytes each); beyond it they are joined, SALTS times.
 BROADCAST_TOKENS = 1_000_000
 SALTS = 32
+#: Templates that a task keeps unpacked.
+KEPT = 256
 MIN_PAGES = 5
 MIN_SUPPORT = 0.01
 MIN_SHARE = 0.8
@@ -95,8 +97,8 @@ def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
     return never or _hidden(attrs), sign
 
 
-def _hash(*parts: object) -> int:
-    return xxhash.xxh3_64_intdigest("\n".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
+def _hash(path: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path) >> 1
 
 
 class Box:
@@ -190,7 +192,7 @@ def events(page: str) -> list[Event]:
             if tag in ("article", "main", "h1"):
                 _unwrap(top)
             never, sign = _never(tag, attrs, top.main)
-            box = Box(tag, top, never, top.main or tag in ("article", "main"), _hash(top.path, tag, sign))
+            box = Box(tag, top, never, top.main or tag in ("article", "main"), _hash(top.path, f"{tag}\n{sign}"))
             out.append(Event(None, top, False, box.path))
             boxes.append(box)
             open_[tag] = open_.get(tag, 0) + 1
@@ -215,7 +217,7 @@ def _unwrap(box: Box | None) -> None:
 
 def identity(found: list[Event]) -> int:
     """A hash of the three longest blocks that may be content: copies of a page share it."""
-    return _hash(*sorted((e.text for e in found if e.text is not None and not e.never), key=lambda t: (-len(t), t))[:3])
+    return _hash(0, "\n".join(sorted((e.text for e in found if e.text is not None and not e.never), key=lambda t: (-len(t), t))[:3]))
 
 
 def tokens(found: list[Event]) -> list[tuple[int, int, int, int, int, int]]:
@@ -246,33 +248,57 @@ def in_order(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def template_blocks(found: list[Event], template: list[dict]) -> set[int]:
-    """The numbers of the events that are blocks of the template's text in this page."""
-    at: dict[int, list[int]] = {}
-    for k, e in enumerate(found):
-        at.setdefault(e.token, []).append(k)
-    out: set[int] = set()
-    gaps: list[int] = []
-    for n, group in enumerate(template):  # the root first
-        here = [t for t in group["tokens"] if t["token"] in at]
-        first = [at[t["token"]][0] for t in here]
-        kept = in_order(first)
-        if n == 0:
-            gaps = [first[i] for i in kept]
-        elif len({bisect.bisect_left(gaps, first[i]) for i in kept}) > 1:
-            continue  # not nested in one gap
-        for i in kept:
-            if here[i]["text"]:
-                out.update(k for k in at[here[i]["token"]] if group["wide"] or (here[i]["still"] and not found[k].box.main))
-    return out
-
-
-def extract(page: str | None, template: list[dict]) -> str:
+class Template:
+    """A host's classes: where each token belongs, as (class, order in it, is text, has a place of its own), and which classes are wide.
+
+    ``packed``: for each class, the root first, its number of tokens and whether it is wide, then each token with its
+    two flags as bits.
+    """
+
+    def __init__(self, packed: np.ndarray) -> None:
+        self.of: dict[int, tuple[int, int, int, int]] = {}
+        self.wide: list[bool] = []
+        at, own = 0, packed.tolist()
+        while at < len(own):
+            for k in range(own[at]):
+                token, bits = own[at + 2 + 2 * k : at + 4 + 2 * k]
+                self.of[token] = (len(self.wide), k, bits & 1, bits & 2)
+            self.wide.append(bool(own[at + 1]))
+            at += 2 + 2 * own[at]
+
+    def blocks(self, found: list[Event]) -> set[int]:
+        """The numbers of the events that are blocks of the template's text in this page."""
+        at: dict[int, list[int]] = {}
+        groups: dict[int, list[tuple[int, int, int]]] = {}
+        for k, e in enumerate(found):
+            if e.token in self.of:
+                if e.token not in at:
+                    at[e.token] = []
+                    group, order, *_ = self.of[e.token]
+                    groups.setdefault(group, []).append((order, k, e.token))
+                at[e.token].append(k)
+        out: set[int] = set()
+        gaps: list[int] = []
+        for n in sorted(groups):
+            here = sorted(groups[n])
+            kept = [here[i] for i in in_order([k for _, k, _ in here])]
+            if n == 0:
+                gaps = [k for _, k, _ in kept]
+            elif len({bisect.bisect_left(gaps, k) for _, k, _ in kept}) > 1:
+                continue  # not nested in one gap
+            for _, _, token in kept:
+                _, _, text, still = self.of[token]
+                if text:
+                    out.update(k for k in at[token] if self.wide[n] or (still and not found[k].box.main))
+        return out
+
+
+def extract(page: str | None, template: Template | None) -> str:
     """The main text, given the host's template."""
     if not page:
         return ""
     found = events(page)
-    fixed = template_blocks(found, template) if template else set()
+    fixed = template.blocks(found) if template else set()
     texts = [(k, e) for k, e in enumerate(found) if e.text is not None and not e.never]
     if any(e.box.main for _, e in texts):
         texts = [(k, e) for k, e in texts if e.box.main]
@@ -283,7 +309,7 @@ _STAT = "host bigint, token bigint, page bigint, n bigint, place bigint, ahead b
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, classes): the valid classes of each host, the root first, each with its tokens in order."""
+    """(host, packed): the valid classes of each host, the root first, each with its tokens in order, as Template reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _STAT.split(", ")]
@@ -315,8 +341,10 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = F.array_sort(F.collect_list(one))
     # beside the root, only classes with text change anything
     classes = F.filter(classes, lambda c, i: (i == 0) | F.exists(c["tokens"], lambda t: t["text"]))
-    lean = F.transform(classes, lambda c: F.struct(c["wide"].alias("wide"), F.transform(c["tokens"], lambda t: F.struct(t["token"].alias("token"), t["text"].alias("text"), t["still"].alias("still"))).alias("tokens")))
-    return group.groupBy("host").agg(lean.alias("classes"))
+    bits = lambda t: (t["text"].cast("int") + 2 * t["still"].cast("int")).cast("bigint")
+    packed = F.transform(classes, lambda c: F.concat(
+        F.array(F.size(c["tokens"]).cast("bigint"), c["wide"].cast("bigint")), F.flatten(F.transform(c["tokens"], lambda t: F.array(t["token"], bits(t))))))
+    return group.groupBy("host").agg(F.flatten(packed).alias("packed"))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -328,18 +356,35 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
     pages = with_host(pages)
     found = cut(templates(pages))
-    size = found.agg(F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c["tokens"])))).first()[0] or 0
-    if size <= BROADCAST_TOKENS:
-        joined = pages.join(F.broadcast(found), "host", "left")
+    size = found.agg(F.sum(F.size("packed"))).first()[0] or 0
+    made: dict[int, Template] = {}
+
+    def template(host: int | None, packed: np.ndarray | None) -> Template | None:
+        if packed is None or not len(packed):
+            return None
+        if host not in made:
+            if len(made) >= KEPT:
+                made.clear()
+            made[host] = Template(packed)
+        return made[host]
+
+    if size <= 2 * BROADCAST_TOKENS:
+        # bounded by BROADCAST_TOKENS; a page needs its host's number only
+        own = pages.sparkSession.sparkContext.broadcast({r["host"]: np.array(r["packed"], dtype=np.int64) for r in found.collect()})
+
+        def look_up(page: pa.Array, host: pa.Array) -> pa.Array:
+            return pa.array([extract(p, template(h, own.value.get(h))) for p, h in zip(page.to_pylist(), host.to_pylist(), strict=True)], type=pa.string())
+
+        out = pages.select("page_id", "url", F.arrow_udf(look_up, "string").asNondeterministic()("html", "host").alias("text"))
     else:
         # a host's pages are spread over SALTS tasks, those without a host over all
         spread = F.when(F.col("host").isNull(), F.xxhash64("html")).otherwise(F.col("host"))
         salted = pages.withColumn("host", spread).withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))
         joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
 
-    def run(page: pa.Array, template: pa.Array) -> pa.Array:
-        return pa.array([extract(p, t or []) for p, t in zip(page.to_pylist(), template.to_pylist(), strict=True)], type=pa.string())
+        def beside(page: pa.Array, host: pa.Array, packed: pa.Array) -> pa.Array:
+            each = zip(page.to_pylist(), host.to_pylist(), packed, strict=True)
+            return pa.array([extract(p, template(h, t.values.to_numpy() if t.is_valid else None)) for p, h, t in each], type=pa.string())
 
-    text = F.arrow_udf(run, "string").asNondeterministic()
-    out = joined.select("page_id", "url", text("html", "classes").alias("text"))
+        out = joined.select("page_id", "url", F.arrow_udf(beside, "string").asNondeterministic()("html", "host", "packed").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

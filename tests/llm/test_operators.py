@@ -493,8 +493,8 @@ def test_pages(spark):
 
 def test_pages_broken():
     for bad in ("<", "<p", "a<b", "<!--", "<textarea>" + "a" * 5 + "<p>after", "<div " + "x" * 1000, "<p \"'>", "<script>", "&#xD800;", "<div>" * 3000 + "x", "</div>" * 50 + "y", "<a href='" * 500):
-        assert isinstance(html_text.extract(bad, []), str)
-    words = html_text.extract("<body><div class=menu>m</div><div><p>One&nbsp;two  three</p></div><form>f</form></body>", [])
+        assert isinstance(html_text.extract(bad, None), str)
+    words = html_text.extract("<body><div class=menu>m</div><div><p>One&nbsp;two  three</p></div><form>f</form></body>", None)
     assert words == "One two three" and html.unescape("&amp;") == "&"
 
 
@@ -513,7 +513,7 @@ def test_pages_contract():
         "<article>" + "<div>" * 2000 + "<p>deep</p></article>": "deep",
     }
     for body, want in cases.items():
-        assert html_text.extract(f"<html><body><nav><a>x</a></nav>{body}</body></html>", []) == want, body[:80]
+        assert html_text.extract(f"<html><body><nav><a>x</a></nav>{body}</body></html>", None) == want, body[:80]
 
 
 def test_page_classes(spark, monkeypatch):
@@ -545,8 +545,8 @@ def test_page_classes(spark, monkeypatch):
             groups[tuple(sorted(vector.items()))].add(t)
     words = {e.token: max(1, len((e.text or "").split())) for _, _, page in rows for e in html_text.events(page)}
     want = {frozenset(g) for v, g in groups.items() if sum(words[t] for t in g) >= html_text.MIN_CLASS}
-    found = html_text.templates(html_text.with_host(pages)).first()["classes"]
-    mine = {frozenset(t["token"] for t in c["tokens"]) for c in found}
+    found = html_text.Template(np.array(html_text.templates(html_text.with_host(pages)).first()["packed"]))
+    mine = {frozenset(t for t, x in found.of.items() if x[0] == k) for k in range(len(found.wide))}
     texts = {e.token for _, _, page in rows for e in html_text.events(page) if e.text is not None}
     assert mine == {g for g in want if g & texts or g == max(want, key=lambda g: (len(of[next(iter(g))]), len(g)))}
 
@@ -561,7 +561,7 @@ def test_html_without_article():
         "<div><table><tr><td>cell one</td><td>cell two</td></tr></table><p>x</p></div>": "cell one\ncell two\nx",
     }
     for body, want in cases.items():
-        assert html_text.extract(f"<html><head><title>t</title></head><body>{menu}{body}<footer>foot</footer></body></html>", []) == want
+        assert html_text.extract(f"<html><head><title>t</title></head><body>{menu}{body}<footer>foot</footer></body></html>", None) == want
 
 
 # ---- 2, licences
