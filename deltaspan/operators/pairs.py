@@ -61,6 +61,16 @@ def align(df: DataFrame, pairs: DataFrame, key: str = "item", value: str = "delt
     return pairs.join(hi, "hi").join(lo, ["lo", key]).select("hi", "lo", key, "value_hi", "value_lo")
 
 
+def align_items(df: DataFrame, pairs: list[tuple[str, str]], key: str = "item", value: str = "delta") -> DataFrame:
+    """The same from scored rows, for a list of pairs: the means of all systems of an item are made in one row of it."""
+    names = sorted({s for pair in pairs for s in pair})
+    own = df.groupBy(key).agg(*[F.avg(F.when(F.col("system") == s, F.col(value))).alias(f"__{i}") for i, s in enumerate(names)])
+    at = {s: F.col(f"__{i}") for i, s in enumerate(names)}
+    each = F.array(*[F.struct(F.lit(hi).alias("hi"), F.lit(lo).alias("lo"), at[hi].alias("value_hi"), at[lo].alias("value_lo")) for hi, lo in pairs])
+    both = F.filter(each, lambda p: p["value_hi"].isNotNull() & p["value_lo"].isNotNull())
+    return own.select(key, F.explode(both).alias("p")).select("p.hi", "p.lo", key, "p.value_hi", "p.value_lo")
+
+
 def pair_means(aligned: DataFrame, digits: int = 4) -> DataFrame:
     return aligned.groupBy("hi", "lo").agg(
         F.count("*").alias("n"),
@@ -104,6 +114,18 @@ def contamination_gap(a: DataFrame, b: DataFrame, categories: DataFrame, digits:
     return out.select("system", "category", F.round("a", digits).alias("delta_a"), F.round("b", digits).alias("delta_b"), F.round(F.col("a") - F.col("b"), digits).alias("gap"))
 
 
+def contamination_gap_by(df: DataFrame, first: Column, categories: list[str], digits: int = 4) -> DataFrame:
+    """The same for one table whose rows a condition divides, and a list of categories: one pass, one row for each system."""
+    aggs = []
+    for i, c in enumerate([None, *categories]):
+        own = F.lit(True) if c is None else F.col("category") == c
+        aggs += [F.avg(F.when(side & own, F.col("delta"))).alias(f"__{name}{i}") for name, side in (("a", first), ("b", ~first))]
+    each = [F.struct(F.lit("all" if c is None else c).alias("category"), F.col(f"__a{i}").alias("a"), F.col(f"__b{i}").alias("b")) for i, c in enumerate([None, *categories])]
+    have = [F.count_if(first).alias("__na"), F.count_if(~first).alias("__nb")]
+    out = df.groupBy("system").agg(*aggs, *have).where("__na > 0 and __nb > 0").select("system", F.explode(F.array(*each)).alias("c")).select("system", "c.*")
+    return out.select("system", "category", F.round("a", digits).alias("delta_a"), F.round("b", digits).alias("delta_b"), F.round(F.col("a") - F.col("b"), digits).alias("gap"))
+
+
 def category_pivot(df: DataFrame, categories: list[str], digits: int = 4) -> DataFrame:
     """A row for each system with the count and mean difference of each category; the list is given, so one pass."""
     cells = []
@@ -120,6 +142,17 @@ def tiers_long(df: DataFrame, tiers: dict[str, tuple[str, str]], key: str = "ite
     return reduce(DataFrame.unionByName, parts)
 
 
+def ladder_items(df: DataFrame, tiers: dict[str, Column], base: str, anchor: str, key: str = "item", digits: int = 4) -> DataFrame:
+    """The ladder of scored rows in one pass: tiers map a name, in order, to the score of its rows, null on others."""
+    names = list(tiers)
+    own = df.groupBy(key).agg(*[F.avg(c).alias(f"__{i}") for i, c in enumerate(tiers.values())]).dropna(subset=[f"__{i}" for i in range(len(names))])
+    means = own.agg(F.count("*").alias("n"), *[F.avg(f"__{i}").alias(f"__{i}") for i in range(len(names))])
+    low, high = F.col(f"__{names.index(base)}"), F.col(f"__{names.index(anchor)}")
+    each = [F.struct(F.lit(t).alias("tier"), F.lit(i).cast("bigint").alias("place"), F.col(f"__{i}").alias("m")) for i, t in enumerate(names)]
+    out = means.where("n > 0").select("n", low.alias("low"), high.alias("high"), F.explode(F.array(*each)).alias("t")).select("t.*", "n", "low", "high")
+    return out.select("tier", "place", "n", F.round("m", digits).alias("score"), F.round(F.col("high") - F.col("m"), digits).alias("delta_vs_clean"), F.round(F.col("m") - F.col("low"), digits).alias("recovery"))
+
+
 def ladder(tiers: DataFrame, base: str, anchor: str, order: list[str], digits: int = 4) -> DataFrame:
     """Mean score of each tier over the items that all tiers have; what is missing to the anchor; what is won from the
     base."""
@@ -163,8 +196,10 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-    return df.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    """The row of each key that comes last; one of each key and task is left before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    own = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row"))
+    return own.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
 def weighted(value: Column, weight: Column) -> Column:

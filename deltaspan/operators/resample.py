@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SEED = 20260722
 #: Up to so many items are broadcast to their draws (some 50 bytes each); beyond it the draws are shuffled to them.
 BROADCAST_ITEMS = 500_000
+BROADCAST_GROUPS = 100_000
 
 
 def order_bounds(rounds: int, level: float = 0.05) -> tuple[int, int]:
@@ -72,9 +73,22 @@ def paired_frozen(aligned: DataFrame, order: str, rounds: int = 2000) -> DataFra
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Rows with pos from 0 within their group and its size n; the items of a group, not its draws, meet in a window."""
-    n = df.groupBy(*by).agg(F.count("*").alias("n"))
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1).join(n, by)
+    """Rows with pos from 0 within their group and its size n.
+
+    The rows are sorted over all tasks by ranges; a row's number is its task's offset and its place there, so that a
+    group may have any number of rows. They are persisted, as both passes must see the same ranges.
+    """
+    own = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    total, offset = 0, []
+    for r in own.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():  # a row for each task
+        offset.append((r["task"], total))
+        total += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(offset, "__task long, __offset long"))
+    own = own.withColumn("__task", task).join(offsets, "__task").withColumn("__at", F.col("__offset") + place).drop("__task", "__offset")
+    group = own.groupBy(*by).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    few = group.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return own.join(F.broadcast(group) if few else group, by).withColumn("pos", F.col("__at") - F.col("__first")).drop("__at", "__first")
 
 
 def hashed_place(turn: Column, number: Column, n: Column) -> Column:
@@ -108,8 +122,9 @@ def mean_interval_portable(df: DataFrame, by: str, value: str, order: list[str],
     return items.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(bounds(drawn, [by], "m", rounds), by)
 
 
-def paired_portable(aligned: DataFrame, order: list[str], rounds: int) -> DataFrame:
-    by = ["hi", "lo"]
+def paired_portable(aligned: DataFrame, order: list[str], rounds: int, groups: list[str] | None = None) -> DataFrame:
+    """The difference of aligned values by pair, or by other columns, with its interval, p and whether it is above zero."""
+    by = groups or ["hi", "lo"]
     items = numbered(aligned.select(*by, "value_hi", "value_lo", *order).withColumn("d", F.col("value_hi") - F.col("value_lo")), by, order)
     point = items.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("diff"))
     # rounded before they are compared and ordered, so that the order of sums can't tell draws apart

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+from typing import Any
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.splice import CATEGORIES, replace_in_turn
@@ -213,21 +219,35 @@ def contract_violation(answer: Column, source: Column, meta: str = META, codes:
     )
 
 
-#: Forms in a block of a scan for leaks.
-LEAK_FORMS = 1000
+#: Forms in a block of a scan for leaks; an automaton takes some hundred bytes for each.
+LEAK_FORMS = 100_000
 
 
 def leaked(examples: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
-    """How many rows hold each example form in any of the fields; the forms are broadcast in blocks of about LEAK_FORMS."""
-    hit = None
-    for f in fields:
-        own = F.contains(F.coalesce(F.col(f), F.lit("")), F.col("form"))
-        hit = own if hit is None else hit | own
+    """How many rows hold each example form in any of the fields.
+
+    One pass over the rows for each block of LEAK_FORMS forms, whatever their number: an automaton finds all forms of a
+    text at once, and a task counts them before the shuffle. An empty form is in no row.
+    """
     blocks = max(1, -(-examples.count() // LEAK_FORMS))
     counts = None
     for k in range(blocks):
-        own = examples.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k)
-        part = rows.join(F.broadcast(own), hit, "inner").groupBy("form").agg(F.count("*").alias("n"))
+        own = examples.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k).where("form <> ''").select("form").distinct()
+        forms = rows.sparkSession.sparkContext.broadcast([r["form"] for r in own.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], forms: Any = forms) -> Iterator[pa.RecordBatch]:
+            found: Counter[int] = Counter()
+            if forms.value:
+                machine = ahocorasick.Automaton()
+                for i, form in enumerate(forms.value):
+                    machine.add_word(form, i)
+                machine.make_automaton()
+                for batch in batches:
+                    for texts in zip(*[batch[f].to_pylist() for f in fields], strict=True):
+                        found.update({i for t in texts if t for _, i in machine.iter(t)})
+            yield pa.record_batch({"form": pa.array([forms.value[i] for i in found], type=pa.string()), "n": pa.array(list(found.values()), type=pa.int64())})
+
+        part = rows.select(*fields).mapInArrow(run, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
         counts = part if counts is None else counts.unionByName(part)
     return examples.join(counts, "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -235,3 +255,33 @@ def leaked(examples: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame
 def served_mismatch(requested: Column, served: Column) -> Column:
     """The ids that were served and don't begin with the one asked for."""
     return F.filter(served, lambda s: ~F.startswith(s, requested))
+
+
+def reuse_problems(spark: SparkSession, files: dict[str, str], want: int, fields: tuple[str, ...] = ("hyp_noisy", "hyp_clean"), versions: dict[str, dict[str, str]] | None = None) -> list[str]:
+    """Why outputs of an earlier run mayn't be used again: a file that isn't there, of other length, with an empty first row, or of other versions.
+
+    files: a name and a path of JSON lines each; want: the rows that each must have. versions: by name, the values that
+    the manifest beside the file (path with .manifest.json for .jsonl) must have under ``protocol``.
+    """
+    from pyspark.errors import AnalysisException
+
+    out = []
+    for name, path in files.items():
+        try:
+            rows = spark.read.schema(", ".join(f"{f} string" for f in fields)).json(path)
+            n = rows.count()
+        except AnalysisException:
+            out.append(f"{name}: missing")
+            continue
+        if n != want:
+            out.append(f"{name}: {n} rows, not {want}")
+        elif (first := rows.first()) is None or not all(first[f] for f in fields):
+            out.append(f"{name}: empty fields in the first row")
+        for key, value in (versions or {}).get(name, {}).items():
+            try:
+                said = spark.read.option("multiLine", True).json(path.removesuffix(".jsonl") + ".manifest.json").select(f"protocol.{key}").first()[0]
+            except AnalysisException:
+                said = None
+            if said != value:
+                out.append(f"{name}: {key} is {said}, not {value}")
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -26,14 +26,38 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = "s AS (SELECT l_returnflag AS system, o_orderpriority AS category, l_orderkey AS item, l_extendedprice AS clean, l_extendedprice * (1 - l_discount) AS noisy, l_extendedprice - l_extendedprice * (1 - l_discount) AS delta, o_orderdate AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold spans: every place of the terms in the whole texts."""
+def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with its gold spans: every place of the terms in the whole text."""
     from ..functions.splice import occurrences
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text", "lang")
-    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(c).alias("category")) for t, c in TERMS.items()])
-    each = docs.select("uid", "lang", "text", F.explode(terms).alias("t")).select("uid", "lang", "t.*", F.explode(occurrences(F.col("text"), F.col("t.term"))).alias("start"))
-    return each.select("uid", "lang", "term", "category", "start", (F.col("start") + F.length("term")).alias("end"), F.concat_ws(":", F.lpad(F.col("start").cast("string"), 9, "0"), "term").alias("gi"))
+
+    def places(term: str, category: str) -> Column:
+        gi = lambda s: F.concat_ws(":", F.lpad(s.cast("string"), 9, "0"), F.lit(term))
+        return F.transform(occurrences(F.col("text"), F.lit(term)), lambda s: F.struct(F.lit(term).alias("term"), F.lit(category).alias("category"), s.alias("start"), (s + len(term)).alias("end"), gi(s).alias("gi")))
+
+    return docs.select("uid", "lang", F.concat(*[places(t, c) for t, c in TERMS.items()]).alias("gold"))
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a row for each span."""
+    return gold_rows(spark, sf_dir).select("uid", "lang", F.explode("gold").alias("g")).select("uid", "lang", "g.*")
+
+
+def _prediction(uid: Column, span: Column) -> tuple[Column, Column, Column]:
+    """Whether a gold span is predicted, by how much shifted, and as what."""
+    k = uid * 31 + span["start"]
+    return k % 5 != 0, k % 3, F.when(k % 7 == 0, "NEO").otherwise(span["category"])
+
+
+def predicted_spans(uid: Column, spans: Column) -> Column:
+    """The predictions made from an array of gold spans."""
+
+    def one(s: Column) -> Column:
+        _, shift, kind = _prediction(uid, s)
+        return F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"), kind.alias("type"))
+
+    return F.transform(F.filter(spans, lambda s: _prediction(uid, s)[0]), one)
 
 
 def predicted(spans: DataFrame) -> DataFrame:

@@ -40,10 +40,7 @@ def values(spark: SparkSession, column: str, items: list[str]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in items], f"{column} string")
 
 
-def pair_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("A", "N"), ("A", "R"), ("R", "N")], "hi string, lo string")
-
-
+PAIRS = [("A", "N"), ("A", "R"), ("R", "N")]
 PAIRS_SQL = "pl(hi, lo) AS (VALUES ('A', 'N'), ('A', 'R'), ('R', 'N'))"
 ITEM_SQL = "i AS (SELECT system, item, avg(delta) AS delta FROM s GROUP BY ALL)"
 CATS_SQL = "c(category) AS (VALUES " + ", ".join(f"('{c}')" for c in [*PRIORITIES, "6-NEVER"]) + ")"
@@ -65,7 +62,7 @@ def paired_relative_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORES_SQL}, {ITEM_SQL}, {PAIRS_SQL} SELECT hi, lo, count(*) AS n, round(avg(a.delta), 4) AS mean_hi, round(avg(b.delta), 4) AS mean_lo, round(avg(a.delta) - avg(b.delta), 4) AS diff FROM pl JOIN i a ON a.system = hi JOIN i b ON b.system = lo AND a.item = b.item GROUP BY ALL")
 def system_pair_align(spark: SparkSession, d: str) -> DataFrame:
-    return P.pair_means(P.align(P.item_means(D.scores(spark, d)), pair_list(spark)))
+    return P.pair_means(P.align_items(P.with_delta(D.scores(spark, d)), PAIRS))
 
 
 @query(f"WITH {SCORES_SQL}, h AS (SELECT item, count(DISTINCT system) AS k FROM s GROUP BY item) SELECT count(*) FILTER (k = (SELECT count(DISTINCT system) FROM s)) AS n_shared, count(*) FILTER (k < (SELECT count(DISTINCT system) FROM s)) AS n_dropped FROM h")
@@ -75,15 +72,15 @@ def shared_keys_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORES_SQL}, {ITEM_SQL}, k AS (SELECT item FROM i GROUP BY item HAVING count(*) = 3), m AS (SELECT system AS tier, count(*) AS n, avg(delta) AS m FROM i WHERE item IN (SELECT item FROM k) GROUP BY system) SELECT tier, CAST(CASE tier WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS BIGINT) AS place, n, round(m, 4) AS score, round((SELECT m FROM m WHERE tier = 'R') - m, 4) AS delta_vs_clean, round(m - (SELECT m FROM m WHERE tier = 'A'), 4) AS recovery FROM m")
 def ladder_recovery(spark: SparkSession, d: str) -> DataFrame:
-    tiers = P.tiers_long(P.item_means(D.scores(spark, d)), {s: (s, "delta") for s in SYSTEMS})
-    return P.ladder(tiers, "A", "R", SYSTEMS)
+    tiers = {s: F.when(F.col("system") == s, F.col("delta")) for s in SYSTEMS}
+    return P.ladder_items(P.with_delta(D.scores(spark, d)), tiers, "A", "R")
 
 
 @query(f"WITH {SCORES_SQL}, {CATS_SQL}, g AS (SELECT system, category FROM (SELECT DISTINCT system FROM s), (SELECT category FROM c UNION ALL SELECT 'all')), m AS (SELECT system, coalesce(category, 'all') AS category, avg(delta) FILTER (day < TIMESTAMP '1998-01-01') AS a, avg(delta) FILTER (day >= TIMESTAMP '1998-01-01') AS b FROM s GROUP BY GROUPING SETS ((system), (system, category))) SELECT g.system, g.category, round(a, 4) AS delta_a, round(b, 4) AS delta_b, round(a - b, 4) AS gap FROM g LEFT JOIN m USING (system, category)")
 def contamination_gap(spark: SparkSession, d: str) -> DataFrame:
     own = P.with_delta(D.scores(spark, d))
     old = F.col("day") < F.lit("1998-01-01").cast("timestamp")
-    return P.contamination_gap(own.where(old), own.where(~old), values(spark, "category", [*PRIORITIES, "6-NEVER"]))
+    return P.contamination_gap_by(own, old, [*PRIORITIES, "6-NEVER"])
 
 
 @query(f"WITH {SCORES_SQL}, {CATS_SQL} SELECT category, round(avg(delta), 4) AS mean FROM c LEFT JOIN s USING (category) GROUP BY category UNION ALL SELECT 'all', round(avg(delta), 4) FROM s")
@@ -207,7 +204,7 @@ def boot_ci_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paired_boot_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
-    out = R.paired_portable(P.align(P.item_means(D.scores(spark, d)), pair_list(spark)), ["item"], rounds)
+    out = R.paired_portable(P.align_items(P.with_delta(D.scores(spark, d)), PAIRS), ["item"], rounds)
     return out.select("hi", "lo", "n", *[F.round(c, 4).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "gate")
 
 
@@ -309,19 +306,18 @@ SINGLE_SQL = "u AS (SELECT uid FROM g GROUP BY uid HAVING count(*) = 1), g1 AS (
 
 
 def _single(spark: SparkSession, d: str) -> DataFrame:
-    g = D.gold(spark, d)
-    one = g.groupBy("uid").agg(F.count("*").alias("k")).where("k = 1").select("uid")
-    g = g.join(one, "uid", "left_semi")
-    sides = g.groupBy("uid", "category").agg(F.collect_list(F.struct(F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("occ"), "category")).alias("gold_spans"))
-    p = D.predicted(g).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "type")).alias("spans"))
-    return M.score_sentences(sides.join(p, "uid", "left"))
+    """Sentences of one gold span, with the prediction, as arrays of their rows: no join."""
+    own = D.gold_rows(spark, d).where("size(gold) = 1")
+    place = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))
+    sides = F.transform("gold", lambda g: F.struct(F.array(place(g)).alias("occ"), g["category"].alias("category")))
+    return M.score_sentences(own.select("uid", F.get("gold", F.lit(0))["category"].alias("category"), sides.alias("gold_spans"), D.predicted_spans(F.col("uid"), F.col("gold")).alias("spans")))
 
 
 @query(f"WITH {GOLD_SQL}, {SINGLE_SQL} SELECT category, gold, predicted, located, located_typed, located_exact, located_exact_typed, located_iou50, round(located / gold, 4) AS span_recall, round(coalesce(located / nullif(predicted, 0), 0), 4) AS span_precision FROM k")
 def span_single_best(spark: SparkSession, d: str) -> DataFrame:
-    sums = M.merged(_single(spark, d), "category")
-    rate = M.rates(sums).select("category", "span_recall", "span_precision")
-    return sums.select("category", "gold", "predicted", "located", "located_typed", "located_exact", "located_exact_typed", "located_iou50").join(rate, "category")
+    counts = ["gold", "predicted", "located", "located_typed", "located_exact", "located_exact_typed", "located_iou50"]
+    sums = M.merged(_single(spark, d), "category").withColumns({f"n_{c}": F.col(c) for c in counts})
+    return M.rates(sums).select("category", *[F.col(f"n_{c}").alias(c) for c in counts], "span_recall", "span_precision")
 
 
 @query(f"WITH {GOLD_SQL}, {SINGLE_SQL}, r AS (SELECT round(located / gold, 4) AS r, round(coalesce(2 * (located / nullif(predicted, 0)) * (located / gold) / nullif(located / nullif(predicted, 0) + located / gold, 0), 0), 4) AS f FROM k) SELECT round(avg(r), 4) AS macro_span_recall, round(avg(f), 4) AS macro_span_f1 FROM r")
@@ -339,18 +335,6 @@ def span_greedy_score(spark: SparkSession, d: str) -> DataFrame:
     return M.rates(M.merged(M.score_sentences(own.join(p, "uid", "left")), "stratum"))
 
 
-@query(f"WITH {GOLD_SQL}, {PAIR_SQL}, h AS (SELECT DISTINCT uid, gi FROM o), f AS (SELECT g.uid, g.gi, category, CASE WHEN h.gi IS NOT NULL THEN 1 ELSE 0 END AS hit, CASE WHEN (g.uid * 17 + g.start) % 10 < 3 THEN 1 ELSE 0 END AS chance FROM g LEFT JOIN h ON g.uid = h.uid AND g.gi = h.gi) SELECT coalesce(category, 'pooled') AS category, count(*) AS gold, round(avg(hit), 4) AS recall, round(avg(chance), 4) AS floor, round(avg(hit) - avg(chance), 4) AS lift FROM f GROUP BY GROUPING SETS ((), (category))")
-def lift_over_floor(spark: SparkSession, d: str) -> DataFrame:
-    g = D.gold(spark, d)
-    hit = M.overlap_pairs(g, D.predicted(g)).select("uid", "gi").distinct().withColumn("hit", F.lit(1))
-    f = g.join(hit, ["uid", "gi"], "left").select("category", F.coalesce("hit", F.lit(0)).alias("hit"), ((F.col("uid") * 17 + F.col("start")) % 10 < 3).cast("int").alias("chance"))
-    out = f.groupBy("category").agg(F.count("*").alias("gold"), F.avg("hit").alias("recall"), F.avg("chance").alias("floor"))
-    # the pooled row weighs classes by their gold spans
-    pooled = out.agg(F.sum("gold").alias("gold"), P.weighted(F.col("recall"), F.col("gold")).alias("recall"), P.weighted(F.col("floor"), F.col("gold")).alias("floor")).select(F.lit("pooled").alias("category"), "gold", "recall", "floor")
-    out = out.unionByName(pooled)
-    return out.select("category", "gold", F.round("recall", 4).alias("recall"), F.round("floor", 4).alias("floor"), F.round(F.col("recall") - F.col("floor"), 4).alias("lift"))
-
-
 @query("WITH x AS (SELECT doc_id, quality AS t, CASE WHEN regexp_matches(text, '[#$%&*]{3}') THEN 0 ELSE 1 END AS l FROM labels JOIN documents USING (doc_id)) SELECT t AS quality, count(*) FILTER (l = 0) AS as_0, count(*) FILTER (l = 1) AS as_1 FROM x GROUP BY t")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return M.confusion(_labelled(spark, d), "quality", "label", ["0", "1"])
@@ -428,13 +412,6 @@ def overlap_membership(spark: SparkSession, d: str) -> DataFrame:
 GRAMS = "list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))"
 
 
-@query(f"WITH a AS (SELECT item_id AS l, {GRAMS} AS g FROM (SELECT item_id, lower(text) AS t FROM benchmark) WHERE length(t) >= 4), b AS (SELECT doc_id AS r, {GRAMS} AS g FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE length(t) >= 4), x AS (SELECT l, len(g) AS n, unnest(g) AS k FROM a), y AS (SELECT r, len(g) AS m, unnest(g) AS k FROM b), c AS (SELECT l, r, count(*) AS o, max(n) AS n, max(m) AS m FROM x JOIN y USING (k) GROUP BY l, r) SELECT l, r, round(o / (n + m - o), 6) AS jaccard FROM c WHERE o / (n + m - o) >= 0.6")
-def near_duplicate_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda name, key, out: table(spark, d, name).select(F.col(key).alias(out), F.lower("text").alias("t")).where("length(t) >= 4").select(out, X.char_grams(F.col("t")).alias("grams"))
-    out = O.near_duplicates(side("benchmark", "item_id", "l"), side("documents", "doc_id", "r"), 0.6)
-    return out.select("l", "r", F.round("jaccard", 6).alias("jaccard"))
-
-
 WORDS_SQL = "a AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM benchmark) GROUP BY word), b AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word)"
 
 
