@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sampled(labels: DataFrame, size: int) -> DataFrame:
+    """About ``size`` of the rows of (doc_id, label), nulls and repeats left out, by a hash; all where they are fewer."""
+    own = labels.where("doc_id is not null and label is not null").distinct()
+    total = own.count()
+    return own if total <= size else own.where(F.pmod(F.xxhash64("doc_id", "label"), F.lit(1_000_003)) < int(1_000_003 * size / total))
+
+
 #: A key with more than this share of the rows is heavy: there are at most 1 / HEAVY of them, so that they may be broadcast.
 HEAVY = 1e-4
 

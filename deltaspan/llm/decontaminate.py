@@ -1,14 +1,18 @@
-"""Benchmark decontamination: a prefix search over rare shingles of the items, then exact shingle containment.
+"""Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
 A document is contaminated by an item if it holds at least 0.8 of the item's distinct five-word shingles, anywhere in
 its whole text. Such a document misses at most n - ceil(0.8 n) of an item's n shingles, so that it holds one at least
-of any n - ceil(0.8 n) + 1 of them. Of each item so many are listed, those that the fewest items hold, and every
-shingle of a document is looked up in the list: no pair is missed, however short the item or scattered the passage.
-Each meeting is verified by exact containment in the whole document.
+of any n - ceil(0.8 n) + 1 of them. An item's sketch are so many of its least shingles, a bottom-k MinHash whose k grows
+with the item; shingles are ordered by how many items hold them and then by hash, so that sketches are made of rare ones.
+Items are partitioned by size, each class twice as large as the one before; a document with fewer shingles than 0.8 of a
+class's smallest item isn't searched for that class. Every shingle of a document is looked up in the sketches: unlike
+with a fixed number of registers no pair is missed, however short the item or scattered the passage. Each meeting is
+verified by exact containment in the whole document.
 
 Nulls: a null text or item has no shingles and matches nothing. An item of under five words has no five-word shingle
 and is never found. Repeated documents and repeated items each give rows of their own; null ids are carried. Empty
-tables give empty results.
+tables give empty results. Only ids and texts are read; other columns, whatever their names, pass through ``remove`` and
+are ignored by ``found``.
 """
 
 from __future__ import annotations
@@ -28,8 +32,31 @@ CONTAINMENT = 0.8
 INDEX_SHINGLES = 1 << 21
 
 
+class _Sketches:
+    """The sketches of the items of one class, sorted, with the item of each entry."""
+
+    def __init__(self, value: np.ndarray, owner: np.ndarray, least: int) -> None:
+        order = np.argsort(value, kind="stable")
+        self.value, self.owner, self.least = value[order], owner[order], least
+        self.mask = np.uint64((1 << int(np.clip(4 + len(value).bit_length(), 12, 24))) - 1)
+        self.bitmap = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.bitmap[self.value & self.mask] = True
+
+    def candidates(self, full: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """(row, item) of shingles, given with their rows, that stand in an item's sketch."""
+        hit = np.flatnonzero(self.bitmap[full & self.mask])
+        lo = np.searchsorted(self.value, full[hit], side="left")
+        good = np.searchsorted(self.value, full[hit], side="right") > lo
+        # a shingle that a text repeats counts once
+        once = np.unique(np.stack([row[hit][good], lo[good]], axis=1), axis=0)
+        own, lo = once[:, 0], once[:, 1]
+        n = np.searchsorted(self.value, self.value[lo], side="right") - lo
+        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.stack([np.repeat(own, n), self.owner[which]], axis=1)
+
+
 class Index:
-    """Items in memory: sorted shingles, and a list of rare ones, sorted, with the items that hold them."""
+    """Items in memory, and their sketches by class of size."""
 
     def __init__(self, items: list[np.ndarray]) -> None:
         self.items = items
@@ -38,25 +65,22 @@ class Index:
         _, which, held = np.unique(value, return_inverse=True, return_counts=True)
         order = np.lexsort((value, held[which], owner))
         place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
-        rare = order[place < np.repeat(size - np.ceil(CONTAINMENT * size).astype(np.int64) + 1, size)]
-        rare = rare[np.argsort(value[rare], kind="stable")]
-        self.rare, self.owner = value[rare], owner[rare]
-        self.mask = np.uint64((1 << int(np.clip(4 + len(rare).bit_length(), 16, 24))) - 1)
-        self.bitmap = np.zeros(int(self.mask) + 1, dtype=bool)
-        self.bitmap[self.rare & self.mask] = True
+        sketch = order[place < np.repeat(size - np.ceil(CONTAINMENT * size).astype(np.int64) + 1, size)]
+        level = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+        self.classes = []
+        for k in np.unique(level):
+            own = sketch[level[owner[sketch]] == k]
+            self.classes.append(_Sketches(value[own], owner[own], int(np.ceil(CONTAINMENT * size[level == k].min()))))
 
     def candidates(self, full: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (row, item) whose text holds a listed shingle of the item, as one sorted array of pairs."""
-        hit = np.flatnonzero(self.bitmap[full & self.mask])
-        lo = np.searchsorted(self.rare, full[hit], side="left")
-        row = np.searchsorted(at, hit, side="right") - 1
-        good = np.searchsorted(self.rare, full[hit], side="right") > lo
-        # a shingle that a text repeats counts once
-        once = np.unique(np.stack([row[good], lo[good]], axis=1), axis=0)
-        row, lo = once[:, 0], once[:, 1]
-        n = np.searchsorted(self.rare, self.rare[lo], side="right") - lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.unique(np.stack([np.repeat(row, n), self.owner[which]], axis=1), axis=0)
+        """Distinct (row, item) whose text holds a shingle of the item's sketch, as one sorted array of pairs."""
+        count = np.diff(at)
+        row = np.repeat(np.arange(len(count)), count)
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        for c in self.classes:
+            large = count[row] >= c.least
+            out.append(c.candidates(full, row) if large.all() else c.candidates(full[large], row[large]))
+        return np.unique(np.concatenate(out), axis=0)
 
     def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, item and shared shingles of each verified match."""

@@ -4,12 +4,13 @@ A logistic model over binned shape counts of the whole text, fitted to a bounded
 a probability of good quality. Sums of these by host and by path within the host, two grouped aggregates, give each
 level a posterior mean that is shrunk towards the level above: (sum + a x parent) / (n + a), with a by the method of
 moments from the spread between groups, so that sparse sites lean on the global prior and large ones on themselves.
-A document's own probability is left out of its site's. Its score adds, in log-odds, how far its path lies from the
-global prior.
+A document's own probability is left out of its site's. Its score is the posterior given both: its own evidence is the
+odds of its probability over the global ones, the path's posterior is the prior that this evidence meets.
 
 Nulls: a null text counts as empty; a null host has the global prior and a null path its host's; null labels are left
-out. Without labels of both kinds the document's evidence is their smoothed share. Repeated rows count each, an empty
-table gives an empty result, and other columns don't matter.
+out. Without labels of both kinds the document's evidence is their smoothed share. Repeated rows count each; of repeated
+ids one row is learnt from. A score of 0.5 is kept. An empty table gives an empty result, and other columns, whatever
+their names, don't matter.
 """
 
 from __future__ import annotations
@@ -18,14 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sampled, spread_join
 from .quality import counts
 
 SAMPLE_ROWS = 20_000
-#: Site tables of up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
-#: How much of a path's distance from the prior, in log-odds, a document takes over.
-SITE_WEIGHT = 0.5
 
 #: Bins of each ratio, by their upper edges.
 EDGES = {
@@ -80,11 +77,10 @@ def logistic(bin_rows: np.ndarray, label: np.ndarray) -> tuple[float, list[list[
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, list[list[float]]]:
-    own = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isNotNull())
-    total = own.count()
-    if total > SAMPLE_ROWS:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * SAMPLE_ROWS / total))
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("label", counts(F.col("text")).alias("c")).select("label", bins(F.col("c")).alias("b"))
+    own = sampled(labels.select("doc_id", F.col("quality").alias("label")), SAMPLE_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), counts(F.col("text")).alias("c"))
+    # a row for each label: of repeated ids the one whose text has the least hash
+    rows = rows.select("doc_id", "label", "h", bins(F.col("c")).alias("b")).groupBy("doc_id", "label").agg(F.min_by("b", "h").alias("b")).orderBy("doc_id", "label")
     # 3 to 7 bins for each of 8 ratios: what is gathered is the sample, bounded by SAMPLE_ROWS
     got = rows.toArrow().combine_chunks()
     label = (got["label"].to_numpy() > 0).astype(np.float64)
@@ -128,14 +124,16 @@ def scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Da
     mean = float(seen.agg(F.avg("p")).first()[0] or 0.5)
     a_host, a_path = concentration(hosts), concentration(paths)
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-    out = seen.join(small(hosts.select("host", F.col("n").alias("nh"), F.col("s").alias("sh"))), "host", "left")
-    out = out.join(small(paths.select("host", "path", F.col("n").alias("np"), F.col("s").alias("sp"))), ["host", "path"], "left")
+    # rows without a host or path meet the levels above; a site's rows may be any number, so that large sites are broadcast
+    total = seen.count()
+    with_path = spread_join(seen.dropna(subset=["host", "path"]), paths.select("host", "path", F.col("n").alias("np"), F.col("s").alias("sp"), F.col("n").alias("w")), ["host", "path"], "w", total)
+    rest = seen.where("host is null or path is null").select("host", "path", "doc_id", "p", F.lit(None).cast("long").alias("np"), F.lit(None).cast("double").alias("sp"))
+    both = with_path.select("host", "path", "doc_id", "p", "np", "sp").unionByName(rest)
+    of_host = spread_join(both.where("host is not null"), hosts.select("host", F.col("n").alias("nh"), F.col("s").alias("sh"), F.col("n").alias("w")), ["host"], "w", total)
+    out = of_host.select("doc_id", "p", "np", "sp", "nh", "sh").unionByName(both.where("host is null").select("doc_id", "p", "np", "sp", F.lit(None).cast("long").alias("nh"), F.lit(None).cast("double").alias("sh")))
     own = F.col("p")
     at_host = F.coalesce((F.col("sh") - own + a_host * mean) / (F.col("nh") - 1 + a_host), F.lit(mean))
     at_path = F.coalesce((F.col("sp") - own + a_path * F.col("host_posterior")) / (F.col("np") - 1 + a_path), F.col("host_posterior"))
     out = out.withColumn("host_posterior", at_host).withColumn("path_posterior", at_path)
-    score = _sigmoid(_logit(own) + SITE_WEIGHT * (_logit(F.col("path_posterior")) - F.lit(float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))))))
+    score = _sigmoid(_logit(own) + _logit(F.col("path_posterior")) - _logit(F.lit(mean)))
     return out.select("doc_id", own.alias("own_probability"), "host_posterior", "path_posterior", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)

@@ -6,10 +6,11 @@ distinct pre-tokens of a batch are walked as a trie (in sorted order, with the p
 shared prefix is scored once, and each terminal keeps its count of tokens. A character that no piece covers is spelt
 in bytes, a token each. Of splits with equal scores the one with fewer tokens counts.
 
-The vocabulary is read on the driver from a path that is a parameter, and broadcast; it is bounded by its file. Its
-pieces have ranks; their unigram scores follow Zipf's law, minus the logarithm of the rank. Counts of pre-tokens seen
-are kept within a task up to CACHE entries and then forgotten; that changes no count. Nulls and empty texts have no
-tokens, repeated rows equal counts, an empty table an empty result, and other columns don't matter.
+The model is a parameter: pieces with their scores, or the path of a sentencepiece file, which is read on the driver and
+broadcast, bounded by its file. A unigram file has scores of its own; of other files only the order of the pieces is
+used, and the score is minus the logarithm of the rank (Zipf's law). Counts of pre-tokens seen are kept within a task up
+to CACHE entries and then forgotten; that changes no count. Nulls and empty texts have no tokens, repeated rows equal
+counts, an empty table an empty result, and other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ BYTE_SCORE = -25.0
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[str, float]:
-    """Scores of the pieces that stand for text, by rank."""
+    """Scores of the pieces of a file that stand for text."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    kind = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
+    if kind.model_type == kind.UNIGRAM:
+        return {model.id_to_piece(i): model.get_score(i) for i in own}
     own.sort(key=lambda i: (-model.get_score(i), i))
     return {model.id_to_piece(i): -math.log(rank + 2) for rank, i in enumerate(own)}
 
@@ -64,9 +69,9 @@ def split_counts(pretokens: Iterable[str], pieces: dict[str, float], longest: in
         yield word, count[-1]
 
 
-def counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def counts(docs: DataFrame, model: str | dict[str, float] = VOCABULARY) -> DataFrame:
     """doc_id, n_pretokens and n_tokens for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(model) if isinstance(model, str) else model)
     seen: dict[bytes, int] = {}
 
     def run(texts: pa.Array) -> pa.Array:

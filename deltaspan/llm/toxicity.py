@@ -8,8 +8,9 @@ every whole text.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are never read. Null texts have no terms and
 score as the bias does; null labels and labels of documents that aren't there are left out; a null doc_id isn't held
-out. Without labels of both kinds the score is the smoothed share of toxic labels. Repeated rows score alike; a
-document with several labels counts for each. An empty table gives an empty result.
+out. Without labels of both kinds the score is the smoothed share of toxic labels. Repeated rows score alike; of repeated
+ids one row is learnt from, once for each label that differs. A score of 0.5 is predicted toxic. An empty table gives an
+empty result. Only doc_id and text are read; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
 from .kernels import Runs, chunks, mix, raw, words
 
 BUCKETS = 1 << 18
@@ -128,10 +130,7 @@ def train(bucket: np.ndarray, at: np.ndarray, label: np.ndarray, seed: int = 3)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
-    own = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    total = own.count()
-    if total > SAMPLE_ROWS:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * SAMPLE_ROWS / total))
+    own = sampled(labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id"))), SAMPLE_ROWS)
 
     def hashed(texts: pa.Array) -> pa.Array:
         bucket, at = terms(texts)
@@ -139,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
 
     use = F.arrow_udf(hashed, "array<int>").asNondeterministic()
     # the sample is bounded, so that it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "label", use(F.col("text")).alias("t")).toArrow()
+    each = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), use(F.col("text")).alias("t"))
+    # a row for each label, however often its id is repeated: that whose text has the least hash
+    sample = each.groupBy("doc_id", "label").agg(F.min_by("t", "h").alias("t")).toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
     lists = sample["t"].combine_chunks()
     label = (sample["label"].to_numpy() > 0).astype(np.float64)
