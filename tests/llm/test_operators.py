@@ -462,6 +462,31 @@ def test_toxicity(spark, odd, none, labels):
     assert toxicity.scores(none, labels).count() == 0 and toxicity.scores(odd, labels.limit(0)).where("score is null").count() == 0
 
 
+def test_toxicity_repeated_ids(spark):
+    """A labelled id that thousands of rows have is learnt from once."""
+    docs = spark.createDataFrame([(1, f"insult number {i}") for i in range(3000)] + [(i, "plain words") for i in range(2, 60)], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(1, 1)] * 5 + [(i, 0) for i in range(2, 60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, lab)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(2, 60))
+    assert math.isclose(model.w0, math.log(1.5 / (58 - held + 0.5)), abs_tol=2.0)
+    rows = toxicity.scores(docs.withColumn("score", F.lit("x")).withColumn("label", F.lit(0)), lab)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"] and rows.count() == docs.count()
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that the operators use inside don't matter."""
+    names = ["s", "c", "d", "r", "k1", "cell", "tokens", "p", "pattern", "kind", "spans", "item", "m", "n", "turn", "label"]
+    text = "a mail to a@b.co and some more words that make this text long enough"
+    docs = spark.createDataFrame([(1, text, "en", "x"), (2, text + " and an end", "de", "y")], "doc_id bigint, text string, lang string, source string")
+    wide = docs.withColumns({c: F.lit(7) for c in names})
+    bench = spark.createDataFrame([(5, "some more words that make this text long enough and", 0)], "item_id bigint, text string, n int")
+    same = lambda f: sorted(map(str, f(docs).collect())) == sorted(map(str, f(wide).collect()))
+    assert same(quality.verdicts) and same(pii.scan) and same(near_duplicates.assign) and same(token_counts.counts) and same(licenses.scan)
+    assert same(lambda x: decontaminate.found(x, bench)) and same(lambda x: mixing.rates(x, x, "lang"))
+    for f in (quality.keep_good, pii.redact, near_duplicates.keep_one, lambda x: decontaminate.remove(x, bench)):
+        assert f(wide).columns == wide.columns and f(wide).count() == f(docs).count()
+
+
 def test_machine_by_definition():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(np.arange(10), 0.3, rng.normal(size=10), rng.normal(size=(10, 4)))
@@ -651,6 +676,21 @@ def test_trie_by_force():
     assert dict(token_counts.split_counts(words, pieces, max(map(len, pieces)))) == {w: best_split(w, pieces) for w in words}
 
 
+def test_token_counts_as_a_unigram_tokenizer(spark):
+    """A model given as a parameter, against the splits of a public implementation."""
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(23)
+    letters = "abcde"
+    pieces = {token_counts.MARK: -6.0} | {c: -7.0 - rng.random() for c in letters}
+    pieces |= {"".join(rng.choice(letters + token_counts.MARK * (k == 0)) for k in range(rng.randrange(2, 5))): -rng.random() * 6 for _ in range(60)}
+    tokenizer = Tokenizer(models.Unigram([("<unk>", -100.0), *pieces.items()], 0, False))
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 20))) for _ in range(60)]
+    got = by_id(token_counts.counts(spark.createDataFrame(rows_of(texts), SCHEMA), pieces))
+    for i, t in enumerate(texts):
+        assert got[i]["n_tokens"] == sum(len(tokenizer.encode(token_counts.MARK + w).tokens) for w in t.split())
+
+
 # ---- 6, site quality
 
 
@@ -675,6 +715,14 @@ def test_site_quality(spark, odd, none, labels):
     r = got[0]
     mine = [p[i] for i in p if rows[i][2] == rows[r["doc_id"]][2]]
     assert math.isclose(r["host_posterior"], (sum(mine) - p[r["doc_id"]] + a * mean) / (len(mine) - 1 + a), rel_tol=1e-9)
+    # path posteriors and scores of all rows
+    a_path = site_quality.concentration(spark.createDataFrame([(rows[i][2], rows[i][3], v) for i, v in p.items()], "host string, path string, p double").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for r in got:
+        same = [p[i] for i in p if rows[i][2:4] == rows[r["doc_id"]][2:4]]
+        path = (sum(same) - p[r["doc_id"]] + a_path * r["host_posterior"]) / (len(same) - 1 + a_path)
+        assert math.isclose(r["path_posterior"], path, rel_tol=1e-9)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(logit(p[r["doc_id"]]) + logit(path) - logit(mean)))), rel_tol=1e-9)
     out = site_quality.scores(odd, labels, F.col("source"), F.col("lang"))
     assert out.count() == odd.count() and out.where("score is null").count() == 0
     assert site_quality.scores(none, labels, F.col("source"), F.col("lang")).count() == 0

@@ -53,3 +53,50 @@ def test_stages(spark, tmp_path):
             assert pii.scan(out).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
         docs = out
     assert docs.count() == P.run(spark, SF).count()
+
+
+def test_stages_odd(spark, odd, none):
+    """Every stage on nulls, empty and very long texts, ties, repeated rows, an empty table and columns with clashing names."""
+    import corpus_pipeline as P
+
+    clash = odd.withColumn("mix_rate", odd["score"]).withColumn("posterior", odd["score"])
+    for docs in (odd, clash, none):
+        n = docs.count()
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            if name == "mixing":
+                assert out.columns[-2:] == ["mix_rate", "mix_copies"] and [c for c in docs.columns if not c.startswith("mix_")] == out.columns[:-2]
+                assert len(rows) == n and all(r["mix_rate"] >= 0 for r in rows)
+                continue
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            if name == "pii":
+                assert len(rows) == n and sum(r["text"] is None for r in rows) == docs.where("text is null").count()
+            elif name == "quality_rules":
+                assert len(rows) <= n and all(r["text"] for r in rows)
+            elif name == "near_dedup":
+                assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows) and (not n or rows)
+            else:
+                assert len(rows) == n  # no text here holds a benchmark item
+
+
+def test_shared_folder(spark, tmp_path):
+    from deltaspan.llm.common import shared_folder
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://far:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert os.path.isdir(shared_folder(Session()))
