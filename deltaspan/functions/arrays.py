@@ -15,22 +15,22 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
     """For each place of an array, ``op`` over all that lies before it, from ``zero`` on; ``op`` is associative.
 
-    An array that grows one by one is copied each time, so that long ones are taken in blocks of WIDTH, and what lies
-    before the blocks is found in the same way: the time is linear up to WIDTH ** (levels + 1) values.
+    An array that grows one by one is copied each time, so that it is made in blocks of WIDTH: what lies before a block
+    is found from the blocks' totals in the same way. The time is linear up to some millions of values.
     """
+    start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda x: F.lit(False)).alias("out"))
 
     def short(v: Column) -> Column:
-        start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda x: F.lit(False)).alias("out"))
         return F.aggregate(v, start, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
-    def long(v: Column) -> Column:
-        def joined(block: Column) -> Column:
-            before = running(F.transform(block, lambda b: F.aggregate(b, zero, op)), zero, op, levels - 1)
-            return bind(before, lambda at: F.flatten(F.transform(block, lambda b, i: F.transform(short(b), lambda x: op(F.get(at, i), x)))))
+    def joined(block: Column) -> Column:
+        before = short(F.transform(block, lambda b: F.aggregate(b, zero, op)))
+        return bind(before, lambda at: F.flatten(F.transform(block, lambda b, i: F.transform(short(b), lambda x: op(F.get(at, i), x)))))
 
-        return bind(F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(WIDTH)), lambda i: F.slice(v, i + 1, WIDTH)), joined)
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(WIDTH)), lambda i: F.slice(v, i + 1, WIDTH))
 
-    return bind(values, lambda v: F.when(F.size(v) <= WIDTH, short(v)).otherwise(long(v)) if levels else short(v))
+    return bind(bind(values, blocks), joined)

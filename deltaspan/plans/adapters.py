@@ -32,11 +32,14 @@ def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text", "lang")
 
-    def places(term: str, category: str) -> Column:
-        gi = lambda s: F.concat_ws(":", F.lpad(s.cast("string"), 9, "0"), F.lit(term))
-        return F.transform(occurrences(F.col("text"), F.lit(term)), lambda s: F.struct(F.lit(term).alias("term"), F.lit(category).alias("category"), s.alias("start"), (s + len(term)).alias("end"), gi(s).alias("gi")))
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(c).alias("category")) for t, c in TERMS.items()])
 
-    return docs.select("uid", "lang", F.concat(*[places(t, c) for t, c in TERMS.items()]).alias("gold"))
+    def places(t: Column) -> Column:
+        gi = lambda s: F.concat_ws(":", F.lpad(s.cast("string"), 9, "0"), t["term"])
+        one = lambda s: F.struct(t["term"].alias("term"), t["category"].alias("category"), s.alias("start"), (s + F.length(t["term"])).alias("end"), gi(s).alias("gi"))
+        return F.transform(occurrences(F.col("text"), t["term"]), one)
+
+    return docs.select("uid", "lang", F.flatten(F.transform(terms, places)).alias("gold"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
