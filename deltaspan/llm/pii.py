@@ -15,6 +15,9 @@ gives an empty result; other columns pass through ``redact`` and are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,57 +74,72 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
 
 
-def _valid(kind: str, match: Column) -> Column:
-    n = F.length(_digits(match))
-    if kind == "ip":
-        return match.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$")
-    if kind == "card":
-        return n.between(12, 19) & _luhn(match)
-    if kind == "phone":
-        return n.between(9, 15)
-    if kind == "iban":
-        return _mod97(match)
-    if kind == "secret":
-        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
-    return F.lit(True)
-
-
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """Valid spans of a kind, in order."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"), F.split(text, PATTERNS[kind], -1).alias("gap"))
+def _by_kind(rank: Column, of: Callable[[str], Column | None], rest: Column) -> Column:
+    """of(kind) for the kind of a rank; ``rest`` where that is None."""
+    out = F
+    for k, kind in enumerate(KINDS):
+        if (value := of(kind)) is not None:
+            out = out.when(rank == k, value)
+    return out.otherwise(rest)
 
-    def placed(f: Column) -> Column:
-        # a match starts after all earlier matches and the gaps up to its own
-        before = running(F.transform(f["match"], lambda m, i: (F.length(m) + F.length(F.get(f["gap"], i))).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-        each = F.arrays_zip(f["match"].alias("match"), before.alias("before"), F.slice(f["gap"], 1, F.size(f["match"])).alias("gap"), F.concat(F.array(F.lit("")), f["match"]).alias("last"), F.concat(F.array(F.lit("")), f["gap"]).alias("ahead"))
-        return F.transform(F.filter(each, lambda x: x["match"].isNotNull() & _valid(kind, x["match"])), scored)
 
-    def scored(x: Column) -> Column:
-        # the text before a match, back over one earlier match at most
-        context = F.lower(F.right(F.concat(F.right(x["ahead"], F.lit(CONTEXT)), x["last"], x["gap"]), F.lit(CONTEXT)))
-        score = F.lit(PRIOR[kind]) + F.when(context.rlike(WORDS[kind]), LIFT[kind]).otherwise(0.0)
-        if kind in AGAINST:
-            score = score - F.when(context.rlike(AGAINST[kind]), LIFT[kind]).otherwise(0.0)
-        start = x["before"] + F.length(x["gap"])
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+def _valid(rank: Column, match: Column) -> Column:
+    n = F.length(_digits(match))
+    test = {
+        "ip": match.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"), "card": n.between(12, 19) & _luhn(match), "phone": n.between(9, 15),
+        "iban": _mod97(match), "secret": match.rlike("[0-9]") & match.rlike("[A-Za-z]"),
+    }
+    return _by_kind(rank, test.get, F.lit(True))
 
-    out = bind(found, placed)
-    if kind not in BASE:
-        out = F.filter(out, lambda x: x["score"] >= MIN_SCORE)
+
+def _has(kind: str, text: Column) -> Column:
+    """Whether a text has a match of a kind; what is cheap comes first."""
     has = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
     if kind in ("ip", "card", "phone", "iban", "ssn"):
         has = has & text.rlike("[0-9]")
     if kind == "secret":
         has = has & F.lower(text).rlike(WORDS["secret"])
-    return F.when(has & text.rlike(PATTERNS[kind]), out).otherwise(F.array()).cast(_SPAN)
+    return has & text.rlike(PATTERNS[kind])
+
+
+def _placed(f: Column) -> Column:
+    """The valid spans of a kind, in order, as struct(start, rank, end, kind, score), from rank, matches and gaps."""
+    zero = F.lit(0).cast("bigint")
+    # a match starts after all earlier matches and the gaps up to its own
+    before = running(F.transform(f["match"], lambda m, i: (F.length(m) + F.length(F.get(f["gap"], i))).cast("bigint")), zero, lambda a, x: a + x)
+    first = F.array(F.lit(""))
+    each = F.arrays_zip(f["match"].alias("match"), before.alias("before"), F.slice(f["gap"], 1, F.size(f["match"])).alias("gap"), F.concat(first, f["match"]).alias("last"), F.concat(first, f["gap"]).alias("ahead"))
+
+    def scored(x: Column) -> Column:
+        # the text before a match, back over one earlier match at most
+        context = F.lower(F.right(F.concat(F.right(x["ahead"], F.lit(CONTEXT)), x["last"], x["gap"]), F.lit(CONTEXT)))
+        lift = _by_kind(f["rank"], lambda k: F.when(context.rlike(WORDS[k]), LIFT[k]), F.lit(0.0))
+        drop = _by_kind(f["rank"], lambda k: F.when(context.rlike(AGAINST[k]), LIFT[k]) if k in AGAINST else None, F.lit(0.0))
+        score = _by_kind(f["rank"], lambda k: F.lit(PRIOR[k]), F.lit(0.0)) + F.coalesce(lift, F.lit(0.0)) - F.coalesce(drop, F.lit(0.0))
+        start = x["before"] + F.length(x["gap"])
+        kind = _by_kind(f["rank"], F.lit, F.lit(""))
+        return F.struct(start.alias("start"), f["rank"].alias("rank"), (start + F.length(x["match"])).alias("end"), kind.alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+
+    spans_ = F.transform(F.filter(each, lambda x: x["match"].isNotNull() & _valid(f["rank"], x["match"])), scored)
+    return F.when(f["rank"] < len(BASE), spans_).otherwise(F.filter(spans_, lambda x: x["score"] >= MIN_SCORE))
 
 
 def spans(text: Column) -> Column:
     """All spans of a text by start, then kind as listed: struct(start, rank, end, kind, score)."""
-    return F.array_sort(F.concat(*[_spans(k, F.coalesce(text, F.lit(""))) for k in KINDS]))
+    text = F.coalesce(text, F.lit(""))
+    has = [_has(k, text) for k in KINDS]
+    match = [F.when(h, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))) for k, h in zip(KINDS, has, strict=True)]
+    found = F.filter(F.array(*[F.struct(F.lit(i).alias("rank"), m.alias("match")) for i, m in enumerate(match)]), lambda f: f["match"].isNotNull())
+
+    def placed(f: Column) -> Column:
+        gap = _by_kind(f["rank"], lambda k: F.split(text, PATTERNS[k], -1), F.array().cast("array<string>"))
+        return bind(F.struct(f["rank"].alias("rank"), f["match"].alias("match"), gap.alias("gap")), _placed)
+
+    # the condition is compiled; what follows is interpreted, and only for texts with a match
+    return F.when(reduce(Column.__or__, has), F.array_sort(F.flatten(F.transform(found, placed)))).otherwise(F.array().cast(_SPAN))
 
 
 def _list(found: Column) -> Column:
