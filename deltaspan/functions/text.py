@@ -35,10 +35,15 @@ def match_key_py(s: str | None) -> str:
     return re.sub(r"\W+", "", nfkc_py(s)).lower()
 
 
+#: What a core leaves out; fixed values.
+PICTOGRAPHS = "[\U0001f000-\U0001faff☀-➿️]+"
+PUNCTUATION = "[\\s。．.！!？?，,、；;：:～~…—\\-\"“”'‘’（）()【】《》]"
+
+
 def core_py(s: str | None) -> str:
     """Compatibility form without pictographs, blanks and common punctuation."""
-    s = re.sub("[\U0001f000-\U0001faff☀-➿️]+", "", unicodedata.normalize("NFKC", s or ""))
-    return re.sub("[\\s。．.！!？?，,、；;：:～~…—\\-\"“”'‘’（）()【】《》]", "", s)
+    s = re.sub(PICTOGRAPHS, "", unicodedata.normalize("NFKC", s or ""))
+    return re.sub(PUNCTUATION, "", s)
 
 
 def partial_ratio_py(needle: str, text: str) -> float:

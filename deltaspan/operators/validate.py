@@ -83,7 +83,8 @@ def equal_tables(a: DataFrame, b: DataFrame) -> bool:
 # ---- ingest of sheets
 
 
-PRIVATE = {"@user": r"@[\w\x{4e00}-\x{9fff}\-_]{2,}", "url": r"https?://\S+|www\.\S+", "phone": r"\b1[3-9]\d{9}\b"}
+#: Patterns of the ingest contract; fixed values.
+PRIVATE = {"@user": r"@[\w一-鿿\-_]{2,}", "url": r"https?://\S+|www\.\S+", "phone": r"\b1[3-9]\d{9}\b"}
 
 
 def private_hits(columns: list[str]) -> Column:
@@ -202,11 +203,12 @@ def valid_predictions(lines: DataFrame, records: DataFrame, show: int = 40) -> D
 # ---- answers
 
 
+#: Phrases and codes of the answer contract; fixed values.
 META = (
     "Translation:|translation of the sentence|Note:|Resolving the noise|the sentence translates to|The sentence with noise resolved|"
     "Output only the translated result|resolving any such noise|is a pinyin initialism|is a homophone for|internet slang|"
     "more natural translation|Final translation|is an internet neologism"
-)  # fixed phrases
+)
 CODES = r"\b(HOM|PYA|NEO|MIX)\b"
 
 
