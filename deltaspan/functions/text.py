@@ -57,15 +57,43 @@ def partial_ratio_py(needle: str, text: str) -> float:
     return max(difflib.SequenceMatcher(None, needle, w).ratio() for w in windows)
 
 
+def best_window_py(needle: str, text: str) -> float:
+    """Best similarity of the shorter string to a window of the longer: twice the common subsequence over both lengths.
+
+    Windows are as long as the shorter string, or reach over an end of the longer one. Common subsequences are counted
+    for all places of the shorter string at once, in the bits of a number.
+    """
+    if len(needle) > len(text):
+        needle, text = text, needle
+    if not needle:
+        return 0.0
+    if needle in text:
+        return 1.0
+    m, full = len(needle), (1 << len(needle)) - 1
+    at: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        at[c] = at.get(c, 0) | 1 << i
+    best = 0.0
+    for end in range(1, len(text) + m):
+        window = text[max(0, end - m) : end]
+        rest = full
+        for c in window:
+            hit = rest & at.get(c, 0)
+            rest = (rest + hit) | (rest - hit)
+        common = m - (rest & full).bit_count()
+        best = max(best, 2 * common / (m + len(window)))
+    return best
+
+
 def usable_golds_py(golds: list[str | None] | None) -> list[str]:
     trimmed = [(g or "").strip() for g in golds or []]
     return [g for g in trimmed if len(g) > 1 and re.search(r"[^\W_]", g)]
 
 
-def term_hit_py(hypothesis: str | None, golds: list[str | None] | None, threshold: float = MATCH_THRESHOLD) -> int:
+def term_hit_py(hypothesis: str | None, golds: list[str | None] | None, threshold: float = MATCH_THRESHOLD, ratio: Callable[[str, str], float] = partial_ratio_py) -> int:
     text = norm_py(hypothesis)
     wanted = [norm_py(g) for g in usable_golds_py(golds)]
-    return int(bool(text) and any(w and partial_ratio_py(w, text) > threshold for w in wanted))
+    return int(bool(text) and (any(w and w in text for w in wanted) or any(w and ratio(w, text) > threshold for w in wanted)))
 
 
 def standard_match_py(given: str | None, gold: str | None) -> tuple[bool, bool]:

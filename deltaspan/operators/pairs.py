@@ -61,8 +61,14 @@ def align(df: DataFrame, pairs: DataFrame, key: str = "item", value: str = "delt
     return pairs.join(hi, "hi").join(lo, ["lo", key]).select("hi", "lo", key, "value_hi", "value_lo")
 
 
-def align_items(df: DataFrame, pairs: list[tuple[str, str]], key: str = "item", value: str = "delta") -> DataFrame:
-    """The same from scored rows, for a list of pairs: the means of all systems of an item are made in one row of it."""
+def align_items(df: DataFrame, pairs: list[tuple[str, str]], key: str = "item", value: str = "delta", category: str | None = None) -> DataFrame:
+    """The same from scored rows, for a list of pairs: the means of all systems of an item are made in one row of it.
+
+    ``category``: only items whose first system of a pair has rows of it.
+    """
+    if category is not None:
+        out = [align_items(df.where((F.col("system") != hi) | (F.col("category") == category)), [(hi, lo)], key, value) for hi, lo in pairs]
+        return reduce(DataFrame.unionByName, out)
     names = sorted({s for pair in pairs for s in pair})
     own = df.groupBy(key).agg(*[F.avg(F.when(F.col("system") == s, F.col(value))).alias(f"__{i}") for i, s in enumerate(names)])
     at = {s: F.col(f"__{i}") for i, s in enumerate(names)}

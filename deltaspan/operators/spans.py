@@ -132,6 +132,13 @@ def merged(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTERS])
 
 
+def merged_sets(scored: DataFrame, sets: list[list[str]], whole: str = "all") -> DataFrame:
+    """Sums of the counters over several groupings in one pass; a column that a grouping leaves out reads as ``whole``."""
+    names = sorted({c for s in sets for c in s})
+    out = scored.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(*[F.sum(c).alias(c) for c in COUNTERS], *[F.grouping(c).alias(f"__{c}") for c in names])
+    return out.select(*[F.when(F.col(f"__{c}") == 1, whole).otherwise(F.col(c)).alias(c) for c in names], *COUNTERS)
+
+
 def rates(counts: DataFrame, digits: int = 4) -> DataFrame:
     """Recall, precision, F1 and F2 of summed counters, 0 where undefined."""
     over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))

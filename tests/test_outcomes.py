@@ -1,11 +1,15 @@
 import json
+import random
 
 import pytest
+from deltaspan.functions import answers as A
 from deltaspan.functions import arrays, models
 from deltaspan.functions import splice as S
+from deltaspan.functions import text as X
 from deltaspan.operators import outcomes as C
 from deltaspan.operators import pairs as P
 from deltaspan.operators import resample as R
+from deltaspan.operators import spans as M
 from deltaspan.operators import validate as V
 from deltaspan.sources import writers as W
 from pyspark.sql import functions as F
@@ -116,6 +120,54 @@ def test_leaks_and_reuse(spark, tmp_path):
     assert V.reuse_problems(spark, {"good": str(good)}, 2, versions={"good": {"prompt": "v1"}}) == []
 
 
+def test_best_window():
+    def slow(a, b):
+        a, b = sorted((a, b), key=len)
+
+        def lcs(x, y):
+            t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i][j + 1], t[i + 1][j])
+            return t[-1][-1]
+
+        if not a:
+            return 0.0
+        return max(2 * lcs(a, w) / (len(a) + len(w)) for e in range(1, len(b) + len(a)) if (w := b[max(0, e - len(a)) : e]))
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 9))) for _ in range(2))
+        assert X.best_window_py(a, b) == pytest.approx(slow(a, b))
+    assert X.term_hit_py("the big apples", ["big apple"]) == 1 and X.term_hit_py("the big apples", ["bug aple"], 0.7, X.best_window_py) == 1
+
+
+def test_asking(spark):
+    def make():
+        def call(prompts):
+            if any("bad" in p for p in prompts):
+                raise ValueError
+            return [p.upper() for p in prompts]
+
+        return call
+
+    df = spark.createDataFrame([("a",), (None,), ("bad",), ("c",)], "q string").coalesce(1)
+    assert [r["r"] for r in A.ask(df, "q", "r", make, 2).collect()] == ["A", None, "", "C"]
+    say = lambda texts, lang, variant: [f"{lang}/{variant}: {t}" for t in texts]
+    assert A.translate(df.where("q = 'a'"), "q", "r", say, lang="de", variant="plain").first()["r"] == "de/plain: a"
+
+
+def test_merged_sets(spark):
+    rows = spark.createDataFrame([("x", "p", *[1] * len(M.COUNTERS)), ("x", "q", *[2] * len(M.COUNTERS)), ("y", "p", *[4] * len(M.COUNTERS))], "a string, b string, " + ", ".join(f"{c} long" for c in M.COUNTERS))
+    got = {(r["a"], r["b"]): r["gold"] for r in M.merged_sets(rows, [[], ["a"], ["a", "b"]]).collect()}
+    assert got == {("all", "all"): 7, ("x", "all"): 3, ("y", "all"): 4, ("x", "p"): 1, ("x", "q"): 2, ("y", "p"): 4}
+
+
+def test_align_by_category(spark):
+    df = spark.createDataFrame([("A", 1, "x", 2.0), ("N", 1, "y", 5.0), ("A", 2, "y", 1.0), ("N", 2, "y", 3.0)], "system string, item int, category string, delta double")
+    assert [r["item"] for r in P.align_items(df, [("A", "N")], category="x").collect()] == [1]
+
+
 def test_models(spark):
     df = spark.createDataFrame([("ab", "ab", "b"), ("ab", None, "b"), ("ab", "cd", None)], "src string, mt string, ref string")
     assert [r["s"] for r in models.scored(df, "s", models.overlap_scorer, "src", "mt").collect()] == [100.0, None, 0.0]
