@@ -287,3 +287,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = of.of_nodes().select(F.col("first").alias(r)).distinct()
     out = docs.withColumn(r, row_key(docs))
     return (once(out, r) if of.twice else out).join(first, r, "left_semi").select(*[F.col(f"`{x}`") for x in docs.columns])
+
+
+#: The same by brute force: every pair of documents that share a shingle, and the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT r, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT r, g, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT r, sum(n) AS size FROM c GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN z x ON x.r = a JOIN z y ON y.r = b WHERE 5 * common >= 4 * (x.size + y.size - common)
+      UNION ALL SELECT x.r, y.r FROM d x JOIN d y ON x.t = y.t AND x.r <> y.r WHERE x.t <> '' AND len(x.w) = 0),
+m AS (SELECT r, r AS other FROM d UNION SELECT m.r, e.b FROM m JOIN e ON e.a = m.other)
+SELECT d.doc_id, min(x.doc_id) AS class_id, count(*) AS class_size FROM m JOIN d ON d.r = m.r JOIN d x ON x.r = m.other GROUP BY d.r, d.doc_id
+"""

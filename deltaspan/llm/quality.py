@@ -166,3 +166,21 @@ def keep_good(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn(c, counts(docs["text"]))
     marked = marked.where(~base_failed(F.col(c))).withColumn(code, pattern(F.col(c)))
     return marked.join(F.broadcast(model), code, "left_semi").select(*[F.col(f"`{x}`") for x in docs.columns])
+
+
+#: The columns of verdicts that are counts, and the base rule.
+BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+#: These by brute force.
+ORACLE_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT r, g FROM g GROUP BY ALL HAVING count(*) > 1),
+p AS (SELECT DISTINCT g.r, unnest(range(i, i + 5)) AS p FROM g JOIN twice ON g.r = twice.r AND g.g = twice.g),
+n AS (SELECT r, count(*) AS n FROM p GROUP BY r),
+l AS (SELECT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(c.n, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN n ON n.r = d.r)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x
+"""

@@ -53,12 +53,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8 SQL can say."""
+    return quality.verdicts(table(spark, sf_dir, "documents")).select(*quality.BASE_COLUMNS)
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9 SQL can say."""
+    return pii.scan(table(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_license_scan, op3_html_extraction, op4_token_counts, op5_near_duplicates,
-        op6_site_quality, op7_mixing, op8_quality_rules, op9_pii, op10_toxicity,
+        op6_site_quality, op7_mixing, op8_quality_rules, op9_pii, op10_toxicity, quality_base_counts, pii_base_spans,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE}
+    return {
+        "op1_decontamination": decontaminate.ORACLE, "op5_near_duplicates": near_duplicates.ORACLE,
+        "quality_base_counts": quality.ORACLE_BASE, "pii_base_spans": pii.ORACLE_BASE,
+    }
