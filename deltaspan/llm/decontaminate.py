@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh, spread_join
 from .kernels import chunks, shingles
 
 CONTAINMENT = 0.8
-#: Items are sent to the tasks in blocks of this many shingles at most (an item stands alone if it has more): 16 MB.
+#: Items of up to this many shingles in all are sent to the tasks, 16 MB; larger tables are searched by joins.
 INDEX_SHINGLES = 1 << 21
+#: Bits of the filter that documents' shingles pass before such a join: 2 MB.
+FILTER_BITS = 24
 
 
 class _Sketches:
@@ -101,28 +103,37 @@ class Index:
         return got[:, 0], got[:, 1], got[:, 2]
 
 
-def indexes(items: DataFrame) -> list[tuple[list[Any], Index]]:
-    """The items' ids and indexes, in blocks of bounded size; the item table streams through the driver by block."""
-    out, ids, held, size = [], [], [], 0
-    for r in items.select("item_id", "text").toLocalIterator():
+def _own(text: Column) -> Column:
+    """The distinct shingles of a text, in order."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for a, b in chunks(texts):
+            full, at, _ = shingles(texts.slice(a, b - a), short=False)
+            out += [np.unique(full[x:y]).view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *out])))
+
+    return F.arrow_udf(run, "array<bigint>").asNondeterministic()(text)
+
+
+def index(items: DataFrame) -> tuple[list[Any], Index] | None:
+    """The items' ids and their index; None if they have more than INDEX_SHINGLES shingles."""
+    own = items.select("item_id", "text")
+    if (own.select(F.size(_own(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] or 0) > INDEX_SHINGLES:
+        return None
+    ids, held = [], []
+    for r in own.toLocalIterator():
         full, _, _ = shingles(pa.array([r["text"]], type=pa.string()), short=False)
-        own = np.unique(full)
-        if not len(own):
-            continue
-        if held and size + len(own) > INDEX_SHINGLES:
-            out.append((ids, Index(held)))
-            ids, held, size = [], [], 0
-        ids.append(r["item_id"])
-        held.append(own)
-        size += len(own)
-    if held:
-        out.append((ids, Index(held)))
-    return out
+        if len(full):
+            ids.append(r["item_id"])
+            held.append(np.unique(full))
+    return ids, Index(held)
 
 
 def _matcher(spark: Any, index: Index) -> Any:
     # bounded by INDEX_SHINGLES; each task makes its own index of these, in its first batch
-    sent = spark.sparkContext.broadcast((np.concatenate(index.items), np.cumsum([len(x) for x in index.items])[:-1]))
+    sent = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, dtype=np.uint64), *index.items]), np.cumsum([len(x) for x in index.items])[:-1]))
     made: list[Index] = []
     kind = pa.struct([("item", pa.int32()), ("shared", pa.int32())])
 
@@ -137,30 +148,89 @@ def _matcher(spark: Any, index: Index) -> Any:
     return F.arrow_udf(run, "array<struct<item:int,shared:int>>").asNondeterministic()
 
 
+def _key(df: DataFrame, name: str) -> Column:
+    """A number of a row's id and text; repeated rows share it."""
+    return F.xxhash64(df[name], df["text"])
+
+
+def _sets(items: DataFrame) -> DataFrame:
+    """q, item_id and the shingles s of items that have any."""
+    return cut(items.select(_key(items, "item_id").alias("q"), items["item_id"], _own(items["text"]).alias("s")).where("size(s) > 0"))
+
+
+def _by_joins(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(r, q, n_shared) of verified matches, r and q the keys of documents and items.
+
+    The sketch of an item are the first k of its shingles. A document's shingles that pass a filter of all sketches are
+    joined with them, and the whole text of a document that meets any is verified against the items that it meets.
+    """
+    one = sets.select("q", "s").dropDuplicates(["q"])
+    k = (F.size("s") - F.ceil(F.size("s") * F.lit(CONTAINMENT) - 1e-9) + 1).cast("int")
+    sketch = cut(one.select("q", F.explode(F.slice("s", F.lit(1), k)).alias("g")))
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+
+    def mark(batches):  # noqa: ANN001, ANN202
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[np.asarray(batch["g"]).view(np.uint64) & mask] = True
+        yield pa.record_batch({"bits": pa.array([np.packbits(bits).tobytes()], type=pa.binary())})
+
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in sketch.select("g").mapInArrow(mark, "bits binary").toLocalIterator():  # one part at a time
+        bits |= np.frombuffer(r["bits"], dtype=np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def passing(own: pa.Array) -> pa.Array:
+        bits = np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8)).astype(bool)
+        flat = np.asarray(own.flatten())
+        kept = bits[flat.view(np.uint64) & mask]
+        count = np.concatenate([[0], np.cumsum(kept)])
+        ends = np.concatenate([[0], np.cumsum(np.asarray(own.value_lengths()))])
+        return pa.ListArray.from_arrays(pa.array(count[ends].astype(np.int32)), pa.array(flat[kept]))
+
+    kept = F.arrow_udf(passing, "array<bigint>").asNondeterministic()
+    keyed = docs.select(_key(docs, "doc_id").alias("r"), docs["text"])
+    meets = keyed.select("r", F.explode(kept(_own(F.col("text")))).alias("g")).join(sketch, "g").select("r", "q").distinct()
+    meets = cut(meets)
+    often = one.join(meets.groupBy("q").agg(F.count("*").alias("w")), "q")
+    listed = spread_join(meets, often, ["q"], "w", meets.count()).groupBy("r").agg(F.collect_list(F.struct("q", "s")).alias("items"))
+
+    def verify(texts: pa.Array, items: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts, items.to_pylist(), strict=True):
+            full, _, _ = shingles(pa.array([text.as_py()], type=pa.string()), short=False)
+            shared = [(x["q"], int(np.isin(np.array(x["s"], dtype=np.int64).view(np.uint64), full).sum()), len(x["s"])) for x in own]
+            out.append([{"q": q, "shared": n} for q, n, size in shared if n >= CONTAINMENT * size])
+        return pa.array(out, type=pa.list_(pa.struct([("q", pa.int64()), ("shared", pa.int64())])))
+
+    checked = F.arrow_udf(verify, "array<struct<q:bigint,shared:bigint>>").asNondeterministic()
+    each = keyed.join(listed, "r").select("r", F.explode(checked(F.col("text"), F.col("items"))).alias("m"))
+    return each.select("r", "m.q", F.col("m.shared").alias("n_shared")).distinct()
+
+
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, shared and item's distinct shingles, and the containment, for each contaminated pair."""
-    spark = docs.sparkSession
-    kind = dict(items.dtypes)["item_id"]
-    out = None
-    for ids, index in indexes(items):
-        names = spark.createDataFrame([(k, i, len(x)) for k, (i, x) in enumerate(zip(ids, index.items, strict=True))], f"item int, item_id {kind}, n_item bigint")
-        hit = docs.select("doc_id", F.explode(_matcher(spark, index)(docs["text"])).alias("m"))
-        part = hit.select("doc_id", "m.item", F.col("m.shared").cast("long").alias("n_shared")).join(F.broadcast(names), "item")
-        part = part.select("doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), *[F.lit(0).cast("long").alias(x) for x in ("n_shared", "n_item")], F.lit(0.0).alias("containment")).limit(0)
-    return out
+    spark, kind = docs.sparkSession, dict(items.dtypes)["item_id"]
+    share = F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment")
+    if (small := index(items)) is None:
+        sets = _sets(items)
+        hit = docs.select("doc_id", _key(docs, "doc_id").alias("r")).join(_by_joins(docs, sets), "r")
+        return hit.join(sets.select("q", "item_id", F.size("s").cast("long").alias("n_item")), "q").select("doc_id", "item_id", "n_shared", "n_item", share)
+    ids, own = small
+    names = spark.createDataFrame([(k, i, len(x)) for k, (i, x) in enumerate(zip(ids, own.items, strict=True))], f"item int, item_id {kind}, n_item bigint")
+    hit = docs.select("doc_id", F.explode(_matcher(spark, own)(docs["text"])).alias("m"))
+    out = hit.select("doc_id", "m.item", F.col("m.shared").cast("long").alias("n_shared")).join(F.broadcast(names), "item")
+    return out.select("doc_id", "item_id", "n_shared", "n_item", share)
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no item contaminates, all columns as they were."""
-    out = docs
-    for _, index in indexes(items):
-        clean: Column = F.size(_matcher(docs.sparkSession, index)(F.col("text"))) == 0
-        name = fresh("clean")
-        out = out.withColumn(name, clean).where(name).drop(name)
-    return out
+    name = fresh("clean")
+    if (small := index(items)) is None:
+        bad = _by_joins(docs, _sets(items)).select(F.col("r").alias(name)).distinct()
+        return docs.withColumn(name, _key(docs, "doc_id")).join(bad, name, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
+    clean: Column = F.size(_matcher(docs.sparkSession, small[1])(F.col("text"))) == 0
+    return docs.withColumn(name, clean).where(name).drop(name)
 
 
 #: The same by brute force: every shingle of every document against every item.
