@@ -164,9 +164,9 @@ def strata_scopes(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "value_hi", "value_lo", F.explode(scopes).alias("scope"))
 
 
-def strata_contrast(rows: DataFrame, strata: DataFrame, rounds: int) -> DataFrame:
+def strata_contrast(rows: DataFrame, strata: DataFrame, rounds: int, place: R.Place = R.hashed_place) -> DataFrame:
     """The paired contrast of two arms within each scope; a row without a stratum is an error."""
-    return R.paired_portable(strata_scopes(joined(rows, strata, "uid", "stratum")), ["uid"], rounds, ["scope"])
+    return R.paired_portable(strata_scopes(joined(rows, strata, "uid", "stratum")), ["uid"], rounds, ["scope"], place)
 
 
 def membership_grid(bench: DataFrame, pool: DataFrame, sides: dict[str, str], keys: dict[str, Callable[[Column], Column]]) -> DataFrame:

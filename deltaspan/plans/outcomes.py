@@ -197,7 +197,7 @@ def _contrast(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     strata = e.select(F.col("event_id").alias("uid"), F.when(u == 0, "miss").when(u == 1, "fp_only").when(u == 2, "partial").otherwise("exact").alias("stratum"), (F.col("event_id") % 3 == 0).alias("candidates"))
     other = F.col("value") * (1 + (F.col("event_id") % 5 - 2) / 100.0)
     rows = e.select(F.col("event_id").alias("uid"), F.col("event_type").alias("category"), F.round(F.col("value") - other, 6).alias("value_hi"), F.lit(0.0).alias("value_lo"))
-    out = C.strata_contrast(rows, strata, rounds)
+    out = C.strata_contrast(rows, strata, rounds, R.hashed_place if rounds == ROUNDS else R.quick_place)
     return out.select("scope", "n", *[F.round(c, 4).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "gate")
 
 

@@ -187,9 +187,14 @@ DRAW_SQL = f"r AS (SELECT unnest(range(0, {ROUNDS})) AS turn)"
 HASH_SQL = "CAST(('0x' || substr(md5(turn || '|' || pos), 1, 8)) AS BIGINT) % n"
 
 
+def _place(rounds: int) -> R.Place:
+    """The hash that SQL has too for the draws that are held against it, the quick one for the full number."""
+    return R.hashed_place if rounds == ROUNDS else R.quick_place
+
+
 def _boot_ci_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     own = P.item_means(D.scores(spark, d))
-    out = R.mean_interval_portable(own, "system", "delta", ["item"], rounds)
+    out = R.mean_interval_portable(own, "system", "delta", ["item"], rounds, place=_place(rounds))
     return out.select("system", "n", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
 
 
@@ -204,7 +209,7 @@ def boot_ci_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paired_boot_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
-    out = R.paired_portable(P.align_items(P.with_delta(D.scores(spark, d)), PAIRS), ["item"], rounds)
+    out = R.paired_portable(P.align_items(P.with_delta(D.scores(spark, d)), PAIRS), ["item"], rounds, place=_place(rounds))
     return out.select("hi", "lo", "n", *[F.round(c, 4).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "gate")
 
 
@@ -220,7 +225,7 @@ def paired_boot_full(spark: SparkSession, d: str) -> DataFrame:
 
 def _ratio_boot_portable(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return R.ratio_portable(own, "lang", "toxic", "quality", ["doc_id"], rounds).select("lang", F.round("mean", 4).alias("mean"), "ci_lo", "ci_hi")
+    return R.ratio_portable(own, "lang", "toxic", "quality", ["doc_id"], rounds, place=_place(rounds)).select("lang", F.round("mean", 4).alias("mean"), "ci_lo", "ci_hi")
 
 
 @query(f"WITH x AS (SELECT doc_id, lang, toxic AS a, quality AS b FROM labels JOIN documents USING (doc_id)), v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM x), {DRAW_SQL}, j AS (SELECT lang, turn, {HASH_SQL} AS pos FROM v, r), m AS (SELECT lang, turn, round(coalesce(sum(a) / nullif(sum(b), 0), 0), 6) AS m FROM j JOIN v USING (lang, pos) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m) - 1 AS k FROM m) SELECT lang, round(avg(m), 4) AS mean, max(m) FILTER (k = {R.order_bounds(ROUNDS)[0]}) AS ci_lo, max(m) FILTER (k = {R.order_bounds(ROUNDS)[1] - 1}) AS ci_hi FROM k GROUP BY lang")
@@ -242,7 +247,7 @@ def _tier_strata_contrast(spark: SparkSession, d: str, rounds: int) -> DataFrame
     stratum = F.when(u == 0, "miss").when(u == 1, "fp_only").when(u == 2, "partial").otherwise("exact")
     other = F.col("value") * (1 + (F.col("event_id") % 5 - 2) / 100.0)
     x = e.select("event_id", (F.col("value") - other).alias("d"), F.explode(F.array(F.lit("all"), stratum, F.concat(F.lit("type:"), "event_type"))).alias("scope"))
-    out = R.mean_interval_portable(x, "scope", "d", ["event_id"], rounds)
+    out = R.mean_interval_portable(x, "scope", "d", ["event_id"], rounds, place=_place(rounds))
     return out.select("scope", "n", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
 
 

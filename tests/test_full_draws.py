@@ -17,9 +17,9 @@ CALLS = {"boot_ci": "mean_interval_portable", "paired_boot": "paired_portable",
 def test_full_draws(spark, monkeypatch, name):
     seen, real = [], getattr(R, CALLS[name])
 
-    def spy(*args):
+    def spy(*args, **named):
         seen.append(args[-1])
-        return real(*args)
+        return real(*args, **named)
 
     monkeypatch.setattr(R, CALLS[name], spy)
     query = "regression_frozen" if name == "regression" else f"{name}_full"
