@@ -76,16 +76,15 @@ def restoration(logs: DataFrame, records: DataFrame, gold: DataFrame, exact: Mat
     isn't scored, one whose text is no gold span is unpaired; of several gold spans of a text the last one's form holds.
     """
     form = gold.groupBy("uid", "text").agg(F.max_by("std", "n").alias("gold_std"))
-    known = logs.join(records.select("uid", "category"), "uid").withColumn("row", F.monotonically_increasing_id())
-    each = known.select("uid", F.col("row"), F.explode("spans").alias("s")).select("uid", "row", "s.text", "s.std").where("std <> ''")
+    known = logs.join(records.select("uid", "category"), "uid")
+    each = known.select("uid", "category", F.explode("spans").alias("s")).select("uid", "category", "s.text", "s.std").where("std <> ''")
     paired = each.join(form, ["uid", "text"], "left")
-    count = lambda c: F.count_if(F.col("gold_std").isNotNull() & c)
-    by_row = paired.groupBy("row").agg(
-        count(F.lit(True)).alias("n"), count(exact(F.col("std"), F.col("gold_std"))).alias("exact"), count(fuzzy(F.col("std"), F.col("gold_std"))).alias("fuzzy"),
-        F.count_if(F.col("gold_std").isNull()).alias("unpaired"),
-    )
-    per_row = known.select("row", "category", (~F.coalesce("parse_ok", F.lit(True))).cast("long").alias("parse_fail")).join(by_row, "row", "left")
-    out = scoped(per_row.na.fill(0, ["n", "exact", "fuzzy", "unpaired"]), ["n", "exact", "fuzzy", "unpaired", "parse_fail"])
+    has = F.col("gold_std").isNotNull()
+    flag = lambda c: F.coalesce(has & c, F.lit(False)).cast("long")
+    marks = paired.select("category", flag(F.lit(True)).alias("n"), flag(exact(F.col("std"), F.col("gold_std"))).alias("exact"), flag(fuzzy(F.col("std"), F.col("gold_std"))).alias("fuzzy"), (~has).cast("long").alias("unpaired"))
+    sums = ["n", "exact", "fuzzy", "unpaired"]
+    rows = scoped(known.select("category", (~F.coalesce("parse_ok", F.lit(True))).cast("long").alias("parse_fail")), ["parse_fail"])
+    out = rows.join(scoped(marks, sums, "n_spans"), "scope", "left").na.fill(0, sums)
     return out.select("scope", "n_rows", F.col("n").alias("n_scored"), _rate(F.col("exact"), F.col("n")).alias("exact_rate"), _rate(F.col("fuzzy"), F.col("n")).alias("fuzzy_rate"), F.col("unpaired").alias("n_unpaired"), F.col("parse_fail").alias("n_parse_fail"))
 
 
