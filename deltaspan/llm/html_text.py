@@ -91,7 +91,9 @@ def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
             for word in value.split():
                 parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", word) if x}
                 never |= bool(parts & _NAMES) or ("header" in parts and not in_article)
-                never |= name == "class" and bool(parts & _LOOSE) and parts <= _LOOSE | _PARTS
+                # an id within an article is often that of a heading: share, notice
+                loose = name == "class" or not in_article
+                never |= loose and bool(parts & _LOOSE) and all(x in _LOOSE or x in _PARTS or x.isdigit() for x in parts)
         elif name == "role":
             never |= value.lower() in _ROLES
     return never or _hidden(attrs), sign

@@ -532,6 +532,7 @@ def test_pages_contract():
         "<article><div class='related-work'><p>earlier work</p></div><section id='share'><p>market share</p></section></article>": "earlier work\nmarket share",
         "<article><p>see <math><mi>x</mi></math> and <svg><text>axis</text></svg></p></article>": "see x and axis",
         "<div><p>before</p><textarea><p>after</p></div>": "before\nafter",
+        "<div id='notice'>we moved</div><div><p>a</p><div id='comment-12' class='reply'>reader</div></div>": "a",
         "<form><div><h1>title</h1><p>whole page in a form</p></div></form>": "title\nwhole page in a form",
         "<article><p>a</p><form><p>your name</p></form><div class='related-posts'>more</div></article>": "a",
         "<article><p>" + "long " * 200_000 + "</p></article>": ("long " * 200_000).strip(),
