@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -330,14 +330,29 @@ def macro_average(spark: SparkSession, d: str) -> DataFrame:
     return M.macro(M.rates(M.merged(_single(spark, d), "category")))
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """All sentences with gold spans, a span being all places of a term; a sentence's category is that of its first place."""
+    own = D.gold_rows(spark, d).where("size(gold) > 0")
+    place = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))
+
+    def occ(term: str) -> Column:
+        return F.array_sort(F.transform(F.filter("gold", lambda g: g["term"] == term), place))
+
+    each = [F.struct(occ(t).alias("occ"), F.lit(c).alias("category")) for t, c in sorted(D.TERMS.items())]
+    spans = F.filter(F.array(*each), lambda x: F.size(x["occ"]) > 0)
+    first = F.array_min(F.transform("gold", lambda g: F.struct(g["gi"].alias("gi"), g["category"].alias("category"))))["category"]
+    return M.score_sentences(own.select("uid", first.alias("category"), spans.alias("gold_spans"), F.array_sort(D.predicted_spans(F.col("uid"), F.col("gold"))).alias("spans")))
+
+
 @query()
 def span_greedy_score(spark: SparkSession, d: str) -> DataFrame:
-    g = D.gold(spark, d)
-    start_end = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    own = g.groupBy("uid", "term", "category").agg(F.array_sort(F.collect_list(start_end)).alias("occ")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("term", "occ", "category"))).alias("s"))
-    own = own.select("uid", F.transform("s", lambda x: F.struct(x["occ"].alias("occ"), x["category"].alias("category"))).alias("gold_spans"))
-    p = D.predicted(g).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
-    return M.rates(M.merged(M.score_sentences(own.join(p, "uid", "left")), "stratum"))
+    return M.rates(M.merged(_whole(spark, d), "stratum"))
+
+
+@query()
+def macro_average_all(spark: SparkSession, d: str) -> DataFrame:
+    """Macro rates over all sentences; the greedy match of several spans isn't expressible in SQL."""
+    return M.macro(M.rates(M.merged(_whole(spark, d), "category")))
 
 
 @query("WITH x AS (SELECT doc_id, quality AS t, CASE WHEN regexp_matches(text, '[#$%&*]{3}') THEN 0 ELSE 1 END AS l FROM labels JOIN documents USING (doc_id)) SELECT t AS quality, count(*) FILTER (l = 0) AS as_0, count(*) FILTER (l = 1) AS as_1 FROM x GROUP BY t")

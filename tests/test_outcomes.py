@@ -205,3 +205,32 @@ def test_reports(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "n")).collect()) == ['1\tsay "a"', "2\t", "uid\ttext"]
     with pytest.raises(Exception, match="already exists"):
         W.normalised(rows, ["uid", "text"], str(tmp_path / "n"), rows, str(tmp_path / "log2"))
+
+
+def test_macro_average_all(spark):
+    """Against the match of each sentence by hand, over all sentences of the smallest tables."""
+    import os
+
+    from deltaspan import registry
+    from deltaspan.plans import adapters as D
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    rows = [(r["uid"], [g.asDict() for g in r["gold"]]) for r in D.gold_rows(spark, sf).where("size(gold) > 0").collect()]
+    sums = {}
+    for uid, gold in rows:
+        terms = sorted({(g["term"], g["category"]) for g in gold})
+        spans = [{"occ": sorted((g["start"], g["end"]) for g in gold if g["term"] == t), "category": c} for t, c in terms]
+        said = []
+        for g in gold:
+            k = uid * 31 + g["start"]
+            if k % 5:
+                said.append({"start": g["start"] + k % 3, "end": g["end"] + k % 3, "type": "NEO" if k % 7 == 0 else g["category"]})
+        counts, _, _ = M.match_py(spans, sorted(said, key=lambda s: (s["start"], s["end"], s["type"])))
+        own = sums.setdefault(min(gold, key=lambda g: g["gi"])["category"], [0, 0])
+        own[0] += counts["located"]
+        own[1] += len(spans)
+    got = registry.queries()["macro_average_all"](spark, sf).first()
+    assert got["macro_span_recall"] == pytest.approx(sum(a / b for a, b in sums.values()) / len(sums), abs=1e-3)
+    assert len(rows) > registry.queries()["span_single_best"](spark, sf).agg(F.sum("gold")).first()[0] > 0
