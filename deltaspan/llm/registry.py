@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, mixing, near_duplicates, pii, quality, site_quality, token_counts, toxicity
+from . import bpe, clusters, decontaminate, html_text, licenses, merkle, mixing, near_duplicates, pii, quality, site_quality, token_counts, toxicity
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", size=64, k=16, rounds=3)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_checked(table(spark, sf_dir, "documents"))
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op8 SQL can say."""
     return quality.verdicts(table(spark, sf_dir, "documents")).select(*quality.BASE_COLUMNS)
@@ -66,12 +78,12 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_license_scan, op3_html_extraction, op4_token_counts, op5_near_duplicates,
-        op6_site_quality, op7_mixing, op8_quality_rules, op9_pii, op10_toxicity, quality_base_counts, pii_base_spans,
+        op6_site_quality, op7_mixing, op8_quality_rules, op9_pii, op10_toxicity, op11_centroid_clusters, op12_bpe, op13_merkle_manifest, quality_base_counts, pii_base_spans,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.ORACLE, "op5_near_duplicates": near_duplicates.ORACLE,
-        "quality_base_counts": quality.ORACLE_BASE, "pii_base_spans": pii.ORACLE_BASE,
+        "op11_centroid_clusters": clusters.ORACLE, "op13_merkle_manifest": merkle.ORACLE, "quality_base_counts": quality.ORACLE_BASE, "pii_base_spans": pii.ORACLE_BASE,
     }
