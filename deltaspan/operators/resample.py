@@ -1,17 +1,18 @@
 """Bootstrap and regression.
 
-Frozen forms repeat Python's generators draw by draw in one task for each group: they are for reports of a few
-thousand items, and their results depend on the order of the items. Portable forms make each draw from a hash of its
+Frozen forms repeat Python's generators draw by draw: they are for reports, and their results depend on the order of
+the items. The generator is walked once for a group and its places are dealt over tasks, which redo the rounds. Portable forms make each draw from a hash of its
 round and number, so that rounds are dealt over the cluster and any engine gets the same numbers.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,25 +52,138 @@ def paired_py(a: list[float], b: list[float], rounds: int = 2000, seed: int = SE
     return {"n": n, "mean_a": float(first.mean()), "mean_b": float(second.mean()), "diff": diff, "lo": float(draws[low]), "hi": float(draws[high]), "p": float(min(1.0, 2 * beyond))}
 
 
-def mean_interval_frozen(df: DataFrame, by: str, value: str, order: str, rounds: int = 2000) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values(order, kind="stable")
-        lo, hi = mean_interval_py(own[value].tolist(), rounds)
-        return pd.DataFrame({by: own[by].iloc[:1], "n": [len(own)], "lo": [lo], "hi": [hi]})
+class Stream:
+    """The 32-bit numbers of Python's generator from some place on, by NumPy, many at a time."""
 
-    kind = df.schema[by].dataType.simpleString()
-    return df.where(F.col(value).isNotNull()).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, lo double, hi double")
+    CHUNK = 1 << 16
 
+    def __init__(self, key: np.ndarray, pos: int, at: int = 0) -> None:
+        self.source = np.random.MT19937()
+        self.source.state = {"bit_generator": "MT19937", "state": {"key": np.asarray(key, dtype=np.uint32), "pos": pos}}
+        self._fill()
+        self.at = at
 
-def paired_frozen(aligned: DataFrame, order: str, rounds: int = 2000) -> DataFrame:
-    """For each pair (hi, lo) of aligned values, the frozen difference and whether its interval is above zero."""
+    @classmethod
+    def seeded(cls, seed: int) -> Stream:
+        *key, pos = random.Random(seed).getstate()[1]
+        return cls(np.array(key, dtype=np.uint32), pos)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values(order, kind="stable")
-        r = paired_py(own["value_hi"].tolist(), own["value_lo"].tolist(), rounds)
-        return pd.DataFrame([{"hi": own["hi"].iloc[0], "lo": own["lo"].iloc[0], "n": r["n"], "mean_hi": r["mean_a"], "mean_lo": r["mean_b"], "diff": r["diff"], "ci_lo": r["lo"], "ci_hi": r["hi"], "p": r["p"], "gate": "PASS" if r["lo"] > 0 else "fail"}])
+    def _fill(self) -> None:
+        self.mark = self.source.state["state"]
+        self.words, self.at = self.source.random_raw(self.CHUNK), 0
+
+    def place(self) -> tuple[bytes, int, int]:
+        """The generator before the chunk, and what of the chunk is used up: arguments of another Stream."""
+        return np.asarray(self.mark["key"], dtype=np.uint32).tobytes(), int(self.mark["pos"]), self.at
 
-    return aligned.groupBy("hi", "lo").applyInPandas(run, "hi string, lo string, n long, mean_hi double, mean_lo double, diff double, ci_lo double, ci_hi double, p double, gate string")
+    def _next(self, most: int) -> np.ndarray:
+        if self.at == len(self.words):
+            self._fill()
+        out = self.words[self.at : self.at + most]
+        self.at += len(out)
+        return out
+
+    def choices(self, n: int, count: int) -> np.ndarray:
+        """Places below n as random.choices draws them: two words each."""
+        words, have = [], 0
+        while have < 2 * count:
+            words.append(self._next(2 * count - have))
+            have += len(words[-1])
+        pairs = np.concatenate(words).reshape(-1, 2) if words else np.zeros((0, 2), dtype=np.uint64)
+        unit = ((pairs[:, 0] >> np.uint64(5)).astype(np.float64) * 67108864.0 + (pairs[:, 1] >> np.uint64(6)).astype(np.float64)) / 9007199254740992.0
+        return np.floor(unit * float(n)).astype(np.int64)
+
+    def below(self, n: int, count: int) -> np.ndarray:
+        """Places below n as random.randrange draws them: the upper bits of a word, again where they are too large."""
+        shift, got, have = np.uint64(32 - n.bit_length()), [], 0
+        while have < count:
+            own = self._next(self.CHUNK) >> shift
+            fits = np.flatnonzero(own < n)
+            if len(fits) > count - have:
+                fits = fits[: count - have]
+            if have + len(fits) == count and len(fits):
+                self.at -= len(own) - int(fits[-1]) - 1
+            got.append(own[fits])
+            have += len(fits)
+        return np.concatenate(got).astype(np.int64) if got else np.zeros(0, dtype=np.int64)
+
+
+#: Rounds of a task, and items of a group at most: frozen forms are for reports, whose items a task holds at once.
+SLICE, FROZEN_ITEMS = 125, 20_000_000
+
+
+def _frozen_rounds(groups: DataFrame, by: list[str], draw: str, statistic: Callable[[list[list[float]], np.ndarray], float], rounds: int, seed: int) -> DataFrame:
+    """by, turn and the draw m of each round, as Python's generator gives them when it starts anew for each group.
+
+    groups: by and items, an array of arrays of numbers, in order. The generator is walked once for a group, without its
+    items; its places, every SLICE rounds, are dealt out with the items, and the rounds made in as many tasks.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["n"] > FROZEN_ITEMS:
+                    raise ValueError(f"{row['n']} items are too many for a frozen form")
+                stream, out = Stream.seeded(seed), []
+                for first in range(0, rounds, SLICE):
+                    own = min(SLICE, rounds - first)
+                    out.append({c: row[c] for c in by} | dict(zip(("first", "rounds", "key", "pos", "at"), (first, own, *stream.place()), strict=True)))
+                    if first + own < rounds:
+                        for _ in range(own):
+                            getattr(stream, draw)(row["n"], row["n"])
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*[batch.schema.field(c) for c in by], ("first", pa.int32()), ("rounds", pa.int32()), ("key", pa.binary()), ("pos", pa.int32()), ("at", pa.int32())]))
+
+    slices = groups.select(*by, F.size("items").alias("n")).where("n > 0").mapInArrow(walk, f"{keys}, first int, rounds int, key binary, pos int, at int")
+    # a slice is a task's work, however few bytes it has
+    slices = slices.repartition(max(1, -(-rounds // SLICE)), "first", *by)
+
+    def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                stream, items = Stream(np.frombuffer(row["key"], dtype=np.uint32), row["pos"], row["at"]), row["items"]
+                m = [statistic(items, getattr(stream, draw)(len(items), len(items))) for _ in range(row["rounds"])]
+                columns = {c: pa.array([row[c]] * len(m), type=batch.schema.field(c).type) for c in by}
+                yield pa.RecordBatch.from_pydict(columns | {"turn": pa.array(range(row["first"], row["first"] + len(m)), type=pa.int32()), "m": pa.array(m, type=pa.float64())})
+
+    return slices.join(F.broadcast(groups.select(*by, "items")), by).mapInArrow(redo, f"{keys}, turn int, m double")
+
+
+def _in_order(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """by and items, the values of each group by their order."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.array(*[F.col(v).cast("double") for v in values]).alias("v"))))
+    return df.groupBy(*by).agg(F.transform(items, lambda x: x["v"]).alias("items"))
+
+
+def _mean_of(items: list[list[float]], at: np.ndarray) -> float:
+    return sum([items[i][0] for i in at.tolist()]) / len(items)
+
+
+def _difference_of(items: list[list[float]], at: np.ndarray) -> float:
+    own = np.asarray(items)[at]
+    return float((own[:, 0] - own[:, 1]).mean())
+
+
+def mean_interval_frozen(df: DataFrame, by: str, value: str, order: str, rounds: int = 2000, seed: int = SEED) -> DataFrame:
+    """by, n and the bounds that mean_interval_py gives for each group's values in order, its rounds dealt over tasks."""
+    groups = _in_order(df.where(F.col(value).isNotNull()), [by], order, [value])
+    drawn = _frozen_rounds(groups, [by], "choices", _mean_of, rounds, seed)
+    out = groups.select(by, F.size("items").cast("long").alias("n")).join(bounds(drawn, [by], "m", rounds), by)
+    return out.select(by, "n", F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi"))
+
+
+def paired_frozen(aligned: DataFrame, order: str, rounds: int = 2000, seed: int = SEED) -> DataFrame:
+    """For each pair (hi, lo) of aligned values what paired_py gives, and whether its interval is above zero."""
+    by = ["hi", "lo"]
+    groups = _in_order(aligned, by, order, ["value_hi", "value_lo"])
+    drawn = _frozen_rounds(groups, by, "below", _difference_of, rounds, seed)
+    mean = lambda i: F.aggregate("items", F.lit(0.0), lambda a, x: a + x[i]) / F.size("items")
+    point = groups.select(*by, F.size("items").cast("long").alias("n"), mean(0).alias("mean_hi"), mean(1).alias("mean_lo")).withColumn("diff", F.col("mean_hi") - F.col("mean_lo"))
+    tails = drawn.groupBy(*by).agg(F.avg((F.col("m") <= 0).cast("double")).alias("below"), F.avg((F.col("m") >= 0).cast("double")).alias("above"))
+    p = F.least(F.lit(1.0), 2 * F.when(F.col("diff") >= 0, F.col("below")).otherwise(F.col("above")))
+    return point.join(bounds(drawn, by, "m", rounds), by).join(tails, by).select(*by, "n", "mean_hi", "mean_lo", "diff", "ci_lo", "ci_hi", p.alias("p"), F.when(F.col("ci_lo") > 0, "PASS").otherwise("fail").alias("gate"))
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

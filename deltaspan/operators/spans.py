@@ -1,17 +1,16 @@
 """Scoring of predicted spans against gold spans.
 
 Long tables: gold (uid, gi, start, end, category[, occ]) and predicted (uid, pi, start, end, type[, confidence]).
-Sentence tables hold both as arrays in a row; a sentence is small, so that its greedy match runs in a row function.
+Sentence tables hold both as arrays in a row, and their greedy match is an expression over these.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
+
 COUNTERS = (
     "gold", "predicted", "located", "located_typed", "located_exact", "located_exact_typed", "located_iou50", "located_iou50_typed",
     "predicted_hit", "predicted_hit_typed", "predicted_hit_exact", "predicted_hit_exact_typed", "sentences", "gate_fired",
@@ -28,11 +27,45 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.coalesce(F.try_divide(common.cast("double"), (a1 - a0) + (b1 - b0) - common), F.lit(0.0))
 
 
+#: Spans are put into buckets as wide as a power of 2^RUNG, the least that a span isn't wider than.
+RUNG = 4
+
+
+def _rung(start: Column, end: Column) -> Column:
+    return F.floor((F.length(F.bin(end - start - 1)) + RUNG - 1) / RUNG).cast("int")
+
+
+def _bucket(at: Column, rung: Column) -> Column:
+    return F.call_function("shiftright", at.cast("bigint"), rung * RUNG)
+
+
 def overlap_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Pairs that share a character, with their overlap and intersection over union; a range join within uid."""
-    p = predicted.select("uid", "pi", F.col("start").alias("p0"), F.col("end").alias("p1"), "type")
-    g = gold.select("uid", "gi", F.col("start").alias("g0"), F.col("end").alias("g1"), "category")
-    out = g.join(p, "uid").where("g0 < p1 and p0 < g1")
+    """Pairs that share a character, with their overlap and intersection over union; a range join within uid.
+
+    Spans meet in buckets of the wider one's width, where either has two at most, and a pair counts in the first bucket
+    that both have. So a uid may have any number of spans, and a few wide ones don't widen the buckets of the others. A
+    narrower span is put into wider buckets only where the other table has spans of that width: the widths present, a
+    handful of numbers, are looked up first.
+    """
+    g = gold.where("start < end").select("uid", "gi", F.col("start").alias("g0"), F.col("end").alias("g1"), "category", _rung(F.col("start"), F.col("end")).alias("rg"))
+    p = predicted.where("start < end").select("uid", "pi", F.col("start").alias("p0"), F.col("end").alias("p1"), "type", _rung(F.col("start"), F.col("end")).alias("rp"))
+    have = {side: [r[0] for r in df.select(side).distinct().collect()] for df, side in ((g, "rg"), (p, "rp"))}
+
+    def met(df: DataFrame, rung: str, other: str, a: str, b: str) -> DataFrame:
+        # a bucket of its own width for spans up to that width, and wider ones for wider spans of the other side
+        wider = F.array(*[F.lit(x) for x in sorted(have[other])]).cast("array<int>")
+        rungs = F.array_union(F.array(F.struct(F.col(rung).alias("m"), F.lit(0).alias("wide"))), F.transform(F.filter(wider, lambda m: m > F.col(rung)), lambda m: F.struct(m.alias("m"), F.lit(1).alias("wide"))))
+        own = df.withColumn("r", F.explode(rungs)).select(*df.columns, "r.m", "r.wide")
+        return own.withColumn("bucket", F.explode(F.sequence(_bucket(F.col(a), F.col("m")), _bucket(F.col(b) - 1, F.col("m")))))
+
+    g = met(g, "rg", "rp", "g0", "g1").withColumnRenamed("wide", "wide_g")
+    p = met(p, "rp", "rg", "p0", "p1").withColumnRenamed("wide", "wide_p")
+    # both of one width, or either in the buckets of the other: never two narrow ones in a wide bucket
+    sides = F.explode(F.when(F.col("wide_g") == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))
+    g = g.withColumn("side", sides)
+    p = p.withColumn("side", F.explode(F.when(F.col("wide_p") == 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))))
+    first = F.col("bucket") == _bucket(F.greatest("g0", "p0"), F.col("m"))
+    out = g.join(p, ["uid", "m", "side", "bucket"]).where(F.expr("g0 < p1 and p0 < g1") & first)
     return out.select("uid", "gi", "pi", "g0", "g1", "p0", "p1", "category", "type", overlap(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("overlap"), iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("iou"))
 
 
@@ -57,73 +90,71 @@ def prf(tp: Column, n_pred: Column, n_gold: Column, scale: float = 1.0) -> tuple
     return p, r, F.try_divide(2 * p * r, p + r)
 
 
-def match_py(gold: list[dict], predicted: list[dict], gate: bool | None = None) -> tuple[dict[str, int], list[int], list[tuple[int, int, bool]]]:
-    """Greedy match of a sentence: counters, missed gold, and (gold, prediction, exact) pairs.
+def greedy(gold: Column, predicted: Column, gate: Column | None = None) -> Column:
+    """The greedy match of a sentence's arrays: a struct of the counters, the indexes of missed gold spans, and the stratum.
 
-    gold: occ (list of (start, end)), category. The pair with the most overlap goes first, by order of gold and then
-    of prediction on ties; a gold span counts with the occurrence that overlaps most, the first of equals. A
-    prediction left over that touches any gold span is a hit as well, typed by the first that it touches.
+    gold: structs of occ (an array of places) and category; predicted: structs of start, end and type.
+    A gold span meets a prediction with the place that overlaps most, the first of equals. Pairs are folded in order of
+    overlap, most first, then of gold and prediction, over what is taken on either side. A prediction left over that
+    touches any gold span is a hit as well, typed by the first that it touches. Strata: miss, nothing predicted; fp_only,
+    nothing right; exact, a typed exact match; else partial. gate: whether a detector's gate fired, by default whether it
+    predicted anything.
     """
-    n = dict.fromkeys(COUNTERS, 0) | {"gold": len(gold), "predicted": len(predicted), "sentences": 1, "gate_fired": int(bool(predicted) if gate is None else gate)}
-    touch: dict[tuple[int, int], tuple[int, tuple[int, int]]] = {}
-    for g, span in enumerate(gold):
-        for p, found in enumerate(predicted):
-            for a, b in span["occ"]:
-                common = min(b, found["end"]) - max(a, found["start"])
-                if common > touch.get((g, p), (0, None))[0]:
-                    touch[g, p] = common, (a, b)
-    queue = [(-common, g, p) for (g, p), (common, _) in touch.items()]
-    heapq.heapify(queue)
-    free_gold, free_pred, pairs = set(range(len(gold))), set(range(len(predicted))), []
-    while queue:
-        lost, g, p = heapq.heappop(queue)
-        if g not in free_gold or p not in free_pred:
-            continue
-        free_gold.remove(g)
-        free_pred.remove(p)
-        (a, b), found = touch[g, p][1], predicted[p]
-        typed = (found["type"] or "").upper() == (gold[g]["category"] or "").upper()
-        exact = (a, b) == (found["start"], found["end"])
-        half = -2 * lost >= (b - a) + (found["end"] - found["start"]) + lost
-        pairs.append((g, p, exact))
-        for name, yes in (("", True), ("_typed", typed), ("_exact", exact), ("_exact_typed", exact and typed), ("_iou50", half), ("_iou50_typed", half and typed)):
-            n["located" + name] += yes
-            if "iou" not in name:
-                n["predicted_hit" + name] += yes
-    for p in free_pred:
-        if (g := min((g for g, q in touch if q == p), default=None)) is not None:
-            n["predicted_hit"] += 1
-            n["predicted_hit_typed"] += (predicted[p]["type"] or "").upper() == (gold[g]["category"] or "").upper()
-    return n, sorted(free_gold), pairs
+    name = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    whole = lambda c: c.cast("bigint")
+
+    def meeting(g: Column, gi: Column, p: Column, pi: Column) -> Column:
+        none = F.struct(F.lit(0).cast("bigint").alias("o"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+
+        def better(s: Column, x: Column) -> Column:
+            common = whole(overlap(x["start"], x["end"], p["start"], p["end"]))
+            return F.when(common > s["o"], F.struct(common.alias("o"), whole(x["start"]).alias("a"), whole(x["end"]).alias("b"))).otherwise(s)
+
+        def told(s: Column) -> Column:
+            total = s["b"] - s["a"] + p["end"] - p["start"]
+            return F.struct(
+                (-s["o"]).alias("lost"), gi.alias("g"), pi.alias("p"), (name(p["type"]) == name(g["category"])).alias("typed"),
+                ((s["a"] == p["start"]) & (s["b"] == p["end"])).alias("exact"), (2 * s["o"] >= total - s["o"]).alias("half"),
+            )
+
+        return F.aggregate(F.coalesce(g["occ"], F.array().cast("array<struct<start:int,end:int>>")), none, better, told)
+
+    def folded(pairs: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("p"), F.filter(pairs, lambda x: F.lit(False)).alias("pairs"))
+        taken = lambda s, x: F.array_contains(s["g"], x["g"]) | F.array_contains(s["p"], x["p"])
+        put = lambda s, x: F.struct(F.array_append(s["g"], x["g"]).alias("g"), F.array_append(s["p"], x["p"]).alias("p"), F.array_append(s["pairs"], x).alias("pairs"))
+        return F.aggregate(F.array_sort(pairs), start, lambda s, x: F.when(taken(s, x), s).otherwise(put(s, x)))
+
+    def score(g: Column, p: Column) -> Column:
+        # by prediction, the gold spans that it touches, in order
+        touched = F.transform(p, lambda y, pi: F.filter(F.transform(g, lambda x, gi: meeting(x, gi, y, pi)), lambda m: m["lost"] < 0))
+        return bind(touched, lambda t: bind(folded(F.flatten(t)), lambda s: counted(g, p, t, s)))
+
+    def counted(g: Column, p: Column, t: Column, s: Column) -> Column:
+        n = lambda rule: whole(F.size(F.filter(s["pairs"], rule)))
+        rules = {"": lambda x: F.lit(True), "_typed": lambda x: x["typed"], "_exact": lambda x: x["exact"], "_exact_typed": lambda x: x["exact"] & x["typed"]}
+        rest = F.filter(t, lambda own, pi: (F.size(own) > 0) & ~F.array_contains(s["p"], pi))
+        more = {"": whole(F.size(rest)), "_typed": whole(F.size(F.filter(rest, lambda own: F.get(own, F.lit(0))["typed"])))}
+        values = {"gold": whole(F.size(g)), "predicted": whole(F.size(p)), "sentences": F.lit(1).cast("bigint"), "gate_fired": whole(F.size(p) > 0 if gate is None else F.coalesce(gate, F.size(p) > 0))}
+        for kind, rule in rules.items():
+            values |= {f"located{kind}": n(rule), f"predicted_hit{kind}": n(rule) + more.get(kind, F.lit(0))}
+        values |= {"located_iou50": n(lambda x: x["half"]), "located_iou50_typed": n(lambda x: x["half"] & x["typed"])}
+        every = F.transform(g, lambda x, gi: gi)
+        stratum = F.when(F.size(p) == 0, "miss").when(F.size(s["pairs"]) == 0, "fp_only").when(F.exists(s["pairs"], rules["_exact_typed"]), "exact").otherwise("partial")
+        return F.struct(*[values[c].alias(c) for c in COUNTERS], F.filter(every, lambda gi: ~F.array_contains(s["g"], gi)).alias("missed"), stratum.alias("stratum"))
+
+    return bind(F.struct(gold.alias("g"), predicted.alias("p")), lambda r: score(r["g"], r["p"]))
 
 
 _GOLD = "array<struct<occ:array<struct<start:int,end:int>>,category:string>>"
-_SCORE = "struct<" + ",".join(f"{c}:bigint" for c in COUNTERS) + ",missed:array<int>,stratum:string>"
-
+_FOUND = "array<struct<start:int,end:int,type:string>>"
 
-def stratum_py(gold: list[dict], predicted: list[dict], pairs: list[tuple[int, int, bool]]) -> str:
-    """miss: nothing predicted; fp_only: nothing right; exact: a typed exact match; else partial."""
-    if not predicted:
-        return "miss"
-    if not pairs:
-        return "fp_only"
-    same = lambda g, p: (predicted[p]["type"] or "").upper() == (gold[g]["category"] or "").upper()
-    return "exact" if any(exact and same(g, p) for g, p, exact in pairs) else "partial"
 
-
-def score_sentences(df: DataFrame, gold: str = "gold_spans", predicted: str = "spans") -> DataFrame:
+def score_sentences(df: DataFrame, gold: str = "gold_spans", predicted: str = "spans", gate: str | None = None) -> DataFrame:
     """Adds the counters, the indexes of missed gold spans and the stratum of each sentence; a null is no span."""
-    arrow = pa.struct([*[(c, pa.int64()) for c in COUNTERS], ("missed", pa.list_(pa.int32())), ("stratum", pa.string())])
-
-    def run(rows: pa.Array) -> pa.Array:
-        out = []
-        for r in rows.to_pylist():
-            g = [{"occ": [(o["start"], o["end"]) for o in x["occ"] or []], "category": x["category"]} for x in r["g"] or []]
-            n, missed, pairs = match_py(g, r["p"] or [])
-            out.append(n | {"missed": missed, "stratum": stratum_py(g, r["p"] or [], pairs)})
-        return pa.array(out, type=arrow)
-
-    score = F.arrow_udf(run, _SCORE)(F.struct(F.col(gold).cast(_GOLD).alias("g"), F.transform(predicted, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["type"].alias("type"))).alias("p")))
+    found = F.transform(predicted, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["type"].alias("type")))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    score = greedy(empty(F.col(gold).cast(_GOLD), _GOLD), empty(found.cast(_FOUND), _FOUND), None if gate is None else F.col(gate))
     return df.withColumn("__score", score).select(*df.columns, "__score.*")
 
 

@@ -16,10 +16,8 @@ from ..operators import spans as M
 from ..operators import validate as V
 from . import adapters as D
 from .adapters import GOLD_SQL, table
-from .queries import DRAW_SQL, FULL_ROUNDS, HASH_SQL, ROUNDS, query
+from .queries import DRAW_SQL, FULL_ROUNDS, HASH_SQL, ROUNDS, SENTENCES_SQL, query
 
-#: A sentence's category is that of the first of its spans.
-SENTENCES_SQL = "sent AS (SELECT uid, arg_min(category, gi) AS category FROM g GROUP BY uid)"
 #: Standard forms and what is said to be one: by the place of a span, right, right but for case, wrong, or missing.
 STD_SQL = "gs AS (SELECT g.*, term || '-' || CAST(start % 2 AS VARCHAR) AS std FROM g)"
 

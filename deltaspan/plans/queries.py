@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import splice as S
 from ..functions import text as X
+from ..operators import counts as N
 from ..operators import overlap as O
 from ..operators import pairs as P
 from ..operators import resample as R
@@ -241,12 +242,16 @@ def ratio_boot_full(spark: SparkSession, d: str) -> DataFrame:
 STRATA_SQL = "e AS (SELECT event_id, value AS a, value * (1 + (event_id % 5 - 2) / 100.0) AS b, CASE WHEN user_id % 4 = 0 THEN 'miss' WHEN user_id % 4 = 1 THEN 'fp_only' WHEN user_id % 4 = 2 THEN 'partial' ELSE 'exact' END AS stratum, event_type FROM events WHERE value IS NOT NULL), x AS (SELECT unnest(['all', stratum, 'type:' || event_type]) AS scope, event_id, a - b AS d FROM e)"
 
 
-def _tier_strata_contrast(spark: SparkSession, d: str, rounds: int) -> DataFrame:
+def _strata_rows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("value is not null")
     u = F.col("user_id") % 4
     stratum = F.when(u == 0, "miss").when(u == 1, "fp_only").when(u == 2, "partial").otherwise("exact")
     other = F.col("value") * (1 + (F.col("event_id") % 5 - 2) / 100.0)
-    x = e.select("event_id", (F.col("value") - other).alias("d"), F.explode(F.array(F.lit("all"), stratum, F.concat(F.lit("type:"), "event_type"))).alias("scope"))
+    return e.select("event_id", F.col("value").alias("a"), other.alias("b"), F.explode(F.array(F.lit("all"), stratum, F.concat(F.lit("type:"), "event_type"))).alias("scope"))
+
+
+def _tier_strata_contrast(spark: SparkSession, d: str, rounds: int) -> DataFrame:
+    x = _strata_rows(spark, d).withColumn("d", F.col("a") - F.col("b"))
     out = R.mean_interval_portable(x, "scope", "d", ["event_id"], rounds, place=_place(rounds))
     return out.select("scope", "n", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
 
@@ -266,11 +271,103 @@ def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return R.sample_by_hash(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100)
 
 
+def _regression_rows(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(c) for c in S.CATEGORIES]), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select(F.substring("p_brand", 1, 7).alias("system"), F.col("p_retailprice").alias("delta"), kind.alias("category"), F.length("p_name").alias("length"), X.edit_distance(F.col("p_name"), F.col("p_type")).alias("edit_distance"), F.col("p_partkey").alias("pos"))
+
+
+def _coefficients(out: DataFrame) -> DataFrame:
+    return out.select("system", "name", *[F.round(c, 4).alias(c) for c in ("estimate", "lo", "hi")], "excludes_zero")
+
+
 @query()
 def regression_frozen(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(F.substring("p_brand", 1, 7).alias("system"), F.col("p_retailprice").alias("delta"), F.element_at(F.array(*[F.lit(c) for c in S.CATEGORIES]), (F.col("p_size") % 4 + 1).cast("int")).alias("category"), F.length("p_name").alias("length"), X.edit_distance(F.col("p_name"), F.col("p_type")).alias("edit_distance"), F.col("p_partkey").alias("pos"))
-    out = R.regression(part, "system", list(S.CATEGORIES), "pos", 1000)
-    return out.select("system", "name", *[F.round(c, 6).alias(c) for c in ("estimate", "lo", "hi")], "excludes_zero")
+    return _coefficients(R.regression(_regression_rows(spark, d), "system", list(S.CATEGORIES), "pos", 1000))
+
+
+# ---- resampling by counts, all rounds of the reference
+
+
+def _counted_sql(items: str, by: str, values: list[str], m: str, out: str, upper_less: int = 0) -> str:
+    """items: a query with ``by``, x, y and the values; m: what is drawn, of the sums and n; out: columns of the result."""
+    low, high = R.order_bounds(FULL_ROUNDS)
+    sums = ", ".join(f"sum(w * {v}) AS {v}" for v in values)
+    return (
+        f"it AS ({items}), w AS ({N.counts_sql('it', FULL_ROUNDS, ', '.join([by, *values]))}), u AS (SELECT {by}, turn, sum(w) AS n, {sums} FROM w GROUP BY {by}, turn), "
+        # a round that draws nothing has the plain sums
+        f"t AS (SELECT {by}, u.turn, {', '.join(f'CASE WHEN u.n = 0 THEN v.{c} ELSE u.{c} END AS {c}' for c in ('n', *values))} FROM u JOIN (SELECT * FROM u WHERE turn = {N.POINT}) v USING ({by})), "
+        f"k AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY m) - 1 AS k FROM (SELECT *, round({m}, 6) AS m FROM t WHERE turn >= 0)), "
+        f"b AS (SELECT {by}, avg(m) AS drawn, max(m) FILTER (k = {low}) AS ci_lo, max(m) FILTER (k = {high - upper_less}) AS ci_hi, avg((m <= 0)::INT) AS below, avg((m >= 0)::INT) AS above FROM k GROUP BY {by}) "
+        f"SELECT {out} FROM b JOIN (SELECT * FROM t WHERE turn = {N.POINT}) USING ({by})"
+    )
+
+
+@query(f"WITH {SCORES_SQL}, {ITEM_SQL}, " + _counted_sql(f"SELECT system, delta, {N.halves_sql('item::VARCHAR')} FROM i", "system", ["delta"], "delta / n", "system, n::BIGINT AS n, round(delta / n, 4) AS mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi"))
+def boot_ci_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = N.mean_interval(P.item_means(D.scores(spark, d)), ["system"], "delta", ["item"], FULL_ROUNDS)
+    return out.select("system", "n", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
+
+
+CONTRAST_OUT = "n::BIGINT AS n, round(d / n, 4) AS diff, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi, round(least(1.0, 2 * CASE WHEN d >= 0 THEN below ELSE above END), 4) AS p, CASE WHEN ci_lo > 0 THEN 'PASS' ELSE 'fail' END AS gate"
+
+
+def _contrast(out: DataFrame, by: list[str]) -> DataFrame:
+    return out.select(*by, "n", *[F.round(c, 4).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "gate")
+
+
+@query(f"WITH {SCORES_SQL}, {ITEM_SQL}, {PAIRS_SQL}, q AS (SELECT hi, lo, a.item, a.delta - b.delta AS d FROM pl JOIN i a ON a.system = hi JOIN i b ON b.system = lo AND a.item = b.item), " + _counted_sql(f"SELECT hi, lo, d, {N.halves_sql('item::VARCHAR')} FROM q", "hi, lo", ["d"], "d / n", f"hi, lo, {CONTRAST_OUT}"))
+def paired_boot_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _contrast(N.paired_interval(P.align_items(P.with_delta(D.scores(spark, d)), PAIRS), ["hi", "lo"], ["item"], FULL_ROUNDS), ["hi", "lo"])
+
+
+@query("WITH " + _counted_sql(f"SELECT lang, toxic AS a, quality AS b, {N.halves_sql('doc_id::VARCHAR')} FROM labels JOIN documents USING (doc_id)", "lang", ["a", "b"], "coalesce(a / nullif(b, 0), 0)", "lang, round(drawn, 4) AS mean, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi", 1))
+def ratio_boot_counts(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    out = N.ratio_interval(own, ["lang"], "toxic", "quality", ["doc_id"], FULL_ROUNDS)
+    return out.select("lang", *[F.round(c, 4).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
+
+
+@query(f"WITH {STRATA_SQL}, " + _counted_sql(f"SELECT scope, d, {N.halves_sql('event_id::VARCHAR')} FROM x", "scope", ["d"], "d / n", f"scope, {CONTRAST_OUT}"))
+def tier_strata_counts(spark: SparkSession, d: str) -> DataFrame:
+    x = _strata_rows(spark, d).withColumns({"value_hi": F.col("a"), "value_lo": F.col("b")})
+    return _contrast(N.paired_interval(x, ["scope"], ["event_id"], FULL_ROUNDS), ["scope"])
+
+
+REGRESSION_ROUNDS = 1000
+_K = 3 + len(S.CATEGORIES)
+#: What stands in the design, in order; the baseline's column is zero.
+_DESIGN_SQL = ["1.0", *[f"(place = {i} AND base <> {i})::INT" for i in range(len(S.CATEGORIES))], *[f"CASE WHEN {c}_sd > 1e-9 THEN ({c} - {c}_mean) / {c}_sd ELSE 0 END" for c in ("length", "edit_distance")]]
+_PRODUCTS = [f"g{i}_{j}" for i in range(_K) for j in range(i, _K)] + [f"r{i}" for i in range(_K)]
+
+
+def _regression_sql() -> str:
+    """Normal equations of every round; an inverse by elimination with a little weight in each direction, whose error is taken out by repetition."""
+    of = [f"x{i} * x{j} AS g{i}_{j}" for i in range(_K) for j in range(i, _K)] + [f"x{i} * delta AS r{i}" for i in range(_K)]
+    about = ", ".join(f"avg({c}) OVER s AS {c}_mean, stddev_pop({c}) OVER s AS {c}_sd" for c in ("length", "edit_distance"))
+    gram = "[" + ", ".join("[" + ", ".join(f"g{min(i, j)}_{max(i, j)}" for j in range(_K)) + "]" for i in range(_K)) + "]"
+    right = "[" + ", ".join(f"r{i}" for i in range(_K)) + "]"
+    names = "['intercept', " + ", ".join(f"'cat={c}'" for c in S.CATEGORIES) + ", 'length_z', 'editdist_z']"
+    solved = "SELECT system, turn, g, b, inv, list_transform(inv, lambda row: list_inner_product(row, b)) AS x FROM v"
+    for _ in range(4):
+        solved = f"SELECT system, turn, g, b, inv, list_transform(inv, lambda row, i: x[i] + list_inner_product(row, rest)) AS x FROM (SELECT *, list_transform(g, lambda row, i: b[i] - list_inner_product(row, x)) AS rest FROM ({solved}))"
+    return (
+        "WITH RECURSIVE p AS (SELECT substr(p_brand, 1, 7) AS system, p_retailprice AS delta, p_size % 4 AS place, length(p_name) AS length, levenshtein(p_name, p_type) AS edit_distance, p_partkey FROM part), "
+        f"a AS (SELECT *, {about}, min(place) OVER s AS base FROM p WINDOW s AS (PARTITION BY system)), x AS (SELECT system, delta, p_partkey, {', '.join(f'{e} AS x{i}' for i, e in enumerate(_DESIGN_SQL))} FROM a), "
+        f"it AS (SELECT system, {', '.join(of)}, {N.halves_sql('p_partkey::VARCHAR')} FROM x), w AS ({N.counts_sql('it', REGRESSION_ROUNDS, ', '.join(['system', *_PRODUCTS]))}), "
+        f"t AS (SELECT system, turn, {', '.join(f'sum(w * {v}) AS {v}' for v in _PRODUCTS)} FROM w GROUP BY system, turn), q AS (SELECT system, turn, {gram}::DOUBLE[][] AS g, {right}::DOUBLE[] AS b FROM t), "
+        f"e AS (SELECT system, turn, 1 AS c, list_transform(g, lambda row, i: list_concat(list_transform(row, lambda v, j: v + CASE WHEN i = j THEN 1e-5 ELSE 0 END), list_transform(range(1, {_K + 1}), lambda j: CASE WHEN i = j THEN 1.0 ELSE 0.0 END))) AS m FROM q UNION ALL "
+        f"SELECT system, turn, c + 1, list_transform(m, lambda row, i: list_transform(row, lambda v, j: CASE WHEN i = c THEN v / m[c][c] ELSE v - row[c] * m[c][j] / m[c][c] END)) FROM e WHERE c <= {_K}), "
+        f"v AS (SELECT q.*, list_transform(m, lambda row: row[{_K + 1}:]) AS inv FROM q JOIN e USING (system, turn) WHERE c = {_K + 1}), "
+        f"b AS (SELECT system, turn, unnest(range(0, {_K})) AS i, unnest(x) AS b FROM ({solved})), "
+        "o AS (SELECT system, i, max(b) FILTER (turn < 0) AS estimate, quantile_cont(b, 0.025) FILTER (turn >= 0) AS lo, quantile_cont(b, 0.975) FILTER (turn >= 0) AS hi FROM b GROUP BY ALL), "
+        "h AS (SELECT system, min(place) AS base, list(DISTINCT place) AS present FROM p GROUP BY system HAVING count(*) >= count(DISTINCT place) + 3) "
+        f"SELECT system, {names}[i + 1] AS name, round(estimate, 4) AS estimate, round(lo, 4) AS lo, round(hi, 4) AS hi, lo > 0 OR hi < 0 AS excludes_zero FROM o JOIN h USING (system) WHERE i IN (0, {_K - 2}, {_K - 1}) OR (list_contains(present, i - 1) AND i - 1 <> base)"
+    )
+
+
+@query(_regression_sql())
+def regression_portable(spark: SparkSession, d: str) -> DataFrame:
+    return _coefficients(N.regression(_regression_rows(spark, d), ["system"], list(S.CATEGORIES), ["pos"], REGRESSION_ROUNDS))
 
 
 # ---- spans
@@ -344,17 +441,60 @@ def _whole(spark: SparkSession, d: str) -> DataFrame:
     return M.score_sentences(own.select("uid", first.alias("category"), spans.alias("gold_spans"), F.array_sort(D.predicted_spans(F.col("uid"), F.col("gold"))).alias("spans")))
 
 
-@query()
+def _rates_sql(of: str, by: str) -> str:
+    """Rates of summed counters, 0 where undefined."""
+    over = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
+    shown = ["gold AS gold_spans", "predicted AS predicted_spans", "sentences", f"round({over('predicted', 'sentences')}, 3) AS spans_per_sentence", f"round({over('gate_fired', 'sentences')}, 4) AS gate_fire_rate"]
+    for kind in ("", "_typed", "_exact", "_exact_typed"):
+        r, p = over(f"located{kind}", "gold"), over(f"predicted_hit{kind}", "predicted")
+        shown += [f"round({r}, 4) AS span_recall{kind}", f"round({p}, 4) AS span_precision{kind}", f"round({over(f'(2 * {p} * {r})', f'({p} + {r})')}, 4) AS span_f1{kind}"]
+        if not kind:
+            shown.append(f"round({over(f'(5 * {p} * {r})', f'(4 * {p} + {r})')}, 4) AS span_f2")
+    shown += [f"round({over(f'located{kind}', 'gold')}, 4) AS span_recall{kind}" for kind in ("_iou50", "_iou50_typed")]
+    return f"SELECT {by}, {', '.join(shown)} FROM {of}"
+
+
+#: The greedy match by recursion: a step tries the next pair of each sentence, the most overlap first.
+GREEDY_SQL = (
+    "gn AS (SELECT *, dense_rank() OVER (PARTITION BY uid ORDER BY term) - 1 AS gn FROM g), pn AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY start, stop, type) - 1 AS pn FROM p), "
+    "m AS (SELECT gn.uid, gn.gn, pn.pn, gn.start AS a, gn.stop AS b, pn.start AS c, pn.stop AS d, category = type AS typed, least(gn.stop, pn.stop) - greatest(gn.start, pn.start) AS o FROM gn JOIN pn ON gn.uid = pn.uid AND gn.start < pn.stop AND pn.start < gn.stop), "
+    "best AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY o DESC, gn, pn) AS k FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY uid, gn, pn ORDER BY o DESC, a) = 1)), "
+    "f AS (SELECT uid, 0::BIGINT AS k, []::BIGINT[] AS ug, []::BIGINT[] AS up, false AS free FROM sent UNION ALL "
+    "SELECT f.uid, f.k + 1, CASE WHEN list_contains(ug, gn) OR list_contains(up, pn) THEN ug ELSE list_append(ug, gn) END, CASE WHEN list_contains(ug, gn) OR list_contains(up, pn) THEN up ELSE list_append(up, pn) END, NOT (list_contains(ug, gn) OR list_contains(up, pn)) FROM f JOIN best ON best.uid = f.uid AND best.k = f.k + 1), "
+    "took AS (SELECT best.*, a = c AND b = d AS exact, 2 * o >= (b - a) + (d - c) - o AS half FROM f JOIN best USING (uid, k) WHERE free), "
+    "rest AS (SELECT uid, pn, arg_min(typed, gn) AS typed FROM best WHERE (uid, pn) NOT IN (SELECT (uid, pn) FROM took) GROUP BY uid, pn), "
+    "l AS (SELECT uid, " + ", ".join(f"count(*) FILTER ({rule}) AS located{kind}" for kind, rule in (("", "true"), ("_typed", "typed"), ("_exact", "exact"), ("_exact_typed", "exact AND typed"), ("_iou50", "half"), ("_iou50_typed", "half AND typed"))) + " FROM took GROUP BY uid), "
+    "r AS (SELECT uid, count(*) AS hit, count(*) FILTER (typed) AS hit_typed FROM rest GROUP BY uid), ng AS (SELECT uid, count(DISTINCT term) AS gold FROM g GROUP BY uid), np AS (SELECT uid, count(*) AS predicted FROM p GROUP BY uid), "
+    "sc AS (SELECT uid, category, gold, coalesce(predicted, 0) AS predicted, 1 AS sentences, (coalesce(predicted, 0) > 0)::INT AS gate_fired, " + ", ".join(f"coalesce(located{kind}, 0) AS located{kind}" for kind in ("", "_typed", "_exact", "_exact_typed", "_iou50", "_iou50_typed"))
+    + ", coalesce(located, 0) + coalesce(hit, 0) AS predicted_hit, coalesce(located_typed, 0) + coalesce(hit_typed, 0) AS predicted_hit_typed, coalesce(located_exact, 0) AS predicted_hit_exact, coalesce(located_exact_typed, 0) AS predicted_hit_exact_typed "
+    "FROM sent JOIN ng USING (uid) LEFT JOIN np USING (uid) LEFT JOIN l USING (uid) LEFT JOIN r USING (uid)), "
+    "st AS (SELECT *, CASE WHEN predicted = 0 THEN 'miss' WHEN located = 0 THEN 'fp_only' WHEN located_exact_typed > 0 THEN 'exact' ELSE 'partial' END AS stratum FROM sc)"
+)
+#: A sentence's category is that of the first of its spans.
+SENTENCES_SQL = "sent AS (SELECT uid, arg_min(category, gi) AS category FROM g GROUP BY uid)"
+
+
+def _sums_sql(by: str) -> str:
+    return f"z AS (SELECT {by}, {', '.join(f'sum({c})::BIGINT AS {c}' for c in M.COUNTERS)} FROM st GROUP BY {by})"
+
+
+@query(f"WITH RECURSIVE {GOLD_SQL}, {SENTENCES_SQL}, {GREEDY_SQL}, {_sums_sql('stratum')} " + _rates_sql("z", "stratum"))
 def span_greedy_score(spark: SparkSession, d: str) -> DataFrame:
     return M.rates(M.merged(_whole(spark, d), "stratum"))
 
 
-@query()
+@query(f"WITH RECURSIVE {GOLD_SQL}, {SENTENCES_SQL}, {GREEDY_SQL}, {_sums_sql('category')}, v AS ({_rates_sql('z', 'category')}) SELECT round(avg(span_recall), 4) AS macro_span_recall, round(avg(span_f1), 4) AS macro_span_f1 FROM v")
 def macro_average_all(spark: SparkSession, d: str) -> DataFrame:
-    """Macro rates over all sentences; the greedy match of several spans isn't expressible in SQL."""
+    """Macro rates over all sentences, a sentence counting for the category of its first span."""
     return M.macro(M.rates(M.merged(_whole(spark, d), "category")))
 
 
+@query(f"WITH RECURSIVE {GOLD_SQL}, {SENTENCES_SQL}, {GREEDY_SQL} SELECT uid, stratum, predicted, located, predicted_hit, predicted_hit_typed, located_iou50, gold - located AS n_missed FROM st")
+def span_greedy_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The match of each sentence."""
+    return _whole(spark, d).select("uid", "stratum", "predicted", "located", "predicted_hit", "predicted_hit_typed", "located_iou50", F.size("missed").cast("long").alias("n_missed"))
+
+
 @query("WITH x AS (SELECT doc_id, quality AS t, CASE WHEN regexp_matches(text, '[#$%&*]{3}') THEN 0 ELSE 1 END AS l FROM labels JOIN documents USING (doc_id)) SELECT t AS quality, count(*) FILTER (l = 0) AS as_0, count(*) FILTER (l = 1) AS as_1 FROM x GROUP BY t")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return M.confusion(_labelled(spark, d), "quality", "label", ["0", "1"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from deltaspan.operators import pairs as P
@@ -27,6 +28,41 @@ def test_paired():
     assert R.paired_py([], [])["diff"] is None
 
 
+def test_stream():
+    """The words of Python's generator, across chunks, and from a place on."""
+    for n in (1, 2, 3, 7, 40, 1000, 65537, 100_001):
+        for draw, plain in (("choices", lambda r, n: r.choices(range(n), k=n)), ("below", lambda r, n: [r.randrange(n) for _ in range(n)])):
+            stream, rng = R.Stream.seeded(5), random.Random(5)
+            for _ in range(3):
+                assert getattr(stream, draw)(n, n).tolist() == plain(rng, n)
+                key, pos, at = stream.place()
+                stream = R.Stream(np.frombuffer(key, dtype=np.uint32), pos, at)
+
+
+def test_frozen_draws(spark):
+    """Every draw over several tasks, and the bounds, are those of the plain functions; a null is no value, an empty table no row."""
+    rng = random.Random(2)
+    rows = [(h, i, rng.random(), rng.random() + 0.1 * (h == "B")) for h, n in (("A", 37), ("B", 200), ("C", 1)) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "hi string, item int, value_hi double, value_lo double").withColumn("lo", F.lit("x")).repartition(5)
+    groups = R._in_order(df, ["hi"], "item", ["value_hi"])
+    drawn = R._frozen_rounds(groups, ["hi"], "choices", R._mean_of, 400, R.SEED)
+    assert drawn.select(F.spark_partition_id()).distinct().count() > 1
+    for h in "ABC":
+        values = [r[2] for r in sorted(r for r in rows if r[0] == h)]
+        again = random.Random(R.SEED)
+        assert [r["m"] for r in drawn.where(F.col("hi") == h).orderBy("turn").collect()] == [sum(again.choices(values, k=len(values))) / len(values) for _ in range(400)]
+    got = {r["hi"]: r for r in R.paired_frozen(df, "item", 400).collect()}
+    for h in "ABC":
+        own = sorted(r for r in rows if r[0] == h)
+        want = R.paired_py([r[2] for r in own], [r[3] for r in own], 400)
+        assert (got[h]["n"], got[h]["ci_lo"], got[h]["ci_hi"], got[h]["p"]) == (want["n"], want["lo"], want["hi"], want["p"])
+        assert got[h]["diff"] == pytest.approx(want["diff"]) and got[h]["gate"] == ("PASS" if want["lo"] > 0 else "fail")
+    assert R.mean_interval_frozen(df.where("item < 0"), "hi", "value_hi", "item", 50).count() == 0
+    nulls = df.withColumn("value_hi", F.when(F.col("item") % 2 == 0, F.col("value_hi")))
+    assert {r["hi"]: r["n"] for r in R.mean_interval_frozen(nulls, "hi", "value_hi", "item", 50).collect()} == {"A": 19, "B": 100, "C": 1}
+
+
 def test_frozen_equals_plain(spark):
     rng = random.Random(1)
     rows = [(s, i, rng.random()) for s in "AB" for i in range(40)]
@@ -93,18 +129,91 @@ def span(a, b, kind="HOM"):
     return {"start": a, "end": b, "type": kind}
 
 
-def test_match():
-    n, missed, _ = M.match_py(GOLD, [span(5, 7), span(10, 12)])
-    assert n["located"] == n["located_exact_typed"] == n["predicted_hit"] == n["located_iou50"] == 2 and missed == []
-    n, missed, _ = M.match_py(GOLD, [])
-    assert n["located"] == n["gate_fired"] == 0 and missed == [0, 1]
-    n, _, _ = M.match_py(GOLD, [span(0, 2, "PYA")])
-    assert (n["located"], n["located_typed"], n["predicted_hit_typed"]) == (1, 0, 0)
+def scored(spark, rows):
+    """(gold, predictions[, gate]) of sentences as scored rows, in order."""
+    schema = "uid int, gold_spans array<struct<occ:array<struct<start:int,end:int>>,category:string>>, spans array<struct<start:int,end:int,type:string>>, fired boolean"
+    shown = [(i, [{"occ": [{"start": a, "end": b} for a, b in g["occ"]], "category": g["category"]} for g in r[0]] if r[0] is not None else None, r[1], r[2] if len(r) > 2 else None) for i, r in enumerate(rows)]
+    return M.score_sentences(spark.createDataFrame(shown, schema), gate="fired").orderBy("uid").collect()
+
+
+def by_hand(gold, found):
+    """The greedy match by its rule: all pairs that touch, the most overlap first, then the order of gold and of predictions."""
+    pairs = []
+    for g, one in enumerate(gold):
+        for p, f in enumerate(found):
+            shares = [min(b, f["end"]) - max(a, f["start"]) for a, b in one["occ"]]
+            if shares and max(shares) > 0:
+                pairs.append((-max(shares), g, p, one["occ"][shares.index(max(shares))]))
+    same = lambda g, p: (found[p]["type"] or "").upper() == (gold[g]["category"] or "").upper()
+    n, left, free, exact_typed = dict.fromkeys(M.COUNTERS, 0), set(range(len(gold))), set(range(len(found))), False
+    for lost, g, p, (a, b) in sorted(pairs):
+        if g in left and p in free:
+            left.remove(g)
+            free.remove(p)
+            exact = (a, b) == (found[p]["start"], found[p]["end"])
+            half = -lost / (b - a + found[p]["end"] - found[p]["start"] + lost) >= 0.5
+            exact_typed |= exact and same(g, p)
+            for kind, yes in (("", True), ("_typed", same(g, p)), ("_exact", exact), ("_exact_typed", exact and same(g, p))):
+                n["located" + kind] += yes
+                n["predicted_hit" + kind] += yes
+            n["located_iou50"] += half
+            n["located_iou50_typed"] += half and same(g, p)
+    for p in free:
+        if touched := [g for _, g, q, _ in pairs if q == p]:
+            n["predicted_hit"] += 1
+            n["predicted_hit_typed"] += same(min(touched), p)
+    n |= {"gold": len(gold), "predicted": len(found), "sentences": 1, "gate_fired": int(bool(found))}
+    stratum = "miss" if not found else "fp_only" if not n["located"] else "exact" if exact_typed else "partial"
+    return n, sorted(left), stratum
+
+
+def test_match(spark):
+    rows = [(GOLD, [span(5, 7), span(10, 12)]), (GOLD, []), (GOLD, [span(0, 2, "PYA")]), (GOLD, [span(0, 20)]), (GOLD[:1], [span(0, 2), span(1, 3)]), (None, None), (GOLD, [], True)]
+    a, b, c, d, e, f, g = scored(spark, rows)
+    assert a["located"] == a["located_exact_typed"] == a["predicted_hit"] == a["located_iou50"] == 2 and a["missed"] == []
+    assert b["located"] == b["gate_fired"] == 0 and b["missed"] == [0, 1]
+    assert (c["located"], c["located_typed"], c["predicted_hit_typed"]) == (1, 0, 0)
     # one prediction claims one gold; a second over the same gold is a hit, not located
-    n, missed, _ = M.match_py(GOLD, [span(0, 20)])
-    assert n["located"] == 1 and len(missed) == 1
-    n, _, _ = M.match_py(GOLD[:1], [span(0, 2), span(1, 3)])
-    assert (n["located"], n["predicted_hit"], n["predicted_hit_exact"]) == (1, 2, 1)
+    assert d["located"] == 1 and len(d["missed"]) == 1
+    assert (e["located"], e["predicted_hit"], e["predicted_hit_exact"]) == (1, 2, 1)
+    assert (f["gold"], f["predicted"], f["stratum"], f["missed"]) == (0, 0, "miss", [])
+    assert g["gate_fired"] == 1
+
+
+def test_match_by_hand(spark):
+    """Random sentences with ties, overlapping and empty spans, several places of a gold span, and names that are null."""
+    rng, rows = random.Random(12), []
+    kinds = ["HOM", "hom", "PYA", None, ""]
+    for _ in range(400):
+        place = lambda: (lambda a: (a, a + rng.randrange(0, 6)))(rng.randrange(25))
+        gold = [{"occ": [place() for _ in range(rng.randrange(4))], "category": rng.choice(kinds)} for _ in range(rng.randrange(6))]
+        rows.append((gold, [span(*place(), rng.choice(kinds)) for _ in range(rng.randrange(8))]))
+    for (gold, found), got in zip(rows, scored(spark, rows), strict=True):
+        n, missed, stratum = by_hand(gold, found)
+        assert {c: got[c] for c in M.COUNTERS} == n and got["missed"] == missed and got["stratum"] == stratum
+
+
+def test_overlap_pairs(spark):
+    """Against all pairs: widths from one to thousands, empty spans, repeated ones, a uid with a span over everything."""
+    rng = random.Random(4)
+    width = lambda: rng.choice([0, 1, 2, 15, 16, 17, 40, 255, 256, 257, 5000])
+    spans = lambda n: [(rng.randrange(3), i, a, a + width()) for i in range(n) for a in [rng.randrange(4000)]]
+    gold, found = [*spans(300), (0, 900, 0, 10000)], [*spans(300), (1, 901, 3, 9000)]
+    g = spark.createDataFrame([(*r, "HOM") for r in gold], "uid int, gi int, start int, end int, category string")
+    p = spark.createDataFrame([(*r, "HOM") for r in found], "uid int, pi int, start int, end int, type string")
+    rows = M.overlap_pairs(g, p).collect()
+    want = {(u, i, j): (min(b, d) - max(a, c), d - c + b - a) for u, i, a, b in gold for v, j, c, d in found if u == v and min(b, d) > max(a, c)}
+    assert len(rows) == len(want) and all((r["overlap"], round(r["iou"], 9)) == (o, round(o / (t - o), 9)) for r in rows for o, t in [want[r["uid"], r["gi"], r["pi"]]])
+    assert M.overlap_pairs(g.where("uid > 9"), p).count() == M.overlap_pairs(g, p.where("uid > 9")).count() == 0
+
+
+def test_overlap_pairs_of_one_document(spark):
+    """200,000 spans of one uid and one that covers all of them: nothing is compared that isn't near."""
+    n = 200_000
+    g = spark.range(n).select(F.lit("u").alias("uid"), F.col("id").alias("gi"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 4).alias("end"), F.lit("HOM").alias("category"))
+    p = g.select("uid", F.col("gi").alias("pi"), (F.col("start") + 2).alias("start"), (F.col("end") + 2).alias("end"), F.lit("HOM").alias("type"))
+    p = p.unionByName(spark.sql(f"SELECT 'u' AS uid, CAST(-1 AS BIGINT) AS pi, CAST(0 AS BIGINT) AS start, CAST({7 * n} AS BIGINT) AS end, 'HOM' AS type"))
+    assert M.overlap_pairs(g, p).agg(F.count("*").alias("n"), F.sum("overlap").alias("o")).first() == (2 * n, 2 * n + 4 * n)
 
 
 def test_rates(spark):
