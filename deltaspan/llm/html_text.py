@@ -11,10 +11,13 @@ gaps. In a page the root's tokens must stand in order (those out of order are le
 class's, all in one gap of the root. Blocks of text that are tokens of the template are dropped: those of classes on
 MIN_SHARE of the host's pages wherever they stand, those of rarer classes if they always have the same place from the
 start or the end of their container and don't stand in an article or main element, where paragraphs may well recur. What
-remains are slots; a page that has none then is another copy of what the template was made from, and keeps its blocks. The main text is the slots in article or main elements or, where a page has neither, all of them,
+remains are slots; a page that has none then is another copy of what the template was made from, and keeps its blocks. The
+main text is the slots in article or main elements, if these hold at least half of the text in slots, or else all of them,
 without the parts that are never content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments of readers, known by element, role, class or being hidden. A form that holds an article, main or h1 element
-wraps a page and is a container like any other.
+comments of readers, known by element, role, class or id, or being hidden. A class or id is such a name only if all of its
+words are known (sidebar-left, but not has-sidebar). An element with such a name, other than that of comments, which holds
+an article, main or h1 element and most of the page's text is a wrapper; so is a form that holds such an element, or nearly
+all of the text; and main elements are never dropped for a name, articles for those of comments and notices only.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by newlines, and
 nothing is cut. A null or empty page has the empty text; a null url has no host and so no template; repeated pages
@@ -26,6 +29,7 @@ unclosed elements hold what follows.
 from __future__ import annotations
 
 import bisect
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -47,6 +51,8 @@ MIN_PAGES = 5
 MIN_SUPPORT = 0.01
 MIN_SHARE = 0.8
 MIN_CLASS = 5
+#: A form with this share of a page's text wraps the page.
+ALL = 0.9
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
@@ -61,14 +67,40 @@ _CONTAINERS = frozenset(
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 dt dd pre figcaption address caption hr option legend".split())
 _NEVER = frozenset("head nav footer aside form menu dialog button fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Names of parts that are never content, whatever they stand with.
+#: Names of what readers write, of other parts that aren't content, and of parts that aren't where they stand alone or with each
+#: other: related-posts is, related-work isn't.
+_READERS = frozenset("comments commentlist respond responses disqus".split())
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar comments respond disqus "
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar "
     "cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login search searchbox pagination pager toolbar skip".split()
 )
-#: Names that are so alone, or with each other and words for parts of a page: related-posts is, related-work isn't.
 _LOOSE = frozenset("related recommended share sharing social notice notices alert widget widgets promo promotion comment reply replies overlay copyright banner".split())
-_PARTS = frozenset("list box bar button buttons link links section area form block container wrapper wrap inner item items post posts article articles message thread icon icons title heading count site page top bottom left right".split())
+#: Words that a name may have besides; any other makes it the name of something else: has-sidebar, comments-open, ad-free.
+_PARTS = frozenset(
+    "list box bar button buttons link links section area form block container wrapper wrap inner outer item items post posts article articles message thread icon icons title heading count site page "
+    "top bottom left right main primary secondary first second global mobile desktop google slot slots unit units leaderboard rail column col row zone spot panel strip group region module component "
+    "trail children child body meta author avatar field fields submit holder placeholder info warning error success fixed floating layer accept policy toggle dropdown tab tabs close up depth even odd alt".split()
+)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _named(word: str) -> str:
+    """What a class or id names: r, what readers write; n, another part that isn't content; l, such a part by a loose name; h, a header; or nothing.
+
+    Every word of the name must be known: the names above and the words that go with them, also where two are run together.
+    """
+    known = _READERS | _NAMES | _LOOSE
+    parts: list[str] = []
+    for x in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", word):
+        if x := x.lower():
+            pairs = [(x[:k], x[k:]) for k in range(2, len(x) - 1)] if x not in known and x not in _PARTS and x != "header" else []
+            parts += next((list(p) for p in pairs if (p[0] in known and p[1] in known | _PARTS) or (p[0] in _PARTS and p[1] in known)), [x])
+    if not parts or not all(x in known or x in _PARTS or x == "header" for x in parts):
+        return ""
+    # comment-list is as comments
+    if any(x in _READERS for x in parts) or ("comment" in parts and parts != ["comment"]):
+        return "r"
+    return "n" if any(x in _NAMES for x in parts) else "l" if any(x in _LOOSE for x in parts) else "h" if "header" in parts else ""
 
 
 def _hidden(attrs: str) -> bool:
@@ -79,24 +111,25 @@ def _hidden(attrs: str) -> bool:
     return False
 
 
-def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is never content, and its class and id as part of its token."""
-    never, sign = tag in _NEVER or (tag == "header" and not in_article), ""
+def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, str, str]:
+    """Whether an element is never content by itself, what its names say of it, and class and id as part of its token."""
+    never, name, sign = tag in _NEVER or (tag == "header" and not in_article), "", ""
     if not attrs or tag in ("html", "body"):
-        return never, ""
+        return never, "", ""
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id"):
+        kind, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if kind in ("class", "id"):
             sign += "." + value
             for word in value.split():
-                parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", word) if x}
-                never |= bool(parts & _NAMES) or ("header" in parts and not in_article)
-                # an id within an article is often that of a heading: share, notice
-                loose = name == "class" or not in_article
-                never |= loose and bool(parts & _LOOSE) and all(x in _LOOSE or x in _PARTS or x.isdigit() for x in parts)
-        elif name == "role":
+                says = _named(word)
+                # an id within an article is often that of a heading: share, notice; a header there is the article's own
+                if says == "r" or (says == "n" and name != "r") or (says == "l" and not name and (kind == "class" or not in_article)) or (says == "h" and not name and not in_article):
+                    name = says
+        elif kind == "role":
             never |= value.lower() in _ROLES
-    return never or _hidden(attrs), sign
+    if tag == "main" or (tag == "article" and name not in ("r", "l")):
+        name = ""
+    return never or _hidden(attrs), name, sign
 
 
 def _hash(path: int, text: str) -> int:
@@ -104,12 +137,16 @@ def _hash(path: int, text: str) -> int:
 
 
 class Box:
-    """A container: path is a hash of its and its ancestors' signs; size counts what stands directly in it."""
+    """A container: path is a hash of its and its ancestors' signs; size counts what stands directly in it.
+
+    own: it is never content; name: what its names say; holds: an article, main or h1 stands in it; chars: of its text.
+    """
 
-    __slots__ = ("tag", "parent", "own", "main", "path", "size")
+    __slots__ = ("tag", "parent", "own", "name", "holds", "chars", "main", "path", "size")
 
-    def __init__(self, tag: str, parent: Box | None, own: bool, main: bool, path: int) -> None:
-        self.tag, self.parent, self.own, self.main, self.path, self.size = tag, parent, own, main, path, 0
+    def __init__(self, tag: str, parent: Box | None, own: bool, name: str, main: bool, path: int) -> None:
+        self.tag, self.parent, self.own, self.name, self.main, self.path = tag, parent, own, name, main, path
+        self.holds, self.chars, self.size = False, 0, 0
 
 
 class Event:
@@ -125,7 +162,7 @@ class Event:
 def events(page: str) -> list[Event]:
     """The containers and blocks of text of a page, in order."""
     out: list[Event] = []
-    root = Box("", None, False, False, 0)
+    root = Box("", None, False, "", False, 0)
     top, own, hidden, depth = root, False, "", 0
     open_: dict[str, int] = {}
     boxes: list[Box] = []
@@ -178,7 +215,7 @@ def events(page: str) -> list[Event]:
             continue
         close_block()
         if tag not in _CONTAINERS:
-            own = not shut and bool(attrs) and _never(tag, attrs, top.main)[0]
+            own = not shut and bool(attrs) and any(_never(tag, attrs, top.main)[:2])
         elif shut:
             if open_.get(tag):
                 while top.tag != tag:
@@ -193,8 +230,8 @@ def events(page: str) -> list[Event]:
                 pop()
             if tag in ("article", "main", "h1"):
                 _unwrap(top)
-            never, sign = _never(tag, attrs, top.main)
-            box = Box(tag, top, never, top.main or tag in ("article", "main"), _hash(top.path, f"{tag}\n{sign}"))
+            never, name, sign = _never(tag, attrs, top.main)
+            box = Box(tag, top, never, name, top.main or tag in ("article", "main"), _hash(top.path, f"{tag}\n{sign}"))
             out.append(Event(None, top, False, box.path))
             boxes.append(box)
             open_[tag] = open_.get(tag, 0) + 1
@@ -202,8 +239,17 @@ def events(page: str) -> list[Event]:
         if tag == "h1" and not shut:
             _unwrap(top)
     close_block()
+    for e in out:
+        if e.text is not None and not e.own:
+            e.box.chars += len(e.text)
+    for box in reversed(boxes):
+        box.parent.chars += box.chars if not box.own or box.tag == "form" else 0
     # outer boxes come first, so that a box takes over what its parent is
     for box in boxes:
+        if box.tag == "form" and box.own and box.chars >= ALL * root.chars:
+            box.own = False
+        if box.name and not (box.name != "r" and box.holds and 2 * box.chars > root.chars):
+            box.own = True
         box.own = box.own or box.parent.own
     for e in out:
         e.never = e.own or e.box.own
@@ -211,7 +257,9 @@ def events(page: str) -> list[Event]:
 
 
 def _unwrap(box: Box | None) -> None:
+    """What an article, main or h1 element stands in may be a wrapper of the page."""
     while box is not None:
+        box.holds = True
         if box.tag == "form":
             box.own = False
         box = box.parent
@@ -302,7 +350,9 @@ def extract(page: str | None, template: Template | None) -> str:
     found = events(page)
     fixed = template.blocks(found) if template else set()
     texts = [(k, e) for k, e in enumerate(found) if e.text is not None and not e.never]
-    if any(e.box.main for _, e in texts):
+    # teasers are articles too: only such as hold most of what is left are the page's own
+    size = {own: sum(len(e.text) for k, e in texts if e.box.main == own and k not in fixed) for own in (True, False)}
+    if size[True] >= size[False] and any(e.box.main for _, e in texts):
         texts = [(k, e) for k, e in texts if e.box.main]
     return "\n".join([e.text for k, e in texts if k not in fixed] or [e.text for _, e in texts])
 

@@ -542,6 +542,52 @@ def test_pages_contract():
         assert html_text.extract(f"<html><body><nav><a>x</a></nav>{body}</body></html>", None) == want, body[:80]
 
 
+def test_page_names():
+    """Names of everyday pages that don't make an article go, and parts that go though their names are run together or numbered."""
+    body = "<h1>title</h1><p>the text of the page is here, and it is long enough</p>"
+    want = "title\nthe text of the page is here, and it is long enough"
+    for page in (
+        "<main class='with-sidebar'>{}</main>", "<div class='site has-sidebar'><article>{}</article></div>", "<div class='no-sidebar'><article>{}</article></div>",
+        "<div class='has-sticky-header'><main>{}</main></div>", "<article class='hentry comments-open'>{}</article>", "<div class='category-search'><article>{}</article></div>",
+        "<main><div class='tag-navigation'>{}</div></main>", "<article class='ad-free'>{}</article>", "<main class='sidebar-left'>{}</main>", "<div id='nav'><div class='search'><article>{}</article></div></div>",
+        "<div class='menu-wrapper'><div>{}</div></div>", "<article class='search'>{}</article>", "<article class='post newsletter'>{}</article>", "<form><div><p>before</p></div><div class=x>{}</div></form>",
+    ):
+        got = html_text.extract(f"<html><body><nav><a>x</a></nav>{page.format(body)}<footer>end</footer></body></html>", None)
+        assert got == want or got == "before\n" + want, page
+    for part in (
+        "<ol class='commentlist'><li><article>reader</article></li></ol>", "<section class='responses'><p>reader</p></section>", "<div class='adslot-1'>buy</div>", "<div class='notice-info'>moved</div>", "<div class='cookiebanner'>ok</div>",
+        "<div class='sidebar2'>more</div>", "<div id='comments'><article class='comment'>reader says</article></div>", "<div class='comment-list'>reader</div>", "<div class='main-nav'>home</div>", "<div class='site-header'><h1>Site</h1></div>",
+        "<div class='ad ad-300x250'>buy</div>", "<div class='social-share-buttons'>share</div>", "<div class='post-comments'>reader</div>", "<div class='sidebar'><article>teaser</article></div>",
+    ):
+        assert html_text.extract(f"<html><body><article>{body}</article>{part}</body></html>", None) == want, part
+        if "<h1>" not in part:
+            assert html_text.extract(f"<html><body><div id='content'>{body}{part}</div></body></html>", None) == want, part
+    # a teaser in an article doesn't stand for the page
+    text = html_text.extract("<html><body><div id='content'><p>The whole text of the page, which is long.</p></div><article>teaser</article></body></html>", None)
+    assert text.startswith("The whole text of the page, which is long.")
+    # the whole text in a form
+    assert html_text.extract("<html><body><nav>x</nav><form><div><p>The whole text of the page.</p></div></form></body></html>", None) == "The whole text of the page."
+    assert html_text.extract("<html><body><div><p>The whole text of the page.</p></div><form><label>name</label></form></body></html>", None) == "The whole text of the page."
+
+
+@pytest.mark.parametrize("n", [3, 5, 12])
+def test_pages_by_template(spark, n):
+    """Hosts whose menus and notices have neither names nor elements that tell: from MIN_PAGES pages on, only the template drops them."""
+    rng = random.Random(n)
+    menu = "<div><span>Home of all our pages</span></div><div><span>Find a page by its name here</span></div>"
+    notice = "<div><span>This place of ours uses what it may keep of you to work</span></div>"
+    truth, rows = {}, []
+    for i in range(n):
+        text = [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randrange(6, 30))) for _ in range(3)]
+        truth[i] = "\n".join(text)
+        rows.append((i, f"http://h.example.org/{i}", f"<html><body>{menu}<div>{''.join(f'<p>{t}</p>' for t in text)}</div>{notice}</body></html>"))
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    if n >= html_text.MIN_PAGES:
+        assert got == truth
+    else:  # too few pages to tell a template from a repeated sentence: nothing is lost
+        assert all(truth[i] in got[i] and got[i].startswith("Home of all") for i in got)
+
+
 def test_page_classes(spark, monkeypatch):
     """Vectors and classes by brute force, two layouts on a host, a long disclaimer, and pages without article or main."""
     rng = random.Random(31)
