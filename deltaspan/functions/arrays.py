@@ -1,4 +1,8 @@
-"""Array helpers in SQL functions only."""
+"""Array helpers in SQL functions only.
+
+Spark 4.1 doesn't give a Python UDF an argument in which an inner function uses a variable of an outer one, as some of
+these and those built on them do: write or cache what they make before such a call.
+"""
 
 from __future__ import annotations
 
