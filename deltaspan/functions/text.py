@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ def core_py(s: str | None) -> str:
     return re.sub(PUNCTUATION, "", s)
 
 
-def partial_ratio_py(needle: str, text: str) -> float:
-    """Best similarity of the needle to a window of the text as long as itself; of wholes if it isn't shorter."""
+def plain_windows_py(needle: str, text: str, above: float = 0.0) -> float:
+    """The fallback of the published ratio: matching blocks, windows of the text just as long as the needle, wholes if it isn't shorter."""
     if not needle or not text:
         return 0.0
     if len(needle) < len(text) and needle in text:
@@ -57,11 +58,17 @@ def partial_ratio_py(needle: str, text: str) -> float:
     return max(difflib.SequenceMatcher(None, needle, w).ratio() for w in windows)
 
 
-def best_window_py(needle: str, text: str) -> float:
+#: Windows whose common subsequences are counted at once.
+WINDOWS = 256
+
+
+def best_window_py(needle: str, text: str, above: float = 0.0) -> float:
     """Best similarity of the shorter string to a window of the longer: twice the common subsequence over both lengths.
 
-    Windows are as long as the shorter string, or reach over an end of the longer one. Common subsequences are counted
-    for all places of the shorter string at once, in the bits of a number.
+    Windows are as long as the shorter string, or reach over an end of the longer one; of strings of one length either
+    is the shorter. A window can't have more in common than the characters that both hold, which running counts give
+    for all windows at once: windows are tried from the best such bound on, many at a time, and no more are where the
+    bound is not over what was found, or not over ``above``. So a result over ``above`` is exact, and any other isn't over it.
     """
     if len(needle) > len(text):
         needle, text = text, needle
@@ -69,39 +76,76 @@ def best_window_py(needle: str, text: str) -> float:
         return 0.0
     if needle in text:
         return 1.0
-    m, full = len(needle), (1 << len(needle)) - 1
-    at: dict[str, int] = {}
-    for i, c in enumerate(needle):
-        at[c] = at.get(c, 0) | 1 << i
+    best = _best_window(needle, text, above)
+    return max(best, _best_window(text, needle, max(above, best))) if len(needle) == len(text) else best
+
+
+def _best_window(needle: str, text: str, above: float) -> float:
+    m, n = len(needle), len(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.arange(1, n + m)
+    first, last = np.maximum(ends - m, 0), np.minimum(ends, n)
+    shared = np.zeros(len(ends), dtype=np.int64)
+    places = {c: [i for i, x in enumerate(needle) if x == c] for c in dict.fromkeys(needle)}
+    for c, own in places.items():
+        upto = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        shared += np.minimum(upto[last] - upto[first], len(own))
+    bound = 2 * shared / (m + last - first)
+    order = np.argsort(-bound, kind="stable")
     best = 0.0
-    for end in range(1, len(text) + m):
-        window = text[max(0, end - m) : end]
-        rest = full
-        for c in window:
-            hit = rest & at.get(c, 0)
-            rest = (rest + hit) | (rest - hit)
-        common = m - (rest & full).bit_count()
-        best = max(best, 2 * common / (m + len(window)))
+    for k in range(0, len(order), WINDOWS):
+        part = order[k : k + WINDOWS]
+        if bound[part[0]] <= max(best, above):
+            break
+        part = part[bound[part] > max(best, above)]
+        best = max(best, float((2 * _common(places, m, codes, text, first[part], last[part]) / (m + last[part] - first[part])).max()))
     return best
 
 
+def _common(places: dict[str, list[int]], m: int, codes: np.ndarray, text: str, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a string, given by its characters' places, and of windows of a text: a bit for each place."""
+    if m > 64:
+        out = []
+        bits = {c: sum(1 << i for i in own) for c, own in places.items()}
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            rest = (1 << m) - 1
+            for c in text[a:b]:
+                hit = rest & bits.get(c, 0)
+                rest = (rest + hit) | (rest - hit)
+            out.append(m - (rest & ((1 << m) - 1)).bit_count())
+        return np.array(out)
+    known = np.array([ord(c) for c in places], dtype=np.uint32)
+    by_code = np.argsort(known)
+    masks = np.array([sum(1 << i for i in own) for own in places.values()] + [0], dtype=np.uint64)
+    spot = np.minimum(np.searchsorted(known[by_code], codes), len(known) - 1)
+    mask = masks[np.where(known[by_code][spot] == codes, by_code[spot], len(known))]
+    full = np.uint64((1 << m) - 1)
+    rest = np.full(len(first), full)
+    for step in range(int((last - first).max())):
+        at = first + step
+        hit = np.where(at < last, rest & mask[np.minimum(at, len(codes) - 1)], np.uint64(0))
+        rest = (rest + hit) | (rest - hit)
+    return m - np.bitwise_count(rest & full).astype(np.int64)
+
+
 def usable_golds_py(golds: list[str | None] | None) -> list[str]:
     trimmed = [(g or "").strip() for g in golds or []]
     return [g for g in trimmed if len(g) > 1 and re.search(r"[^\W_]", g)]
 
 
-def term_hit_py(hypothesis: str | None, golds: list[str | None] | None, threshold: float = MATCH_THRESHOLD, ratio: Callable[[str, str], float] = partial_ratio_py) -> int:
+def term_hit_py(hypothesis: str | None, golds: list[str | None] | None, threshold: float = MATCH_THRESHOLD, ratio: Callable[[str, str, float], float] = best_window_py) -> int:
+    """1 if the hypothesis has some usable gold form, or a window that is like one by more than the threshold."""
     text = norm_py(hypothesis)
-    wanted = [norm_py(g) for g in usable_golds_py(golds)]
-    return int(bool(text) and (any(w and w in text for w in wanted) or any(w and ratio(w, text) > threshold for w in wanted)))
+    wanted = [w for w in map(norm_py, usable_golds_py(golds)) if w]
+    return int(bool(text) and (any(w in text for w in wanted) or any(ratio(w, text, threshold) > threshold for w in wanted)))
 
 
-def standard_match_py(given: str | None, gold: str | None) -> tuple[bool, bool]:
-    """Equal after normalisation, and alike by more than the threshold in either direction."""
+def standard_match_py(given: str | None, gold: str | None, threshold: float = MATCH_THRESHOLD) -> tuple[bool, bool]:
+    """Equal after normalisation, and alike by more than the threshold, whichever of the two is looked for in the other."""
     a, b = norm_py(given), norm_py(gold)
     if a == b:
         return bool(a), bool(a)
-    return False, bool(a and b) and max(partial_ratio_py(a, b), partial_ratio_py(b, a)) > MATCH_THRESHOLD
+    return False, bool(a and b) and best_window_py(a, b, threshold) > threshold
 
 
 def _mapped(function: Callable, kind: str, arrow: pa.DataType) -> Callable[..., Column]:
@@ -122,13 +166,18 @@ nfkc = _mapped(nfkc_py, "string", pa.string())
 norm_text = _mapped(norm_py, "string", pa.string())
 match_key = _mapped(match_key_py, "string", pa.string())
 core = _mapped(core_py, "string", pa.string())
-partial_ratio = _mapped(lambda a, b: partial_ratio_py(a or "", b or ""), "double", pa.float64())
-term_hit = _mapped(term_hit_py, "int", pa.int32())
+partial_ratio = _mapped(lambda a, b: best_window_py(a or "", b or ""), "double", pa.float64())
 html_unescape = _mapped(lambda s: None if s is None else html.unescape(s), "string", pa.string())
 standard_match = _mapped(
     lambda a, b: dict(zip(("exact", "fuzzy"), standard_match_py(a, b), strict=True)), "struct<exact:boolean,fuzzy:boolean>", pa.struct([("exact", pa.bool_()), ("fuzzy", pa.bool_())])
 )
 
+
+
+def term_hit(hypothesis: Column, golds: Column, threshold: float = MATCH_THRESHOLD) -> Column:
+    return _mapped(lambda h, g: term_hit_py(h, g, threshold), "int", pa.int32())(hypothesis, golds)
+
+
 # ---- native expressions
 
 

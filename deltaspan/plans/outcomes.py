@@ -16,7 +16,7 @@ from ..operators import spans as M
 from ..operators import validate as V
 from . import adapters as D
 from .adapters import GOLD_SQL, table
-from .queries import DRAW_SQL, FULL_ROUNDS, HASH_SQL, ROUNDS, SENTENCES_SQL, query
+from .queries import DRAW_SQL, FULL_ROUNDS, HASH_SQL, ROUNDS, SENTENCES_SQL, norm_sql, query, window_masks_sql, window_sql
 
 #: Standard forms and what is said to be one: by the place of a span, right, right but for case, wrong, or missing.
 STD_SQL = "gs AS (SELECT g.*, term || '-' || CAST(start % 2 AS VARCHAR) AS std FROM g)"
@@ -66,8 +66,16 @@ def detection_by_scope(spark: SparkSession, d: str) -> DataFrame:
 LOG_SQL = "lg AS (SELECT uid, term AS text, CASE (uid + start) % 5 WHEN 0 THEN NULL WHEN 1 THEN std WHEN 2 THEN upper(std) WHEN 3 THEN term || '-0' ELSE 'wrong' END AS std FROM gs WHERE uid % 6 <> 0 UNION ALL SELECT uid, 'no such span', 'x' FROM sent WHERE uid % 6 <> 0 AND uid % 4 = 0)"
 
 
+#: What is said of a span against its gold form: normal forms, and the best window of the longer of them.
+ALIKE_SQL = (
+    f"j AS (SELECT lg.uid, gold_std, {norm_sql('lg.std')} AS a, {norm_sql('gold_std')} AS b FROM lg LEFT JOIN f ON f.uid = lg.uid AND f.text = lg.text WHERE lg.std <> ''), "
+    "o AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM j), "
+    f"alike AS (SELECT *, greatest({window_sql('s', 'l', 'k')}, CASE WHEN length(s) = length(l) THEN {window_sql('l', 's', 'kk')} ELSE 0 END) AS r FROM (SELECT *, {window_masks_sql('s', 'l')} AS k, {window_masks_sql('l', 's')} AS kk FROM o))"
+)
+
+
 @query(
-    f"WITH {GOLD_SQL}, {SENTENCES_SQL}, {STD_SQL}, {LOG_SQL}, f AS (SELECT uid, term AS text, arg_max(std, gi) AS gold_std FROM gs GROUP BY uid, term), e AS (SELECT lg.uid, count(gold_std) AS n, count(*) FILTER (lg.std = gold_std) AS exact, count(*) FILTER (lower(lg.std) = lower(gold_std)) AS fuzzy, count(*) FILTER (gold_std IS NULL) AS unpaired FROM lg LEFT JOIN f ON f.uid = lg.uid AND f.text = lg.text WHERE lg.std <> '' GROUP BY lg.uid), "
+    f"WITH {GOLD_SQL}, {SENTENCES_SQL}, {STD_SQL}, {LOG_SQL}, f AS (SELECT uid, term AS text, arg_max(std, gi) AS gold_std FROM gs GROUP BY uid, term), {ALIKE_SQL}, e AS (SELECT uid, count(gold_std) AS n, count(*) FILTER (a = b) AS exact, count(*) FILTER (a = b OR r > 0.8) AS fuzzy, count(*) FILTER (gold_std IS NULL) AS unpaired FROM alike GROUP BY uid), "
     "r AS (SELECT s.uid, s.category, e.n, e.exact, e.fuzzy, e.unpaired, (s.uid % 11 = 0)::INT AS parse_fail FROM sent s LEFT JOIN e ON e.uid = s.uid WHERE s.uid % 6 <> 0), tt AS (SELECT coalesce(category, 'all') AS scope, count(*) AS n_rows, coalesce(sum(n), 0) AS n, coalesce(sum(exact), 0) AS exact, coalesce(sum(fuzzy), 0) AS fuzzy, coalesce(sum(unpaired), 0) AS unpaired, sum(parse_fail) AS parse_fail FROM r GROUP BY GROUPING SETS ((), (category))) "
     f"SELECT scope, n_rows, CAST(n AS BIGINT) AS n_scored, {_percent('exact', 'n')} AS exact_rate, {_percent('fuzzy', 'n')} AS fuzzy_rate, CAST(unpaired AS BIGINT) AS n_unpaired, CAST(parse_fail AS BIGINT) AS n_parse_fail FROM tt"
 )
@@ -81,7 +89,7 @@ def restoration_by_scope(spark: SparkSession, d: str) -> DataFrame:
     more = F.array(F.struct(F.lit("no such span").alias("text"), F.lit("x").alias("std")))
     own = own.withColumn("spans", F.when(F.col("uid") % 4 == 0, F.concat("spans", more)).otherwise(F.col("spans"))).withColumn("parse_ok", F.when(F.col("uid") % 11 == 0, False).when(F.col("uid") % 2 == 0, True))
     gold = g.select("uid", F.col("gi").alias("n"), F.col("term").alias("text"), "std")
-    return C.restoration(own, s, gold, lambda a, b: a == b, lambda a, b: F.lower(a) == F.lower(b))
+    return C.restoration(own, s, gold, lambda a, b: X.standard_match(a, b)["exact"], lambda a, b: X.standard_match(a, b)["fuzzy"])
 
 
 # ---- arms

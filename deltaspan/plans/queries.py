@@ -602,6 +602,45 @@ def dummy_translation(spark: SparkSession, d: str) -> DataFrame:
     return A.translate(b, "text", "hyp").select("item_id", A.hint_lines(spans).alias("hint"), "hyp")
 
 
+def norm_sql(text: str) -> str:
+    """The normal form of texts whose characters have no compatibility forms."""
+    return f"lower(replace(replace(trim(regexp_replace(nfc_normalize({text}), '\\s+', ' ', 'g')), 'ß', 'ss'), 'œ', 'oe'))"
+
+
+def window_sql(short: str, long: str, masks: str) -> str:
+    """The best window of the longer of two texts; masks: window_masks_sql of them. The shorter has 62 characters at most."""
+    m, n = f"length({short})", f"length({long})"
+    first, last = f"greatest(1, e - {m} + 1)", f"least(e, {n})"
+    rest = f"list_reduce(list_prepend((1::BIGINT << {m}) - 1, {masks}[{first}:{last}]), lambda r, h: ((r + (r & h)) | (r - (r & h))) & ((1::BIGINT << {m}) - 1))"
+    return f"coalesce(list_max(list_transform(range(1, {n} + {m}), lambda e: 2.0 * ({m} - bit_count({rest})) / ({m} + {last} - {first} + 1))), 0)"
+
+
+def window_masks_sql(short: str, long: str) -> str:
+    return f"list_transform(string_split({long}, ''), lambda c: list_sum(list_transform(range(1, length({short}) + 1), lambda i: CASE WHEN {short}[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT)"
+
+
+@query(
+    f"WITH t AS (SELECT a.conv_id, a.turn, {norm_sql('a.text')} AS hyp, string_split(u.text, ' ') AS w FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'), "
+    f"g AS (SELECT conv_id, turn, hyp, {norm_sql('gold')} AS gold FROM (SELECT conv_id, turn, hyp, unnest([array_to_string(w[:3], ' '), array_to_string(w[4:5], ' '), w[6]]) AS gold FROM t)), "
+    "o AS (SELECT *, CASE WHEN length(gold) <= length(hyp) THEN gold ELSE hyp END AS s, CASE WHEN length(gold) <= length(hyp) THEN hyp ELSE gold END AS l FROM g WHERE length(gold) >= 2 AND regexp_matches(gold, '[\\p{L}\\p{N}]')), "
+    f"p AS (SELECT conv_id, turn, {window_sql('s', 'l', 'k')} AS r FROM (SELECT *, {window_masks_sql('s', 'l')} AS k FROM (SELECT * FROM o UNION ALL SELECT conv_id, turn, hyp, gold, l AS s, s AS l FROM o WHERE length(s) = length(l)))), "
+    "m AS (SELECT conv_id, turn, max(r) AS r FROM p GROUP BY conv_id, turn) "
+    "SELECT t.conv_id, t.turn, (coalesce(r, 0) > 0.8)::INT AS hit, (coalesce(r, 0) > 0.65)::INT AS near, round(coalesce(r, 0), 6) AS best FROM t LEFT JOIN m ON m.conv_id = t.conv_id AND m.turn = t.turn"
+)
+def term_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer against phrases of what was asked: whether one is in it, or a window like one, and the best window's likeness."""
+    c = table(spark, d, "conversations")
+    u = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.split("text", " ").alias("w"))
+    own = c.where("role = 'assistant'").join(u, ["conv_id", "turn"])
+    golds = F.array(F.array_join(F.slice("w", 1, 3), " "), F.array_join(F.slice("w", 4, 2), " "), F.get("w", F.lit(5)))
+    own = own.select("conv_id", "turn", "text", golds.alias("golds"))
+    # one row a phrase: the best of them by an ordinary aggregate
+    each = own.select("conv_id", "turn", "text", F.explode_outer(X.usable_golds(F.array_compact("golds"))).alias("gold"))
+    best = each.groupBy("conv_id", "turn").agg(F.round(F.max(F.coalesce(X.partial_ratio(X.norm_text(F.col("gold")), X.norm_text(F.col("text"))), F.lit(0.0))), 6).alias("best"))
+    hits = own.select("conv_id", "turn", X.term_hit(F.col("text"), F.col("golds")).alias("hit"), X.term_hit(F.col("text"), F.col("golds"), 0.65).alias("near"))
+    return hits.join(best, ["conv_id", "turn"])
+
+
 @query()
 def normalised_terms(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").withColumn("golds", F.slice(F.split("text", " "), 1, 3))

@@ -133,9 +133,19 @@ def test_best_window():
 
         if not a:
             return 0.0
-        return max(2 * lcs(a, w) / (len(a) + len(w)) for e in range(1, len(b) + len(a)) if (w := b[max(0, e - len(a)) : e]))
+        windows = lambda a, b: max(2 * lcs(a, w) / (len(a) + len(w)) for e in range(1, len(b) + len(a)) if (w := b[max(0, e - len(a)) : e]))
+        # of two strings of one length either may be looked for in the other
+        return max(windows(a, b), windows(b, a)) if len(a) == len(b) else windows(a, b)
 
     rng = random.Random(4)
+    for size, letters, most in ((400, "abc", 12), (60, "abcdefgh", 90), (20, "ab\u00e9\u4e2d\U0001f600", 40), (6, "abcdef", 200)):
+        for _ in range(size):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(0, most))) for _ in range(2))
+            want = slow(a, b)
+            assert X.best_window_py(a, b) == pytest.approx(want)
+            for above in (0.3, 0.6, 0.8):  # over the threshold it is exact, else it isn't over it
+                got = X.best_window_py(a, b, above)
+                assert got == pytest.approx(want) if want > above else got <= above + 1e-12
     for _ in range(300):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 9))) for _ in range(2))
         assert X.best_window_py(a, b) == pytest.approx(slow(a, b))
