@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -23,10 +25,14 @@ def nfkc_py(s: str | None) -> str:
     return unicodedata.normalize("NFKC", s or "").strip()
 
 
+#: What a normal form puts for some characters; fixed values.
+NORM_PARTS = (("“", '"'), ("”", '"'), ("œ", "oe"), ("Œ", "OE"))
+
+
 def norm_py(s: str | None) -> str:
     """Compatibility form, double quotes straightened, ligature oe spelt out, blanks collapsed, case folded."""
     s = unicodedata.normalize("NFKC", s or "")
-    for odd, plain in (("“", '"'), ("”", '"'), ("œ", "oe"), ("Œ", "OE")):
+    for odd, plain in NORM_PARTS:
         s = s.replace(odd, plain)
     return " ".join(s.split()).casefold()
 
@@ -162,10 +168,6 @@ def _mapped(function: Callable, kind: str, arrow: pa.DataType) -> Callable[...,
     return lambda *columns: F.arrow_udf(made[len(columns)], kind)(*columns)
 
 
-nfkc = _mapped(nfkc_py, "string", pa.string())
-norm_text = _mapped(norm_py, "string", pa.string())
-match_key = _mapped(match_key_py, "string", pa.string())
-core = _mapped(core_py, "string", pa.string())
 partial_ratio = _mapped(lambda a, b: best_window_py(a or "", b or ""), "double", pa.float64())
 html_unescape = _mapped(lambda s: None if s is None else html.unescape(s), "string", pa.string())
 standard_match = _mapped(
@@ -178,12 +180,109 @@ def term_hit(hypothesis: Column, golds: Column, threshold: float = MATCH_THRESHO
     return _mapped(lambda h, g: term_hit_py(h, g, threshold), "int", pa.int32())(hypothesis, golds)
 
 
+# ---- Unicode forms: a table of single characters, made from the plain functions, where characters don't act on each other
+
+#: What a character becomes that its table can't say; no character of a text.
+ODD = "\uffff"
+#: What tables cover: the basic plane but for private characters, pictographs, and Chinese characters. Of the rest, scripts
+#: that are rare and versions of Unicode that differ, no table speaks.
+COVERED = ((0, 0xD7FF), (0xF900, 0xFFFE), (0x1F000, 0x1FAFF), (0x20000, 0x2FA1F), (0x30000, 0x323AF))
+_REST = "[" + "".join(rf"\x{{{a[1] + 1:x}}}-\x{{{b[0] - 1:x}}}" for a, b in zip(COVERED, (*COVERED[1:], (0x110000, 0)), strict=True) if a[1] + 1 != 0xD800) + r"\x{e000}-\x{f8ff}]"
+
+
+@functools.cache
+def _seconds() -> frozenset[str]:
+    """Characters that may join or trade places with the one before: combining ones, and what is second in a composition."""
+    out = {chr(k) for k in range(sys.maxunicode + 1) if unicodedata.combining(chr(k))}
+    for k in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(k)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out | {chr(k) for k in (*range(0x1160, 0x1200), *range(0xD7B0, 0xD800))})  # later parts of Korean syllables
+
+
+@functools.cache
+def _table(form: Callable[[str], str]) -> tuple[str, str]:
+    """Characters and what they become, for translate: those that vanish last, those that the table can't say as ODD.
+
+    The form of a text is that of its characters, one after another, if none of them acts on its neighbours, and if each
+    becomes one character or none. A character is asked for between two others, so that blanks at the ends don't matter.
+    """
+    seconds, become, vanish = _seconds(), {}, []
+    for k in (k for first, last in COVERED for k in range(first, last + 1)):
+        c = chr(k)
+        if c in seconds or unicodedata.normalize("NFKD", c)[0] in seconds or c == "Σ":  # whose lower case depends on its place
+            become[c] = ODD
+            continue
+        got = form(f"a{c}a")[1:-1]
+        if got != c:
+            if got:
+                become[c] = got if len(got) == 1 else ODD
+            else:
+                vanish.append(c)
+    return "".join([*become, *vanish]), "".join(become.values())
+
+
+def _by_table(form: Callable[[str | None], str], ascii_form: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+    """A form as an expression; texts with characters that the table can't say go through the plain function, others reach it as nulls."""
+    plain = _mapped(form, "string", pa.string())
+
+    def made(c: Column) -> Column:
+        text = F.coalesce(c, F.lit(""))
+        have, become = _table(form)
+        by_table = F.translate(text, have, become)
+        odd = F.contains(by_table, F.lit(ODD)) | text.rlike(_REST)
+        simple = F.octet_length(text) == F.length(text)
+        out = F.when(odd, plain(F.when(odd, text))).otherwise(by_table)
+        return out if ascii_form is None else F.when(simple, ascii_form(text)).otherwise(out)
+
+    return made
+
+
+def _blanks_py(s: str) -> str:
+    return "".join(" " if c.isspace() else c for c in s)
+
+
+_BLANK = r"[\x09-\x0d\x1c-\x20]"
+
+
+def _collapsed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _BLANK + "+", " "))
+
+
+def _single_norm(s: str | None) -> str:
+    """norm_py but for the collapse of blanks."""
+    s = unicodedata.normalize("NFKC", s or "")
+    for odd, plain in NORM_PARTS:
+        s = s.replace(odd, plain)
+    return _blanks_py(s).casefold()
+
+
+def _single_nfkc(s: str | None) -> str:
+    return unicodedata.normalize("NFKC", s or "")
+
+
+_norm, _nfkc = _by_table(_single_norm, F.lower), _by_table(_single_nfkc, lambda c: c)
+core = _by_table(core_py)
+match_key = _by_table(match_key_py, lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9_]+", "")))
+
+
+def norm_text(c: Column) -> Column:
+    """norm_py of a text; a null is empty."""
+    return _collapsed(_norm(c))
+
+
+def nfkc(c: Column) -> Column:
+    """nfkc_py of a text; a null is empty."""
+    return strip(_nfkc(c))
+
+
 # ---- native expressions
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def split_list(c: Column, separator: str = SEPARATOR) -> Column:

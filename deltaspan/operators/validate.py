@@ -75,9 +75,53 @@ def differing(a: DataFrame, b: DataFrame, key: list[str], columns: list[str], to
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("n_unaligned"), *[F.count_if(unequal(c)).alias(f"n_{c}") for c in columns])
 
 
+#: Buckets of row hashes by which tables are compared.
+BUCKETS = 4096
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """Rows with two hashes, and a bucket by the first. Nulls and their columns count, values of arrays and structs as JSON."""
+    nested = ("array", "struct", "map")
+    cols = [F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith(nested) else F.col(f"`{c}`") for c, t in df.dtypes]
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    return df.withColumn("__h", F.xxhash64(nulls, *cols)).withColumn("__g", F.xxhash64(F.lit(1), *cols, nulls)).withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)))
+
+
+def differing_buckets(a: DataFrame, b: DataFrame) -> list[int]:
+    """Buckets in which two tables of the same columns don't have the same rows, repeats counted.
+
+    The order-free sums of the rows' hashes, those of the second table taken off, are zero in a bucket that is the same.
+    One pass over either table; what is shuffled are BUCKETS rows of sums from a task at most.
+    """
+    if [t for _, t in a.dtypes] != [t for _, t in b.select(*[f"`{c}`" for c in a.columns]).dtypes]:
+        raise InvalidData("the tables' types differ")
+    signed = None
+    for df, sign in ((a, 1), (b.select(*[f"`{c}`" for c in a.columns]), -1)):
+        h = _hashed(df)
+        halves = [part.alias(f"{name}{k}") for name in ("__h", "__g") for k, part in enumerate((F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(name, 32)))]
+        one = h.select("__bucket", F.lit(sign).alias("sign"), *halves)
+        signed = one if signed is None else signed.unionByName(one)
+    sums = signed.groupBy("__bucket").agg(F.sum("sign").alias("n"), *[F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("__h0", "__h1", "__g0", "__g1")])
+    return sorted(r["__bucket"] for r in sums.where("n <> 0 or __h0 <> 0 or __h1 <> 0 or __g0 <> 0 or __g1 <> 0").collect())
+
+
 def equal_tables(a: DataFrame, b: DataFrame) -> bool:
-    """The same rows, repeats counted."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """The same rows, repeats counted, by their hashes of 128 bits."""
+    return not differing_buckets(a, b)
+
+
+def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side (a or b) and the rows that the other table lacks, repeats counted. Only buckets that differ are compared row by row."""
+    buckets = differing_buckets(a, b)
+    columns = [F.col(f"`{c}`") for c in a.columns]
+
+    def own(df: DataFrame) -> DataFrame:
+        if not buckets:
+            return df.select(*columns).limit(0)
+        return _hashed(df.select(*columns)).where(F.col("__bucket").isin(buckets)).select(*columns)
+
+    first, second = own(a), own(b)
+    return first.exceptAll(second).select(F.lit("a").alias("side"), *columns).unionByName(second.exceptAll(first).select(F.lit("b").alias("side"), *columns))
 
 
 # ---- ingest of sheets

@@ -641,10 +641,19 @@ def term_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(best, ["conv_id", "turn"])
 
 
-@query()
+_COMPOSED = "nfc_normalize(coalesce(text, ''))"
+#: Forms of texts without compatibility characters.
+FORMS_SQL = {
+    "norm": norm_sql("coalesce(text, '')"), "nfkc": f"regexp_replace({_COMPOSED}, '^\\s+|\\s+$', '', 'g')", "match_key": f"lower(regexp_replace({_COMPOSED}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'))",
+    "core": f"regexp_replace({_COMPOSED}, '" + X.PUNCTUATION.replace("'", "''") + "', '', 'g')",
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"sha256({form}) AS {name}" for name, form in FORMS_SQL.items()) + " FROM documents")
 def normalised_terms(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").withColumn("golds", F.slice(F.split("text", " "), 1, 3))
-    return b.select("item_id", F.sha2(X.norm_text(F.col("text")), 256).alias("norm"), F.sha2(X.match_key(F.col("text")), 256).alias("match_key"), X.term_hit(F.col("text"), F.col("golds")).alias("hit"))
+    """Every form of every document."""
+    forms = {"norm": X.norm_text, "nfkc": X.nfkc, "match_key": X.match_key, "core": X.core}
+    return table(spark, d, "documents").select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(name) for name, f in forms.items()])
 
 
 # ---- more of the inventory: tallies, identities, set operations, scalar functions
@@ -679,7 +688,7 @@ def example_leaks(spark: SparkSession, d: str) -> DataFrame:
 def frozen_table_differences(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     b = a.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+    return V.table_differences(a, b)
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_unaligned, count(*) FILTER (event_id % 9 = 0 AND value IS NOT NULL) AS n_value FROM events")

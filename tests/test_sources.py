@@ -160,3 +160,23 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.table("rolled").first()
     assert (r["n"], r["mean_delta"]) == (2, 3.0)
+
+
+def test_table_differences(spark):
+    """Rows, repeats, nulls that trade places, nested values, and column order; only buckets that differ are compared."""
+    schema = "k int, `odd name` string, c string, v double, l array<string>"
+    rows = [(i, "x" if i % 3 else None, None if i % 3 else "x", float(i), ["a", None] if i % 2 else None) for i in range(3000)] + [(1, "x", None, 1.0, ["a", None])]
+    a = spark.createDataFrame(rows, schema)
+    same = a.repartition(5).select("l", "v", "c", "odd name", "k")
+    assert V.equal_tables(a, same) and V.table_differences(a, same).count() == 0
+    swapped = [(7, None, "x", 7.0, ["a", None]), *[r for r in rows if r[0] != 7]]
+    nested = [(7, "x", None, 7.0, [None, "a"]), *[r for r in rows if r[0] != 7]]
+    for other, want in ((rows[:-1], {("a", 1)}), ([*rows, rows[5]], {("b", 5)}), (swapped, {("a", 7), ("b", 7)}), (nested, {("a", 7), ("b", 7)}), ([], {("a", i) for i in range(3000)})):
+        b = spark.createDataFrame(other, schema)
+        assert not V.equal_tables(a, b)
+        got = V.table_differences(a, b).collect()
+        assert {(r["side"], r["k"]) for r in got} == want and len(got) == (len(rows) if not other else len(want))
+        assert len(V.differing_buckets(a, b)) <= len(want)
+    assert V.equal_tables(a.limit(0), a.where("k < 0"))
+    with pytest.raises(Exception, match="types"):
+        V.equal_tables(a, a.withColumn("k", F.col("k").cast("long")))
