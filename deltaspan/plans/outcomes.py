@@ -239,20 +239,31 @@ def membership_by_side(spark: SparkSession, d: str) -> DataFrame:
 # ---- answers
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE NULL END AS n, CASE WHEN event_id % 6 >= 3 THEN true ELSE false END AS refused FROM events")
-def answers_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Models' answers in the forms that occur: an object, a bare list in a fence, nothing; a tab, an unknown type, no JSON."""
-    good = '{"text": "a", "type": "HOM", "std": "b"}'
-    forms = [f'{{"spans": [{good}, {good}]}}', f"```json\n[{good}]\n```", "[]", '[{"text": "a\\tb", "type": "HOM", "std": "b"}]', '[{"text": "a", "type": "XYZ", "std": "b"}]', "no JSON"]
-    said = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("event_id") % 6 + 1).cast("int"))
-    got = table(spark, d, "events").select("event_id", S.answer_spans(said).alias("r"))
-    return got.select("event_id", F.when(F.col("r.error").isNull(), F.size("r.spans")).cast("int").alias("n"), F.col("r.error").isNotNull().alias("refused"))
+ANSWERS_SQL = "a AS (SELECT doc_id, t, list_filter(string_split(t, ' '), lambda w: contains(w, 'ion') OR contains(w, 'en')) AS w FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
 
 
-@query("SELECT item_id, CASE tier WHEN 'a4' THEN replace(text, w, 'KEY') WHEN 'a3' THEN replace(text, w, chr(9734) || w) WHEN 'a2' THEN regexp_replace(text, '^.', 'X') ELSE text END AS out, tier FROM (SELECT item_id, text, string_split(text, ' ')[1] AS w FROM benchmark), (VALUES ('a2'), ('a3'), ('a4')) t(tier) WHERE length(w) > 1 AND text = regexp_replace(text, '\\s', ' ', 'g')")
+@query(f"WITH {ANSWERS_SQL}, r AS (SELECT doc_id, len(w) AS n, contains(t, '|') OR len(list_filter(w, lambda x: length(x) = 13 OR regexp_matches(x, '[\\t\\r\\n]'))) > 0 AS refused FROM a) SELECT doc_id, CASE WHEN NOT refused THEN n END::INTEGER AS n, refused FROM r")
+def answers_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Answers made of each text's own words, as an object, a bare list or in a fence by what the text holds.
+
+    Refused are those with a line break or tab in a span, with an unknown type, which words of thirteen letters get, and
+    those of texts with a bar, which are cut off.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, " ", -1), lambda w: F.contains(w, F.lit("ion")) | F.contains(w, F.lit("en")))
+    kind = lambda w: F.when(F.length(w) == 13, "XYZ").otherwise(F.element_at(F.array(*[F.lit(c) for c in S.CATEGORIES]), F.length(w) % 4 + 1))
+    spans = F.transform(words, lambda w: F.struct(w.alias("text"), kind(w).alias("type"), F.concat(w, F.lit("!")).alias("std")))
+    whole, bare = F.to_json(F.struct(spans.alias("spans"))), F.to_json(spans)
+    said = F.when(F.contains(text, F.lit("|")), F.substring(whole, 1, F.length(whole) - 2)).when(F.contains(text, F.lit("#")), bare).when(F.contains(text, F.lit(".\n")), F.concat(F.lit("```json\n"), bare, F.lit("\n```"))).otherwise(whole)
+    # the answers are a table of their own
+    got = table(spark, d, "documents").select("doc_id", said.alias("answer")).select("doc_id", S.answer_spans(F.col("answer")).alias("r"))
+    return got.select("doc_id", F.when(F.col("r.error").isNull(), F.size("r.spans")).cast("int").alias("n"), F.col("r.error").isNotNull().alias("refused"))
+
+
+@query("SELECT item_id, CASE tier WHEN 'a4' THEN replace(text, w, 'KEY') WHEN 'a3' THEN replace(text, w, chr(9734) || w) WHEN 'a2' THEN regexp_replace(text, '^.', 'X') ELSE text END AS out, tier FROM (SELECT item_id, text, regexp_extract(text, '[^\\s]+') AS w FROM benchmark), (VALUES ('a2'), ('a3'), ('a4')) t(tier)")
 def rewriting_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Plans and finishes of the tiers with a dummy model, over whole items: every place of an item's first word."""
-    b = table(spark, d, "benchmark").where("text = regexp_replace(text, '\\\\s', ' ')").withColumn("w", F.get(F.split("text", " "), F.lit(0))).where("length(w) > 1")
+    """Plans and finishes of the tiers with a dummy model, over all items: every place of an item's first word."""
+    b = table(spark, d, "benchmark").withColumn("w", F.regexp_extract("text", r"\S+", 0))
     one = F.array(F.struct(F.substring("text", 1, 1).alias("text"), F.lit("NEO").alias("type"), F.lit(0).alias("start"), F.lit(1).alias("end")))
     own = b.select("item_id", F.col("item_id").cast("string").alias("uid"), F.col("text").alias("src_noisy"), F.replace("text", F.col("w"), F.lit("KEY")).alias("src_clean"), F.lit("HOM").alias("category"), F.array("w").alias("noise_span"), F.array(F.lit("KEY")).alias("noise_std"), one.alias("detected"))
     out = None
@@ -275,3 +286,20 @@ def near_name_pairs(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "part").select("p_partkey", X.char_grams(F.lower("p_name")).alias("grams")).where("size(grams) > 0")
     left, right = own.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "l"), own.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "r")
     return O.near_duplicates(left, right, 0.6).select("l", "r", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _document_grams(spark: SparkSession, d: str) -> DataFrame:
+    """The sets of 4-grams of whole texts; a shorter text is its own only one."""
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", X.char_grams(F.col("text")).alias("grams"))
+
+
+@query(
+    "WITH a AS (SELECT doc_id, CASE WHEN length(text) < 4 THEN [text] ELSE list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))) END AS g FROM documents WHERE text <> ''), "
+    "b AS (SELECT doc_id, len(g) AS n, list_sort(g) AS g, sha256(array_to_string(list_sort(g), chr(0))) AS k FROM a), l AS (SELECT DISTINCT k, n, g FROM b WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT k, n, g FROM b WHERE doc_id % 2 = 1), "
+    "p AS (SELECT l.k AS left_set, r.k AS right_set, l.n, r.n AS m, len(list_intersect(l.g, r.g)) AS o FROM l JOIN r ON l.n >= 0.6 * r.n AND r.n >= 0.6 * l.n) "
+    "SELECT left_set, right_set, round(o / (n + m - o), 6) AS jaccard FROM p WHERE o >= 0.6 * (n + m - o)"
+)
+def near_document_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Even documents against odd ones by the 4-grams of whole texts; copies are one set."""
+    own = _document_grams(spark, d)
+    return O.near_duplicate_sets(own.where("doc_id % 2 = 0"), own.where("doc_id % 2 = 1"), 0.6).select("left_set", "right_set", F.round("jaccard", 6).alias("jaccard"))

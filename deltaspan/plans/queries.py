@@ -569,7 +569,7 @@ def overlap_membership(spark: SparkSession, d: str) -> DataFrame:
     return O.membership_counts(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), keys)
 
 
-GRAMS = "list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)))"
+GRAMS = "CASE WHEN length(t) < 4 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) END"
 
 
 WORDS_SQL = "a AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM benchmark) GROUP BY word), b AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY word)"
@@ -705,9 +705,9 @@ def key_sets(spark: SparkSession, d: str) -> DataFrame:
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "without")).unionByName(n(b.distinct(), "distinct"))
 
 
-@query(f"WITH a AS (SELECT p_partkey, (SELECT {GRAMS} FROM (SELECT lower(p_name) AS t)) AS a, (SELECT {GRAMS} FROM (SELECT lower(p_type) AS t)) AS b FROM part WHERE length(p_name) >= 4 AND length(p_type) >= 4) SELECT p_partkey, len(a) AS n_grams, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS jaccard FROM a")
+@query(f"WITH a AS (SELECT p_partkey, (SELECT {GRAMS} FROM (SELECT lower(p_name) AS t)) AS a, (SELECT {GRAMS} FROM (SELECT lower(p_type) AS t)) AS b FROM part) SELECT p_partkey, len(a) AS n_grams, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS jaccard FROM a")
 def gram_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "part").where("length(p_name) >= 4 and length(p_type) >= 4").select("p_partkey", X.char_grams(F.lower("p_name")).alias("a"), X.char_grams(F.lower("p_type")).alias("b"))
+    own = table(spark, d, "part").select("p_partkey", X.char_grams(F.lower("p_name")).alias("a"), X.char_grams(F.lower("p_type")).alias("b"))
     return own.select("p_partkey", F.size("a").cast("long").alias("n_grams"), F.round(F.coalesce(X.jaccard(F.col("a"), F.col("b")), F.lit(0.0)), 6).alias("jaccard"))
 
 
@@ -753,11 +753,11 @@ def confidence_abstention(spark: SparkSession, d: str) -> DataFrame:
     return own.select("uid", F.size("spans").cast("long").alias("n_all"), F.size(S.keep_confident(F.col("spans"), 0.5)).cast("long").alias("n_kept"))
 
 
-NAMES_SQL = f"x AS (SELECT p_partkey AS k, len(g) AS n, unnest(g) AS w FROM (SELECT p_partkey, {GRAMS} AS g FROM (SELECT p_partkey, lower(p_name) AS t FROM part WHERE length(p_name) >= 4)))"
+NAMES_SQL = f"x AS (SELECT p_partkey AS k, len(g) AS n, unnest(g) AS w FROM (SELECT p_partkey, {GRAMS} AS g FROM (SELECT p_partkey, lower(p_name) AS t FROM part)))"
 
 
 @query(f"WITH {NAMES_SQL}, c AS (SELECT a.k AS l, b.k AS r, count(*) AS o, max(a.n) AS n, max(b.n) AS m FROM x a JOIN x b USING (w) WHERE a.k % 2 = 0 AND b.k % 2 = 1 GROUP BY ALL) SELECT l, min(r) AS r FROM c WHERE o >= 0.6 * (n + m - o) GROUP BY l")
 def first_near_partner(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "part").where("length(p_name) >= 4").select("p_partkey", X.char_grams(F.lower("p_name")).alias("grams"))
+    own = table(spark, d, "part").select("p_partkey", X.char_grams(F.lower("p_name")).alias("grams"))
     left, right = own.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "l"), own.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "r")
     return O.first_partner(left, right, 0.6)
