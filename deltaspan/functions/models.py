@@ -76,6 +76,76 @@ def patient(call: Callable[..., T], sleep: Callable[[float], None] = time.sleep)
     return run
 
 
+LOG = "call string, answer string, served string"
+
+
+class Unanswered(RuntimeError):
+    """Calls that failed; what was answered is in the log, and a rerun asks for the rest."""
+
+
+def call_key(key: Column, question: Column) -> Column:
+    """What a call is known by: the same prompt of the same row."""
+    return F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("\x00"), question), 256)
+
+
+def call_log(spark: SparkSession, path: str) -> DataFrame:
+    """The answers of a log, an empty one where there is none yet."""
+    spark.createDataFrame([], LOG).write.mode("append").parquet(path)
+    return spark.read.schema(LOG).parquet(path).dropDuplicates(["call"])
+
+
+def seed_log(answers: DataFrame, key: str, question: str, answer: str, path: str, served: str | None = None) -> None:
+    """Puts answers of an earlier run into a log, so that they are used again and not asked for; empty ones are left out."""
+    own = answers.where(F.trim(F.coalesce(F.col(answer), F.lit(""))) != "").select(call_key(F.col(key), F.col(question)).alias("call"), F.col(answer).alias("answer"), (F.col(served) if served else F.lit(None).cast("string")).alias("served"))
+    own.join(call_log(answers.sparkSession, path).select("call"), "call", "left_anti").write.mode("append").parquet(path)
+
+
+def ask_once(df: DataFrame, key: str, question: str, target: str, make: Callable[[], Callable[[list[str]], list[tuple[str, str | None]]]], path: str, wave: int = 1000, in_flight: int = 4, batch: int = 16) -> DataFrame:
+    """Adds a model's answers to prompts and what served them, each prompt of a row asked once whatever happens meanwhile.
+
+    Answers are appended to a log, by calls: a rerun asks only for calls that it lacks. Prompts are asked in waves of about
+    ``wave`` calls, each of which ends with its answers in the log, and by ``in_flight`` tasks, each with one call of up to
+    ``batch`` prompts at a time. The call returns, for each prompt, its answer and the id that served it. When a call
+    fails, its task asks nothing more in this wave but keeps the answers that it has, and no other wave is begun: the log
+    has what was answered, and Unanswered is raised. If a task or the driver is lost, what is asked again is one wave at
+    most. A null prompt isn't asked, and repeated rows are one call.
+    """
+    spark = df.sparkSession
+    own = df.withColumn("__call", F.when(F.col(question).isNotNull(), call_key(F.col(key), F.col(question))))
+    todo = own.where("__call is not null").select(F.col("__call").alias("call"), F.col(question).alias("prompt")).dropDuplicates(["call"])
+    todo = todo.join(call_log(spark, path).select("call"), "call", "left_anti").persist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, failed = None, False
+        for rows in batches:
+            calls, prompts = rows["call"].to_pylist(), rows["prompt"].to_pylist()
+            for k in range(0, len(calls), batch):
+                if failed:
+                    return
+                try:
+                    call = call or make()
+                    got = call(prompts[k : k + batch])
+                except Exception:
+                    failed = True  # what is there already is handed on
+                    continue
+                if len(got) != len(prompts[k : k + batch]):
+                    raise ValueError(f"{len(got)} answers to {len(prompts[k : k + batch])} prompts")
+                yield pa.RecordBatch.from_pydict({"call": calls[k : k + batch], "answer": [a for a, _ in got], "served": pa.array([s for _, s in got], type=pa.string())})
+
+    left = todo.count()
+    waves = -(-left // wave)
+    for w in range(waves):
+        part = todo.where(F.pmod(F.xxhash64("call"), F.lit(waves)) == w)
+        part.repartition(in_flight).mapInArrow(run, LOG).write.mode("append").parquet(path)
+        missing = part.join(call_log(spark, path).select("call"), "call", "left_anti").count()
+        if missing:
+            todo.unpersist()
+            raise Unanswered(f"{missing} calls of wave {w + 1} of {waves} failed")
+    todo.unpersist()
+    log = call_log(spark, path).select(F.col("call").alias("__call"), F.col("answer").alias(target), F.col("served").alias(f"{target}_served"))
+    return own.join(log, "__call", "left").drop("__call")
+
+
 def call_counts(df: DataFrame, by: str, answer: Column, served: Column) -> DataFrame:
     """How many answers a system gave, how many were empty, and the ids that served them."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim(answer), F.lit("")) == "").alias("n_empty"), F.array_sort(F.collect_set(served)).alias("served"))

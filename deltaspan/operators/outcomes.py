@@ -28,6 +28,11 @@ def joined(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
     return left.join(found, key, "left").withColumn(key, sure).drop("__found")
 
 
+def known(results: DataFrame, gold: DataFrame, key: str = "uid") -> DataFrame:
+    """Results with their gold rows; results of which there is no gold are left out."""
+    return results.join(gold, key)
+
+
 def _rate(top: Column, bottom: Column) -> Column:
     return F.round(F.try_divide(100.0 * top, bottom), 2)
 

@@ -6,7 +6,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StringType, StructField, StructType
@@ -84,6 +84,31 @@ def predictions(spark: SparkSession, path: str | list[str], least: float | None
     return df if least is None else df.withColumn("spans", keep_confident(F.col("spans"), least))
 
 
+def valid_predictions(spark: SparkSession, path: str | list[str], records: DataFrame, least: float | None = None) -> DataFrame:
+    """Predictions filled up and held against the records that they are of; anything wrong with them is an error that names it.
+
+    A span's type may stand in a field category, in any case; its text is by default what its place holds, its confidence
+    one. noise_present is by default whether there are spans. A record without a prediction is no error.
+    """
+    from ..functions.splice import keep_confident
+    from ..operators.validate import valid_predictions as check
+
+    kinds = [x.split(":", 1) for x in SPAN[len("struct<") : -1].split(",")]
+    given = PREDICTION.replace(SPAN, SPAN[:-1] + ",category:string>")
+    lines = json_lines(spark, path, given).join(records.select("uid", F.col("src_noisy").alias("__src")), "uid", "left")
+
+    def whole(s: Column) -> Column:
+        fields = {name: s[name] for name, _ in kinds}
+        fields["text"] = F.coalesce(s["text"], F.substr(F.col("__src"), s["start"] + 1, s["end"] - s["start"]))
+        fields["type"] = F.upper(F.coalesce(F.when(s["type"] != "", s["type"]), s["category"], F.lit("")))
+        fields["confidence"] = F.coalesce(s["confidence"], F.lit(1.0))
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    lines = lines.withColumn("spans", F.transform(F.coalesce("spans", F.array()), whole)).drop("__src")
+    lines = check(lines.withColumn("noise_present", F.coalesce("noise_present", F.size("spans") > 0)), records)
+    return lines if least is None else lines.withColumn("spans", keep_confident(F.col("spans"), least))
+
+
 def norm_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return json_lines(spark, path, NORM_LOG)
 
@@ -97,6 +122,17 @@ def pool_spans(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return pool(spark, path).select(F.explode(split_list(F.col("noise_span"))).alias("s")).select(nfkc(F.col("s")).alias("word")).distinct()
 
 
+def pool_and_benchmark(spark: SparkSession, pool_path: str | list[str], benchmark_paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A pool, and the union of several benchmark tables, whatever columns each has besides; file is where a row is from, pos its place there."""
+    bench = None
+    for path in benchmark_paths:
+        own = contrastive(spark, path, check=False).withColumn("file", F.lit(path))
+        bench = own if bench is None else bench.unionByName(own, allowMissingColumns=True)
+    if bench is None:
+        raise InvalidData("no benchmark tables")
+    return pool(spark, pool_path), bench
+
+
 def clean_side(outputs_: DataFrame, records: DataFrame) -> DataFrame:
     """uid and hyp_clean for every record; a missing or blank one is an error."""
     got = records.select("uid").join(outputs_.select("uid", "hyp_clean"), "uid", "left")
@@ -147,11 +183,21 @@ def gold_spans(records: DataFrame) -> DataFrame:
 
 
 def synthetic_segments(spark: SparkSession, systems: int, items: int, seed: int = 1) -> DataFrame:
-    """Scores for tests: uniform by a hash, with an offset for each system."""
+    """Scores and texts for tests: uniform by a hash, with an offset for each system.
+
+    The clean source differs from the noisy one in one word, and more of it in each category than in the one before, so
+    that edit distances have a spread; whether a term was met falls with the noisy score.
+    """
     u = lambda *k: F.pmod(F.xxhash64("system", "uid", *[F.lit(x) for x in (seed, *k)]), F.lit(1_000_000)) / 1e6
     df = spark.range(systems).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("system"), F.col("id").alias("k")).crossJoin(spark.range(items).select(F.col("id").alias("uid")))
-    clean = 70 + 30 * u("c")
-    return df.select("system", "uid", F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("uid") % 4 + 1).cast("int")).alias("category"), clean.alias("xcomet_clean"), (clean - F.col("k") - 10 * u("n")).alias("xcomet_noisy"))
+    clean, place = 70 + 30 * u("c"), (F.col("uid") % len(CATEGORIES)).cast("int")
+    df = df.withColumns({"category": F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), place + 1), "xcomet_clean": clean, "xcomet_noisy": clean - F.col("k") - 10 * u("n")})
+    df = df.withColumns({"kiwi_clean": F.col("xcomet_clean") - 5 * u("kc"), "kiwi_noisy": F.col("xcomet_noisy") - 5 * u("kn"), "nta_clean": F.lit(1.0), "nta_noisy": (F.col("xcomet_noisy") > 80).cast("double")})
+    df = df.withColumns({f"{m}_d": F.col(f"{m}_clean") - F.col(f"{m}_noisy") for m in METRICS})
+    word = lambda *k: F.concat(F.lit("w"), F.pmod(F.xxhash64("uid", *[F.lit(x) for x in (seed, *k)]), F.lit(1000)).cast("string"))
+    rest = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("uid") % 7 + 3).cast("int")), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("uid"), i), F.lit(1000)).cast("string"))), " ")
+    df = df.withColumns({"src_clean": F.concat(word("a"), F.lit(" "), rest), "src_noisy": F.concat(F.repeat(F.lit("x"), place + 1), word("b"), F.lit(" "), rest)})
+    return df.withColumns({"hyp_clean": F.concat(F.lit("[en] "), "src_clean"), "hyp_noisy": F.concat(F.lit("[en] "), "src_noisy"), "ref_en": F.concat(F.lit("[ref] "), "src_clean")}).drop("k")
 
 
 # ---- spreadsheets

@@ -51,6 +51,29 @@ def quarantine(classified: DataFrame, path: str) -> None:
     table(ingest_flags(classified), f"{path}/flags")
 
 
+def strata(contrasts: DataFrame, path: str) -> str:
+    """Contrasts by table, metric and stratum: a tab-separated table under ``path`` and a text report beside it, whose text is returned.
+
+    contrasts: table, metric, stratum, n, diff, ci_lo, ci_hi, p; a few rows for each table.
+    """
+    cells = [fixed(F.col(c)).alias(c) for c in ("diff", "ci_lo", "ci_hi")]
+    table(contrasts.select("table", "metric", "stratum", "n", *cells, fixed(F.col("p"), 4).alias("p_boot")), path, ["table", "metric", "stratum"])
+    lines, head = [], None
+    for r in contrasts.orderBy("table", "metric", "stratum").toLocalIterator():
+        if head != (head := (r["table"], r["metric"])):
+            lines.append(" ".join(head))
+        lines.append(f"  {r['stratum']}: n={r['n']} diff={r['diff']:.2f} [{r['ci_lo']:.2f}, {r['ci_hi']:.2f}] p={r['p']:.4f}")
+    text = "\n".join([*lines, ""])
+    Path(f"{path}.txt").write_text(text, encoding="utf-8")
+    return text
+
+
+def splice_report(checked: DataFrame, path: str) -> dict[str, int]:
+    """All rows of a splice check, not only problems, by table and uid; how many there are of each status."""
+    table(checked.select("table", "uid", "status", "detail"), path, ["table", "uid"])
+    return {r["status"]: r["n"] for r in checked.groupBy("status").agg(F.count("*").alias("n")).collect()}
+
+
 def markdown(df: DataFrame, title: str) -> str:
     """A report table. Reports are roll-ups, a row for each scope or system; their rows pass one partition at a time."""
     cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
