@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 SEED = 20260722
 #: Up to so many items are broadcast to their draws (some 50 bytes each); beyond it the draws are shuffled to them.
 BROADCAST_ITEMS = 500_000
@@ -190,9 +192,9 @@ def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows with pos from 0 within their group and its size n.
 
     The rows are sorted over all tasks by ranges; a row's number is its task's offset and its place there, so that a
-    group may have any number of rows. They are persisted, as both passes must see the same ranges.
+    group may have any number of rows. They are checkpointed, as both passes must see the same ranges.
     """
-    own = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    own = cut(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)).withColumn("__at", F.monotonically_increasing_id())
     task, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     total, offset = 0, []
     for r in own.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():  # a row for each task

@@ -77,11 +77,27 @@ def exact_matches(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return nth(gold, "gi").join(nth(predicted, "pi").select("uid", "start", "end", "nth", "pi", "type"), ["uid", "start", "end", "nth"]).drop("nth")
 
 
+#: Characters whose marks one number holds.
+MARKS = 60
+
+
 def character_sets(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """By uid, characters in gold spans, in predicted spans, and in both; repeats and overlaps count once."""
-    chars = lambda df: df.where("start < end").select("uid", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
-    both = chars(gold).withColumn("g", F.lit(1)).join(chars(predicted).withColumn("p", F.lit(1)), ["uid", "at"], "full")
-    return both.groupBy("uid").agg(F.count("g").alias("gold_chars"), F.count("p").alias("pred_chars"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("overlap_chars"))
+    """By uid, characters in gold spans, in predicted spans, and in both; repeats and overlaps count once.
+
+    A span is a run of bits in one or a few blocks of MARKS characters, and blocks are joined by an ordinary aggregate of
+    bits, so that neither characters nor all spans of a uid are gathered.
+    """
+
+    def marked(df: DataFrame, side: str) -> DataFrame:
+        block = F.explode(F.sequence(F.floor(F.col("start") / MARKS), F.floor((F.col("end") - 1) / MARKS))).alias("block")
+        own = df.where("start < end").select("uid", "start", "end", block)
+        upto = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.lit(MARKS), F.greatest(F.lit(0), F.col(c) - F.col("block") * MARKS)).cast("int"))
+        bits = upto("end") - upto("start")
+        return own.select("uid", "block", *[(bits if s == side else F.lit(0).cast("bigint")).alias(s) for s in "gp"])
+
+    blocks = marked(gold, "g").unionByName(marked(predicted, "p")).groupBy("uid", "block").agg(F.bit_or("g").alias("g"), F.bit_or("p").alias("p"))
+    n = lambda c: F.sum(F.bit_count(c).cast("bigint"))
+    return blocks.groupBy("uid").agg(n(F.col("g")).alias("gold_chars"), n(F.col("p")).alias("pred_chars"), n(F.col("g").bitwiseAND(F.col("p"))).alias("overlap_chars"))
 
 
 def prf(tp: Column, n_pred: Column, n_gold: Column, scale: float = 1.0) -> tuple[Column, Column, Column]:

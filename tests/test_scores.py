@@ -235,6 +235,17 @@ def test_characters(spark):
     assert (r["gold_chars"], r["pred_chars"], r["overlap_chars"]) == (4, 3, 2)
 
 
+def test_characters_by_hand(spark):
+    """Random spans, empty, repeated, nested, longer than a block and at its borders, against sets of characters."""
+    rng = random.Random(9)
+    spans = lambda: [(rng.randrange(4), a, a + rng.choice([0, 1, 3, 59, 60, 61, 200])) for _ in range(150) for a in [rng.randrange(700)]]
+    gold, found = spans(), [*spans(), (9, 60, 120)]
+    chars = lambda rows, u: {c for v, a, b in rows if v == u for c in range(a, b)}
+    kind = "uid int, start int, end int"
+    got = {r["uid"]: tuple(r)[1:] for r in M.character_sets(spark.createDataFrame(gold, kind), spark.createDataFrame(found, kind)).collect()}
+    assert got == {u: (len(chars(gold, u)), len(chars(found, u)), len(chars(gold, u) & chars(found, u))) for u in (0, 1, 2, 3, 9)}
+
+
 def test_sentence_label(spark):
     df = spark.sql("SELECT array(named_struct('confidence', 0.04D, 'type', 'HOM'), named_struct('confidence', 0.81D, 'type', 'neo'), named_struct('confidence', 0.81D, 'type', 'MIX')) AS s")
     assert df.select(M.sentence_label(F.col("s")).alias("l")).first()["l"] == "NEO"
