@@ -153,11 +153,20 @@ def _group(table: pa.Table, query_column: bool) -> pa.Table:
     return pa.table({"a": k1[row], "a2": k2[row], "b": k1[row[root]], "parts": parts[row]})
 
 
-def clusters(nodes: DataFrame) -> DataFrame:
-    """(node, root) for distinct texts that share a band with another, directly or through others."""
+def band_links(nodes: DataFrame, total: int) -> DataFrame:
+    """(a, b): each distinct text that shares a band with another, and the least of that band; ``total``: the texts' number.
+
+    A band of very many texts is broadcast with its least one, so that its texts stay where they are.
+    """
     bands = nodes.where("words > 0").select("k1", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("band", "low")
-    return components(bands.join(shared, "band").where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b")).distinct())
+    shared = bands.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("weight")).where("low < high").drop("high")
+    links = spread_join(bands, cut(shared.coalesce(max(8, total // 1_000_000))), ["band"], "weight", total * BANDS)
+    return links.where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b"))
+
+
+def clusters(nodes: DataFrame, total: int) -> DataFrame:
+    """(node, root) for distinct texts that share a band with another, directly or through others."""
+    return components(band_links(nodes, total).distinct())
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -189,7 +198,7 @@ class Classes:
         self.twice = not self.rows.groupBy("r").count().where("count > 1").isEmpty()
         one = [F.min("d").alias("d"), F.min_by("r", "d").alias("r"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")]
         self.nodes = self.rows.groupBy("k1", "k2", "words", "bands").agg(*one)
-        cluster = clusters(self.nodes)
+        cluster = clusters(self.nodes, self.total)
         if cluster.isEmpty():
             self.link = spark.createDataFrame([], "k1 bigint, k2 bigint, root bigint")
         else:
@@ -252,8 +261,10 @@ class Classes:
         joined = more.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
         last = components(joined)
         names = open_.select(*keyed).distinct().join(root.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-        names = names.join(last.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-        settled = self._cut(settled.unionByName(names.select("k1", "k2", F.coalesce("to", "root").alias("root"))))
+        # every root with where it goes now; one of very many texts is broadcast
+        to = names.groupBy("root").agg(F.count("*").alias("weight")).join(last.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("to", F.coalesce("to", "root"))
+        names = spread_join(names, self._cut(to), ["root"], "weight", self.total)
+        settled = self._cut(settled.unionByName(names.select("k1", "k2", F.col("to").alias("root"))))
         link.unpersist()
         full.unpersist()
         return settled

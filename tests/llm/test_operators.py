@@ -120,6 +120,18 @@ def test_quality_labels(spark):
 # ---- 5, near-duplicates
 
 
+def test_hot_band(spark):
+    """A band of 100,000 distinct texts: its links stay spread over the tasks that have the texts, and none is lost."""
+    n, parts = 100_000, 40
+    nodes = spark.range(n, numPartitions=parts).select((F.col("id") * 3 + 7).alias("k1"), F.lit(9).alias("words"), F.array(F.lit(5).cast("long"), F.col("id") % 1000 + 10**6, -F.col("id")).alias("bands"))
+    links = near_duplicates.band_links(nodes, n)
+    size = [r["count"] for r in links.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    # all but the least text of each of the 1,001 bands; the links of the hot band aren't in one task
+    assert sum(size) == (n - 1) + (n - 1000)
+    assert links.where("b = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 0.1 * n
+    assert near_duplicates.clusters(nodes, n).select("root").distinct().count() == 1
+
+
 def near_fixture():
     rng = random.Random(9)
     texts = [prose(rng, 80) for _ in range(30)]
