@@ -288,7 +288,7 @@ def minimum_signatures(value: np.ndarray, at: np.ndarray, size: int, seed: int =
     return out
 
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_stops", "n_chars")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_stops", "n_chars", "n_symbol_words")
 
 
 def features(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -312,6 +312,7 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
     n = len(off) - 1
     last = data[w.end - 1] if len(w.end) else np.zeros(0, dtype=np.uint8)
     stops = (last == 46) | (last == 33) | (last == 63)
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
     count = lambda r, m: np.bincount(r[m], minlength=n).astype(np.int64)
     return {
         "n_words": np.diff(w.at).astype(np.int64),
@@ -325,4 +326,5 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_digits": per_row(_DIGIT[data], off),
         "n_stops": count(row, stops),
         "n_chars": per_row(head, off),
+        "n_symbol_words": count(row, symbols[w.end] > symbols[w.start]),
     }

@@ -5,12 +5,11 @@ has no words. Texts that fail the base rule (fewer than ten words, or more than
 five-word windows) are rejected outright, the others are kept if the posterior of good quality is at least 0.5.
 
 Each rule casts a strong or a weak vote against a text, vouches for it, or abstains, which counts as not seen. Texts are
-good or bad in one of several ways: a kind of bad text is what a group of rules that look at the same thing sees, and
-in all else it votes like a good text; one more kind has rates of its own for every rule, so that votes that go together
-are learnt as one. EM finds the shares of the kinds and all rates. What tells kinds from good texts without labels is a
-prior, as strong for good texts as the texts themselves: a strong vote meets one good text in 500, a weak one three in a
-hundred, and a rule blames texts of its kind more often than not. Of single votes a strong one mostly decides and a weak
-one doesn't; several weak ones may.
+good or bad, and each of the two has chances of its own for every vote of every rule. All rules start alike, a little
+better than guessing, with a weak prior that no rule does worse than chance; EM over all texts that pass the base rule
+learns the share of bad texts and every rule's chances, in which rules that blame the same texts find each other: where
+several agree, each of their votes counts much, and a rule whose votes come alone counts little. A verdict is thus what
+the rules' agreement makes of it, not how strongly a single rule is meant.
 
 Repeated rows get equal verdicts; an empty table gives an empty result. Only doc_id and text are read; extra columns,
 whatever their names, are passed through by ``keep_good`` and ignored by ``verdicts``.
@@ -49,13 +48,11 @@ def base_failed(c: Column) -> Column:
 
 
 ABSTAINS, STRONG, WEAK, VOUCHES = range(4)
-#: Rules that look at the same thing, a kind of bad text each.
-KINDS = (("symbols",), ("word_length",), ("digits",), ("sentences",), ("line_copies", "repeats"), ("capitals",), ("length", "line_length"))
-#: Chances of a strong, a weak and a vouching vote of a rule for good texts, for the kind that it looks for, and for mixed ones.
-GOOD, OWN, MIXED = (0.002, 0.03, 0.968), (0.45, 0.35, 0.2), (0.1, 0.4, 0.5)
-GOOD_SHARE = 0.9
-#: How many texts the prior of good texts, and of each kind, counts for, as a share of all texts there of that prior.
-GOOD_WEIGHT, KIND_WEIGHT = 1.0, 0.1
+#: Chances of a strong, a weak and a vouching vote, of any rule, for good and for bad texts, and the share of good ones: where EM
+#: starts. They are so near each other that they decide nothing; they only say which class is the bad one.
+GOOD, BAD, GOOD_SHARE = (0.03, 0.07, 0.9), (0.06, 0.1, 0.84), 0.9
+#: How many texts the prior counts for, as a share of all.
+WEIGHT = 0.02
 
 
 def rules(c: Column) -> list[tuple[str, Column]]:
@@ -70,7 +67,7 @@ def rules(c: Column) -> list[tuple[str, Column]]:
     long, symbols, mean = c["n_words"], c["n_symbols"] / n, c["word_chars"] / n
     copies, upper, repeats = c["n_dup_lines"] / lines, c["n_upper"] / letters, c["n_repeat_words"] / n
     ends, digits, width = c["n_stops"] / n, c["n_digits"] / F.greatest(c["word_chars"], F.lit(1)), n / lines
-    prose = long >= 50
+    prose, marked = long >= 50, c["n_symbol_words"] / n
     return [
         ("symbols", vote(symbols > 0.25, symbols > 0.05, symbols <= 0.02)),
         ("word_length", vote((mean < 2.5) | (mean > 12), (mean < 3.5) | (mean > 7), mean.between(3.8, 6.5))),
@@ -80,6 +77,7 @@ def rules(c: Column) -> list[tuple[str, Column]]:
         ("repeats", vote(repeats > 0.5, repeats > 0.15, (long >= 20) & (repeats <= 0.03))),
         ("capitals", vote(upper > 0.5, upper > 0.2, upper <= 0.1)),
         ("length", vote(long < 10, long < 14, long >= 30)),
+        ("symbol_words", vote(marked > 0.2, marked > 0.05, marked <= 0.01)),
         ("line_length", vote(width < 2, width < 3, width >= 8)),
     ]
 
@@ -92,76 +90,70 @@ def pattern(c: Column) -> Column:
     return code.cast("int")
 
 
-def start(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prior shares of good texts and kinds, prior chances of the three votes by kind and rule, and which are a kind's own."""
-    kinds = [k for k in KINDS if any(x in names for x in k)]
-    share = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / (len(kinds) + 1)] * (len(kinds) + 1))
-    chance = np.empty((len(share), len(names), 3))
-    chance[:] = GOOD
-    own = np.zeros((len(share), len(names)), dtype=bool)
-    own[[0, -1]] = True
-    for k, members in enumerate(kinds, 1):
-        for x in members:
-            if x in names:
-                chance[k, names.index(x)], own[k, names.index(x)] = OWN, True
-    chance[-1] = MIXED
-    return share, chance, own
+def start(n_rules: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of good and bad texts, and the chances of the three votes by class and rule, before anything is learnt."""
+    return np.array([GOOD_SHARE, 1 - GOOD_SHARE]), np.stack([np.tile(GOOD, (n_rules, 1)), np.tile(BAD, (n_rules, 1))])
 
 
-def fit(votes: np.ndarray, count: np.ndarray, names: list[str], rounds: int = 1000) -> tuple[np.ndarray, dict]:
+def posterior(votes: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Of each pattern, the probabilities of good and bad; an abstention says nothing."""
+    seen = np.stack([votes == v for v in (STRONG, WEAK, VOUCHES)], axis=2).astype(np.float64)
+    logs = np.einsum("prv,krv->pk", seen, np.log(chance)) + np.log(share)
+    out = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def fit(votes: np.ndarray, count: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, dict]:
     """EM over patterns of votes with their counts: the posterior of good for each, and the model.
 
-    As the weights of the priors grow with the texts, more texts of the same sorts change nothing.
+    A rule that would blame good texts more often than bad ones gets the same chances for both, and so no say. As the
+    weight of the prior grows with the texts, more texts of the same sorts change nothing.
     """
-    prior, first, own = start(names)
+    prior, first = start(votes.shape[1])
     seen = np.stack([votes == v for v in (STRONG, WEAK, VOUCHES)], axis=2).astype(np.float64)
-    total = count.sum()
-    weight = prior * total * np.array([GOOD_WEIGHT] + [KIND_WEIGHT] * (len(prior) - 1))
-    share, chance, post = prior.copy(), first.copy(), np.zeros((len(votes), len(prior)))
+    weight = WEIGHT * count.sum() * prior
+    share, chance, post = prior.copy(), first.copy(), np.full((len(votes), 2), -1.0)
     for _ in range(rounds):
-        logs = np.einsum("prv,krv->pk", seen, np.log(chance)) + np.log(share)
-        new = np.exp(logs - logs.max(axis=1, keepdims=True))
-        new /= new.sum(axis=1, keepdims=True)
-        done = np.abs(new - post).max(initial=0) < 1e-9
+        new = posterior(votes, share, chance)
+        if np.abs(new - post).max(initial=0) < 1e-9:
+            break
         post = new
         held = post * count[:, None]
-        sums = np.einsum("pk,prv->krv", held, seen)
-        # a kind's votes in what isn't its own teach what good texts do
-        sums[0] += np.where(own[:, :, None], 0, sums).sum(axis=0)
-        sums += weight[:, None, None] * first
+        sums = np.einsum("pk,prv->krv", held, seen) + weight[:, None, None] * first
         chance = sums / sums.sum(axis=2, keepdims=True)
-        chance = np.where(own[:, :, None], chance, chance[0])
-        share = held.sum(axis=0) + KIND_WEIGHT * total * prior
+        blames = chance[:, :, STRONG - 1] + chance[:, :, WEAK - 1]
+        both = sums.sum(axis=0) / sums.sum(axis=(0, 2))[:, None]
+        chance = np.where((blames[1] < blames[0])[None, :, None], both, chance)
+        share = held.sum(axis=0) + weight
         share /= share.sum()
-        if done:
-            break
-    return post[:, 0], {"share": share, "chance": chance}
+    return posterior(votes, share, chance)[:, 0], {"share": share, "chance": chance}
 
 
 def posteriors(votes: DataFrame, column: str) -> DataFrame:
-    """(pattern, posterior) of all patterns present: 4 to the number of rules at most, 262,144, whatever the input."""
-    names = [x for x, _ in rules(F.lit(None))]
+    """(pattern, posterior) of all patterns present: 4 to the number of rules at most, 1,048,576, whatever the input."""
+    n_rules = len(rules(F.lit(None)))
     seen = votes.groupBy(F.col(column).alias("pattern")).count().collect()
     seen = sorted((r["pattern"], r["count"]) for r in seen)
     codes, n = np.array([x for x, _ in seen], dtype=np.int64), np.array([x for _, x in seen], dtype=np.float64)
-    post, _ = fit((codes[:, None] // 4 ** np.arange(len(names))) % 4, n, names) if seen else (np.zeros(0), {})
+    post, _ = fit((codes[:, None] // 4 ** np.arange(n_rules)) % 4, n) if seen else (np.zeros(0), {})
     rows = [(int(c), float(p)) for c, p in zip(codes, post, strict=True)]
     return votes.sparkSession.createDataFrame(rows, "pattern int, posterior double")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, posterior and kept, for every row."""
+    """doc_id, the base counts, base_failed, posterior (0 where the base rule rejects) and kept, for every row."""
     c = docs.select("doc_id", counts(F.col("text")).alias("c"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     seen = cut(c.select("doc_id", *[F.col("c")[k].alias(k) for k in base], base_failed(F.col("c")).alias("base_failed"), pattern(F.col("c")).alias("pattern")))
-    out = seen.join(F.broadcast(posteriors(seen, "pattern")), "pattern")
-    return out.select("doc_id", *base, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), F.round("posterior", 6).alias("posterior"))
+    out = seen.join(F.broadcast(posteriors(seen.where("not base_failed"), "pattern")), "pattern", "left")
+    post = F.when(F.col("base_failed"), F.lit(0.0)).otherwise(F.col("posterior"))
+    return out.select("doc_id", *base, "base_failed", (post >= 0.5).alias("kept"), F.round(post, 6).alias("posterior"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows with a good verdict, all columns as they were. Reads the texts twice rather than keep them."""
     c, code = fresh("c"), fresh("p")
-    model = posteriors(docs.select(counts(F.col("text")).alias("c")).select(pattern(F.col("c")).alias("p")), "p")
+    model = posteriors(docs.select(counts(F.col("text")).alias("c")).where(~base_failed(F.col("c"))).select(pattern(F.col("c")).alias("p")), "p")
     model = model.where("posterior >= 0.5").select(F.col("pattern").alias(code))
     marked = docs.withColumn(c, counts(docs["text"]))
     marked = marked.where(~base_failed(F.col(c))).withColumn(code, pattern(F.col(c)))
