@@ -8,7 +8,8 @@ up as a cell, its tokens and its expected tokens by domain, both exact, so that
 Projected gradient over the cells, in the metric of their tokens: r <- max(0, y - p . g), where g is the residual over
 the largest eigenvalue of the Gram matrix (the step that always descends), y is r carried on by Nesterov's momentum, and
 the momentum starts anew when it points uphill. A step is the same small vector for all cells. Up to LOCAL_CELLS cells
-are iterated in one place; beyond it each round is one sum over the distributed cells, which replay the list of steps.
+are iterated in one place; beyond it each round is one sum over the distributed cells, which replay the steps since their
+rates were last written, REWRITE at most.
 It ends when the targets are met or, as with targets out of reach, when the duality gap shows that no rates at all have a
 residual much less (GAP); ``settled`` tells whether one of these was so before MAX_ROUNDS.
 
@@ -21,6 +22,8 @@ mix_copies) and are ignored by ``rates``.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,8 +41,10 @@ MAX_DOMAINS = 64
 #: A posterior weighs its words as if it had this many at most: words aren't independent.
 EVIDENCE = 30.0
 GRID = 64
-#: Up to so many cells, 4 domains have 47,905 at most, are iterated on the driver and broadcast: 8 (k + 2) bytes each.
-LOCAL_CELLS = 100_000
+#: Up to so many cells are iterated on the driver (some 8 (3 k + 5) bytes each) and broadcast: all that five domains may have.
+LOCAL_CELLS = 1_000_000
+#: Rounds of the distributed form after which the cells' rates are written, so that later rounds replay only what follows.
+REWRITE = 50
 MAX_ROUNDS = 10_000
 #: Shares of all tokens: targets are met, or the residual is as near to the least one that is possible.
 MET, GAP = 1e-7, 2e-3
@@ -166,34 +171,43 @@ def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch["t"], dtype=np.float64), np.asarray(batch["s"].flatten(), dtype=np.float64).reshape(-1, k)
 
 
+def _replayed(batch: pa.RecordBatch, k: int, steps: list[tuple[np.ndarray, float]]) -> Here:
+    here = Here(*_arrays(batch, k))
+    here.r, here.y = (np.asarray(batch[c], dtype=np.float64) for c in "ry")
+    for g, beta in steps:
+        here.step(g)
+        here.carry(beta)
+    return here
+
+
 class There:
-    """The same over a distributed table of cells: each round sums over it, and replays the steps so far."""
+    """The same over a distributed table of cells: each round sums over it, and replays the steps since the rates r and y were written."""
 
     def __init__(self, of: DataFrame, k: int) -> None:
-        self.of, self.k, self.steps = of, k, []
+        self.of, self.k, self.steps = of.withColumn("r", F.lit(1.0)).withColumn("y", F.lit(1.0)), k, []
 
     def _sum(self, each, width: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
         """Sums and minima of ``width`` numbers of each batch."""
-        k = self.k
+        k, steps = self.k, list(self.steps)
 
         def run(batches):  # noqa: ANN001, ANN202
             for batch in batches:
-                yield pa.record_batch({"i": np.arange(width, dtype=np.int32), "x": each(*_arrays(batch, k))})
+                yield pa.record_batch({"i": np.arange(width, dtype=np.int32), "x": each(_replayed(batch, k, steps))})
 
-        got = self.of.select("t", "s").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"), F.min("x").alias("least")).orderBy("i").toArrow()
+        got = self.of.select("t", "s", "r", "y").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"), F.min("x").alias("least")).orderBy("i").toArrow()
         return got["x"].to_numpy(), got["least"].to_numpy()
 
     def reached(self) -> np.ndarray:
-        return self._sum(lambda t, s: s.sum(axis=0), self.k)[0]
+        return self._sum(lambda here: here.s.sum(axis=0), self.k)[0]
 
     def gram(self) -> np.ndarray:
-        return self._sum(lambda t, s: Here(t, s).gram().reshape(-1), self.k**2)[0].reshape(self.k, self.k)
+        return self._sum(lambda here: here.gram().reshape(-1), self.k**2)[0].reshape(self.k, self.k)
 
     def step(self, g: np.ndarray) -> tuple[np.ndarray, float]:
-        self.g, steps = g, list(self.steps)
+        self.g = g
 
-        def each(t: np.ndarray, s: np.ndarray) -> np.ndarray:
-            reached, least = replay(t, s, steps).step(g)
+        def each(here: Here) -> np.ndarray:
+            reached, least = here.step(g)
             return np.append(reached, least)
 
         got, least = self._sum(each, self.k + 1)
@@ -201,14 +215,19 @@ class There:
 
     def carry(self, beta: float) -> None:
         self.steps.append((self.g, beta))
+        if len(self.steps) >= REWRITE:
+            self.of, self.steps = self.rated(), []
 
+    def rated(self) -> DataFrame:
+        """The cells with their rates written."""
+        k, steps = self.k, list(self.steps)
 
-def replay(t: np.ndarray, s: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> Here:
-    here = Here(t, s)
-    for g, beta in steps:
-        here.step(g)
-        here.carry(beta)
-    return here
+        def run(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                here = _replayed(batch, k, steps)
+                yield pa.record_batch([batch[c] for c in ("cell", "t", "s", "n")] + [pa.array(here.r), pa.array(here.y)], names=["cell", "t", "s", "n", "r", "y"])
+
+        return cut(self.of.select("cell", "t", "s", "n", "r", "y").mapInArrow(run, "cell bigint, t double, s array<double>, n bigint, r double, y double"))
 
 
 def descend(state: Here | There, reached: np.ndarray, goal: np.ndarray, rounds: int) -> tuple[np.ndarray, bool]:
@@ -271,13 +290,7 @@ def solve(seen: DataFrame, domains: list[str], targets: dict[str, float] | None
     if small:
         rate = spark.createDataFrame(pa.table({"cell": own["cell"], "r": pa.array(state.r), "n": own["n"]})) if own.num_rows else of.select("cell", F.lit(1.0).alias("r"), "n")
     else:
-        steps = list(state.steps)
-
-        def rated(batches):  # noqa: ANN001, ANN202
-            for batch in batches:
-                yield pa.record_batch({"cell": batch["cell"], "r": pa.array(replay(*_arrays(batch, k), steps).r), "n": batch["n"]})
-
-        rate = cut(of.mapInArrow(rated, "cell bigint, r double, n bigint"))
+        rate = state.rated().select("cell", "r", "n")
     return Solution(rate, small, reached, goal, settled)
 
 
@@ -297,7 +310,8 @@ def rates(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str,
 def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents with mix_rate, and mix_copies, the rate rounded up or down by a hash of the row so that sums hold.
 
-    Every row stays: one with no copies has mix_copies 0. A column of these names is replaced.
+    Every row stays: one with no copies has mix_copies 0. A column of these names is replaced. Whether the rates settled
+    stands in the metadata of mix_rate, ``settled``; if they didn't, a warning is given besides.
     """
     model = fit(labelled, domain)
     cell = fresh("cell")
@@ -309,4 +323,7 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, fl
     marked = docs.withColumn(cell, cell_of(posterior(model, docs["text"])["p"]))
     out = got.join(marked, cell, "mix_rate", 0 if got.small else docs.count())
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return out.select(*[F.col(f"`{x}`") for x in docs.columns], "mix_rate", F.floor(F.col("mix_rate") + u).alias("mix_copies"))
+    if not got.settled:
+        warnings.warn("rates that didn't settle", stacklevel=2)
+    rate = F.col("mix_rate").alias("mix_rate", metadata={"settled": got.settled})
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns], rate, F.floor(F.col("mix_rate") + u).alias("mix_copies"))

@@ -423,15 +423,38 @@ def test_mixing_solver(spark, monkeypatch, target):
     if target[0] == 0.5:  # the distributed form takes the same steps
         short = mixing.solve(rows, names, dict(zip(names, target)), 6)
         monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+        monkeypatch.setattr(mixing, "REWRITE", 4)  # rates are written once, and two steps are replayed
         far = mixing.solve(rows, names, dict(zip(names, target)), 6)
         assert np.allclose(far.reached, short.reached) and not far.small and not far.settled
         named = far.join(rows.withColumn("cell", mixing.cell_of(F.col("p"))), "cell", "r", 2000).toPandas()
         assert np.allclose((named["tokens"].to_numpy() * named["r"].to_numpy()) @ np.stack(named["p"].to_list()), far.reached)
 
 
+def test_mixing_far_until_settled(spark, monkeypatch):
+    """The distributed form, with its rates written every few rounds, until it settles."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.5, 0.5, 0.5], 300)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(rng.integers(1, 90, 300), p)], "tokens bigint, p array<double>").repartition(2)
+    targets = {"a": 0.45, "b": 0.3, "c": 0.25}
+    near = mixing.solve(rows, list("abc"), targets)
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(mixing, "REWRITE", 7)
+    far = mixing.solve(rows, list("abc"), targets)
+    assert far.settled and near.settled and not far.small and np.allclose(far.reached, near.reached, rtol=1e-5)
+
+
+def test_mixing_unsettled(odd, monkeypatch):
+    """Rates that don't settle are said to."""
+    monkeypatch.setattr(mixing, "descend", lambda state, reached, goal, rounds: (reached, False))
+    with pytest.warns(UserWarning, match="settle"):
+        out = mixing.mix(odd, odd, "lang")
+    assert out.schema["mix_rate"].metadata == {"settled": False}
+
+
 def test_mixing_odd(spark, odd):
     one = mixing.mix(odd, odd.withColumn("lang", F.lit("en")), "lang")
     assert one.count() == odd.count() and one.where("mix_rate is null or mix_copies is null").count() == 0
+    assert one.schema["mix_rate"].metadata == {"settled": True}
     many = spark.createDataFrame([(i, f"w{i}", f"d{i}") for i in range(70)], "doc_id bigint, text string, domain string")
     with pytest.raises(ValueError, match="over 64 domains"):
         mixing.rates(many, many, "domain")
