@@ -59,12 +59,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between them is written to the folder in spark.checkpoint.dir."""
-    docs = table(spark, sf_dir, "documents")
-    shared = shared_folder(spark)
+    """All stages over the documents; what lies between them is written to the folder in spark.checkpoint.dir.
+
+    What a stage has written goes once the next one is written; that of the last but one stays, as the result reads it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
