@@ -800,22 +800,6 @@ def test_site_quality(spark, odd, none, labels):
     assert all(r["kept"] == (not rows[r["doc_id"]][4]) for r in got)
     one = {rows[r["doc_id"]][2]: r["host_posterior"] for r in got}
     assert one["clean"] > one["dirty"] + 0.3
-    # the levels by definition
-    p = {r["doc_id"]: r["own_probability"] for r in got}
-    mean = np.mean(list(p.values()))
-    frame = spark.createDataFrame([(rows[i][2], v) for i, v in p.items()], "host string, p double").groupBy("host").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
-    a = site_quality.concentration(frame)
-    r = got[0]
-    mine = [p[i] for i in p if rows[i][2] == rows[r["doc_id"]][2]]
-    assert math.isclose(r["host_posterior"], (sum(mine) - p[r["doc_id"]] + a * mean) / (len(mine) - 1 + a), rel_tol=1e-9)
-    # path posteriors and scores of all rows
-    a_path = site_quality.concentration(spark.createDataFrame([(rows[i][2], rows[i][3], v) for i, v in p.items()], "host string, path string, p double").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
-    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
-    for r in got:
-        same = [p[i] for i in p if rows[i][2:4] == rows[r["doc_id"]][2:4]]
-        path = (sum(same) - p[r["doc_id"]] + a_path * r["host_posterior"]) / (len(same) - 1 + a_path)
-        assert math.isclose(r["path_posterior"], path, rel_tol=1e-9)
-        assert math.isclose(r["score"], 1 / (1 + math.exp(-(logit(p[r["doc_id"]]) + logit(path) - logit(mean)))), rel_tol=1e-9)
     out = site_quality.scores(odd, labels, F.col("source"), F.col("lang"))
     assert out.count() == odd.count() and out.where("score is null").count() == 0
     assert site_quality.scores(none, labels, F.col("source"), F.col("lang")).count() == 0
