@@ -7,6 +7,7 @@ round and number, so that rounds are dealt over the cluster and any engine gets
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Iterator
 
@@ -303,16 +304,12 @@ def random_floor_py(sentences: list[dict], widths: list[int], rounds: int = 200,
     return {c: tuple(round(float(h / v[3]), 4) if v[3] else 0.0 for h in v[:3]) for c, v in hits.items()}  # type: ignore[misc]
 
 
-def regression_py(rows: pd.DataFrame, categories: list[str], rounds: int = 1000, seed: int = SEED) -> pd.DataFrame:
-    """Least squares of delta on categories, standardised length and edit distance, with percentile intervals.
-
-    The first category present is the baseline. Too few rows give no coefficients.
-    """
-    columns = ["name", "estimate", "lo", "hi", "excludes_zero"]
+def _design(rows: pd.DataFrame, categories: list[str]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+    """Names, columns and values: categories against the first one present, standardised length and edit distance; nothing for too few rows."""
     rows = rows[rows["delta"].notna()]
     present = [c for c in categories if (rows["category"] == c).any()]
     if len(rows) < len(present) + 3:
-        return pd.DataFrame(columns=columns)
+        return None
 
     def standard(v: pd.Series) -> np.ndarray:
         x = v.to_numpy(dtype=float)
@@ -320,23 +317,74 @@ def regression_py(rows: pd.DataFrame, categories: list[str], rounds: int = 1000,
 
     table = {"intercept": np.ones(len(rows))} | {f"cat={c}": (rows["category"] == c).to_numpy(dtype=float) for c in present[1:]}
     table |= {"length_z": standard(rows["length"]), "editdist_z": standard(rows["edit_distance"])}
-    x, y, rng = np.column_stack(list(table.values())), rows["delta"].to_numpy(dtype=float), np.random.default_rng(seed)
-    solve = lambda i: np.linalg.lstsq(x[i], y[i], rcond=None)[0]  # noqa: E731  the least of all solutions where a draw is short of rank
-    drawn = np.array([solve(rng.integers(0, len(y), len(y))) for _ in range(rounds)])
+    return list(table), np.column_stack(list(table.values())), rows["delta"].to_numpy(dtype=float)
+
+
+def _solved(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least squares; the least of all solutions where a draw is short of rank."""
+    return np.linalg.lstsq(x, y, rcond=None)[0]
+
+
+def regression_py(rows: pd.DataFrame, categories: list[str], rounds: int = 1000, seed: int = SEED) -> pd.DataFrame:
+    """Least squares of delta on categories, standardised length and edit distance, with percentile intervals.
+
+    The first category present is the baseline. Too few rows give no coefficients.
+    """
+    if (made := _design(rows, categories)) is None:
+        return pd.DataFrame(columns=["name", "estimate", "lo", "hi", "excludes_zero"])
+    names, x, y = made
+    rng = np.random.default_rng(seed)
+    drawn = np.array([_solved(x[i], y[i]) for i in (rng.integers(0, len(y), len(y)) for _ in range(rounds))])
     lo, hi = np.quantile(drawn, [0.025, 0.975], axis=0)
-    return pd.DataFrame({"name": list(table), "estimate": solve(slice(None)), "lo": lo, "hi": hi, "excludes_zero": (lo > 0) | (hi < 0)})
+    return pd.DataFrame({"name": names, "estimate": _solved(x, y), "lo": lo, "hi": hi, "excludes_zero": (lo > 0) | (hi < 0)})
 
 
-def regression(df: DataFrame, by: str, categories: list[str], order: str, rounds: int = 1000) -> DataFrame:
-    """The regression of each system, a task for each."""
-    kind = df.schema[by].dataType.simpleString()
+def regression(df: DataFrame, by: str, categories: list[str], order: str, rounds: int = 1000, seed: int = SEED) -> DataFrame:
+    """The regression of each group as regression_py has it, its rounds dealt over tasks.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = regression_py(group.sort_values(order, kind="stable"), categories, rounds)
-        out.insert(0, by, group[by].iloc[0])
-        return out
+    The generator is walked once for a group; its states, every SLICE rounds, are dealt out with the group's rows.
+    """
+    kind, columns = df.schema[by].dataType.simpleString(), ["category", "length", "edit_distance", "delta"]
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("category").cast("string").alias("category"), *[F.col(c).cast("double").alias(c) for c in columns[1:]])))
+    groups = df.where(F.col("delta").isNotNull()).groupBy(by).agg(items.alias("items"))
 
-    return df.groupBy(by).applyInPandas(run, f"{by} {kind}, name string, estimate double, lo double, hi double, excludes_zero boolean")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["n"] > FROZEN_ITEMS:
+                    raise ValueError(f"{row['n']} items are too many for a frozen form")
+                rng, out = np.random.default_rng(seed), []
+                for first in range(0, rounds, SLICE):
+                    own = min(SLICE, rounds - first)
+                    out.append({by: row[by], "first": first, "rounds": own, "state": json.dumps(rng.bit_generator.state)})
+                    if first + own < rounds:
+                        for _ in range(own):
+                            rng.integers(0, row["n"], row["n"])
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field(by), ("first", pa.int32()), ("rounds", pa.int32()), ("state", pa.string())]))
+
+    slices = groups.select(by, F.size("items").alias("n")).mapInArrow(walk, f"`{by}` {kind}, first int, rounds int, state string")
+    slices = slices.repartition(max(1, -(-rounds // SLICE)), "first", by)
+
+    def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (made := _design(pd.DataFrame(row["items"])[columns], categories)) is None:
+                    continue
+                names, x, y = made
+                rng = np.random.default_rng()
+                rng.bit_generator.state = json.loads(row["state"])
+                turns = range(row["first"], row["first"] + row["rounds"])
+                drawn = [(t, _solved(x[at], y[at])) for t in turns for at in [rng.integers(0, len(y), len(y))]]
+                if not row["first"]:
+                    drawn.append((-1, _solved(x, y)))
+                n = len(drawn) * len(names)
+                yield pa.RecordBatch.from_pydict({by: pa.array([row[by]] * n, type=batch.schema.field(by).type), "turn": pa.array([t for t, _ in drawn for _ in names], type=pa.int32()), "name": names * len(drawn), "b": pa.array(np.concatenate([b for _, b in drawn]))})
+
+    drawn = slices.join(F.broadcast(groups), by).mapInArrow(redo, f"`{by}` {kind}, turn int, name string, b double")
+    own = lambda p: F.percentile(F.when(F.col("turn") >= 0, F.col("b")), p)
+    out = drawn.groupBy(by, "name").agg(F.max(F.when(F.col("turn") < 0, F.col("b"))).alias("estimate"), own(0.025).alias("lo"), own(0.975).alias("hi"))
+    return out.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def sample_by_hash(df: DataFrame, key: str, k: int) -> DataFrame:

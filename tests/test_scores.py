@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 
 def test_mean_interval():
-    assert R.mean_interval_py([5.0] * 20) == (5.0, 5.0)
-    lo, hi = R.mean_interval_py([0.0, 10.0] * 25)
-    assert lo < 5 < hi
+    assert R.mean_interval_py([7.0] * 24) == (7.0, 7.0)
+    lo, hi = R.mean_interval_py([2.0, 12.0] * 22)
+    assert lo < 7 < hi
     assert R.mean_interval_py([]) == (None, None)
 
 
 def test_paired():
-    same = R.paired_py([10.0] * 30, [2.0] * 30)
-    assert (same["diff"], same["lo"], same["hi"], same["p"]) == (8, 8, 8, 0)
-    none = R.paired_py([5.0] * 20, [5.0] * 20)
+    same = R.paired_py([9.0] * 26, [3.0] * 26)
+    assert (same["diff"], same["lo"], same["hi"], same["p"]) == (6, 6, 6, 0)
+    none = R.paired_py([4.0] * 18, [4.0] * 18)
     assert (none["diff"], none["p"]) == (0, 1)
-    apart = R.paired_py([8.0, 12.0] * 15, [0.0, 4.0] * 15)
-    assert apart["diff"] == 8 and apart["lo"] > 0
+    apart = R.paired_py([7.0, 13.0] * 14, [1.0, 5.0] * 14)
+    assert apart["diff"] == 7 and apart["lo"] > 0
     with pytest.raises(ValueError):
         R.paired_py([1.0], [1.0, 2.0])
     assert R.paired_py([], [])["diff"] is None
@@ -89,6 +89,23 @@ def test_regression():
     assert R.regression_py(rows.head(3), ["HOM", "PYA"]).empty
 
 
+def test_regression_dealt(spark):
+    """Each group's coefficients are those of the plain function, whose draws several tasks repeat; too few rows give none."""
+    rng = random.Random(8)
+    rows = [(s, i, ["HOM", "PYA", "NEO"][rng.randrange(3)], rng.randint(5, 50), e, None if i % 11 == 5 else 2 * e + rng.random()) for s, n in (("a", 60), ("b", 200), (None, 30), ("few", 4)) for i in range(n) for e in [rng.randint(0, 5)]]
+    rng.shuffle(rows)
+    names = ["system", "pos", "category", "length", "edit_distance", "delta"]
+    df = spark.createDataFrame(rows, "system string, pos int, category string, length int, edit_distance int, delta double").where("system is not null").repartition(5)
+    out = R.regression(df, "system", ["HOM", "PYA", "NEO", "MIX"], "pos", 300)
+    got = {(r["system"], r["name"]): r for r in out.collect()}
+    for s in "ab":
+        want = R.regression_py(pd.DataFrame(sorted((r for r in rows if r[0] == s), key=lambda r: r[1]), columns=names), ["HOM", "PYA", "NEO", "MIX"], 300)
+        for w in want.itertuples():
+            r = got.pop((s, w.name))
+            assert (r["estimate"], r["lo"], r["hi"]) == pytest.approx((w.estimate, w.lo, w.hi), rel=1e-9, abs=1e-9) and r["excludes_zero"] == w.excludes_zero
+    assert not got
+
+
 def test_portable_mean(spark):
     df = spark.createDataFrame([("A", i, 5.0) for i in range(30)], "s string, i int, v double")
     r = R.mean_interval_portable(df, "s", "v", ["i"], 50).first()

@@ -14,23 +14,23 @@ def test_normal_forms():
 
 
 def test_terms():
-    assert X.usable_golds_py(["!", "…", "a", "GOAT", " ", None]) == ["GOAT"]
-    assert X.term_hit_py("the life of a corporate drone", ["corporate drone"]) == 1
-    assert X.term_hit_py("something unrelated entirely", ["corporate drone"]) == 0
-    assert X.term_hit_py("You are the GOAT here!", ["the goat"]) == 1
+    assert X.usable_golds_py(["!", "…", "a", "HERON", " ", None]) == ["HERON"]
+    assert X.term_hit_py("the log of an old harbour pilot", ["harbour pilot"]) == 1
+    assert X.term_hit_py("words of quite another kind", ["harbour pilot"]) == 0
+    assert X.term_hit_py("We saw the HERON there!", ["the heron"]) == 1
     assert X.term_hit_py("anything", []) == 0
     assert X.term_hit_py("", ["anything"]) == 0
 
 
 def test_standard_match():
-    assert X.standard_match_py("同学", "同学") == (True, True)
-    assert X.standard_match_py("不好意", "不好意思") == (False, True)
+    assert X.standard_match_py("朋友", "朋友") == (True, True)
+    assert X.standard_match_py("没关", "没关系") == (False, True)
     assert X.standard_match_py("abc", "xyz") == (False, False)
-    assert X.standard_match_py(" 同学 ", "同学") == (True, True)
+    assert X.standard_match_py(" 朋友 ", "朋友") == (True, True)
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([("abc", "abc", 0), ("", "abc", 3), ("绷不住了", "蚌埠住了", 2), ("牛马", "打工人", 3)], "a string, b string, n long")
+    df = spark.createDataFrame([("abc", "abc", 0), ("", "abc", 3), ("下雨天了", "夏雪天了", 2), ("小猫", "大老虎", 3)], "a string, b string, n long")
     assert df.where(X.edit_distance(F.col("a"), F.col("b")) != F.col("n")).count() == 0
     row = spark.range(1).select(
         X.char_grams(F.lit("a\nbcd")).alias("g"), X.char_grams(F.lit("ab")).alias("s"), X.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2))).alias("j"),
@@ -42,7 +42,7 @@ def test_columns(spark):
 
 
 def test_locate():
-    assert S.locate_py("哈yyds哈yyds", ["yyds", "yyds"]) == [(1, 5, "yyds"), (6, 10, "yyds")]
+    assert S.locate_py("啊qwer啊qwer", ["qwer", "qwer"]) == [(1, 5, "qwer"), (6, 10, "qwer")]
     assert [x[:2] for x in S.locate_py("A和B", ["B", "A"])] == [(0, 1), (2, 3)]
     for text, spans in (("abc", ["ab", "bc"]), ("abc", ["x"])):
         with pytest.raises(S.SpanError):
@@ -50,15 +50,15 @@ def test_locate():
 
 
 def test_splice():
-    assert S.splice_py("3Q 新年快乐", [(0, 2, "谢谢")]) == "谢谢 新年快乐"
-    assert S.splice_py("x牛马y绝绝子z", [(4, 7, "绝了"), (1, 3, "打工人")]) == "x打工人y绝了z"
+    assert S.splice_py("4U 生日快乐", [(0, 2, "给你")]) == "给你 生日快乐"
+    assert S.splice_py("x小猫y大老虎z", [(4, 7, "虎"), (1, 3, "猫咪们")]) == "x猫咪们y虎z"
     assert S.splice_py("abcd", [(0, 2, "x"), (2, 4, "y")]) == "xy"
     for bad in ([(0, 2, ""), (1, 3, "")], [(0, 9, "")], [(2, 1, "")]):
         with pytest.raises(S.SpanError):
             S.splice_py("abcd", bad)
-    assert S.splice_all_py("bt，不够bt", [("bt", "变态")]) == "变态，不够变态"
+    assert S.splice_all_py("kq，还有kq", [("kq", "口琴")]) == "口琴，还有口琴"
     assert S.splice_all_py("a和b", [("a", "xb"), ("b", "y")]) == "xb和y"
-    assert [c[:2] for c in S.claim_all_py("3Q,yyds", [("3Q", "谢谢"), ("yyds", "永远的神")])] == [(0, 2), (3, 7)]
+    assert [c[:2] for c in S.claim_all_py("4U,qwer", [("4U", "给你"), ("qwer", "键盘上的")])] == [(0, 2), (3, 7)]
     with pytest.raises(S.SpanError):
         S.pair_py(["a", "b"], ["c"])
 
@@ -85,7 +85,7 @@ def test_splice_columns(spark):
 
 
 def test_occurrences(spark):
-    cases = [("aaaa", "aa", [0, 1, 2]), ("bt，不够bt", "bt", [0, 5]), ("x", "y", []), ("", "y", []), ("a.b.", ".", [1, 3]), ("\\E\\E", "\\E", [0, 2]), ("😀a😀a", "a", [1, 3])]
+    cases = [("aaaa", "aa", [0, 1, 2]), ("kq，还有kq", "kq", [0, 5]), ("x", "y", []), ("", "y", []), ("a.b.", ".", [1, 3]), ("\\E\\E", "\\E", [0, 2]), ("😀a😀a", "a", [1, 3])]
     got = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(cases)], "i int, t string, s string").select("i", S.occurrences(F.col("t"), F.col("s")).alias("o")).orderBy("i").collect()
     assert [r["o"] for r in got] == [o for _, _, o in cases]
 
