@@ -1,13 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
 A document is contaminated by an item if it holds at least 0.8 of the item's distinct five-word shingles, anywhere in
-its whole text. Such a document misses at most n - ceil(0.8 n) of an item's n shingles, so that it holds one at least
-of any n - ceil(0.8 n) + 1 of them. An item's sketch are so many of its least shingles, a bottom-k MinHash whose k grows
-with the item; shingles are ordered by how many items hold them and then by hash, so that sketches are made of rare ones.
-Items are partitioned by size, each class twice as large as the one before; a document with fewer shingles than 0.8 of a
-class's smallest item isn't searched for that class. Every shingle of a document is looked up in the sketches: unlike
-with a fixed number of registers no pair is missed, however short the item or scattered the passage. Each meeting is
-verified by exact containment in the whole document.
+its whole text. An item's sketch is a bottom-k MinHash: the k least of its shingles' hashes, a random sample of them. How
+many of these a long document holds, looked up among all of its own, estimates the containment whatever the document's
+length. Items are partitioned by size, each class twice as large as the one before; a class has a number of hits m, a quarter of its least
+size, that make a candidate, and k = n - ceil(0.8 n) + m for an item of n shingles. A contaminated document misses n - ceil(0.8 n) of
+the item's shingles at most, so that it holds m of any k: no pair is missed, however short the item or scattered the
+passage, and the more hits are asked for, the fewer others pass. A document with fewer shingles than 0.8 of an item's
+isn't searched for it. Each candidate is verified by exact containment in the whole document.
 
 Nulls: a null text or item has no shingles and matches nothing. An item of under five words has no five-word shingle
 and is never found. Repeated documents and repeated items each give rows of their own; null ids are carried. Empty
@@ -33,56 +33,46 @@ INDEX_SHINGLES = 1 << 21
 #: Bits of the filter that documents' shingles pass before such a join: 2 MB.
 FILTER_BITS = 24
 
+#: A class's hits that make a candidate, one at least, are its least size over this.
+SHARE = 4
 
-class _Sketches:
-    """The sketches of the items of one class, sorted, with the item of each entry."""
 
-    def __init__(self, value: np.ndarray, owner: np.ndarray, least: int) -> None:
+class Index:
+    """Items in memory, and their sketches."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.items = items
+        size = np.array([len(x) for x in items], dtype=np.int64)
+        self.need = (4 * size + 4) // 5
+        level = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+        self.hits = np.maximum(1, (1 << level) // SHARE)
+        sketch = [x[: n - need + m] for x, n, need, m in zip(items, size.tolist(), self.need.tolist(), self.hits.tolist(), strict=True)]
+        value, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *sketch]), np.repeat(np.arange(len(items)), [len(x) for x in sketch])
         order = np.argsort(value, kind="stable")
-        self.value, self.owner, self.least = value[order], owner[order], least
+        self.value, self.owner = value[order], owner[order]
         self.mask = np.uint64((1 << int(np.clip(4 + len(value).bit_length(), 12, 24))) - 1)
         self.bitmap = np.zeros(int(self.mask) + 1, dtype=bool)
         self.bitmap[self.value & self.mask] = True
 
-    def candidates(self, full: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """(row, item) of shingles, given with their rows, that stand in an item's sketch."""
+    def candidates(self, full: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct (row, item) whose text holds as many shingles of the item's sketch as its class asks for, as one sorted array of pairs."""
+        if not len(self.value):
+            return np.zeros((0, 2), dtype=np.int64)
+        count = np.diff(at)
         hit = np.flatnonzero(self.bitmap[full & self.mask])
+        row = np.searchsorted(at, hit, side="right") - 1
         lo = np.searchsorted(self.value, full[hit], side="left")
         good = np.searchsorted(self.value, full[hit], side="right") > lo
         # a shingle that a text repeats counts once
-        once = np.unique(np.stack([row[hit][good], lo[good]], axis=1), axis=0)
-        own, lo = once[:, 0], once[:, 1]
+        once = np.unique(row[good] * len(self.value) + lo[good])
+        row, lo = once // len(self.value), once % len(self.value)
         n = np.searchsorted(self.value, self.value[lo], side="right") - lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.stack([np.repeat(own, n), self.owner[which]], axis=1)
-
-
-class Index:
-    """Items in memory, and their sketches by class of size."""
-
-    def __init__(self, items: list[np.ndarray]) -> None:
-        self.items = items
-        size = np.array([len(x) for x in items], dtype=np.int64)
-        value, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *items]), np.repeat(np.arange(len(items)), size)
-        _, which, held = np.unique(value, return_inverse=True, return_counts=True)
-        order = np.lexsort((value, held[which], owner))
-        place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
-        sketch = order[place < np.repeat(size - np.ceil(CONTAINMENT * size).astype(np.int64) + 1, size)]
-        level = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
-        self.classes = []
-        for k in np.unique(level):
-            own = sketch[level[owner[sketch]] == k]
-            self.classes.append(_Sketches(value[own], owner[own], int(np.ceil(CONTAINMENT * size[level == k].min()))))
-
-    def candidates(self, full: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (row, item) whose text holds a shingle of the item's sketch, as one sorted array of pairs."""
-        count = np.diff(at)
-        row = np.repeat(np.arange(len(count)), count)
-        out = [np.zeros((0, 2), dtype=np.int64)]
-        for c in self.classes:
-            large = count[row] >= c.least
-            out.append(c.candidates(full, row) if large.all() else c.candidates(full[large], row[large]))
-        return np.unique(np.concatenate(out), axis=0)
+        item = self.owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        row = np.repeat(row, n)
+        large = count[row] >= self.need[item]
+        pair, held = np.unique(row[large] * len(self.items) + item[large], return_counts=True)
+        pair = pair[held >= self.hits[pair % len(self.items)]]
+        return np.stack([pair // len(self.items), pair % len(self.items)], axis=1)
 
     def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, item and shared shingles of each verified match."""
@@ -161,12 +151,14 @@ def _sets(items: DataFrame) -> DataFrame:
 def _by_joins(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(r, q, n_shared) of verified matches, r and q the keys of documents and items.
 
-    The sketch of an item are the first k of its shingles. A document's shingles that pass a filter of all sketches are
-    joined with them, and the whole text of a document that meets any is verified against the items that it meets.
+    The same sketches and classes. A document's shingles that pass a filter of all sketches are joined with them and
+    counted by document and item, and the whole text of a document that has the hits is verified.
     """
-    one = sets.select("q", "s").dropDuplicates(["q"])
-    k = (F.size("s") - F.ceil(F.size("s") * F.lit(CONTAINMENT) - 1e-9) + 1).cast("int")
-    sketch = cut(one.select("q", F.explode(F.slice("s", F.lit(1), k)).alias("g")))
+    n = F.size("s")
+    need = F.floor((4 * n + 4) / 5).cast("int")
+    hits = F.greatest(F.lit(1), F.floor(F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1) / SHARE).cast("int"))
+    one = sets.select("q", "s").dropDuplicates(["q"]).withColumn("need", need).withColumn("hits", hits)
+    sketch = cut(one.select("q", "need", "hits", F.explode(F.slice("s", F.lit(1), n - F.col("need") + F.col("hits"))).alias("g")))
     mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def mark(batches):  # noqa: ANN001, ANN202
@@ -190,8 +182,9 @@ def _by_joins(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     kept = F.arrow_udf(passing, "array<bigint>").asNondeterministic()
     keyed = docs.select(_key(docs, "doc_id").alias("r"), docs["text"])
-    meets = keyed.select("r", F.explode(kept(_own(F.col("text")))).alias("g")).join(sketch, "g").select("r", "q").distinct()
-    meets = cut(meets)
+    own = keyed.select("r", _own(F.col("text")).alias("own"))
+    found_ = own.select("r", F.size("own").alias("d"), F.explode(kept(F.col("own"))).alias("g")).join(sketch, "g").where("d >= need")
+    meets = cut(found_.groupBy("r", "q").agg(F.count("*").alias("n"), F.max("hits").alias("hits")).where("n >= hits").select("r", "q"))
     often = one.join(meets.groupBy("q").agg(F.count("*").alias("w")), "q")
     listed = spread_join(meets, often, ["q"], "w", meets.count()).groupBy("r").agg(F.collect_list(F.struct("q", "s")).alias("items"))
 

@@ -267,6 +267,27 @@ def test_decontamination_short_and_scattered():
     assert got == want
 
 
+def test_decontamination_sketches():
+    """Sketches are the least hashes, k by the class of size; candidates are few beside the pairs that share a shingle, and none is missed."""
+    rng = random.Random(29)
+    passages = [prose(rng, 40, 4000) for _ in range(6)]  # that many items and texts share
+    items = [prose(rng, 4 + 9 * k, 4000) + " " + rng.choice(passages) for k in range(60)]
+    sets = [np.unique(decontaminate.shingles(pa.array([t]), short=False)[0]) for t in items]
+    index = decontaminate.Index(sets)
+    for k, own in enumerate(sets):
+        n = len(own)
+        m = max(1, 2 ** (n.bit_length() - 1) // 4)
+        assert index.need[k] == math.ceil(4 * n / 5) and index.hits[k] == m
+        assert sorted(index.value[index.owner == k].tolist()) == sorted(own.tolist())[: n - index.need[k] + m]
+    texts = [prose(rng, 400, 4000) + " " + rng.choice(passages) + " " + (items[i] if i % 3 == 0 else "") + " " + prose(rng, 400, 4000) for i in range(60)]
+    full, at, _ = decontaminate.shingles(pa.array(texts), short=False)
+    pairs = {tuple(x) for x in index.candidates(full, at).tolist()}
+    want = {(d, i) for d, i, _, _ in contained(texts, items)}
+    own = [set(full[a:b].tolist()) for a, b in zip(at, at[1:])]
+    sharing = sum(bool(own[d] & set(s.tolist())) for d in range(60) for s in sets)
+    assert want <= pairs and len(want) >= 20 and len(pairs) < 0.4 * sharing
+
+
 # ---- 9, personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
