@@ -39,16 +39,21 @@ def _bucket(at: Column, rung: Column) -> Column:
     return F.call_function("shiftright", at.cast("bigint"), rung * RUNG)
 
 
-def overlap_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+def overlap_pairs(gold: DataFrame, predicted: DataFrame, usual: int | None = None) -> DataFrame:
     """Pairs that share a character, with their overlap and intersection over union; a range join within uid.
 
     Spans meet in buckets of the wider one's width, where either has two at most, and a pair counts in the first bucket
     that both have. So a uid may have any number of spans, and a few wide ones don't widen the buckets of the others. A
     narrower span is put into wider buckets only where the other table has spans of that width: the widths present, a
-    handful of numbers, are looked up first.
+    handful of numbers, are looked up first. Where the ``usual`` width of spans is known, all are put into buckets of that
+    width instead, wider ones into several, and nothing is looked up; it changes no pair.
     """
     g = gold.where("start < end").select("uid", "gi", F.col("start").alias("g0"), F.col("end").alias("g1"), "category", _rung(F.col("start"), F.col("end")).alias("rg"))
     p = predicted.where("start < end").select("uid", "pi", F.col("start").alias("p0"), F.col("end").alias("p1"), "type", _rung(F.col("start"), F.col("end")).alias("rp"))
+    if usual is not None:
+        rung = F.lit(max(1, -(-(usual - 1).bit_length() // RUNG)))
+        spread = lambda df, a, b: df.withColumn("m", rung).withColumn("bucket", F.explode(F.sequence(_bucket(F.col(a), rung), _bucket(F.col(b) - 1, rung))))
+        return _meeting(spread(g, "g0", "g1"), spread(p, "p0", "p1"), ["uid", "m", "bucket"])
     have = {side: [r[0] for r in df.select(side).distinct().collect()] for df, side in ((g, "rg"), (p, "rp"))}
 
     def met(df: DataFrame, rung: str, other: str, a: str, b: str) -> DataFrame:
@@ -64,8 +69,13 @@ def overlap_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     sides = F.explode(F.when(F.col("wide_g") == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))
     g = g.withColumn("side", sides)
     p = p.withColumn("side", F.explode(F.when(F.col("wide_p") == 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))))
+    return _meeting(g, p, ["uid", "m", "side", "bucket"])
+
+
+def _meeting(g: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans that overlap, in the first bucket that both have."""
     first = F.col("bucket") == _bucket(F.greatest("g0", "p0"), F.col("m"))
-    out = g.join(p, ["uid", "m", "side", "bucket"]).where(F.expr("g0 < p1 and p0 < g1") & first)
+    out = g.join(p, keys).where(F.expr("g0 < p1 and p0 < g1") & first)
     return out.select("uid", "gi", "pi", "g0", "g1", "p0", "p1", "category", "type", overlap(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("overlap"), iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("iou"))
 
 

@@ -182,7 +182,7 @@ def random_span_control_full(spark: SparkSession, d: str) -> DataFrame:
 def lift_over_chance(spark: SparkSession, d: str) -> DataFrame:
     """Recall above what spans of random place reach, by class and pooled."""
     g = D.gold(spark, d)
-    hit = M.overlap_pairs(g, D.predicted(g)).select("uid", "gi").distinct().withColumn("hit", F.lit(1))
+    hit = M.overlap_pairs(g, D.predicted(g), max(map(len, D.TERMS))).select("uid", "gi").distinct().withColumn("hit", F.lit(1))
     own, w = _chance_sentences(spark, d)
     floor = C.chance_recall(own, w, ["category"], CHANCE_ROUNDS).select("category", F.col("chance_recall").alias("floor"))
     out = g.join(hit, ["uid", "gi"], "left").groupBy("category").agg(F.count("*").alias("gold"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")).join(floor, "category")

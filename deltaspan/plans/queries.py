@@ -384,7 +384,7 @@ PAIR_SQL = "o AS (SELECT g.uid, g.lang, gi, pi, category, type, greatest(0, leas
 @query(f"WITH {GOLD_SQL}, {PAIR_SQL} SELECT uid, gi, pi, overlap, round(overlap / (total - overlap), 6) AS iou FROM o")
 def span_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     g = D.gold(spark, d)
-    return M.overlap_pairs(g, D.predicted(g)).select("uid", "gi", "pi", "overlap", F.round("iou", 6).alias("iou"))
+    return M.overlap_pairs(g, D.predicted(g), max(map(len, D.TERMS))).select("uid", "gi", "pi", "overlap", F.round("iou", 6).alias("iou"))
 
 
 @query(f"WITH {GOLD_SQL}, m AS (SELECT g.lang, count(*) AS tp, count(*) FILTER (category = type) AS typed FROM g JOIN p ON g.uid = p.uid AND gi = pi AND g.start = p.start AND g.stop = p.stop GROUP BY ALL), n AS (SELECT lang, count(*) AS n_gold FROM g GROUP BY lang), q AS (SELECT lang, count(*) AS n_pred FROM p GROUP BY lang) SELECT lang, n_gold, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp, coalesce(typed, 0) AS typed, round(100.0 * tp / n_pred, 4) AS strict_p, round(100.0 * tp / n_gold, 4) AS strict_r, round(2 * (100.0 * tp / n_pred) * (100.0 * tp / n_gold) / ((100.0 * tp / n_pred) + (100.0 * tp / n_gold)), 4) AS strict_f1 FROM n LEFT JOIN q USING (lang) LEFT JOIN m USING (lang)")
@@ -670,7 +670,7 @@ def verdict_tallies(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {GOLD_SQL}, {PAIR_SQL} SELECT uid, gi, category FROM g WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.uid = g.uid AND o.gi = g.gi)")
 def missed_spans(spark: SparkSession, d: str) -> DataFrame:
     g = D.gold(spark, d)
-    return g.join(M.overlap_pairs(g, D.predicted(g)).select("uid", "gi"), ["uid", "gi"], "left_anti").select("uid", "gi", "category")
+    return g.join(M.overlap_pairs(g, D.predicted(g), max(map(len, D.TERMS))).select("uid", "gi"), ["uid", "gi"], "left_anti").select("uid", "gi", "category")
 
 
 @query("SELECT role, count(*) AS n, count(*) FILTER (text IS NULL OR trim(text) = '') AS n_empty, count(*) FILTER (contains(text, chr(10))) AS n_multiline FROM conversations GROUP BY role")

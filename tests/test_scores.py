@@ -221,6 +221,8 @@ def test_overlap_pairs(spark):
     rows = M.overlap_pairs(g, p).collect()
     want = {(u, i, j): (min(b, d) - max(a, c), d - c + b - a) for u, i, a, b in gold for v, j, c, d in found if u == v and min(b, d) > max(a, c)}
     assert len(rows) == len(want) and all((r["overlap"], round(r["iou"], 9)) == (o, round(o / (t - o), 9)) for r in rows for o, t in [want[r["uid"], r["gi"], r["pi"]]])
+    for usual in (1, 16, 17, 3000):  # a hint that is too small or too large changes nothing
+        assert sorted(map(tuple, M.overlap_pairs(g, p, usual).collect())) == sorted(map(tuple, rows))
     assert M.overlap_pairs(g.where("uid > 9"), p).count() == M.overlap_pairs(g, p.where("uid > 9")).count() == 0
 
 
