@@ -2,12 +2,15 @@
 
 Frozen forms repeat Python's generators draw by draw: they are for reports, and their results depend on the order of
 the items. The generator is walked once for a group and its places are dealt over tasks, which redo the rounds. Portable forms make each draw from a hash of its
-round and number, so that rounds are dealt over the cluster and any engine gets the same numbers.
+round and number, so that rounds are dealt over the cluster and any engine gets the same numbers; a task adds up the
+draws of many rounds over packed values.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import random
 from collections.abc import Callable, Iterator
 
@@ -20,8 +23,6 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 SEED = 20260722
-#: Up to so many items are broadcast to their draws (some 50 bytes each); beyond it the draws are shuffled to them.
-BROADCAST_ITEMS = 500_000
 BROADCAST_GROUPS = 100_000
 
 
@@ -220,18 +221,215 @@ def quick_place(turn: Column, number: Column, n: Column) -> Column:
 
 Place = Callable[[Column, Column, Column], Column]
 
+_SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_first(words: list[np.ndarray], length: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of many texts of one length, of 55 bytes at most; words: the texts' own words with the closing bit."""
+    message: list = [*words, *[0] * (14 - len(words)), length * 8, 0]
+    a, b, c, d = (np.full(len(words[0]), v, dtype=np.uint32) for v in _MD5_START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(61):  # the last three steps leave the first word as it is
+        if i < 32:
+            x, y, z = (b, c, d) if i < 16 else (d, b, c)
+            np.bitwise_xor(y, z, out=f)
+            f &= x
+            f ^= z
+            k = i if i < 16 else (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            k = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            k = 7 * i % 16
+        a += f
+        if isinstance(message[k], int):
+            a += np.uint32((_SINES[i] + message[k]) & 0xFFFFFFFF)
+        else:
+            a += message[k]
+            a += np.uint32(_SINES[i])
+        np.right_shift(a, np.uint32(32 - _SHIFTS[i]), out=g)
+        a <<= np.uint32(_SHIFTS[i])
+        a |= g
+        a += b
+        a, b, c, d = d, a, b, c
+    b += np.uint32(_MD5_START[0])
+    return b.byteswap()
+
+
+def _remainder(x: np.ndarray, n: int) -> np.ndarray:
+    x -= x // np.int64(n) * np.int64(n)
+    return x
+
+
+def hashed_places(turns: range, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each turn with the places that hashed_place gives for its numbers below n, a block of numbers at a time."""
+    first = 0
+    while first < n:
+        digits = len(str(first))
+        last = min(n, first + (1 << 14), 10**digits)
+        number, rest = np.zeros((digits, last - first), dtype=np.uint32), np.arange(first, last)
+        for i in range(digits - 1, -1, -1):
+            number[i] = rest % 10 + 48
+            rest //= 10
+        for width, own in itertools.groupby(turns, lambda t: len(str(t))):
+            length = width + 1 + digits
+            plain = np.zeros((length // 4 + 1, last - first), dtype=np.uint32)
+            for i, byte in [*((width + 1 + i, x) for i, x in enumerate(number)), (length, 128)]:
+                plain[i // 4] |= np.left_shift(byte, 8 * (i % 4), dtype=np.uint32)
+            for turn in own:
+                words = list(plain)
+                for i in range(0, width + 1, 4):
+                    words[i // 4] = plain[i // 4] | np.uint32(int.from_bytes(f"{turn}|".encode()[i : i + 4], "little"))
+                yield turn, _remainder(_md5_first(words, length).astype(np.int64), n)
+        first = last
+
+
+_XX = tuple(np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotate(x: np.ndarray, k: int) -> None:
+    high = x >> np.uint64(64 - k)
+    x <<= np.uint64(k)
+    x |= high
+
+
+def _xx_term(x: np.ndarray) -> np.ndarray:
+    out = x.astype(np.uint64) * _XX[1]
+    _rotate(out, 31)
+    out *= _XX[0]
+    return out
+
+
+def _xx_long(term: np.ndarray, seed: int) -> np.ndarray:
+    """xxhash64 of longs, as Spark has it, from their terms."""
+    h = term ^ np.uint64((seed + int(_XX[4]) + 8) % 2**64)
+    _rotate(h, 27)
+    h *= _XX[0]
+    h += _XX[3]
+    h ^= h >> np.uint64(33)
+    h *= _XX[1]
+    h ^= h >> np.uint64(29)
+    h *= _XX[2]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def quick_places(turns: range, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The same for quick_place."""
+    seeds = {t: int(_xx_long(_xx_term(np.array([t])), 42)[0]) for t in turns}
+    for first in range(0, n, 1 << 15):
+        term = _xx_term(np.arange(first, min(n, first + (1 << 15))))
+        for turn in turns:
+            yield turn, _remainder(_xx_long(term, seeds[turn]).view(np.int64), n)
+
+
+#: The places of many draws at a time, for each rule by which a draw's place is found.
+PLACES = {hashed_place: hashed_places, quick_place: quick_places}
+#: Items whose values a task holds at once, values in a packed row, draws that are worth a task, and tasks that share a group's rounds.
+HELD_ITEMS, PACKED, TASK_DRAWS, TASK_SHARES = 1 << 25, 512, 1 << 25, 8
+#: Groups with tasks of their own, and tasks.
+OWN_GROUPS, TASKS = 10_000, 1_024
+
+
+def _packed(items: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """by, n, block, at and the values of up to PACKED items that follow one another, as bytes; at is the first one's place in its block."""
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    own = items.select(*by, "n", "pos", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"__v{i}") for i, v in enumerate(values)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, columns = batch.column("pos").to_numpy(), [batch.column(f"__v{i}").to_numpy() for i in range(len(values))]
+            new = np.flatnonzero(np.diff(pos, prepend=pos[0] - 2) != 1)
+            for c in by:  # a group may begin where the place of the one before goes on
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new = np.union1d(new, np.flatnonzero(np.diff(codes, prepend=codes[0]) != 0))
+            starts = []
+            for a, b in itertools.pairwise([*new.tolist(), len(pos)]):
+                while a < b:  # packed rows begin at multiples, and so end with a block
+                    starts.append(a)
+                    a += PACKED - int(pos[a]) % PACKED
+            ends, at = [*starts[1:], len(pos)], pa.array(starts)
+            packed = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], type=pa.binary()) for c in columns]
+            first = pos[starts]
+            kept = [batch.column(c).take(at) for c in [*by, "n"]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(first // HELD_ITEMS), pa.array(first % HELD_ITEMS), *packed], names=[*by, "n", "__block", "__at", *[f"__v{i}" for i in range(len(values))]])
+
+    return own.mapInArrow(pack, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long, __block long, __at long", *[f"__v{i} binary" for i in range(len(values))]]))
+
+
+def _dealt(packed: DataFrame, items: DataFrame, by: list[str], rounds: int) -> DataFrame:
+    """Packed rows once for each task that needs them, with __share of __shares: which of the group's rounds are the task's."""
+    groups = items.groupBy(*by).agg(F.max("n").alias("n"))
+    few = groups.limit(OWN_GROUPS + 1).collect()
+    if len(few) > OWN_GROUPS:
+        shared = packed.withColumns({"__share": F.lit(0), "__shares": F.lit(1)})
+        return shared.repartition(TASKS, *by, "__block").sortWithinPartitions(*by, "__block")
+    tasks, plan = 0, []
+    for r in sorted(few, key=lambda r: -r["n"]):
+        shares = max(1, min(TASK_SHARES, rounds, -(-r["n"] * rounds // TASK_DRAWS)))
+        plan.append((*[r[c] for c in by], tasks, shares))
+        tasks += shares * -(-r["n"] // HELD_ITEMS)
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    plan = items.sparkSession.createDataFrame(plan, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "__task int, __shares int"]))
+    shared = packed.join(F.broadcast(plan), by).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
+    shared = shared.withColumn("__task", (F.col("__task") + F.col("__block") * F.col("__shares") + F.col("__share")).cast("int"))
+    return shared.repartitionById(max(1, min(tasks, TASKS)), F.col("__task")).sortWithinPartitions("__task").drop("__task")
+
 
 def draws(items: DataFrame, by: list[str], values: list[str], rounds: int, place: Place = hashed_place) -> DataFrame:
-    """Sums of the values over each round's draws, n draws of n items for each group, all groups by the same hash."""
-    turn = items.select(*by, "n", "pos").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    picked = turn.select(*by, "turn", place(F.col("turn"), F.col("pos"), F.col("n")).alias("pos"))
-    own = items.select(*by, "pos", "n", *values)
-    if items.count() <= BROADCAST_ITEMS:
-        got = picked.join(F.broadcast(own), [*by, "pos"]).withColumn("times", F.lit(1))
-    else:
-        # how often each place comes up in a round: combined before the shuffle
-        got = picked.groupBy(*by, "turn", "pos").agg(F.count("*").alias("times")).join(own, [*by, "pos"])
-    return got.groupBy(*by, "turn").agg(*[F.sum(F.col("times") * F.col(v)).alias(v) for v in values], F.max("n").alias("n"))
+    """Sums of the values over each round's draws, n draws of n items for each group, all groups by the same hash.
+
+    A draw is never a row: a task holds the values of a group's items as packed numbers, HELD_ITEMS of them at most, makes
+    the places of its rounds' draws from the hash and adds up what lies there. Only values are shuffled, once for each of a
+    group's few tasks. A group of more items than a task holds is dealt over blocks of places, each of which goes over
+    all draws of its rounds, so that memory stays bounded.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    names, places = [f"__v{i}" for i in range(len(values))], PLACES[place]
+    dealt = _dealt(_packed(items, by, values), items, by, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, types = None, np.zeros((len(values), 0)), []
+
+        def drawn() -> pa.RecordBatch:
+            *group, n, block, share, shares = key
+            turns, low = range(rounds * share // shares, rounds * (share + 1) // shares), block * HELD_ITEMS
+            sums = np.zeros((len(turns), len(values)))
+            for turn, at in places(turns, n):
+                if n > HELD_ITEMS:
+                    at = at[(at >= low) & (at < low + HELD_ITEMS)] - low
+                for i in range(len(values)):
+                    sums[turn - turns[0], i] += held[i].take(at).sum()
+            columns = [*[pa.array([c] * len(turns), type=t) for c, t in zip(group, types, strict=True)], pa.array(turns, type=pa.int32()), pa.array([n] * len(turns), type=pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(values))]], names=[*by, "turn", "n", *names])
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            keys = batch.select([*by, "n", "__block", "__share", "__shares"]).to_pydict()
+            packed = [batch.column(v) for v in names]
+            for row, (own, at) in enumerate(zip(zip(*keys.values(), strict=True), batch.column("__at").to_pylist(), strict=True)):
+                if own != key:
+                    if key is not None:
+                        yield drawn()
+                    key, held = own, np.zeros((0, 0))  # what was held goes before the next is made
+                    n, block = own[len(by) : len(by) + 2]
+                    held = np.zeros((len(values), min(HELD_ITEMS, n - block * HELD_ITEMS)))
+                for i, column in enumerate(packed):
+                    part = np.frombuffer(column[row].as_buffer(), dtype=np.float64)
+                    held[i, at : at + len(part)] = part
+        if key is not None:
+            yield drawn()
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "turn int, n long", *[f"{v} double" for v in names]])
+    return dealt.mapInArrow(run, schema).groupBy(*by, "turn").agg(*[F.sum(v).alias(own) for v, own in zip(names, values, strict=True)], F.max("n").alias("n"))
 
 
 def bounds(drawn: DataFrame, by: list[str], value: str, rounds: int, upper_less: int = 0) -> DataFrame:
