@@ -22,33 +22,54 @@ from .resample import BROADCAST_GROUPS, order_bounds
 PRIME = (1 << 31) - 1
 #: A hash of at least the k-th of these means a count above k: the shares of the Poisson law of mean one.
 LIMITS = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10)]
-#: Items in a block of counts, and groups whose sums a task holds before it hands them on.
+#: Keys in a block of counts, and groups whose sums a task holds before it hands them on.
 BLOCK, HELD = 64, 64
 #: The round of the items themselves, each of which counts once.
 POINT = -1
 
 
-def _fold(x: np.ndarray) -> None:
-    """Makes x, below 2^62 plus a little, its remainder by PRIME, or PRIME for none."""
-    for _ in range(2):
-        high = x >> 31
-        x &= PRIME
-        x += high
+#: Items times rounds that are counted at a time: so much stays in a core's own memory.
+CELLS = 1 << 15
+
+
+def _fold(x: np.ndarray, high: np.ndarray) -> None:
+    """A number of the same remainder by PRIME: below 2^32 from one below 2^62 and a little, at most 2^31 + 5 from one below 2^34."""
+    np.right_shift(x, np.uint64(31), out=high)
+    x &= np.uint64(PRIME)
+    x += high
 
 
 def counts_py(x: np.ndarray, y: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """Counts of items with the two halves of their key's hash, a row an item, a column a round."""
-    x, y, turns = x[:, None], y[:, None], turns[None, :]
-    h = x * 48271 + (turns * 16807 + 1)
-    _fold(h)
-    for more in (y, turns, x):
-        h *= h
-        h += more
-        _fold(h)
-    h[h == PRIME] = 0
-    out = np.zeros(h.shape, dtype=np.int8)
-    for limit in LIMITS:
-        out += h >= limit
+    """Counts of items with the two halves of their key's hash, a row an item, a column a round.
+
+    The hash is made of numbers below 2^64 that are folded only as often as they must be: those below 2^32 may be squared.
+    """
+    x, y, turns = (v.astype(np.uint64) for v in (x, y, turns))
+    own, at = x * np.uint64(48271) % np.uint64(PRIME), (turns * np.uint64(16807) + np.uint64(1)) % np.uint64(PRIME)
+    out = np.empty((len(x), len(turns)), dtype=np.int8)
+    wide = max(1, min(len(turns), CELLS))
+    tall = max(1, CELLS // wide)
+    room = [np.empty((tall, wide), dtype=t) for t in (np.uint64, np.uint64, np.uint32, np.bool_)]
+    for i in range(0, len(x), tall):
+        rows = slice(i, i + tall)
+        for j in range(0, len(turns), wide):
+            columns = slice(j, j + wide)
+            count = out[rows, columns]
+            h, high, short, above = (r[: count.shape[0], : count.shape[1]] for r in room)
+            np.add(own[rows, None], at[None, columns], out=h)
+            for more, folds in ((y[rows, None], 2), (turns[None, columns], 1), (x[rows, None], 2)):
+                h *= h
+                h += more
+                for _ in range(folds):
+                    _fold(h, high)
+            np.copyto(short, h, casting="same_kind")
+            np.greater_equal(short, np.uint32(PRIME), out=above)
+            if above.any():
+                short[above] -= np.uint32(PRIME)
+            np.greater_equal(short, np.uint32(LIMITS[0]), out=count.view(np.bool_))
+            for limit in LIMITS[1:]:
+                np.greater_equal(short, np.uint32(limit), out=above)
+                count += above.view(np.int8)
     return out
 
 
@@ -74,7 +95,8 @@ def counts_sql(items: str, rounds: int, keep: str) -> str:
 def counted(rows: DataFrame, by: list[str], key: list[str], values: list[str], rounds: int) -> DataFrame:
     """by, turn, n and the sums of the values over the items drawn in each round; round POINT has the plain sums.
 
-    Rows with a null value are left out. Rows of equal keys in a group are drawn together.
+    Rows with a null value are left out. Rows of equal keys in a group are drawn together. The counts of a key are made
+    once for its rows that follow one another, whatever their groups.
     """
     x, y = key_halves(key)
     own = rows.select(*by, x.alias("__x"), y.alias("__y"), *[F.col(v).cast("double").alias(v) for v in values]).dropna(subset=values)
@@ -101,24 +123,38 @@ def counted(rows: DataFrame, by: list[str], key: list[str], values: list[str], r
                 _, codes = np.unique(np.stack([codes, own]), axis=1, return_inverse=True)
                 codes = codes.reshape(-1)
             matrix = np.column_stack([np.ones(batch.num_rows), *[batch.column(v).to_numpy(zero_copy_only=False) for v in values]])
-            halves = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("__x", "__y")]
-            for code in np.unique(codes):
-                at = np.flatnonzero(codes == code)
-                group = tuple(batch.column(c)[int(at[0])].as_py() for c in by)
-                if group not in held:
-                    if len(held) >= HELD:
-                        yield from out()
-                    held[group] = np.zeros((rounds + 1, len(values) + 1))
-                sums = held[group]
-                sums[0] += matrix[at].sum(axis=0)
-                for a in range(0, len(at), BLOCK):
-                    part = at[a : a + BLOCK]
-                    sums[1:] += counts_py(halves[0][part], halves[1][part], turns).T.astype(np.float64) @ matrix[part]
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__x", "__y"))
+            if codes.max(initial=0) >= HELD:  # more groups than are held: one after the other
+                order = np.argsort(codes, kind="stable")
+                x, y, codes, matrix = x[order], y[order], codes[order], matrix[order]
+            else:
+                order = np.arange(batch.num_rows)
+            begins = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
+            for a in range(0, len(begins), BLOCK):
+                keys = begins[a : a + BLOCK]
+                first, last = int(keys[0]), int(begins[a + BLOCK]) if a + BLOCK < len(begins) else batch.num_rows
+                w = counts_py(x[keys], y[keys], turns).astype(np.float64)
+                place = np.searchsorted(keys, np.arange(first, last), side="right") - 1
+                for code in np.unique(codes[first:last]):
+                    at = np.flatnonzero(codes[first:last] == code)
+                    group = tuple(batch.column(c)[int(order[first + at[0]])].as_py() for c in by)
+                    if group not in held:
+                        if len(held) >= HELD:
+                            yield from out()
+                        held[group] = np.zeros((rounds + 1, len(values) + 1))
+                    held[group][0] += matrix[first + at].sum(axis=0)
+                    held[group][1:] += w[place[at]].T @ matrix[first + at]
         yield from out()
 
     return own.mapInArrow(run, schema).groupBy(*by, "turn").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in values])
 
 
+def side_by_side(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows, those of a key one after the other; for keys that each have few rows, such as one for each system."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("__rows")).select(key, F.explode("__rows").alias("__r")).select(*[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
+
+
 def _summary(sums: DataFrame, by: list[str], values: list[str], m: Column, rounds: int, upper_less: int = 0) -> DataFrame:
     """by, the plain sums, the bounds of m over the rounds, its mean, and how much of it isn't above, or not below, zero.
 

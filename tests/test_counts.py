@@ -131,3 +131,14 @@ def test_regression_odd(spark):
     assert got["flat", "length_z"] == got["flat", "editdist_z"] == 0 and got["flat", "intercept"] == pytest.approx(9) and got["flat", "cat=PYA"] == pytest.approx(1)
     assert got["same", "length_z"] == pytest.approx(got["same", "editdist_z"]) and got["same", "length_z"] == pytest.approx(np.std(range(20)) / 2)
     assert N.regression(df.where("pos < 0"), ["system"], CATEGORIES, ["pos"], 50).count() == 0
+
+
+def test_keys_counted_once(spark):
+    """Rows of a key that follow one another share its counts, whatever their groups; the sums are those of the rows apart."""
+    df = spark.createDataFrame([(s, i, float(i % 7 + k)) for i in range(300) for k, s in enumerate(["A", "B", None])], "s string, i int, v double")
+    together = N.side_by_side(df.orderBy("s", "i"), "i").coalesce(1)
+    ids = [r["i"] for r in together.collect()]
+    assert len(ids) == 900 and sum(a != b for a, b in zip(ids, ids[1:])) == 299
+    got = {(r["s"], r["turn"]): (r["n"], r["v"]) for r in N.counted(together, ["s"], ["i"], ["v"], 20).collect()}
+    apart = {(r["s"], r["turn"]): (r["n"], r["v"]) for r in N.counted(df.orderBy("s", "i"), ["s"], ["i"], ["v"], 20).collect()}
+    assert got == apart and len(got) == 63
