@@ -223,6 +223,8 @@ Place = Callable[[Column, Column, Column], Column]
 
 _SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_SINE_WORDS = [np.uint32(x) for x in _SINES]
+_SHIFT_WORDS = [(np.uint32(x), np.uint32(32 - x)) for x in _SHIFTS]
 _MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
@@ -252,9 +254,10 @@ def _md5_first(words: list[np.ndarray], length: int) -> np.ndarray:
             a += np.uint32((_SINES[i] + message[k]) & 0xFFFFFFFF)
         else:
             a += message[k]
-            a += np.uint32(_SINES[i])
-        np.right_shift(a, np.uint32(32 - _SHIFTS[i]), out=g)
-        a <<= np.uint32(_SHIFTS[i])
+            a += _SINE_WORDS[i]
+        left, right = _SHIFT_WORDS[i]
+        np.right_shift(a, right, out=g)
+        a <<= left
         a |= g
         a += b
         a, b, c, d = d, a, b, c
@@ -263,16 +266,19 @@ def _md5_first(words: list[np.ndarray], length: int) -> np.ndarray:
 
 
 def _remainder(x: np.ndarray, n: int) -> np.ndarray:
-    x -= x // np.int64(n) * np.int64(n)
-    return x
+    if n > np.iinfo(x.dtype).max:  # only of hashes of 32 bits
+        return x
+    out = x // x.dtype.type(n)
+    out *= x.dtype.type(n)
+    return np.subtract(x, out, out=out)
 
 
-def hashed_places(turns: range, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each turn with the places that hashed_place gives for its numbers below n, a block of numbers at a time."""
+def hashed_numbers(turns: range, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Each turn with the first of a block of numbers below n and their hashes, of which hashed_place takes the remainder; these are the same for every group."""
     first = 0
     while first < n:
         digits = len(str(first))
-        last = min(n, first + (1 << 14), 10**digits)
+        last = min(n, first + (1 << 15), 10**digits)
         number, rest = np.zeros((digits, last - first), dtype=np.uint32), np.arange(first, last)
         for i in range(digits - 1, -1, -1):
             number[i] = rest % 10 + 48
@@ -286,7 +292,7 @@ def hashed_places(turns: range, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 words = list(plain)
                 for i in range(0, width + 1, 4):
                     words[i // 4] = plain[i // 4] | np.uint32(int.from_bytes(f"{turn}|".encode()[i : i + 4], "little"))
-                yield turn, _remainder(_md5_first(words, length).astype(np.int64), n)
+                yield turn, first, _md5_first(words, length)
         first = last
 
 
@@ -320,21 +326,27 @@ def _xx_long(term: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-def quick_places(turns: range, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def quick_numbers(turns: range, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """The same for quick_place."""
     seeds = {t: int(_xx_long(_xx_term(np.array([t])), 42)[0]) for t in turns}
     for first in range(0, n, 1 << 15):
         term = _xx_term(np.arange(first, min(n, first + (1 << 15))))
         for turn in turns:
-            yield turn, _remainder(_xx_long(term, seeds[turn]).view(np.int64), n)
+            yield turn, first, _xx_long(term, seeds[turn]).view(np.int64)
 
 
-#: The places of many draws at a time, for each rule by which a draw's place is found.
-PLACES = {hashed_place: hashed_places, quick_place: quick_places}
+def _places(numbers: Callable[[range, int], Iterator[tuple[int, int, np.ndarray]]]) -> Callable[[range, int], Iterator[tuple[int, np.ndarray]]]:
+    """Each turn with the places of its numbers below n, a block of numbers at a time."""
+    return lambda turns, n: ((turn, _remainder(hashes, n)) for turn, _, hashes in numbers(turns, n))
+
+
+#: The hashes of many draws at a time, and their places, for each rule by which a draw's place is found.
+NUMBERS = {hashed_place: hashed_numbers, quick_place: quick_numbers}
+PLACES = {place: _places(numbers) for place, numbers in NUMBERS.items()}
 #: Items whose values a task holds at once, values in a packed row, draws that are worth a task, and tasks that share a group's rounds.
-HELD_ITEMS, PACKED, TASK_DRAWS, TASK_SHARES = 1 << 25, 512, 1 << 25, 8
-#: Groups with tasks of their own, and tasks.
-OWN_GROUPS, TASKS = 10_000, 1_024
+HELD_ITEMS, PACKED, TASK_DRAWS, TASK_SHARES = 1 << 25, 512, 1 << 25, 12
+#: Groups that are planned one by one, groups of a task, and tasks.
+OWN_GROUPS, TASK_GROUPS, TASKS = 10_000, 256, 1_024
 
 
 def _packed(items: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -366,67 +378,85 @@ def _packed(items: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 
 def _dealt(packed: DataFrame, items: DataFrame, by: list[str], rounds: int) -> DataFrame:
-    """Packed rows once for each task that needs them, with __share of __shares: which of the group's rounds are the task's."""
+    """Packed rows once for each task that needs them, with __task and __share of __shares: which rounds are the task's.
+
+    Groups that a task can hold together share its tasks, as a draw's hash is the same for all of them.
+    """
     groups = items.groupBy(*by).agg(F.max("n").alias("n"))
     few = groups.limit(OWN_GROUPS + 1).collect()
     if len(few) > OWN_GROUPS:
-        shared = packed.withColumns({"__share": F.lit(0), "__shares": F.lit(1)})
+        shared = packed.withColumns({"__task": F.lit(-1), "__share": F.lit(0), "__shares": F.lit(1)})
         return shared.repartition(TASKS, *by, "__block").sortWithinPartitions(*by, "__block")
-    tasks, plan = 0, []
+    together: list[list] = []
     for r in sorted(few, key=lambda r: -r["n"]):
-        shares = max(1, min(TASK_SHARES, rounds, -(-r["n"] * rounds // TASK_DRAWS)))
-        plan.append((*[r[c] for c in by], tasks, shares))
-        tasks += shares * -(-r["n"] // HELD_ITEMS)
+        if not together or len(together[-1]) == TASK_GROUPS or sum(x["n"] for x in together[-1]) + r["n"] > HELD_ITEMS:
+            together.append([])
+        together[-1].append(r)
+    tasks, plan = 0, []
+    for own in together:
+        total = sum(r["n"] for r in own)
+        shares = max(1, min(TASK_SHARES, rounds, -(-total * rounds // TASK_DRAWS)))
+        plan += [(*[r[c] for c in by], tasks, shares) for r in own]
+        tasks += shares * -(-total // HELD_ITEMS)
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     plan = items.sparkSession.createDataFrame(plan, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "__task int, __shares int"]))
     shared = packed.join(F.broadcast(plan), by).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
     shared = shared.withColumn("__task", (F.col("__task") + F.col("__block") * F.col("__shares") + F.col("__share")).cast("int"))
-    return shared.repartitionById(max(1, min(tasks, TASKS)), F.col("__task")).sortWithinPartitions("__task").drop("__task")
+    return shared.repartitionById(max(1, min(tasks, TASKS)), F.col("__task")).sortWithinPartitions("__task")
 
 
 def draws(items: DataFrame, by: list[str], values: list[str], rounds: int, place: Place = hashed_place) -> DataFrame:
     """Sums of the values over each round's draws, n draws of n items for each group, all groups by the same hash.
 
-    A draw is never a row: a task holds the values of a group's items as packed numbers, HELD_ITEMS of them at most, makes
-    the places of its rounds' draws from the hash and adds up what lies there. Only values are shuffled, once for each of a
-    group's few tasks. A group of more items than a task holds is dealt over blocks of places, each of which goes over
-    all draws of its rounds, so that memory stays bounded.
+    A draw is never a row: a task holds the values of groups' items as packed numbers, HELD_ITEMS of them at most, makes
+    the hashes of its rounds' draws once for all of its groups and adds up what lies at the places that they give. Only
+    values are shuffled, once for each of a group's few tasks. A group of more items than a task holds is dealt over blocks
+    of places, each of which goes over all draws of its rounds, so that memory stays bounded.
     """
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    names, places = [f"__v{i}" for i in range(len(values))], PLACES[place]
+    names, numbers = [f"__v{i}" for i in range(len(values))], NUMBERS[place]
     dealt = _dealt(_packed(items, by, values), items, by, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, types = None, np.zeros((len(values), 0)), []
-
-        def drawn() -> pa.RecordBatch:
-            *group, n, block, share, shares = key
-            turns, low = range(rounds * share // shares, rounds * (share + 1) // shares), block * HELD_ITEMS
-            sums = np.zeros((len(turns), len(values)))
-            for turn, at in places(turns, n):
-                if n > HELD_ITEMS:
-                    at = at[(at >= low) & (at < low + HELD_ITEMS)] - low
-                for i in range(len(values)):
-                    sums[turn - turns[0], i] += held[i].take(at).sum()
-            columns = [*[pa.array([c] * len(turns), type=t) for c, t in zip(group, types, strict=True)], pa.array(turns, type=pa.int32()), pa.array([n] * len(turns), type=pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(values))]], names=[*by, "turn", "n", *names])
+        key, held, types = None, {}, []
+
+        def drawn() -> Iterator[pa.RecordBatch]:
+            *_, share, shares = key
+            turns = range(rounds * share // shares, rounds * (share + 1) // shares)
+            sums = {own: np.zeros((len(values), len(turns))) for own in held}
+            for turn, first, hashes in numbers(turns, max(n for *_, n, _ in held)):
+                for (*group, n, block), parts in held.items():
+                    if first >= n:
+                        continue
+                    at = _remainder(hashes[: n - first], n)
+                    if n > HELD_ITEMS:
+                        at = at.astype(np.int64) - block * HELD_ITEMS
+                        at = at[(at >= 0) & (at < HELD_ITEMS)]
+                    for i, part in enumerate(parts):
+                        sums[(*group, n, block)][i, turn - turns[0]] += part.take(at).sum()
+            for (*group, n, _), own in sums.items():
+                columns = [*[pa.array([c] * len(turns), type=t) for c, t in zip(group, types, strict=True)], pa.array(turns, type=pa.int32()), pa.array([n] * len(turns), type=pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, own)], names=[*by, "turn", "n", *names])
 
         for batch in batches:
             types = [batch.schema.field(c).type for c in by]
-            keys = batch.select([*by, "n", "__block", "__share", "__shares"]).to_pydict()
+            owners = zip(*batch.select([*by, "n", "__block"]).to_pydict().values(), strict=True)
+            shares = zip(*batch.select(["__task", "__share", "__shares"]).to_pydict().values(), strict=True)
             packed = [batch.column(v) for v in names]
-            for row, (own, at) in enumerate(zip(zip(*keys.values(), strict=True), batch.column("__at").to_pylist(), strict=True)):
-                if own != key:
+            for row, (own, (task, *share), at) in enumerate(zip(owners, shares, batch.column("__at").to_pylist(), strict=True)):
+                together = (task if task >= 0 else own, *share)
+                if together != key:
                     if key is not None:
-                        yield drawn()
-                    key, held = own, np.zeros((0, 0))  # what was held goes before the next is made
-                    n, block = own[len(by) : len(by) + 2]
-                    held = np.zeros((len(values), min(HELD_ITEMS, n - block * HELD_ITEMS)))
+                        yield from drawn()
+                    key, held = together, {}  # what was held goes before the next is made
+                if own not in held:
+                    *_, n, block = own
+                    held[own] = np.zeros((len(values), min(HELD_ITEMS, n - block * HELD_ITEMS)))
                 for i, column in enumerate(packed):
                     part = np.frombuffer(column[row].as_buffer(), dtype=np.float64)
-                    held[i, at : at + len(part)] = part
+                    held[own][i, at : at + len(part)] = part
         if key is not None:
-            yield drawn()
+            yield from drawn()
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "turn int, n long", *[f"{v} double" for v in names]])
     return dealt.mapInArrow(run, schema).groupBy(*by, "turn").agg(*[F.sum(v).alias(own) for v, own in zip(names, values, strict=True)], F.max("n").alias("n"))

@@ -34,3 +34,19 @@ def test_draws(spark, monkeypatch, place, limits):
     assert sorted(tuple(r) for r in drawn.select(columns).collect()) == sorted(tuple(r) for r in want.select(columns).collect())
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, 11" not in plan and "md5" not in plan
+
+
+def test_hashes_shared(spark, monkeypatch):
+    """Groups that a task can hold together are drawn with one pass over the hashes: as many as the largest has, not as many as all have."""
+    rows = [(s, i, float(i % 91)) for s, n in (("A", 700), ("B", 500), ("C", 300)) for i in range(n)]
+    items = R.numbered(spark.createDataFrame(rows, "s string, i int, v double"), ["s"], ["i"])
+    made, real = spark.sparkContext.accumulator(0), R.NUMBERS[R.quick_place]
+
+    def counted(turns, n):
+        for turn, first, hashes in real(turns, n):
+            made.add(len(hashes))
+            yield turn, first, hashes
+
+    monkeypatch.setitem(R.NUMBERS, R.quick_place, counted)
+    assert R.draws(items, ["s"], ["v"], 20, R.quick_place).count() == 60
+    assert made.value == 20 * 700
