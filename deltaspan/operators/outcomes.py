@@ -178,14 +178,10 @@ def membership_grid(bench: DataFrame, pool: DataFrame, sides: dict[str, str], ke
 
     sides: names of the sides and their columns; keys: what a sentence is compared by, for each level.
     """
-    out = None
-    for b, own in sides.items():
-        for p, other in sides.items():
-            # an empty sentence of the pool is none
-            got = O.membership_counts(bench.select(F.col(own).alias("t")), pool.select(F.col(other).alias("t")).where("t <> ''"), {k: f(F.col("t")) for k, f in keys.items()})
-            got = got.select(F.lit(b).alias("bench_side"), F.lit(p).alias("pool_side"), "level", "n")
-            out = got if out is None else out.unionByName(got)
-    return out
+    own = {(side, level): key(F.col(column)) for side, column in sides.items() for level, key in keys.items()}
+    # an empty sentence of the pool is none
+    other = {(side, level): F.when(F.col(sides[side]) != "", key) for (side, level), key in own.items()}
+    return O.membership_table(bench, pool, own, other)
 
 
 def handed_over(rows: DataFrame, arm: str) -> DataFrame:
