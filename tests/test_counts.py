@@ -142,3 +142,22 @@ def test_keys_counted_once(spark):
     got = {(r["s"], r["turn"]): (r["n"], r["v"]) for r in N.counted(together, ["s"], ["i"], ["v"], 20).collect()}
     apart = {(r["s"], r["turn"]): (r["n"], r["v"]) for r in N.counted(df.orderBy("s", "i"), ["s"], ["i"], ["v"], 20).collect()}
     assert got == apart and len(got) == 63
+
+
+def test_rows_by_item(spark, monkeypatch):
+    """What is grouped by item is dealt over as many tasks as its rows need, and by one exchange of either table."""
+    import os
+
+    from deltaspan import registry
+    from deltaspan.plans import adapters
+
+    if not os.path.isdir(sf := "/root/testdata/sf0.001"):
+        return
+    query = registry.queries()["paired_relative_delta"]
+    want = sorted(map(tuple, query(spark, sf).collect()))
+    monkeypatch.setattr(adapters, "ITEM_ROWS", 500)
+    out = query(spark, sf)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert n > 5 and "hashpartitioning(l_orderkey" in plan and plan.count(f", {n}), REPARTITION_BY_NUM") == 2 and plan.count("hashpartitioning") == 2
+    assert sorted(map(tuple, out.collect())) == want
