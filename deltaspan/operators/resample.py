@@ -114,6 +114,8 @@ class Stream:
 
 #: Rounds of a task, and items of a group at most: frozen forms are for reports, whose items a task holds at once.
 SLICE, FROZEN_ITEMS = 125, 20_000_000
+#: Tasks for each slice of rounds of the frozen regression, over which its groups are dealt.
+SLICE_TASKS = 8
 
 
 def _frozen_rounds(groups: DataFrame, by: list[str], draw: str, statistic: Callable[[list[list[float]], np.ndarray], float], rounds: int, seed: int) -> DataFrame:
@@ -548,6 +550,19 @@ def _design(rows: pd.DataFrame, categories: list[str]) -> tuple[list[str], np.nd
     return list(table), np.column_stack(list(table.values())), rows["delta"].to_numpy(dtype=float)
 
 
+def _table_of(items: pa.StructArray, columns: list[str]) -> pd.DataFrame:
+    """Items as columns of numbers and codes: none of them becomes an object of Python's."""
+    out = {}
+    for c in columns:
+        own = items.field(c)
+        if pa.types.is_floating(own.type):
+            out[c] = own.to_numpy(zero_copy_only=False)
+        else:
+            own = own.dictionary_encode()
+            out[c] = pd.Categorical.from_codes(own.indices.fill_null(-1).to_numpy(zero_copy_only=False), own.dictionary.to_pylist())
+    return pd.DataFrame(out)
+
+
 def _solved(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares; the least of all solutions where a draw is short of rank."""
     return np.linalg.lstsq(x, y, rcond=None)[0]
@@ -574,7 +589,7 @@ def regression(df: DataFrame, by: str, categories: list[str], order: str, rounds
     """
     kind, columns = df.schema[by].dataType.simpleString(), ["category", "length", "edit_distance", "delta"]
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("category").cast("string").alias("category"), *[F.col(c).cast("double").alias(c) for c in columns[1:]])))
-    groups = df.where(F.col("delta").isNotNull()).groupBy(by).agg(items.alias("items"))
+    groups = df.where(F.col("delta").isNotNull()).groupBy(by).agg(items.alias("items")).withColumn("items", F.transform("items", lambda x: x.dropFields("o")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -591,13 +606,14 @@ def regression(df: DataFrame, by: str, categories: list[str], order: str, rounds
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field(by), ("first", pa.int32()), ("rounds", pa.int32()), ("state", pa.string())]))
 
     slices = groups.select(by, F.size("items").alias("n")).mapInArrow(walk, f"`{by}` {kind}, first int, rounds int, state string")
-    slices = slices.repartition(max(1, -(-rounds // SLICE)), "first", by)
+    # few slices of groups meet in a task
+    slices = slices.repartition(max(1, SLICE_TASKS * -(-rounds // SLICE)), "first", by)
 
     def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if (made := _design(pd.DataFrame(row["items"])[columns], categories)) is None:
+                row = batch.select([by, "first", "rounds", "state"]).slice(i, 1).to_pylist()[0]
+                if (made := _design(_table_of(batch.column("items").slice(i, 1).flatten(), columns), categories)) is None:
                     continue
                 names, x, y = made
                 rng = np.random.default_rng()

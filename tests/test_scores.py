@@ -269,3 +269,25 @@ def test_sentence_label(spark):
     df = spark.sql("SELECT array(named_struct('confidence', 0.04D, 'type', 'HOM'), named_struct('confidence', 0.81D, 'type', 'neo'), named_struct('confidence', 0.81D, 'type', 'MIX')) AS s")
     assert df.select(M.sentence_label(F.col("s")).alias("l")).first()["l"] == "NEO"
     assert df.select(M.sentence_label(F.filter("s", lambda x: x["type"] == "q")).alias("l")).first()["l"] == "NONE"
+
+
+def test_regression_items():
+    """A group's items come as columns, a code for a category; what they take beside their own buffers is a few bytes an item."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 50_000
+    rng = np.random.default_rng(4)
+    kinds = [["NEO", "HOM", None][i] for i in rng.integers(0, 3, n)]
+    fields = {"category": pa.array(kinds), **{c: pa.array(rng.random(n)) for c in ("length", "edit_distance", "delta")}}
+    items = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    tracemalloc.start()
+    got = R._table_of(items, list(fields))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * n
+    plain = pd.DataFrame(items.to_pylist())
+    for categories in (["NEO", "HOM", "PYA"], ["PYA", "HOM"], ["HOM"]):
+        (names, x, y), (own, u, v) = R._design(plain, categories), R._design(got, categories)
+        assert names == own and np.array_equal(x, u) and np.array_equal(y, v)
