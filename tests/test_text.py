@@ -105,3 +105,21 @@ def test_confidence(spark):
     assert (n(None), n(0.5), n(0.9)) == (2, 1, 1)
     with pytest.raises(Exception):
         spark.sql("SELECT array(named_struct('confidence', CAST(NULL AS DOUBLE))) AS s").select(S.keep_confident(F.col("s"), 0.5)).collect()
+
+
+def test_in_parts():
+    """A batch's texts aren't objects all at once; values, nulls and structs come in order, and an empty batch stays one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None if i % 7 == 3 else chr(97 + i % 26) * 1000 for i in range(20_000)])
+    tracemalloc.start()
+    got = X._in_parts(lambda t, n: None if t is None else len(t) + n, pa.int64())(texts, pa.array(range(20_000)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2_000_000
+    assert got.to_pylist() == [None if i % 7 == 3 else 1000 + i for i in range(20_000)]
+    kind = pa.struct([("a", pa.string())])
+    assert X._in_parts(lambda t: {"a": t}, kind)(pa.array(["x"] * 300)).to_pylist() == [{"a": "x"}] * 300
+    assert X._in_parts(lambda t: t, pa.string())(pa.array([], type=pa.string())).type == pa.string()
