@@ -12,11 +12,13 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -345,79 +347,122 @@ def _places(numbers: Callable[[range, int], Iterator[tuple[int, int, np.ndarray]
 #: The hashes of many draws at a time, and their places, for each rule by which a draw's place is found.
 NUMBERS = {hashed_place: hashed_numbers, quick_place: quick_numbers}
 PLACES = {place: _places(numbers) for place, numbers in NUMBERS.items()}
-#: Items whose values a task holds at once, values in a packed row, draws that are worth a task, and tasks that share a group's rounds.
-HELD_ITEMS, PACKED, TASK_DRAWS, TASK_SHARES = 1 << 25, 512, 1 << 25, 12
+#: Numbers that a task holds at once (671 MB), those in a packed row, draws that are worth a task, and tasks that share a group's rounds.
+HELD_ITEMS, PACKED, TASK_DRAWS, TASK_SHARES = 5 << 24, 512, 1 << 25, 12
 #: Groups that are planned one by one, groups of a task, and tasks.
 OWN_GROUPS, TASK_GROUPS, TASKS = 10_000, 256, 1_024
 
 
-def _packed(items: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """by, n, block, at and the values of up to PACKED items that follow one another, as bytes; at is the first one's place in its block."""
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    own = items.select(*by, "n", "pos", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"__v{i}") for i, v in enumerate(values)])
+def _packed(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Rows in order as packed rows, checkpointed: by, __task, __at, __m and the values of __m items that follow one another, up to PACKED, as bytes, with their sum and how many aren't null.
+
+    The rows are sorted over all tasks by ranges, so that a group may have any number of rows. A packed row begins __at
+    items after the group's first one in its task. Only packed rows are written and read again, a few for each thousand
+    items. Rows without a group are in none.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = range(len(values))
+    own = df.dropna(subset=by).select(*dict.fromkeys([*by, *order]), *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)])
+    own = own.persist(StorageLevel.DISK_ONLY)  # for the ranges' bounds rows are read before they are dealt
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, seen = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pos, columns = batch.column("pos").to_numpy(), [batch.column(f"__v{i}").to_numpy() for i in range(len(values))]
-            new = np.flatnonzero(np.diff(pos, prepend=pos[0] - 2) != 1)
-            for c in by:  # a group may begin where the place of the one before goes on
-                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                new = np.union1d(new, np.flatnonzero(np.diff(codes, prepend=codes[0]) != 0))
-            starts = []
-            for a, b in itertools.pairwise([*new.tolist(), len(pos)]):
-                while a < b:  # packed rows begin at multiples, and so end with a block
-                    starts.append(a)
-                    a += PACKED - int(pos[a]) % PACKED
-            ends, at = [*starts[1:], len(pos)], pa.array(starts)
-            packed = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], type=pa.binary()) for c in columns]
-            first = pos[starts]
-            kept = [batch.column(c).take(at) for c in [*by, "n"]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(first // HELD_ITEMS), pa.array(first % HELD_ITEMS), *packed], names=[*by, "n", "__block", "__at", *[f"__v{i}" for i in range(len(values))]])
-
-    return own.mapInArrow(pack, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long, __block long, __at long", *[f"__v{i} binary" for i in range(len(values))]]))
-
-
-def _dealt(packed: DataFrame, items: DataFrame, by: list[str], rounds: int) -> DataFrame:
-    """Packed rows once for each task that needs them, with __task and __share of __shares: which rounds are the task's.
-
-    Groups that a task can hold together share its tasks, as a draw's hash is the same for all of them.
+            new = np.zeros(1, dtype=np.int64)
+            for c in by:
+                codes = batch.column(c).dictionary_encode().indices.to_numpy()
+                new = np.union1d(new, np.flatnonzero(np.diff(codes)) + 1)
+            groups = zip(*[batch.column(c).take(pa.array(new)).to_pylist() for c in by], strict=True)
+            starts, at = [], []
+            for group, (a, b) in zip(groups, itertools.pairwise([*new.tolist(), batch.num_rows]), strict=True):
+                if repr(group) != last:
+                    last, seen = repr(group), 0
+                starts += range(a, b, PACKED)
+                at += range(seen, seen + b - a, PACKED)
+                seen += b - a
+            ends = [*starts[1:], batch.num_rows]
+            columns = [*[batch.column(c).take(pa.array(starts)) for c in by], pa.array([task] * len(at), type=pa.int32()), pa.array(at, type=pa.int64()), pa.array(np.subtract(ends, starts), type=pa.int64())]
+            for i in names:
+                column = batch.column(f"__v{i}")
+                own = column.fill_null(0.0).to_numpy()
+                columns += [pa.array([own[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], type=pa.binary()), pa.array(np.add.reduceat(own, starts)), pa.array(np.add.reduceat(column.is_valid().to_numpy(zero_copy_only=False), starts, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, "__task", "__at", "__m", *[f"__{c}{i}" for i in names for c in "vsk"]])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "__task int, __at long, __m long", *[f"__v{i} binary, __s{i} double, __k{i} long" for i in names]])
+    ranges = own.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    packed = cut(ranges.select(*by, *[f"__v{i}" for i in names]).mapInArrow(pack, schema))
+    own.unpersist()
+    return packed
+
+
+def _means(packed: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, n and the mean of the first of the values."""
+    return packed.groupBy(*by).agg(F.sum("__m").alias("n"), F.try_divide(F.sum("__s0"), F.sum("__k0")).alias(name))
+
+
+def _dealt(packed: DataFrame, by: list[str], rounds: int, most: int) -> DataFrame:
+    """Packed rows once for each task that needs them, with n, __block, __at from the block's first place, __task and __share of __shares: which rounds are the task's.
+
+    Groups that a task can hold together share its tasks, as a draw's hash is the same for all of them. most: items of a block.
     """
-    groups = items.groupBy(*by).agg(F.max("n").alias("n"))
-    few = groups.limit(OWN_GROUPS + 1).collect()
+    parts = packed.groupBy(*by, "__task").agg(F.sum("__m").alias("m"))
+    few = parts.limit(OWN_GROUPS + 1).collect()
+    if len(few) > OWN_GROUPS:
+        group = Window.partitionBy(*by)
+        before = F.sum("m").over(group.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+        plan = parts.select(*by, "__task", F.coalesce(before, F.lit(0)).alias("__first"), F.sum("m").over(group).alias("n"), F.lit(-1).alias("__to"), F.lit(1).alias("__shares"))
+    else:
+        sizes, first = Counter(), []
+        for r in sorted(few, key=lambda r: r["__task"]):
+            own = tuple(r[c] for c in by)
+            first.append((own, r["__task"], sizes[own]))
+            sizes[own] += r["m"]
+        together: list[list] = []
+        for own, n in sizes.most_common():
+            if not together or len(together[-1]) == TASK_GROUPS or sum(sizes[x] for x in together[-1]) + n > most:
+                together.append([])
+            together[-1].append(own)
+        tasks, to = 0, {}
+        for owns in together:
+            total = sum(sizes[x] for x in owns)
+            shares = max(1, min(TASK_SHARES, rounds, -(-total * rounds // TASK_DRAWS)))
+            to |= {x: (tasks, shares) for x in owns}
+            tasks += shares * -(-total // most)
+        kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+        plan = [(*own, task, at, sizes[own], *to[own]) for own, task, at in first]
+        plan = F.broadcast(packed.sparkSession.createDataFrame(plan, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "__task int, __first long, n long, __to int, __shares int"])))
+    first, end = F.col("__first") + F.col("__at"), F.col("__first") + F.col("__at") + F.col("__m") - 1
+    block = lambda place: F.floor(place / most)
+    shared = packed.join(plan, [*by, "__task"]).withColumn("__block", F.explode(F.sequence(block(first), block(end)))).withColumn("__at", first - F.col("__block") * most)
+    shared = shared.withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
+    if len(few) > OWN_GROUPS:
+        shared = shared.withColumn("__task", F.col("__to"))
+    else:
+        shared = shared.withColumn("__task", (F.col("__to") + F.col("__block") * F.col("__shares") + F.col("__share")).cast("int"))
+    shared = shared.select(*by, "n", "__block", "__at", "__task", "__share", "__shares", *[c for c in packed.columns if c.startswith("__v")])
     if len(few) > OWN_GROUPS:
-        shared = packed.withColumns({"__task": F.lit(-1), "__share": F.lit(0), "__shares": F.lit(1)})
         return shared.repartition(TASKS, *by, "__block").sortWithinPartitions(*by, "__block")
-    together: list[list] = []
-    for r in sorted(few, key=lambda r: -r["n"]):
-        if not together or len(together[-1]) == TASK_GROUPS or sum(x["n"] for x in together[-1]) + r["n"] > HELD_ITEMS:
-            together.append([])
-        together[-1].append(r)
-    tasks, plan = 0, []
-    for own in together:
-        total = sum(r["n"] for r in own)
-        shares = max(1, min(TASK_SHARES, rounds, -(-total * rounds // TASK_DRAWS)))
-        plan += [(*[r[c] for c in by], tasks, shares) for r in own]
-        tasks += shares * -(-total // HELD_ITEMS)
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    plan = items.sparkSession.createDataFrame(plan, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "__task int, __shares int"]))
-    shared = packed.join(F.broadcast(plan), by).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
-    shared = shared.withColumn("__task", (F.col("__task") + F.col("__block") * F.col("__shares") + F.col("__share")).cast("int"))
     return shared.repartitionById(max(1, min(tasks, TASKS)), F.col("__task")).sortWithinPartitions("__task")
 
 
 def draws(items: DataFrame, by: list[str], values: list[str], rounds: int, place: Place = hashed_place) -> DataFrame:
-    """Sums of the values over each round's draws, n draws of n items for each group, all groups by the same hash.
+    """Sums of the values over each round's draws of numbered rows, n draws of n items for each group, all groups by the same hash."""
+    return _drawn(_packed(items, by, ["pos"], values), by, values, rounds, place)
+
+
+def _drawn(packed: DataFrame, by: list[str], values: list[str], rounds: int, place: Place) -> DataFrame:
+    """The same of packed rows.
 
-    A draw is never a row: a task holds the values of groups' items as packed numbers, HELD_ITEMS of them at most, makes
+    A draw is never a row: a task holds the values of groups' items as numbers, HELD_ITEMS of them at most, makes
     the hashes of its rounds' draws once for all of its groups and adds up what lies at the places that they give. Only
     values are shuffled, once for each of a group's few tasks. A group of more items than a task holds is dealt over blocks
     of places, each of which goes over all draws of its rounds, so that memory stays bounded.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    names, numbers = [f"__v{i}" for i in range(len(values))], NUMBERS[place]
-    dealt = _dealt(_packed(items, by, values), items, by, rounds)
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    names, numbers, most = [f"__v{i}" for i in range(len(values))], NUMBERS[place], max(1, HELD_ITEMS // len(values))
+    dealt = _dealt(packed, by, rounds, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, types = None, {}, []
@@ -430,12 +475,12 @@ def draws(items: DataFrame, by: list[str], values: list[str], rounds: int, place
                 for (*group, n, block), parts in held.items():
                     if first >= n:
                         continue
-                    at = _remainder(hashes[: n - first], n)
-                    if n > HELD_ITEMS:
-                        at = at.astype(np.int64) - block * HELD_ITEMS
-                        at = at[(at >= 0) & (at < HELD_ITEMS)]
+                    at = _remainder(hashes[: n - first], n).astype(np.int64, copy=False)
+                    if n > most:
+                        at = at - block * most
+                        at = at[(at >= 0) & (at < most)]
                     for i, part in enumerate(parts):
-                        sums[(*group, n, block)][i, turn - turns[0]] += part.take(at).sum()
+                        sums[(*group, n, block)][i, turn - turns[0]] += part.take(at, mode="wrap").sum()  # places are within; this mode is the quickest
             for (*group, n, _), own in sums.items():
                 columns = [*[pa.array([c] * len(turns), type=t) for c, t in zip(group, types, strict=True)], pa.array(turns, type=pa.int32()), pa.array([n] * len(turns), type=pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, own)], names=[*by, "turn", "n", *names])
@@ -453,10 +498,10 @@ def draws(items: DataFrame, by: list[str], values: list[str], rounds: int, place
                     key, held = together, {}  # what was held goes before the next is made
                 if own not in held:
                     *_, n, block = own
-                    held[own] = np.zeros((len(values), min(HELD_ITEMS, n - block * HELD_ITEMS)))
+                    held[own] = np.zeros((len(values), min(most, n - block * most)))
                 for i, column in enumerate(packed):
-                    part = np.frombuffer(column[row].as_buffer(), dtype=np.float64)
-                    held[own][i, at : at + len(part)] = part
+                    part, room = np.frombuffer(column[row].as_buffer(), dtype=np.float64), held[own][i]
+                    room[max(at, 0) : at + len(part)] = part[max(-at, 0) : len(room) - at]  # a packed row may lie in two blocks
         if key is not None:
             yield from drawn()
 
@@ -472,18 +517,18 @@ def bounds(drawn: DataFrame, by: list[str], value: str, rounds: int, upper_less:
 
 
 def mean_interval_portable(df: DataFrame, by: str, value: str, order: list[str], rounds: int, place: Place = hashed_place) -> DataFrame:
-    items = numbered(df.where(F.col(value).isNotNull()).select(by, value, *[o for o in order if o != value]), [by], order)
-    drawn = draws(items, [by], [value], rounds, place).withColumn("m", F.col(value) / F.col("n"))
-    return items.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(bounds(drawn, [by], "m", rounds), by)
+    packed = _packed(df.where(F.col(value).isNotNull()), [by], order, [value])
+    drawn = _drawn(packed, [by], [value], rounds, place).withColumn("m", F.col(value) / F.col("n"))
+    return _means(packed, [by], "mean").join(bounds(drawn, [by], "m", rounds), by)
 
 
 def paired_portable(aligned: DataFrame, order: list[str], rounds: int, groups: list[str] | None = None, place: Place = hashed_place) -> DataFrame:
     """The difference of aligned values by pair, or by other columns, with its interval, p and whether it is above zero."""
     by = groups or ["hi", "lo"]
-    items = numbered(aligned.select(*by, "value_hi", "value_lo", *order).withColumn("d", F.col("value_hi") - F.col("value_lo")), by, order)
-    point = items.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("diff"))
+    packed = _packed(aligned.withColumn("d", F.col("value_hi") - F.col("value_lo")), by, order, ["d"])
+    point = _means(packed, by, "diff")
     # rounded before they are compared and ordered, so that the order of sums can't tell draws apart
-    drawn = draws(items, by, ["d"], rounds, place).withColumn("m", F.round(F.col("d") / F.col("n"), 6))
+    drawn = _drawn(packed, by, ["d"], rounds, place).withColumn("m", F.round(F.col("d") / F.col("n"), 6))
     tail = drawn.join(point.select(*by, "diff"), by).groupBy(*by).agg(F.avg(F.when(F.col("diff") >= 0, F.col("m") <= 0).otherwise(F.col("m") >= 0).cast("double")).alias("tail"))
     out = point.join(bounds(drawn, by, "m", rounds), by).join(tail, by)
     return out.select(*by, "n", "diff", "ci_lo", "ci_hi", F.least(F.lit(1.0), 2 * F.col("tail")).alias("p"), F.when(F.col("ci_lo") > 0, "PASS").otherwise("fail").alias("gate"))
@@ -491,8 +536,7 @@ def paired_portable(aligned: DataFrame, order: list[str], rounds: int, groups: l
 
 def ratio_portable(df: DataFrame, by: str, top: str, bottom: str, order: list[str], rounds: int, place: Place = hashed_place) -> DataFrame:
     """Interval of a ratio of sums; its upper bound is one place lower than elsewhere, by the definition of this rate."""
-    items = numbered(df, [by], order)
-    drawn = draws(items, [by], [top, bottom], rounds, place).withColumn("m", F.round(F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(bottom)), F.lit(0.0)), 6))
+    drawn = _drawn(_packed(df, [by], order, [top, bottom]), [by], [top, bottom], rounds, place).withColumn("m", F.round(F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(bottom)), F.lit(0.0)), 6))
     mean = drawn.groupBy(by).agg(F.avg("m").alias("mean"))
     return mean.join(bounds(drawn, [by], "m", rounds, 1), by)
 

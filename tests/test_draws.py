@@ -50,3 +50,32 @@ def test_hashes_shared(spark, monkeypatch):
     monkeypatch.setitem(R.NUMBERS, R.quick_place, counted)
     assert R.draws(items, ["s"], ["v"], 20, R.quick_place).count() == 60
     assert made.value == 20 * 700
+
+
+def test_rows_made_once(spark):
+    """A bootstrap's rows are made once, whatever reads them for the ranges, and then only packed rows are read again; rows without a group or a value are in none."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(s, i, float(i % 91)) for s, n in (("A", 1300), ("B", 700), (None, 5)) for i in range(n)] + [("A", -1, None)]
+    own = spark.createDataFrame(rows, "s string, i int, v double").mapInArrow(counted, "s string, i int, v double")
+    got = {r["s"]: r for r in R.mean_interval_portable(own, "s", "v", ["i"], 20, R.quick_place).collect()}
+    assert made.value == 2006
+    for s, n in (("A", 1300), ("B", 700)):
+        v = [float(i % 91) for i in range(n)]
+        m = sorted(sum(v[a] for _, at in R.PLACES[R.quick_place](range(t, t + 1), n) for a in at.tolist()) / n for t in range(20))
+        assert (got[s]["n"], got[s]["mean"]) == (n, pytest.approx(sum(v) / n)) and [got[s][c] for c in ("ci_lo", "ci_hi")] == pytest.approx([m[0], m[19]])
+    assert set(got) == {"A", "B"}
+
+
+def test_paired_without_values(spark):
+    """A pair that has no difference counts as zero in the draws and not in the mean."""
+    rows = [("A", "N", i, None if i % 3 == 0 else float(i), 1.0) for i in range(1100)]
+    (got,) = R.paired_portable(spark.createDataFrame(rows, "hi string, lo string, i int, value_hi double, value_lo double"), ["i"], 10).collect()
+    v = [0.0 if i % 3 == 0 else i - 1.0 for i in range(1100)]
+    m = sorted(round(sum(v[a] for _, at in R.PLACES[R.hashed_place](range(t, t + 1), 1100) for a in at.tolist()) / 1100, 6) for t in range(10))
+    assert got["n"] == 1100 and got["diff"] == pytest.approx(sum(v) / sum(i % 3 > 0 for i in range(1100))) and (got["ci_lo"], got["ci_hi"]) == pytest.approx((m[0], m[9]), abs=2e-6)
