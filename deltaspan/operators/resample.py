@@ -229,14 +229,17 @@ _SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 1
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _SINE_WORDS = [np.uint32(x) for x in _SINES]
 _SHIFT_WORDS = [(np.uint32(x), np.uint32(32 - x)) for x in _SHIFTS]
+#: Hashes made at a time.
+HASHES = 1 << 15
 _MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _md5_first(words: list[np.ndarray], length: int) -> np.ndarray:
-    """The first 32 bits of the MD5 of many texts of one length, of 55 bytes at most; words: the texts' own words with the closing bit."""
+def _md5_first(words: list[np.ndarray], length: int, room: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the MD5 of many texts of one length, of 55 bytes at most; words: the texts' own words with the closing bit; room: six rows to work in, which memory is thus touched only once."""
     message: list = [*words, *[0] * (14 - len(words)), length * 8, 0]
-    a, b, c, d = (np.full(len(words[0]), v, dtype=np.uint32) for v in _MD5_START)
-    f, g = np.empty_like(a), np.empty_like(a)
+    a, b, c, d, f, g = room
+    for row, start in zip(room, _MD5_START, strict=False):
+        row[:] = start
     for i in range(61):  # the last three steps leave the first word as it is
         if i < 32:
             x, y, z = (b, c, d) if i < 16 else (d, b, c)
@@ -279,10 +282,10 @@ def _remainder(x: np.ndarray, n: int) -> np.ndarray:
 
 def hashed_numbers(turns: range, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Each turn with the first of a block of numbers below n and their hashes, of which hashed_place takes the remainder; these are the same for every group."""
-    first = 0
+    first, room = 0, np.empty((6, HASHES), dtype=np.uint32)
     while first < n:
         digits = len(str(first))
-        last = min(n, first + (1 << 15), 10**digits)
+        last = min(n, first + HASHES, 10**digits)
         number, rest = np.zeros((digits, last - first), dtype=np.uint32), np.arange(first, last)
         for i in range(digits - 1, -1, -1):
             number[i] = rest % 10 + 48
@@ -296,7 +299,7 @@ def hashed_numbers(turns: range, n: int) -> Iterator[tuple[int, int, np.ndarray]
                 words = list(plain)
                 for i in range(0, width + 1, 4):
                     words[i // 4] = plain[i // 4] | np.uint32(int.from_bytes(f"{turn}|".encode()[i : i + 4], "little"))
-                yield turn, first, _md5_first(words, length)
+                yield turn, first, _md5_first(words, length, room[:, : last - first])
         first = last
 
 
